@@ -1,0 +1,160 @@
+"""Joins (J1-J13).
+
+Every join here is an equi-join, some with a residual range predicate that
+Catalyst folds into the join condition.  Small dimension tables are broadcast
+only behind an explicit row-count bound; everything else is left to the
+planner (sort-merge with AQE skew splitting, or AQE's runtime broadcast when
+the shuffled side turns out small).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# A dimension above this many rows is never force-broadcast.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+
+    The check counts at most ``max_rows + 1`` rows of ``df``; use it on
+    dimension inputs (item maps, range tables, vocabularies), not on fact
+    tables.  Beyond the bound the plain DataFrame is returned and the planner
+    shuffles both sides.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
+def _on(keys: Sequence[str] | Sequence[tuple[str, str]], left: DataFrame, right: DataFrame) -> Column:
+    cond = None
+    for k in keys:
+        lk, rk = (k, k) if isinstance(k, str) else k
+        c = left[lk] == right[rk]
+        cond = c if cond is None else cond & c
+    return cond
+
+
+# --------------------------------------------------------------------------- J1
+def build_cohort(stays: DataFrame, admissions: DataFrame, persons: DataFrame,
+                 stay_keys: Sequence[str] = ("SUBJECT_ID", "HADM_ID"),
+                 person_key: str = "SUBJECT_ID") -> DataFrame:
+    """Stay join admission join person, inner."""
+    adm = admissions.drop(*[c for c in admissions.columns if c in stays.columns and c not in stay_keys])
+    out = stays.join(adm, list(stay_keys), "inner")
+    per = persons.drop(*[c for c in persons.columns if c in out.columns and c != person_key])
+    return out.join(per, [person_key], "inner")
+
+
+# --------------------------------------------------------------------------- J2
+def label_events(events: DataFrame, items: DataFrame, key: str = "ITEMID",
+                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Events inner-joined to the item dimension; unmapped items drop."""
+    return events.join(broadcast_if_small(items, max_rows), [key], "inner")
+
+
+# --------------------------------------------------------------------------- J3 / J4
+def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
+                     lo: str, hi: str, lookback_hours: int = 0,
+                     stay_cols: Sequence[str] | None = None) -> DataFrame:
+    """Events joined to stays on ``key`` with ``lo - lookback <= ts <= hi``.
+
+    One join whose condition carries the range; a key that owns many stays
+    (admission with several stays) fans out to each of them.  Skew on ``key``
+    is handled by AQE's skew-join split of the event side.
+    """
+    keep = list(stay_cols) if stay_cols is not None else [c for c in stays.columns]
+    cols = list(dict.fromkeys([key, lo, hi, *keep]))
+    s = stays.select(*[F.col(c).alias(f"__s_{c}") if c == key else F.col(c) for c in cols])
+    lower = F.col(lo) if not lookback_hours else F.timestamp_add("HOUR", F.lit(-lookback_hours), F.col(lo))
+    cond = (F.col(key) == F.col(f"__s_{key}")) & (F.col(ts) >= lower) & (F.col(ts) <= F.col(hi))
+    dup = [c for c in s.columns if c in events.columns and c != key]
+    ev = events.drop(*dup)
+    return ev.join(s, cond, "inner").drop(f"__s_{key}")
+
+
+# --------------------------------------------------------------------------- J5
+def lookup_ranges(events: DataFrame, ranges: DataFrame, name_col: str, range_key: str = "LEVEL2",
+                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Left lookup of range rows on the lower-cased name; duplicates fan out (J5, trap T2)."""
+    r = ranges.withColumn("__range_key", F.lower(F.col(range_key))).drop(range_key)
+    r = broadcast_if_small(r, max_rows)
+    return (events.withColumn("__name_key", F.lower(F.col(name_col)))
+            .join(r, F.col("__name_key") == F.col("__range_key"), "left")
+            .drop("__name_key", "__range_key"))
+
+
+# --------------------------------------------------------------------------- J6
+def flag_hours(grid: DataFrame, events: DataFrame, grid_keys: Sequence[str],
+               event_keys: Sequence[str], flag: str = "FLAG") -> DataFrame:
+    """Left join the grid to the distinct event keys; 1 where an event exists else NULL.
+
+    The NULLs are left for :func:`hourglass.operators.timeline.ffill_limit`.
+    """
+    ev = (events.select(*[F.col(e).alias(g) for g, e in zip(grid_keys, event_keys)])
+          .distinct().withColumn(flag, F.lit(1).cast("tinyint")))
+    return grid.join(ev, list(grid_keys), "left")
+
+
+# --------------------------------------------------------------------------- J7 / J8
+def semi_join(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Restrict ``df`` to keys present in ``keys``."""
+    return df.join(keys.select(*on), list(on), "left_semi")
+
+
+def restrict_split(df: DataFrame, splits: DataFrame, key: str, split: str,
+                   split_col: str = "split") -> DataFrame:
+    """Rows of ``df`` whose entity is in the given split; no collected id list."""
+    members = splits.filter(F.col(split_col) == F.lit(split)).select(key)
+    return df.join(members, [key], "left_semi")
+
+
+# --------------------------------------------------------------------------- J9
+def attach_wide(grid: DataFrame, wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Grid left join wide measurements on (entity, hour)."""
+    return grid.join(wide, list(keys), "left")
+
+
+# --------------------------------------------------------------------------- J10
+def attach_static(features: DataFrame, statics: DataFrame, key: str) -> DataFrame:
+    """Left join one per-key static table (codes, one-hots, anchor) to the features.
+
+    The reference joins five small tables; here they are one table built per
+    key, so a single join suffices.
+    """
+    return features.join(statics, [key], "left")
+
+
+# --------------------------------------------------------------------------- J11
+def attach_labels(features: DataFrame, candidates: DataFrame | None, transitions: DataFrame | None,
+                  stay_key: str, hour_key: str) -> DataFrame:
+    """Left join candidate sets by stay and transition labels by (stay, hour)."""
+    out = features
+    if candidates is not None:
+        out = out.join(candidates, [stay_key], "left")
+    if transitions is not None:
+        out = out.join(transitions, [stay_key, hour_key], "left")
+    return out
+
+
+# --------------------------------------------------------------------------- J12
+def align_vectors(target: DataFrame, vectors: DataFrame, key: str, vec_col: str, dim: int,
+                  out_col: str = "X_icd") -> DataFrame:
+    """Attach a vector per target row by id; unmatched rows get the zero vector.
+
+    Adds ``matched`` (1/0) so the match count is a plain ``sum`` downstream.
+    A vector of the wrong length fails the job with an error.
+    """
+    vec = F.col(vec_col).cast("array<float>")
+    checked = F.when(F.size(vec) == F.lit(dim), vec).otherwise(
+        F.raise_error(F.lit(f"vector length differs from {dim}")))
+    v = vectors.select(F.col(key), checked.alias("__vec"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return (target.join(v, [key], "left")
+            .withColumn("matched", F.col("__vec").isNotNull().cast("int"))
+            .withColumn(out_col, F.coalesce(F.col("__vec"), zero))
+            .drop("__vec"))

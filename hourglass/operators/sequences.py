@@ -1,0 +1,106 @@
+"""Code encoding and fixed-length sequences.
+
+Sequences are built per entity from at most ``seq_len`` hourly rows, so the
+per-entity ``collect_list`` is bounded by the sequence length, never by the
+raw event volume.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hourglass.operators.joins import broadcast_if_small
+
+
+# --------------------------------------------------------------------------- G2
+def encode_codes(df: DataFrame, key: str, codes_col: str, vocab: DataFrame,
+                 out: str = "candidates", code: str = "code", idx: str = "idx") -> DataFrame:
+    """Map each row's code list to vocabulary indexes, in list order, unknown codes dropped.
+
+    ``posexplode`` -> join the vocabulary -> ordered ``collect_list`` per key.
+    Rows with a null/empty list (or only unknown codes) get an empty list.
+    ``key`` must identify rows of ``df``.
+    """
+    v = broadcast_if_small(vocab.select(F.col(code).alias("__code"), F.col(idx).alias("__idx")))
+    exploded = df.select(key, F.posexplode(codes_col).alias("__pos", "__code"))
+    hits = (exploded.join(v, ["__code"], "inner")
+            .groupBy(key)
+            .agg(F.array_sort(F.collect_list(F.struct("__pos", "__idx"))).alias("__pairs")))
+    enc = hits.select(key, F.transform("__pairs", lambda s: s["__idx"]).alias(out))
+    empty = F.array().cast("array<bigint>")
+    return (df.join(enc, [key], "left")
+            .withColumn(out, F.coalesce(F.col(out).cast("array<bigint>"), empty)))
+
+
+# --------------------------------------------------------------------------- G4 / G5
+def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str], seq_len: int = 120,
+                    label: str | None = None, label_pad: int = -100, value_pad: float = 0.0,
+                    as_of: str | None = None, out: str = "X_num") -> DataFrame:
+    """Right-aligned fixed-length sequences per entity (G4), channel-major.
+
+    Hours outside ``[0, seq_len)`` are dropped; with ``mh`` the largest kept
+    hour, hour ``h`` lands at position ``h + seq_len - 1 - mh``; positions to
+    the left are padding (``value_pad`` for channels, ``label_pad`` for the
+    label).  Channel values that are NaN/Inf/NULL become 0.  ``out`` is
+    ``array<array<float>>`` of shape (len(channels), seq_len) in the given
+    channel order (value, mask, delta blocks stacked by the caller's order);
+    ``y`` is ``array<bigint>`` of length ``seq_len``.  ``as_of`` (a column with
+    an hour per entity) truncates the input at that hour (trap T13).
+    """
+    rows = df.filter((F.col(hour) >= 0) & (F.col(hour) < seq_len))
+    if as_of is not None:
+        rows = rows.filter(F.col(hour) <= F.col(as_of))
+    fields = [F.col(hour).cast("int").alias("__h")]
+    for i, c in enumerate(channels):
+        x = F.col(c).cast("double")
+        clean = F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+        fields.append(F.coalesce(clean, F.lit(value_pad)).cast("float").alias(f"c{i}"))
+    if label is not None:
+        fields.append(F.coalesce(F.col(label).cast("bigint"), F.lit(label_pad).cast("bigint")).alias("__y"))
+    g = rows.groupBy(key).agg(F.max(F.col(hour)).cast("int").alias("__mh"),
+                              F.collect_list(F.struct(*fields)).alias("__rows"))
+    m = F.map_from_entries(F.transform("__rows", lambda s: F.struct(s["__h"], s)))
+    g = g.select(key, "__mh", m.alias("__m"))
+    positions = F.sequence(F.lit(0), F.lit(seq_len - 1))
+    off = F.lit(seq_len - 1) - F.col("__mh")
+
+    def series(field: str, pad):
+        return F.transform(positions, lambda p: F.coalesce(
+            F.try_element_at(F.col("__m"), p - off)[field], pad))
+
+    x_num = F.array(*[series(f"c{i}", F.lit(value_pad).cast("float")) for i in range(len(channels))])
+    cols = [F.col(key), x_num.alias(out)]
+    if label is not None:
+        cols.append(series("__y", F.lit(label_pad).cast("bigint")).alias("y"))
+    return g.select(*cols)
+
+
+def explode_sequences(seq: DataFrame, key: str, col: str = "X_num") -> DataFrame:
+    """Long form ``(key, channel, pos, value)`` of a channel-major sequence column."""
+    ch = seq.select(key, F.posexplode(col).alias("channel", "__series"))
+    return ch.select(key, "channel", F.posexplode("__series").alias("pos", "value"))
+
+
+# --------------------------------------------------------------------------- G6
+def static_vector(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[str],
+                  out: str = "X_cat") -> DataFrame:
+    """First row per entity's categorical columns as ``array<int>``, null -> 0."""
+    from hourglass.operators.timeline import first_per_key
+    first = first_per_key(df.select(key, *order, *cols), key, order)
+    return first.select(key, F.array(*[F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in cols]).alias(out))
+
+
+# --------------------------------------------------------------------------- G7
+def require_candidates(df: DataFrame, col: str) -> DataFrame:
+    """Drop rows with no valid candidate, unless no row has any (then keep all).
+
+    The "any row has one" test is a one-row aggregate joined back.
+    """
+    has = F.size(F.filter(F.coalesce(F.col(col), F.array().cast("array<bigint>")), lambda x: x >= 0)) > 0
+    flag = df.agg(F.max(has.cast("int")).alias("__any"))
+    return (df.crossJoin(F.broadcast(flag))
+            .filter(has | (F.coalesce(F.col("__any"), F.lit(0)) == 0))
+            .drop("__any"))

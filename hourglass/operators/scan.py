@@ -8,8 +8,10 @@ For a prefix sum over a large ordered table we instead:
 3. total each (group, range partition) -- ``n x groups`` rows;
 4. offset every partition by the sum of the partitions before it in its group.
 
-Range bounds are fixed on the driver once, so a recomputed task after an
-executor loss lands its rows in the same partition.
+The range-partitioned table is checkpointed (reliably, into the shared
+``spark.checkpoint.dir``) before it is used twice: each use of an
+un-materialized ``repartitionByRange`` samples its own bounds, and the running
+sums and the partition totals must see the same partition of every row.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourglass.session import cut_lineage
+
 
 def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str],
                 values: Sequence[str], suffix: str = "_cum", inclusive: bool = True,
@@ -34,6 +38,7 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column | s
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     parted = (df.repartitionByRange(n, *[F.col(g) for g in groups], *order_cols)
               .withColumn("__part", F.spark_partition_id()))
+    parted = cut_lineage(parted, spark)
     w = Window.partitionBy(*groups, "__part").orderBy(*order_cols)
     frame = w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     local = parted.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"__loc_{v}") for v in values])

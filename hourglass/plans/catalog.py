@@ -245,7 +245,7 @@ def w5(spark, sf):
 @q("a5_first_row_per_group")
 def a5(spark, sf):
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return TL.first_per_key(li, "l_orderkey", ["l_linenumber", "l_partkey"])
+    return TL.first_per_key(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity"])
 
 
 @q("a6_distinct_by")

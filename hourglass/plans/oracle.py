@@ -439,7 +439,7 @@ SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (
 WHERE rn = 1"""
 ORACLE["a5_first_row_per_group"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem)
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS rn FROM lineitem)
 WHERE rn = 1"""
 ORACLE["a6_distinct_by"] = """
 SELECT event_id, ts, user_id, event_type, value, props FROM (

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,14 +66,18 @@ def build_vocab(df: DataFrame, codes_col: str, code: str = "code") -> DataFrame:
     """Code frequency vocabulary with a dense index.
 
     Order is count descending, then code ascending (trap T12 made
-    deterministic).  The global ordering runs on the vocabulary only (one row
-    per distinct code), after a partially aggregated count.
+    deterministic).  The dense index is a distributed prefix count over the
+    vocabulary (one row per distinct code) in that order, so a vocabulary of
+    any size is never ranked inside a single task.
     """
+    from hourglass.operators.scan import prefix_sums
+
     counts = (df.select(F.explode(F.col(codes_col)).alias(code))
               .filter(F.col(code).isNotNull())
-              .groupBy(code).agg(F.count(F.lit(1)).alias("n")))
-    w = Window.orderBy(F.desc("n"), F.asc(code))
-    return counts.select((F.row_number().over(w) - 1).cast("bigint").alias("idx"), code, "n")
+              .groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("__one", F.lit(1).cast("bigint")))
+    ranked = prefix_sums(counts, [], [F.desc("n"), F.asc(code)], ["__one"], suffix="_rank", inclusive=False)
+    return ranked.select(F.col("__one_rank").cast("bigint").alias("idx"), code, "n")
 
 
 # --------------------------------------------------------------------------- A8

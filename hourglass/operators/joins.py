@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension above this many rows is never force-broadcast.
@@ -30,15 +30,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
-def _on(keys: Sequence[str] | Sequence[tuple[str, str]], left: DataFrame, right: DataFrame) -> Column:
-    cond = None
-    for k in keys:
-        lk, rk = (k, k) if isinstance(k, str) else k
-        c = left[lk] == right[rk]
-        cond = c if cond is None else cond & c
-    return cond
-
-
 # --------------------------------------------------------------------------- J1
 def build_cohort(stays: DataFrame, admissions: DataFrame, persons: DataFrame,
                  stay_keys: Sequence[str] = ("SUBJECT_ID", "HADM_ID"),
@@ -60,12 +51,16 @@ def label_events(events: DataFrame, items: DataFrame, key: str = "ITEMID",
 # --------------------------------------------------------------------------- J3 / J4
 def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
                      lo: str, hi: str, lookback_hours: int = 0,
-                     stay_cols: Sequence[str] | None = None) -> DataFrame:
+                     stay_cols: Sequence[str] | None = None,
+                     broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
     """Events joined to stays on ``key`` with ``lo - lookback <= ts <= hi``.
 
     One join whose condition carries the range; a key that owns many stays
-    (admission with several stays) fans out to each of them.  Skew on ``key``
-    is handled by AQE's skew-join split of the event side.
+    (admission with several stays) fans out to each of them.  The stay table
+    has one row per stay, so when it is within ``broadcast_max_rows`` it is
+    broadcast and the raw events are never shuffled; beyond that the planner
+    shuffles both sides and AQE splits a hot key's partition of the event
+    side.
     """
     keep = list(stay_cols) if stay_cols is not None else [c for c in stays.columns]
     cols = list(dict.fromkeys([key, lo, hi, *keep]))
@@ -74,6 +69,8 @@ def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
     cond = (F.col(key) == F.col(f"__s_{key}")) & (F.col(ts) >= lower) & (F.col(ts) <= F.col(hi))
     dup = [c for c in s.columns if c in events.columns and c != key]
     ev = events.drop(*dup)
+    if broadcast_max_rows:
+        s = broadcast_if_small(s, broadcast_max_rows)
     return ev.join(s, cond, "inner").drop(f"__s_{key}")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -116,7 +116,8 @@ def _carry_across_fill(df: DataFrame, col: str, n: int, by: list[str], order) ->
 # --------------------------------------------------------------------------- W3 / P23
 def channels(df: DataFrame, features: Sequence[str], by, order: str, seq_len: int | None = None,
              value_prefix: str = "V__", mask_prefix: str = "M__", delta_prefix: str = "D__",
-             keep: Sequence[str] | None = None, time_channel: bool = True) -> DataFrame:
+             keep: Sequence[str] | None = None, time_channel: bool = True,
+             extra: Sequence[Column] = ()) -> DataFrame:
     """Value / mask / delta channels per feature on one window spec.
 
     * ``V__f`` = forward-filled finite value (NaN/Inf treated as missing),
@@ -125,6 +126,8 @@ def channels(df: DataFrame, features: Sequence[str], by, order: str, seq_len: in
       the first one (trap T8).
     All expressions share one ``Window`` so the plan has one exchange and one
     sort.  With ``seq_len`` a ``V__time`` channel h/L is added (P23).
+    ``extra`` columns (e.g. :func:`transition_label` over the same entity and
+    order) are evaluated in the same pass.
     """
     w = _w(by, order).rowsBetween(Window.unboundedPreceding, 0)
     h = F.col(order)
@@ -140,7 +143,7 @@ def channels(df: DataFrame, features: Sequence[str], by, order: str, seq_len: in
         cols.append((h - F.coalesce(last_h, F.lit(0))).cast("int").alias(delta_prefix + f))
     if time_channel and seq_len:
         cols.append((h.cast("double") / F.lit(float(seq_len))).alias(value_prefix + "time"))
-    return df.select(*cols)
+    return df.select(*cols, *extra)
 
 
 # --------------------------------------------------------------------------- W4
@@ -148,22 +151,15 @@ def channels(df: DataFrame, features: Sequence[str], by, order: str, seq_len: in
 ONSET, WEAN, STAY_ON, STAY_OFF = 0, 1, 2, 3
 
 
-def transition_labels(df: DataFrame, state: str, gap: int = 6, n: int = 4, by="ICUSTAY_ID",
-                      order: str = "HOUR_IN", out: str = "target_vent", keep_null: bool = False) -> DataFrame:
-    """Look-ahead state label over rows t+gap .. t+gap+n-1.
-
-    onset (0/1 step) > wean (1/0 step) > stay on (all 1) > stay off (all 0);
-    null (dropped unless ``keep_null``) unless every step exists and is
-    non-null.  Steps are rows, as on the dense grid.
-    """
+def transition_label(state: str, gap: int = 6, n: int = 4, by="ICUSTAY_ID", order: str = "HOUR_IN") -> Column:
+    """Look-ahead state label as a column expression (W4), see :func:`transition_labels`."""
     w = _w(by, order)
     steps = [F.lead(F.col(state), gap + i).over(w) for i in range(n)]
     valid = None
-    for s in steps:
-        valid = s.isNotNull() if valid is None else valid & s.isNotNull()
     all_on = None
     all_off = None
     for s in steps:
+        valid = s.isNotNull() if valid is None else valid & s.isNotNull()
         all_on = (s == 1) if all_on is None else all_on & (s == 1)
         all_off = (s == 0) if all_off is None else all_off & (s == 0)
     onset = F.lit(False)
@@ -171,12 +167,22 @@ def transition_labels(df: DataFrame, state: str, gap: int = 6, n: int = 4, by="I
     for a, b in zip(steps[:-1], steps[1:]):
         onset = onset | ((a == 0) & (b == 1))
         wean = wean | ((a == 1) & (b == 0))
-    label = (F.when(valid & onset, F.lit(ONSET))
-             .when(valid & wean, F.lit(WEAN))
-             .when(valid & all_on, F.lit(STAY_ON))
-             .when(valid & all_off, F.lit(STAY_OFF))).cast("bigint")
+    return (F.when(valid & onset, F.lit(ONSET))
+            .when(valid & wean, F.lit(WEAN))
+            .when(valid & all_on, F.lit(STAY_ON))
+            .when(valid & all_off, F.lit(STAY_OFF))).cast("bigint")
+
+
+def transition_labels(df: DataFrame, state: str, gap: int = 6, n: int = 4, by="ICUSTAY_ID",
+                      order: str = "HOUR_IN", out: str = "target_vent", keep_null: bool = False) -> DataFrame:
+    """Look-ahead state label over rows t+gap .. t+gap+n-1.
+
+    onset (0/1 step) > wean (1/0 step) > stay on (all 1) > stay off (all 0);
+    null (dropped unless ``keep_null``) unless every step exists and is
+    non-null.  Steps are rows, as on the dense grid.
+    """
     by_l = [by] if isinstance(by, str) else list(by)
-    res = df.select(*by_l, F.col(order), label.alias(out))
+    res = df.select(*by_l, F.col(order), transition_label(state, gap, n, by, order).alias(out))
     return res if keep_null else res.filter(F.col(out).isNotNull())
 
 

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from hourglass.functions.columns import with_hour_offset
 from hourglass.operators.aggregates import hourly_stats, pivot_fixed
 from hourglass.operators.joins import attach_wide, flag_hours, join_in_interval
-from hourglass.operators.timeline import channels, ffill_limit, hourly_grid, transition_labels
+from hourglass.operators.timeline import (channels, ffill_limit, hourly_grid, transition_label,
+                                          transition_labels)
+from hourglass.session import cut_lineage
 
 
 def measurements(events: DataFrame, stays: DataFrame, key: str, ts: str, name: str, value: str,
@@ -51,23 +53,39 @@ def state_flag(grid: DataFrame, hourly: DataFrame, key: str, name: str, state_na
 def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name: str, value: str,
                    features: Sequence[str], state_names: Sequence[str], grid_hours: int = 720,
                    seq_len: int | None = None, fill_limit: int = 6, gap: int = 6, window: int = 4,
-                   label_col: str = "target") -> dict[str, DataFrame]:
-    """All stage-1 tables for one entity timeline, lazily.
-
-    Returns ``hourly`` (A1), ``wide`` (A3), ``grid`` (G1), ``flagged`` (W2),
-    ``channels`` (W3, with the state flag) and ``labels`` (W4).
+                   label_col: str = "target", materialize: bool = True) -> dict[str, DataFrame]:
+    """All stage-1 tables for one entity timeline.
+
+    Returns ``stays``, ``hourly`` (A1), ``wide`` (A3), ``grid`` (G1),
+    ``flagged`` (W2), ``channels`` (W3, with the state flag), ``labels`` (W4)
+    and ``dataset`` (channels plus the label, computed in the same window
+    pass -- no self-join).
+
+    With ``materialize`` the stays and the hourly statistics are checkpointed
+    into the shared checkpoint folder: both feed several branches (grid,
+    offsets, pivot, flags), and without a materialized copy every branch would
+    rescan the raw events.  The raw events are then read exactly twice (stay
+    bounds, then the hourly aggregate), and the checkpoint survives executor
+    loss.
     """
+    if materialize:
+        stays = cut_lineage(stays)
     hourly = measurements(events, stays, key, ts, name, value)
+    if materialize:
+        hourly = cut_lineage(hourly)
     wide = wide_features(hourly, key, name, features)
     grid = hourly_grid(stays, "STAY_HOURS", grid_hours, keep=[key, "intime"])
     flagged = state_flag(grid, hourly, key, name, state_names, fill_limit)
     joined = attach_wide(flagged, wide, [key, "HOUR_IN"])
-    chans = channels(joined, list(features), key, "HOUR_IN", seq_len=seq_len or grid_hours)
+    feats = list(features)
+    chans = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours)
     labels = transition_labels(flagged, "VENT", gap, window, key, "HOUR_IN", out=label_col)
-    return {"hourly": hourly, "wide": wide, "grid": grid, "flagged": flagged,
-            "channels": chans, "labels": labels}
+    ds = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours,
+                  extra=[transition_label("VENT", gap, window, key, "HOUR_IN").alias(label_col)])
+    return {"stays": stays, "hourly": hourly, "wide": wide, "grid": grid, "flagged": flagged,
+            "channels": chans, "labels": labels, "dataset": ds}
 
 
 def dataset(tables: dict[str, DataFrame], key: str, label_col: str = "target") -> DataFrame:
-    """Channels with the transition label attached per (entity, hour)."""
-    return tables["channels"].join(tables["labels"], [key, "HOUR_IN"], "left")
+    """Channels with the transition label per (entity, hour) (J11), one window pass."""
+    return tables["dataset"]

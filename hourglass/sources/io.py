@@ -8,6 +8,7 @@ never target the path they read from.  Paths go through Hadoop's FileSystem so
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,11 +101,11 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
 
     Refuses to overwrite a path the DataFrame reads from (trap T18).
     """
-    sources = set(df.inputFiles())
-    norm = path.rstrip("/")
-    if mode == "overwrite" and any(f.startswith(norm + "/") or f == norm or
-                                   f.replace("file:", "").startswith(norm.replace("file:", "") + "/")
-                                   for f in sources):
+    def _p(x: str) -> str:
+        return urlparse(x).path.rstrip("/") or x
+
+    target = _p(path)
+    if mode == "overwrite" and any(_p(f) == target or _p(f).startswith(target + "/") for f in df.inputFiles()):
         raise ValueError(f"refusing to overwrite {path}: it is an input of this DataFrame")
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
@@ -149,7 +150,7 @@ class Artifacts:
 # --------------------------------------------------------------------------- S9
 def write_vocab(vocab: DataFrame, path: str) -> str:
     """Persist the vocabulary ``(idx, code, n)``; code->idx and idx->code are this table."""
-    return write_table(vocab.select("idx", "code", "n").coalesce(1), path)
+    return write_table(vocab.select("idx", "code", "n"), path)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:

@@ -103,15 +103,18 @@ def candidate_summary(df: DataFrame, col: str) -> DataFrame:
     Sizes count entries >= 0 (padding excluded).  Percentiles use linear
     interpolation, the NumPy default.
     """
+    from hourglass.operators.scan import exact_quantiles
+
     size = F.size(F.filter(F.col(col), lambda x: x >= 0))
     s = df.select(size.alias("__size"))
-    return s.agg(
+    basic = s.agg(
         F.count(F.lit(1)).alias("samples"),
         F.avg("__size").alias("cand_size_mean"),
-        F.percentile("__size", F.lit(0.5)).alias("cand_size_p50"),
-        F.percentile("__size", F.lit(0.9)).alias("cand_size_p90"),
         F.max("__size").cast("bigint").alias("cand_size_max"),
     )
+    q = exact_quantiles(s, "__size", [0.5, 0.9], ["cand_size_p50", "cand_size_p90"])
+    return basic.crossJoin(q).select("samples", "cand_size_mean", "cand_size_p50", "cand_size_p90",
+                                     "cand_size_max")
 
 
 # --------------------------------------------------------------------------- A11 / O3

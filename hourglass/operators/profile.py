@@ -42,17 +42,25 @@ def profile(df: DataFrame, approx: bool = False, cols: Sequence[str] | None = No
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """count, mean, std, min, quartiles (linear interpolation), max per numeric column."""
+    """count, mean, std, min, quartiles (linear interpolation), max per numeric column.
+
+    Moments come from one aggregate; quartiles from the distributed exact
+    quantile scan, so no task holds a whole column.
+    """
+    from hourglass.operators.scan import exact_quantiles
+
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, F.lit(0.25)).alias(f"{c}__p25"), F.percentile(x, F.lit(0.5)).alias(f"{c}__p50"),
-                 F.percentile(x, F.lit(0.75)).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
-    return _stack(df.agg(*aggs), cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    row = df.agg(*aggs)
+    for c in cols:
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], [f"{c}__p25", f"{c}__p50", f"{c}__p75"])
+        row = row.crossJoin(q)
+    return _stack(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
 
 
 def array_stats(df: DataFrame, col: str) -> DataFrame:
@@ -66,13 +74,12 @@ def array_stats(df: DataFrame, col: str) -> DataFrame:
     x = F.col("__x").cast("double")
     ok = F.when(~F.isnan(x), x)
     agg = e.agg(
-        F.countDistinct(F.lit(1)).alias("__one"),
         F.max("__len").alias("max_len"),
         F.min(ok).alias("min"), F.max(ok).alias("max"), F.avg(ok).alias("mean"),
         F.stddev_pop(ok).alias("std"), F.count(ok).alias("n_values"),
         F.sum(F.isnan(x).cast("long")).alias("n_nan"))
     rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    return rows.crossJoin(agg).drop("__one")
+    return rows.crossJoin(agg)
 
 
 def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:

@@ -469,15 +469,24 @@ def _vocab(spark, sf):
     return AG.build_vocab(_order_codes(spark, sf), "CODES")
 
 
+def _codes(spark, sf):
+    """Order code lists, the vocabulary (built once) and every order's candidate indexes."""
+    codes = _order_codes(spark, sf)
+    vocab = AG.build_vocab(codes, "CODES")  # materialized by its distributed rank
+    cands = SQ.encode_codes(codes, "o_orderkey", "CODES", vocab)
+    o = T(spark, sf, "orders").select("o_orderkey")
+    allc = C.fill_defaults(o.join(cands.select("o_orderkey", "candidates"), ["o_orderkey"], "left")
+                           .withColumn("candidates", F.col("candidates").cast("array<bigint>")),
+                           {"candidates": []})
+    return codes, vocab, cands, allc
+
+
 def _order_cands(spark, sf):
-    return SQ.encode_codes(_order_codes(spark, sf), "o_orderkey", "CODES", _vocab(spark, sf))
+    return _codes(spark, sf)[2]
 
 
 def _all_order_cands(spark, sf):
-    o = T(spark, sf, "orders").select("o_orderkey")
-    c = _order_cands(spark, sf).select("o_orderkey", "candidates")
-    return C.fill_defaults(o.join(c, ["o_orderkey"], "left").withColumn(
-        "candidates", F.col("candidates").cast("array<bigint>")), {"candidates": []})
+    return _codes(spark, sf)[3]
 
 
 @q("a4_collect_codes")
@@ -517,14 +526,14 @@ def a10(spark, sf):
 
 @q("a11_class_inclusion")
 def a11(spark, sf):
-    n = _vocab(spark, sf).count()
-    return rounded(AG.class_inclusion(_all_order_cands(spark, sf), "candidates", n))
+    _, vocab, _, allc = _codes(spark, sf)
+    return rounded(AG.class_inclusion(allc, "candidates", vocab.count()))
 
 
 @q("o3_top_classes")
 def o3(spark, sf):
-    n = _vocab(spark, sf).count()
-    return rounded(AG.top_classes(AG.class_inclusion(_all_order_cands(spark, sf), "candidates", n), 5))
+    _, vocab, _, allc = _codes(spark, sf)
+    return rounded(AG.top_classes(AG.class_inclusion(allc, "candidates", vocab.count()), 5))
 
 
 @q("s9_write_vocab")

@@ -1,23 +1,25 @@
 """Hourly statistics under Structured Streaming (A1 on an unbounded event source).
 
 The same aggregate as :func:`hourglass.operators.aggregates.hourly_stats`,
-keyed by absolute event-time hour windows.  With a watermark the engine can
-drop state for closed hours; ``append`` mode then emits each hour once.  The
-registered check drains the available files with ``availableNow`` into a
-``complete``-mode memory table, which keeps every group, as a batch would.
+keyed by absolute event-time hour windows.  The stream runs in ``update``
+mode with a watermark, so the state store drops hours once they are closed,
+and every micro-batch appends only the groups it changed (tagged with its
+batch id) to a Parquet table in the shared checkpoint folder.  The current
+result is the latest version of each group -- a distributed
+``first_per_key`` over that table, never a collect to the driver.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourglass.operators.timeline import first_per_key
 from hourglass.session import scratch_path
 
 EVENT_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
                 "value double, props string")
+KEYS = ("user_id", "hour", "event_type")
 
 
 def hourly_stats_streaming(events: DataFrame, watermark: str | None = "2 hours") -> DataFrame:
@@ -25,22 +27,36 @@ def hourly_stats_streaming(events: DataFrame, watermark: str | None = "2 hours")
     src = events.withColumn("__ts", F.col("ts").cast("timestamp"))
     if watermark:
         src = src.withWatermark("__ts", watermark)
-    return (src.groupBy("user_id", F.window("__ts", "1 hour").alias("w"), "event_type")
-            .agg(F.avg("value").alias("MEAN"), F.count("value").alias("COUNT"),
-                 F.stddev_samp("value").alias("STDDEV")))
+    agg = (src.groupBy("user_id", F.window("__ts", "1 hour").alias("w"), "event_type")
+           .agg(F.avg("value").alias("MEAN"), F.count("value").alias("COUNT"),
+                F.stddev_samp("value").alias("STDDEV")))
+    return agg.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type",
+                      "MEAN", "COUNT", "STDDEV")
+
+
+def run_to_table(stream: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Drain the available input: each micro-batch appends its updated groups with its batch id."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("__batch", F.lit(batch_id)).write.mode("append").parquet(out_path)
+
+    q = (stream.writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def latest_groups(spark: SparkSession, out_path: str) -> DataFrame:
+    """Latest version of every group written by :func:`run_to_table`."""
+    t = spark.read.parquet(out_path).withColumn("__neg_batch", -F.col("__batch"))
+    return first_per_key(t, list(KEYS), ["__neg_batch"]).drop("__batch", "__neg_batch")
 
 
-def hourly_stats_stream(spark: SparkSession, sf_dir: str, table: str = "events") -> DataFrame:
-    """Run the streaming aggregate over the event files until drained; return the result table."""
+def hourly_stats_stream(spark: SparkSession, sf_dir: str, table: str = "events",
+                        watermark: str | None = "2 hours") -> DataFrame:
+    """Stream the event files through the hourly aggregate; return the final group values."""
     stream = (spark.readStream.schema(EVENT_SCHEMA)
               .option("pathGlobFilter", f"{table}.parquet")
+              .option("maxFilesPerTrigger", 1)
               .parquet(sf_dir))
-    agg = hourly_stats_streaming(stream, watermark=None)
-    name = f"hourly_{uuid.uuid4().hex[:8]}"
-    q = (agg.writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, "stream-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    out = spark.table(name)
-    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type",
-                      "MEAN", "COUNT", "STDDEV")
+    out = scratch_path(spark, "hourly-stream")
+    run_to_table(hourly_stats_streaming(stream, watermark), out, scratch_path(spark, "hourly-stream-ckpt"))
+    return latest_groups(spark, out)

@@ -40,6 +40,20 @@ def wide_features(hourly: DataFrame, key: str, name: str, features: Sequence[str
             .withColumnRenamed("HOURS_IN", "HOUR_IN"))
 
 
+def wide_with_flag(hourly: DataFrame, key: str, name: str, features: Sequence[str],
+                   state_names: Sequence[str], flag: str = "__flag") -> DataFrame:
+    """Pivot (A3) and state-event flag (J6) in one aggregate per (entity, hour).
+
+    Same conditional aggregates Spark's ``pivot`` plans, plus one more for
+    the flag, so the grid needs a single join for both.
+    """
+    n = F.col(name)
+    aggs = [F.avg(F.when(n == F.lit(f), F.col("MEAN"))).alias(f) for f in features]
+    aggs.append(F.max(F.when(n.isin(*state_names), F.lit(1))).cast("tinyint").alias(flag))
+    return (hourly.groupBy(key, "HOURS_IN").agg(*aggs)
+            .withColumnRenamed("HOURS_IN", "HOUR_IN"))
+
+
 def state_flag(grid: DataFrame, hourly: DataFrame, key: str, name: str, state_names: Sequence[str],
                fill_limit: int = 6, carry_across: bool = False, out: str = "VENT") -> DataFrame:
     """Flag hours with a state event, forward fill up to ``fill_limit`` hours, rest 0."""
@@ -76,10 +90,13 @@ def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name:
     wide = wide_features(hourly, key, name, features)
     grid = hourly_grid(stays, "STAY_HOURS", grid_hours, keep=[key, "intime"])
     flagged = state_flag(grid, hourly, key, name, state_names, fill_limit)
-    joined = attach_wide(flagged, wide, [key, "HOUR_IN"])
     feats = list(features)
-    chans = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours)
     labels = transition_labels(flagged, "VENT", gap, window, key, "HOUR_IN", out=label_col)
+    # One join of the grid to (features + flag), then two window passes on the
+    # same entity partitioning: fill the flag, then channels and labels.
+    joined = attach_wide(grid, wide_with_flag(hourly, key, name, feats, state_names), [key, "HOUR_IN"])
+    joined = ffill_limit(joined, "__flag", fill_limit, key, "HOUR_IN", out="VENT", default=0).drop("__flag")
+    chans = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours)
     ds = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours,
                   extra=[transition_label("VENT", gap, window, key, "HOUR_IN").alias(label_col)])
     return {"stays": stays, "hourly": hourly, "wide": wide, "grid": grid, "flagged": flagged,

@@ -25,7 +25,7 @@ from hourglass.operators import timeline as TL
 from hourglass.plans import inputs as IN
 from hourglass.plans import timeline_etl as ETL
 from hourglass.plans.common import rounded
-from hourglass.session import scratch_path
+from hourglass.session import cut_lineage, scratch_path
 from hourglass.sources import io as IO
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -595,10 +595,13 @@ def j8(spark, sf):
 _Z_COLS = ("V__click", "V__error", "V__purchase", "V__signup", "V__view")
 
 
-def _train_stats(spark, sf):
+def _train_stats(spark, sf, materialize=False):
     _, _, t = _ev_tables(spark, sf)
-    train = J.restrict_split(t["channels"], _splits(spark, sf), "user_id", "train")
-    return t, AG.fit_zscore(train, list(_Z_COLS))
+    ch = t["channels"].select("user_id", "HOUR_IN", *_Z_COLS)
+    if materialize:  # read by both the fit and the apply pass
+        ch = cut_lineage(ch, spark, "channels")
+    train = J.restrict_split(ch, _splits(spark, sf), "user_id", "train")
+    return ch, AG.fit_zscore(train, list(_Z_COLS))
 
 
 @q("a9_fit_zscore")
@@ -608,8 +611,7 @@ def a9(spark, sf):
 
 @q("p24_apply_zscore")
 def p24(spark, sf):
-    t, stats = _train_stats(spark, sf)
-    ch = t["channels"].select("user_id", "HOUR_IN", *_Z_COLS)
+    ch, stats = _train_stats(spark, sf, materialize=True)
     return rounded(C.apply_zscore(ch, stats, list(_Z_COLS)))
 
 

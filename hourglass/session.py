@@ -63,8 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/hourglass-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Materialize ``df`` reliably (survives executor loss) and cut its lineage."""
+def cut_lineage(df, spark: SparkSession | None = None, name: str = "stage"):
+    """Materialize ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    One job computes ``df`` once (a reliable ``checkpoint()`` would compute it
+    twice unless cached), the files survive executor loss, and the reader gets
+    real file sizes for join planning.  The lineage of the result starts at
+    the written table.
+    """
     spark = spark or df.sparkSession
-    ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

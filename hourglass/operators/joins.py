@@ -52,7 +52,8 @@ def label_events(events: DataFrame, items: DataFrame, key: str = "ITEMID",
 def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
                      lo: str, hi: str, lookback_hours: int = 0,
                      stay_cols: Sequence[str] | None = None,
-                     broadcast_max_rows: int | None = BROADCAST_MAX_ROWS) -> DataFrame:
+                     broadcast_max_rows: int | None = BROADCAST_MAX_ROWS,
+                     bucket_hours: int | None = None) -> DataFrame:
     """Events joined to stays on ``key`` with ``lo - lookback <= ts <= hi``.
 
     One join whose condition carries the range; a key that owns many stays
@@ -61,6 +62,12 @@ def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
     broadcast and the raw events are never shuffled; beyond that the planner
     shuffles both sides and AQE splits a hot key's partition of the event
     side.
+
+    ``bucket_hours`` is for keys that own very many stays: each stay is
+    repeated once per time bucket it overlaps and the join key becomes
+    (key, bucket), so an event meets only the stays of its own bucket instead
+    of every stay of its key.  The range condition still decides; results are
+    identical.
     """
     keep = list(stay_cols) if stay_cols is not None else [c for c in stays.columns]
     cols = list(dict.fromkeys([key, lo, hi, *keep]))
@@ -69,16 +76,36 @@ def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
     cond = (F.col(key) == F.col(f"__s_{key}")) & (F.col(ts) >= lower) & (F.col(ts) <= F.col(hi))
     dup = [c for c in s.columns if c in events.columns and c != key]
     ev = events.drop(*dup)
+    if bucket_hours:
+        width = F.lit(bucket_hours * 3_600_000_000)
+        epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+        def bucket(c):
+            return F.floor(F.timestamp_diff("MICROSECOND", epoch, c) / width).cast("bigint")
+
+        s = s.withColumn("__bucket", F.explode(F.sequence(bucket(lower), bucket(F.col(hi)))))
+        ev = ev.withColumn("__ev_bucket", bucket(F.col(ts)))
+        cond = cond & (F.col("__ev_bucket") == F.col("__bucket"))
     if broadcast_max_rows:
         s = broadcast_if_small(s, broadcast_max_rows)
-    return ev.join(s, cond, "inner").drop(f"__s_{key}")
+    out = ev.join(s, cond, "inner").drop(f"__s_{key}")
+    return out.drop("__bucket", "__ev_bucket") if bucket_hours else out
 
 
 # --------------------------------------------------------------------------- J5
 def lookup_ranges(events: DataFrame, ranges: DataFrame, name_col: str, range_key: str = "LEVEL2",
-                  max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left lookup of range rows on the lower-cased name; duplicates fan out (J5, trap T2)."""
+                  max_rows: int = BROADCAST_MAX_ROWS, dedupe: bool = False) -> DataFrame:
+    """Left lookup of range rows on the lower-cased name; duplicates fan out (J5, trap T2).
+
+    ``dedupe=True`` keeps one range row per name -- the one with the most
+    non-null bounds (ties: smallest bounds) -- so events are not repeated.
+    """
     r = ranges.withColumn("__range_key", F.lower(F.col(range_key))).drop(range_key)
+    if dedupe:
+        from hourglass.operators.timeline import first_per_key
+        vals = [c for c in r.columns if c != "__range_key"]
+        nulls = sum((F.col(c).isNull().cast("int") for c in vals), F.lit(0))
+        r = first_per_key(r.withColumn("__nulls", nulls), "__range_key", ["__nulls", *vals]).drop("__nulls")
     r = broadcast_if_small(r, max_rows)
     return (events.withColumn("__name_key", F.lower(F.col(name_col)))
             .join(r, F.col("__name_key") == F.col("__range_key"), "left")

@@ -18,12 +18,18 @@ SPLIT_NAMES = ("train", "val", "test")
 
 # --------------------------------------------------------------------------- I1
 def split_by_key(df: DataFrame, key: str, fractions: Sequence[float] = (0.7, 0.1, 0.2),
-                 seed: int = 42, names: Sequence[str] = SPLIT_NAMES, out: str = "split") -> DataFrame:
+                 seed: int = 42, names: Sequence[str] = SPLIT_NAMES, out: str = "split",
+                 exact: bool = False) -> DataFrame:
     """Entity-level split by hash bucket in [0, 1000).
 
     Every row of an entity lands in the same split, the assignment is stable
     when rows or entities are added, and fractions hold in expectation.
+    ``exact=True`` instead ranks the distinct entities by (hash, key) and cuts
+    at ``floor(cumulative fraction * n)``, so split sizes are exact; the rank
+    is a distributed prefix count, not a single-task sort.
     """
+    if exact:
+        return _split_exact(df, key, fractions, seed, names, out)
     bucket = F.pmod(hash_u32(key, seed), F.lit(1000))
     edges, acc = [], 0.0
     for f in fractions[:-1]:
@@ -80,3 +86,23 @@ def weighted_resample(df: DataFrame, weight: str, n: int | None, key: str, seed:
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """``n`` rows chosen by smallest seeded hash (I3); a top-k, not a full sort."""
     return df.orderBy(hash_u32(key, seed), F.col(key)).limit(n)
+
+
+def _split_exact(df: DataFrame, key: str, fractions: Sequence[float], seed: int,
+                 names: Sequence[str], out: str) -> DataFrame:
+    from hourglass.operators.scan import prefix_sums
+
+    ids = (df.select(key).distinct()
+           .withColumn("__h", hash_u32(key, seed)).withColumn("__one", F.lit(1).cast("bigint")))
+    ranked = prefix_sums(ids, [], ["__h", key], ["__one"], suffix="_rank", inclusive=False)
+    n = ranked.agg(F.count(F.lit(1)).alias("__n"))
+    r = ranked.crossJoin(F.broadcast(n))
+    expr, acc = None, 0.0
+    for f, name in zip(fractions[:-1], names):
+        acc = round(acc + f, 12)  # 0.7 + 0.1 must cut at 0.8, not 0.7999999999999999
+        cut = F.floor(F.lit(acc) * F.col("__n"))
+        expr = F.when(F.col("__one_rank") < cut, F.lit(name)) if expr is None else \
+            expr.when(F.col("__one_rank") < cut, F.lit(name))
+    expr = expr.otherwise(F.lit(names[len(fractions) - 1]))
+    assign = r.select(key, expr.alias(out))
+    return df.join(assign, [key], "inner")

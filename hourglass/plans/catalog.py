@@ -117,6 +117,32 @@ def w4(spark, sf):
     return t["labels"]
 
 
+@q("j11_attach_labels")
+def j11(spark, sf):
+    """Grid rows get the user's code set (candidates) and the hour's transition label."""
+    _, _, t = _ev_tables(spark, sf)
+    ev = T(spark, sf, "events")
+    codes = AG.collect_codes(ev, "user_id", "event_type", "candidates")
+    return J.attach_labels(t["grid"].drop("intime"), codes, t["labels"], "user_id", "HOUR_IN")
+
+
+@q("j3_join_in_interval_bucketed")
+def j3b(spark, sf):
+    """J4's customer fan-out join with 24 h time buckets added to the key (hot-key form)."""
+    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    stays = o.withColumn("OUTTIME", F.timestamp_add("DAY", F.lit(30), F.col("o_orderdate")))
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    ev = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), ["l_orderkey"])
+    return J.join_in_interval(ev, stays, "o_custkey", "l_shipdate", "o_orderdate", "OUTTIME",
+                              lookback_hours=6, bucket_hours=24, broadcast_max_rows=None)
+
+
+@q("j5_lookup_ranges_dedupe")
+def j5d(spark, sf):
+    ev = T(spark, sf, "events").select("event_id", "event_type", "value")
+    return J.lookup_ranges(ev, _ranges(spark), "event_type", dedupe=True)
+
+
 @q("j9_attach_wide")
 def j9(spark, sf):
     _, _, t = _ev_tables(spark, sf)
@@ -586,6 +612,12 @@ def i1(spark, sf):
     return _splits(spark, sf)
 
 
+@q("i1_split_by_key_exact")
+def i1x(spark, sf):
+    ev = T(spark, sf, "events")
+    return S.split_by_key(IN.event_stays(ev).select("user_id"), "user_id", (0.7, 0.1, 0.2), seed=42, exact=True)
+
+
 @q("j8_restrict_split")
 def j8(spark, sf):
     ev = T(spark, sf, "events").select("event_id", "user_id")

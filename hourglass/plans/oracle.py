@@ -741,3 +741,26 @@ ORACLE["a1_hourly_stats_stream"] = """
 SELECT user_id, date_trunc('hour', ts) AS hour, event_type, round(avg(value), 6) AS MEAN, count(value) AS COUNT,
        round(stddev_samp(value), 6) AS STDDEV
 FROM events GROUP BY 1, 2, 3"""
+
+ORACLE["i1_split_by_key_exact"] = with_(EV_STAYS) + f""", h AS (
+  SELECT user_id, row_number() OVER (ORDER BY {HASH.format(k='user_id', seed=42)}, user_id) - 1 AS rk,
+         count(*) OVER () AS n FROM ev_stays)
+SELECT user_id, CASE WHEN rk < floor(0.7 * n) THEN 'train' WHEN rk < floor(0.8 * n) THEN 'val'
+                     ELSE 'test' END AS split
+FROM h"""
+ORACLE["j11_attach_labels"] = with_(*EV_BASE, EV_GRID, EV_FLAGGED, EV_LABELS) + """, codes AS (
+  SELECT user_id, list_sort(list_distinct(list(CAST(event_type AS VARCHAR)))) AS candidates FROM events
+  WHERE event_type IS NOT NULL GROUP BY user_id)
+SELECT g.user_id, g.HOUR_IN, c.candidates, l.target
+FROM ev_grid g LEFT JOIN codes c ON g.user_id = c.user_id
+LEFT JOIN ev_labels l ON g.user_id = l.user_id AND g.HOUR_IN = l.HOUR_IN"""
+ORACLE["j3_join_in_interval_bucketed"] = ORACLE["j4_join_in_interval_lookback"]
+ORACLE["j5_lookup_ranges_dedupe"] = """
+WITH r AS (
+  SELECT * FROM (VALUES ('click', 1.0, 2.0, 40.0, 45.0), ('view', 0.5, 1.0, 30.0, 48.0),
+                        ('purchase', NULL, NULL, NULL, NULL), ('error', 2.0, 3.0, 35.0, 45.0))
+         t(LEVEL2, OUT_LOW, VAL_LOW, VAL_HIGH, OUT_HIGH))
+SELECT e.event_id, e.event_type, e.value,
+       CAST(r.OUT_LOW AS DOUBLE) AS OUT_LOW, CAST(r.VAL_LOW AS DOUBLE) AS VAL_LOW,
+       CAST(r.VAL_HIGH AS DOUBLE) AS VAL_HIGH, CAST(r.OUT_HIGH AS DOUBLE) AS OUT_HIGH
+FROM events e LEFT JOIN r ON lower(e.event_type) = lower(r.LEVEL2)"""

@@ -65,21 +65,33 @@ def poisson_draws(lam, u):
 
 
 def weighted_resample(df: DataFrame, weight: str, n: int | None, key: str, seed: int = 0,
-                      out: str = "draw") -> DataFrame:
+                      out: str = "draw", chunk: int = 100_000) -> DataFrame:
     """Weighted resampling with replacement, ``n`` draws in expectation.
 
     Row i is repeated Poisson(n * w_i / sum w) times (a null weight counts
     0).  ``n=None`` means as many draws as rows.  One pass plus a one-row
-    aggregate; no global sort, no driver-side sampling.
+    aggregate; no global sort, no driver-side sampling.  A row whose draw
+    count exceeds ``chunk`` (one row may carry a third of all weight) is split
+    into chunks that are spread over tasks before they are expanded, so no
+    single task emits all of its copies.
     """
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     tot = df.agg(F.sum(w).alias("__wsum"), F.count(F.lit(1)).alias("__rows"))
     nn = F.lit(float(n)) if n is not None else F.col("__rows").cast("double")
     lam = F.when(F.col("__wsum") > 0, nn * w / F.col("__wsum")).otherwise(F.lit(0.0))
     u = hash_uniform(key, seed)
-    j = df.crossJoin(F.broadcast(tot)).withColumn("__cnt", poisson_draws(lam, u))
-    return (j.filter(F.col("__cnt") > 0)
-            .select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__cnt"))).alias(out)))
+    j = df.crossJoin(F.broadcast(tot)).withColumn("__cnt", poisson_draws(lam, u)).filter(F.col("__cnt") > 0)
+    heavy = F.col("__cnt") > F.lit(chunk)
+    light = j.filter(~heavy).select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__cnt"))).alias(out))
+    pieces = (j.filter(heavy)
+              .select(*df.columns, "__cnt",
+                      F.explode(F.sequence(F.lit(0), F.floor((F.col("__cnt") - 1) / chunk).cast("int")))
+                      .alias("__chunk"))
+              .repartition(F.col(key), F.col("__chunk")))
+    first = F.col("__chunk") * chunk + 1
+    last = F.least(F.col("__cnt"), (F.col("__chunk") + 1) * chunk)
+    spread = pieces.select(*df.columns, F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias(out))
+    return light.unionByName(spread)
 
 
 # --------------------------------------------------------------------------- I3

@@ -49,3 +49,46 @@ def test_timeline_has_no_python_and_no_single_partition(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "SinglePartition" not in plan
+
+
+def test_weighted_resample_heavy_row_is_chunked(spark):
+    df = spark.range(0, 10).select(F.col("id").alias("k"), F.when(F.col("id") == 0, 1000.0).otherwise(1.0).alias("w"))
+    out = S.weighted_resample(df, "w", 5000, "k", seed=2, chunk=500)
+    heavy = out.filter(F.col("k") == 0)
+    n0 = heavy.count()
+    assert 4800 < n0 < 5100
+    assert heavy.select("draw").distinct().count() == n0  # draws 1..count, none repeated or lost
+    assert heavy.agg(F.max("draw")).first()[0] == n0
+
+
+def test_exact_split_sizes(spark):
+    ids = spark.range(0, 1000).withColumnRenamed("id", "k")
+    s = S.split_by_key(ids, "k", (0.7, 0.1, 0.2), exact=True)
+    sizes = {r.split: r["count"] for r in s.groupBy("split").count().collect()}
+    assert sizes == {"train": 700, "val": 100, "test": 200}
+
+
+def test_bucketed_interval_join_equals_plain(spark):
+    import datetime as dt
+    import random
+    from hourglass.operators import joins as J
+    rnd = random.Random(3)
+    t0 = dt.datetime(2020, 1, 1)
+    stays = [(k % 3, k, t0 + dt.timedelta(hours=rnd.randint(0, 200)), None) for k in range(40)]
+    stays = [(a, b, lo, lo + dt.timedelta(hours=rnd.randint(1, 100))) for a, b, lo, _ in stays]
+    ev = [(rnd.randint(0, 2), i, t0 + dt.timedelta(minutes=rnd.randint(0, 400 * 60))) for i in range(500)]
+    sdf = spark.createDataFrame(stays, "k long, sid long, lo timestamp_ntz, hi timestamp_ntz")
+    edf = spark.createDataFrame(ev, "k long, eid long, ts timestamp_ntz")
+    a = J.join_in_interval(edf, sdf, "k", "ts", "lo", "hi", lookback_hours=6).select("eid", "sid")
+    b = J.join_in_interval(edf, sdf, "k", "ts", "lo", "hi", lookback_hours=6, bucket_hours=24).select("eid", "sid")
+    assert sorted(a.collect()) == sorted(b.collect())
+    assert a.count() > 0
+
+
+def test_sequence_as_of_truncates(spark):
+    from hourglass.operators import sequences as SQ
+    df = spark.createDataFrame([(1, 0, 1.0, 2), (1, 1, 2.0, 2), (1, 2, 3.0, 2)], "s long, h long, x double, cut long")
+    seq = SQ.build_sequences(df, "s", "h", ["x"], seq_len=3, as_of="cut").first()
+    assert seq.X_num == [[1.0, 2.0, 3.0]]
+    df2 = df.withColumn("cut", F.lit(1))
+    assert SQ.build_sequences(df2, "s", "h", ["x"], seq_len=3, as_of="cut").first().X_num == [[0.0, 1.0, 2.0]]

@@ -714,7 +714,7 @@ def i2(spark, sf):
     emb = T(spark, sf, "embeddings").select("vec_id", "label")
     w = AG.balanced_class_weights(emb, "label", list(range(10)), cap=50.0)
     j = emb.join(F.broadcast(w.withColumnRenamed("class_idx", "label")), ["label"])
-    return S.weighted_resample(j, "weight", None, "vec_id", seed=3)
+    return rounded(S.weighted_resample(j, "weight", None, "vec_id", seed=3))
 
 
 @q("i3_sample_rows")
@@ -743,11 +743,11 @@ def x1(spark, sf):
 
     def fn(pdf):
         import numpy as np
-        v = np.stack(pdf["embedding"].to_numpy())
-        return pdf[["vec_id"]].assign(norm=np.linalg.norm(v, axis=1).astype("float64"))
+        v = np.stack(pdf["embedding"].to_numpy()).astype("float64")
+        return pdf[["vec_id"]].assign(norm=np.sqrt((v * v).sum(axis=1)))
 
     emb = T(spark, sf, "embeddings").select("vec_id", "embedding")
-    return score_batches(emb, fn, "vec_id bigint, norm double")
+    return rounded(score_batches(emb, fn, "vec_id bigint, norm double"))
 
 
 # =========================================================================== metrics

@@ -764,3 +764,27 @@ SELECT e.event_id, e.event_type, e.value,
        CAST(r.OUT_LOW AS DOUBLE) AS OUT_LOW, CAST(r.VAL_LOW AS DOUBLE) AS VAL_LOW,
        CAST(r.VAL_HIGH AS DOUBLE) AS VAL_HIGH, CAST(r.OUT_HIGH AS DOUBLE) AS OUT_HIGH
 FROM events e LEFT JOIN r ON lower(e.event_type) = lower(r.LEVEL2)"""
+
+ORACLE["i2_weighted_resample"] = f"""
+WITH c AS (SELECT CAST(label AS BIGINT) AS class_idx, count(*) AS n_c FROM embeddings
+           WHERE label IS NOT NULL AND label <> -100 GROUP BY 1),
+t AS (SELECT sum(n_c) AS n, count(*) AS k FROM c),
+w AS (SELECT k.class_idx AS wl, least(coalesce(t.n / (t.k * c.n_c), 1.0), 50.0) AS weight
+      FROM (SELECT range AS class_idx FROM range(10)) k LEFT JOIN c ON k.class_idx = c.class_idx CROSS JOIN t),
+j AS (SELECT e.vec_id, e.label, w.weight FROM embeddings e JOIN w ON e.label = w.wl),
+tot AS (SELECT sum(coalesce(weight, 0.0)) AS wsum, count(*) AS nrows FROM j),
+lam AS (SELECT j.*, CASE WHEN wsum > 0 THEN nrows * coalesce(weight, 0.0) / wsum ELSE 0.0 END AS lam,
+               {HASH.format(k='vec_id', seed=3)} / 4294967296.0 AS u
+        FROM j CROSS JOIN tot),
+ks AS (SELECT vec_id, label, weight, lam, u, unnest(range(0, CAST(ceil(lam + 12 * sqrt(lam) + 20) AS BIGINT) + 1)) AS k
+       FROM lam),
+cdf AS (SELECT *, sum(exp(-lam + k * ln(greatest(lam, 1e-300)) - lgamma(k + 1)))
+                  OVER (PARTITION BY vec_id ORDER BY k) AS cdf FROM ks),
+cnt AS (SELECT vec_id, label, weight,
+               CASE WHEN any_value(lam) <= 0 THEN 0 ELSE coalesce(min(k) FILTER (WHERE u < cdf), max(k)) END AS c
+        FROM cdf GROUP BY vec_id, label, weight)
+SELECT vec_id, label, round(weight, 6) AS weight, CAST(unnest(range(1, c + 1)) AS INTEGER) AS draw FROM cnt WHERE c > 0"""
+
+ORACLE["x1_score_batches"] = """
+SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6)
+       AS norm FROM embeddings"""

@@ -624,7 +624,8 @@ FROM customer c LEFT JOIN embeddings e ON c.c_custkey = e.vec_id"""
 ORACLE["m1_score"] = with_(PREDS, SCORED) + \
     "SELECT id, list_transform(probs, lambda x: round(x, 6)) AS probs, pred FROM scored2"
 ORACLE["o4_topk_idx"] = with_(PREDS) + \
-    "SELECT id, " + TOPK.replace("scaled", "logits").format(k=3) + " AS top3 FROM preds"
+    "SELECT id, list_transform(" + TOPK.replace("scaled", "logits").format(k=3) + \
+    ", lambda x: CAST(x AS INTEGER)) AS top3 FROM preds"
 
 _VC = "list_filter(candidates, lambda x: x >= 0)"
 ROWS = with_(PREDS, SCORED) + f""", rows AS (
@@ -713,8 +714,9 @@ ORACLE["a17_describe_numeric"] = "\nUNION ALL ".join(
     f"FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount"))
 ORACLE["a18_array_stats"] = """
 WITH e AS (SELECT len(embedding) AS l, unnest(embedding) AS x FROM embeddings)
-SELECT (SELECT count(*) FROM embeddings) AS n_rows, max(l) AS max_len,
-       round(min(CASE WHEN NOT isnan(x) THEN x END), 6) AS min, round(max(CASE WHEN NOT isnan(x) THEN x END), 6) AS max,
+SELECT (SELECT count(*) FROM embeddings) AS n_rows, CAST(max(l) AS INTEGER) AS max_len,
+       round(min(CASE WHEN NOT isnan(x) THEN CAST(x AS DOUBLE) END), 6) AS min,
+       round(max(CASE WHEN NOT isnan(x) THEN CAST(x AS DOUBLE) END), 6) AS max,
        round(avg(CASE WHEN NOT isnan(x) THEN CAST(x AS DOUBLE) END), 6) AS mean,
        round(stddev_pop(CASE WHEN NOT isnan(x) THEN CAST(x AS DOUBLE) END), 6) AS std,
        count(CASE WHEN NOT isnan(x) THEN x END) AS n_values, CAST(sum(CASE WHEN isnan(x) THEN 1 ELSE 0 END) AS BIGINT) AS n_nan

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourglass.functions.columns import EPOCH_NTZ
 from hourglass.operators.timeline import first_per_key
 from hourglass.session import scratch_path
 
@@ -24,13 +25,16 @@ KEYS = ("user_id", "hour", "event_type")
 
 def hourly_stats_streaming(events: DataFrame, watermark: str | None = "2 hours") -> DataFrame:
     """Streaming DataFrame of (user_id, hour, event_type) -> mean / count / std."""
-    src = events.withColumn("__ts", F.col("ts").cast("timestamp"))
+    # Streaming event time must be TIMESTAMP; read the NTZ wall clock as a UTC
+    # instant (micros since epoch) so windows do not depend on the session zone.
+    micros = F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), F.col("ts"))
+    src = events.withColumn("__et", F.timestamp_micros(micros))
     if watermark:
-        src = src.withWatermark("__ts", watermark)
-    agg = (src.groupBy("user_id", F.window("__ts", "1 hour").alias("w"), "event_type")
+        src = src.withWatermark("__et", watermark)
+    agg = (src.groupBy("user_id", F.window("__et", "1 hour").alias("w"), "event_type")
            .agg(F.avg("value").alias("MEAN"), F.count("value").alias("COUNT"),
                 F.stddev_samp("value").alias("STDDEV")))
-    return agg.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type",
+    return agg.select("user_id", F.timestamp_add("MICROSECOND", F.unix_micros(F.col("w.start")), F.expr(EPOCH_NTZ)).alias("hour"), "event_type",
                       "MEAN", "COUNT", "STDDEV")
 
 

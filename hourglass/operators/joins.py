@@ -182,3 +182,20 @@ def align_vectors(target: DataFrame, vectors: DataFrame, key: str, vec_col: str,
             .withColumn("matched", F.col("__vec").isNotNull().cast("int"))
             .withColumn(out_col, F.coalesce(F.col("__vec"), zero))
             .drop("__vec"))
+
+
+# --------------------------------------------------------------------------- J13 / trap T6
+def keep_first_stay(df: DataFrame, firsts: DataFrame, stay_key: str, cols: Sequence[str],
+                    restrict_rows: bool = False) -> DataFrame:
+    """Restrict measurements to each subject's first stay (J13, trap T6).
+
+    ``firsts`` holds the first stay ids (e.g. from ``first_per_key``).  By
+    default rows of later stays stay in the table with ``cols`` nulled, as the
+    reference does; ``restrict_rows=True`` drops those rows instead.
+    """
+    f = firsts.select(F.col(stay_key)).distinct()
+    if restrict_rows:
+        return df.join(f, [stay_key], "left_semi")
+    flagged = df.join(f.withColumn("__first", F.lit(True)), [stay_key], "left")
+    keep = F.coalesce(F.col("__first"), F.lit(False))
+    return flagged.select(*[F.when(keep, F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])

@@ -262,6 +262,32 @@ def j13(spark, sf):
     return TL.first_per_key(c, "SUBJECT_ID", ["INTIME", "ICUSTAY_ID"])
 
 
+def _stay_quantities(spark, sf):
+    """Hourly line quantities per order stay (ship time relative to the order date)."""
+    c = _cohort_features(spark, sf).select("SUBJECT_ID", "ICUSTAY_ID", "INTIME", "OUTTIME")
+    li = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ICUSTAY_ID"), "l_shipdate", "l_quantity")
+    inside = J.join_in_interval(li, c, "ICUSTAY_ID", "l_shipdate", "INTIME", "OUTTIME",
+                                stay_cols=["ICUSTAY_ID", "INTIME", "OUTTIME"])
+    hourly = C.with_hour_offset(inside, "l_shipdate", "INTIME", "HOURS_IN", 0)
+    stats = AG.hourly_stats(hourly, ["ICUSTAY_ID", "HOURS_IN"], "l_quantity")
+    firsts = TL.first_per_key(c.select("SUBJECT_ID", "ICUSTAY_ID", "INTIME"), "SUBJECT_ID", ["INTIME", "ICUSTAY_ID"])
+    return stats, firsts
+
+
+@q("j13_keep_first_stay")
+def j13k(spark, sf):
+    """Later stays keep their rows with measurements nulled (parity, trap T6)."""
+    stats, firsts = _stay_quantities(spark, sf)
+    return rounded(J.keep_first_stay(stats, firsts, "ICUSTAY_ID", ["MEAN", "COUNT", "STDDEV"]))
+
+
+@q("j13_keep_first_stay_rows")
+def j13r(spark, sf):
+    """Rows of later stays dropped (``restrict_rows=True``)."""
+    stats, firsts = _stay_quantities(spark, sf)
+    return rounded(J.keep_first_stay(stats, firsts, "ICUSTAY_ID", ["MEAN", "COUNT", "STDDEV"], restrict_rows=True))
+
+
 @q("w5_first_per_key")
 def w5(spark, sf):
     o = T(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")

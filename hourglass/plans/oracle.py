@@ -790,3 +790,26 @@ SELECT vec_id, label, round(weight, 6) AS weight, CAST(unnest(range(1, c + 1)) A
 ORACLE["x1_score_batches"] = """
 SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6)
        AS norm FROM embeddings"""
+
+_STAY_Q = with_(*CO_ALL) + """, stats AS (
+  SELECT c.ICUSTAY_ID,
+         CAST(floor((epoch_us(l.l_shipdate) - epoch_us(c.INTIME)) / 3600000000.0) AS BIGINT) AS HOURS_IN,
+         avg(l.l_quantity) AS MEAN, count(l.l_quantity) AS COUNT, stddev_samp(l.l_quantity) AS STDDEV
+  FROM cohort_f c JOIN lineitem l ON l.l_orderkey = c.ICUSTAY_ID
+   AND l.l_shipdate >= c.INTIME AND l.l_shipdate <= c.OUTTIME
+  WHERE floor((epoch_us(l.l_shipdate) - epoch_us(c.INTIME)) / 3600000000.0) >= 0
+  GROUP BY 1, 2),
+firsts AS (
+  SELECT ICUSTAY_ID FROM (
+    SELECT ICUSTAY_ID, row_number() OVER (PARTITION BY SUBJECT_ID ORDER BY INTIME, ICUSTAY_ID) AS rn FROM cohort_f)
+  WHERE rn = 1)
+"""
+ORACLE["j13_keep_first_stay"] = _STAY_Q + """
+SELECT s.ICUSTAY_ID, s.HOURS_IN,
+       round(CASE WHEN f.ICUSTAY_ID IS NOT NULL THEN s.MEAN END, 6) AS MEAN,
+       CASE WHEN f.ICUSTAY_ID IS NOT NULL THEN s.COUNT END AS COUNT,
+       round(CASE WHEN f.ICUSTAY_ID IS NOT NULL THEN s.STDDEV END, 6) AS STDDEV
+FROM stats s LEFT JOIN firsts f ON s.ICUSTAY_ID = f.ICUSTAY_ID"""
+ORACLE["j13_keep_first_stay_rows"] = _STAY_Q + """
+SELECT ICUSTAY_ID, HOURS_IN, round(MEAN, 6) AS MEAN, COUNT, round(STDDEV, 6) AS STDDEV
+FROM stats WHERE ICUSTAY_ID IN (SELECT ICUSTAY_ID FROM firsts)"""

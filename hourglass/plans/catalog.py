@@ -57,6 +57,31 @@ def flagship(spark, sf):
     return rounded(ETL.dataset(t, "user_id").drop("intime"))
 
 
+def _clean_items(spark):
+    # Fixed stand-in item dimension: event type -> (family name, range name); signup is unmapped.
+    return spark.createDataFrame(
+        [("click", "Weight", "click"), ("view", "Temperature", "view"),
+         ("purchase", "Height", "purchase"), ("error", "Fraction inspired oxygen", "error")],
+        "event_type string, LEVEL1 string, LEVEL2 string")
+
+
+@q("flagship_clean_timeline")
+def flagship_clean(spark, sf):
+    """Events cleaned (item map, units, ranges, outliers, clipping), then the full timeline."""
+    ev = T(spark, sf, "events")
+    unit = F.element_at(F.array(F.lit("oz"), F.lit("LB"), F.lit("degF"), F.lit("in"), F.lit(None).cast("string")),
+                        (F.col("event_id") % 5 + 1).cast("int"))
+    raw = ev.select("event_id", "user_id", "ts", "event_type", unit.alias("VALUEUOM"),
+                    F.when(F.col("event_type") == "error", F.col("value") / 40.0)
+                    .otherwise(F.col("value")).alias("VALUENUM"))
+    clean = ETL.clean_events(raw, _clean_items(spark), _ranges(spark), "event_type")
+    stays = IN.event_stays(ev)
+    t = ETL.build_timeline(clean, stays, "user_id", "ts", "LEVEL2", "VALUENUM",
+                           ("click", "error", "purchase", "view", "refund"), IN.STATE_EVENTS,
+                           grid_hours=IN.GRID_HOURS)
+    return rounded(ETL.dataset(t, "user_id").drop("intime"))
+
+
 @q("a1_hourly_stats")
 def a1(spark, sf):
     _, _, t = _ev_tables(spark, sf)

@@ -813,3 +813,42 @@ FROM stats s LEFT JOIN firsts f ON s.ICUSTAY_ID = f.ICUSTAY_ID"""
 ORACLE["j13_keep_first_stay_rows"] = _STAY_Q + """
 SELECT ICUSTAY_ID, HOURS_IN, round(MEAN, 6) AS MEAN, COUNT, round(STDDEV, 6) AS STDDEV
 FROM stats WHERE ICUSTAY_ID IN (SELECT ICUSTAY_ID FROM firsts)"""
+
+_CLEAN = """clean AS (
+  SELECT * FROM (
+    SELECT user_id, ts, LEVEL2 AS event_type, VALUENUM AS value, OUT_LOW, OUT_HIGH,
+           CASE WHEN VALUENUM < VAL_LOW THEN VAL_LOW WHEN VALUENUM > VAL_HIGH THEN VAL_HIGH ELSE VALUENUM END AS v2,
+           VAL_LOW, VAL_HIGH
+    FROM (
+      SELECT e.user_id, e.ts, i.LEVEL2, CAST(r.OUT_LOW AS DOUBLE) AS OUT_LOW, CAST(r.VAL_LOW AS DOUBLE) AS VAL_LOW,
+             CAST(r.VAL_HIGH AS DOUBLE) AS VAL_HIGH, CAST(r.OUT_HIGH AS DOUBLE) AS OUT_HIGH,
+             CASE
+               WHEN contains(lower(i.LEVEL1), 'weight') AND contains(lower(e.u), 'oz') THEN e.v / 16.0 * 0.45359237
+               WHEN contains(lower(i.LEVEL1), 'weight') AND contains(lower(e.u), 'lb') THEN e.v * 0.45359237
+               WHEN contains(lower(i.LEVEL1), 'temperature') AND (contains(lower(e.u), 'f') OR e.v > 79)
+                    THEN (e.v - 32) * 5.0 / 9.0
+               WHEN contains(lower(i.LEVEL1), 'height') AND contains(lower(e.u), 'in') THEN e.v * 2.54
+               WHEN contains(lower(i.LEVEL1), 'fraction inspired oxygen') AND e.v <= 1.0 THEN e.v * 100.0
+               WHEN contains(lower(i.LEVEL1), 'oxygen saturation') AND e.v <= 1.0 THEN e.v * 100.0
+               ELSE e.v END AS VALUENUM
+      FROM (SELECT user_id, ts, event_type,
+                   ['oz', 'LB', 'degF', 'in', NULL][CAST(event_id % 5 + 1 AS INTEGER)] AS u,
+                   CASE WHEN event_type = 'error' THEN value / 40.0 ELSE value END AS v FROM events) e
+      JOIN (VALUES ('click', 'Weight', 'click'), ('view', 'Temperature', 'view'),
+                   ('purchase', 'Height', 'purchase'), ('error', 'Fraction inspired oxygen', 'error'))
+           i(event_type, LEVEL1, LEVEL2) ON e.event_type = i.event_type
+      LEFT JOIN ranges r ON lower(i.LEVEL2) = lower(r.LEVEL2)))
+  WHERE NOT (coalesce(value < OUT_LOW, false) OR coalesce(value > OUT_HIGH, false))),
+clean_ev AS (SELECT user_id, ts, event_type, v2 AS value FROM clean)"""
+
+_CF = ("click", "error", "purchase", "view", "refund")
+_C_HOURLY = EV_HOURLY.replace("FROM events e JOIN", "FROM clean_ev e JOIN")
+_C_WIDE = f"ev_wide AS (\n  {_pivot('ev_hourly', _CF)})"
+_C_CHANNELS = f"""ev_channels AS (
+  SELECT user_id, HOUR_IN, intime, VENT,
+         {_channel_cols(_CF, GRID_HOURS, False)}
+  FROM ev_flagged LEFT JOIN ev_wide USING (user_id, HOUR_IN))"""
+ORACLE["flagship_clean_timeline"] = with_(RANGES, _CLEAN, EV_STAYS, _C_HOURLY, _C_WIDE, EV_GRID, EV_FLAGGED,
+                                          EV_LABELS, _C_CHANNELS) + f"""
+SELECT VENT, {_round_channels(_CF)}, l.target
+FROM ev_channels c LEFT JOIN ev_labels l USING (user_id, HOUR_IN)"""

@@ -17,14 +17,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.functions.columns import with_hour_offset
+from hourglass.functions.columns import clip_to_range, convert_units, outlier_mask, with_hour_offset
 from hourglass.operators.aggregates import hourly_stats, pivot_fixed
-from hourglass.operators.joins import attach_wide, flag_hours, join_in_interval
+from hourglass.operators.joins import attach_wide, flag_hours, join_in_interval, label_events, lookup_ranges
 from hourglass.operators.timeline import (channels, ffill_limit, hourly_grid, transition_label,
                                           transition_labels)
 from hourglass.session import cut_lineage
 
 
+def clean_events(events: DataFrame, items: DataFrame, ranges: DataFrame, item_key: str,
+                 value: str = "VALUENUM", unit: str = "VALUEUOM", family: str = "LEVEL1",
+                 name: str = "LEVEL2", dedupe_ranges: bool = False) -> DataFrame:
+    """Measurement cleaning in the reference's order.
+
+    Events join the item dimension (unmapped items drop), units convert by
+    the family name, range rows attach by lower-cased name (duplicates fan
+    out unless ``dedupe_ranges``), out-of-range values drop and the rest
+    clip to the valid range.
+    """
+    labeled = label_events(events, items, key=item_key)
+    converted = labeled.withColumn(value, convert_units(value, unit, family))
+    ranged = lookup_ranges(converted, ranges, name, range_key=name, dedupe=dedupe_ranges)
+    kept = ranged.filter(outlier_mask(value, "OUT_LOW", "OUT_HIGH"))
+    return kept.withColumn(value, clip_to_range(value, "VAL_LOW", "VAL_HIGH")).drop(
+        "OUT_LOW", "VAL_LOW", "VAL_HIGH", "OUT_HIGH")
+
+
 def measurements(events: DataFrame, stays: DataFrame, key: str, ts: str, name: str, value: str,
                  lo: str = "intime", hi: str = "outtime", lookback_hours: int = 0) -> DataFrame:
     """Events inside their stay, with the hour offset from the stay anchor, hourly stats."""

@@ -51,9 +51,10 @@ def ffill_limit(df: DataFrame, col: str, n: int, by, order, carry_across: bool =
 
     Per entity by default.  ``carry_across=True`` reproduces the reference's
     un-partitioned fill, where a value may leak up to ``n`` rows into the next
-    entity in (entity, order) sort order; it is computed with a per-entity
-    window plus one small per-entity table (row count, last observed row),
-    never with a single-partition window over all rows.
+    entity in (entity, order) sort order; it is computed from a per-entity
+    window, a one-row-per-entity summary (row count, last observed row), a
+    distributed prefix sum over that summary and an equi-join -- never with a
+    single-partition window over all rows.
     """
     out = out or col
     by_l = [by] if isinstance(by, str) else list(by)

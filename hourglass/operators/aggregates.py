@@ -118,16 +118,21 @@ def candidate_summary(df: DataFrame, col: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A11 / O3
-def class_inclusion(df: DataFrame, col: str, n_classes: int, spark: SparkSession | None = None) -> DataFrame:
+def class_inclusion(df: DataFrame, col: str, n_classes: int | DataFrame,
+                    spark: SparkSession | None = None) -> DataFrame:
     """Rows that include each class (distinct within a row) and inclusion ratio.
 
-    One row per class in ``0 .. n_classes-1``; absent classes count 0.
+    One row per class in ``0 .. n_classes-1`` (or per ``class_idx`` of a class
+    table, e.g. the vocabulary's ``idx``); absent classes count 0.
     """
     spark = spark or df.sparkSession
     total = df.agg(F.count(F.lit(1)).alias("__total"))
     inc = (df.select(F.explode(F.array_distinct(F.filter(F.col(col), lambda x: x >= 0))).alias("class_idx"))
            .groupBy("class_idx").agg(F.count(F.lit(1)).alias("n_rows")))
-    classes = spark.range(n_classes).select(F.col("id").alias("class_idx"))
+    if isinstance(n_classes, DataFrame):
+        classes = n_classes.select(F.col(n_classes.columns[0]).cast("bigint").alias("class_idx"))
+    else:
+        classes = spark.range(n_classes).select(F.col("id").alias("class_idx"))
     return (classes.join(inc, ["class_idx"], "left")
             .crossJoin(F.broadcast(total))
             .select("class_idx", F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),

@@ -604,13 +604,13 @@ def a10(spark, sf):
 @q("a11_class_inclusion")
 def a11(spark, sf):
     _, vocab, _, allc = _codes(spark, sf)
-    return rounded(AG.class_inclusion(allc, "candidates", vocab.count()))
+    return rounded(AG.class_inclusion(allc, "candidates", vocab.select("idx")))
 
 
 @q("o3_top_classes")
 def o3(spark, sf):
     _, vocab, _, allc = _codes(spark, sf)
-    return rounded(AG.top_classes(AG.class_inclusion(allc, "candidates", vocab.count()), 5))
+    return rounded(AG.top_classes(AG.class_inclusion(allc, "candidates", vocab.select("idx")), 5))
 
 
 @q("s9_write_vocab")

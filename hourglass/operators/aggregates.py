@@ -36,11 +36,14 @@ def pivot_fixed(df: DataFrame, keys: Sequence[str], name: str, value: str,
                 names: Sequence[str], agg: str = "avg") -> DataFrame:
     """Long -> wide with a fixed name list (A3).
 
-    An explicit value list avoids Spark's extra distinct job and produces a
-    column for every listed name, present in the data or not (P15).
+    One conditional aggregate per listed name, ``agg(value if name == n)``, in
+    a single ``groupBy``: one partially aggregated shuffle, no job to discover
+    the distinct names, and a column for every listed name whether or not it
+    occurs (P15).
     """
     fn = getattr(F, agg)
-    return df.groupBy(*keys).pivot(name, list(names)).agg(fn(value))
+    n = F.col(name)
+    return df.groupBy(*keys).agg(*[fn(F.when(n == F.lit(v), F.col(value))).alias(v) for v in names])
 
 
 # --------------------------------------------------------------------------- A4

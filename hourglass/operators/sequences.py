@@ -16,21 +16,38 @@ from hourglass.operators.joins import broadcast_if_small
 
 
 # --------------------------------------------------------------------------- G2
+MAP_LOOKUP_MAX_CODES = 100_000
+
+
 def encode_codes(df: DataFrame, key: str, codes_col: str, vocab: DataFrame,
-                 out: str = "candidates", code: str = "code", idx: str = "idx") -> DataFrame:
+                 out: str = "candidates", code: str = "code", idx: str = "idx",
+                 map_max_codes: int = MAP_LOOKUP_MAX_CODES) -> DataFrame:
     """Map each row's code list to vocabulary indexes, in list order, unknown codes dropped.
 
-    ``posexplode`` -> join the vocabulary -> ordered ``collect_list`` per key.
-    Rows with a null/empty list (or only unknown codes) get an empty list.
-    ``key`` must identify rows of ``df``.
+    A vocabulary of at most ``map_max_codes`` entries (checked with a bounded
+    count) is broadcast as one lookup map and applied per row with
+    ``transform`` -- no shuffle of ``df``.  A larger vocabulary takes the
+    join path: ``posexplode`` -> join the vocabulary -> ordered
+    ``collect_list`` per key (``key`` must identify rows of ``df``).  Rows
+    with a null/empty list (or only unknown codes) get an empty list.
     """
-    v = broadcast_if_small(vocab.select(F.col(code).alias("__code"), F.col(idx).alias("__idx")))
+    empty = F.array().cast("array<bigint>")
+    v = (vocab.select(F.col(code).alias("__code"), F.col(idx).cast("bigint").alias("__idx"))
+         .filter(F.col("__code").isNotNull()))
+    if v.limit(map_max_codes + 1).count() <= map_max_codes:
+        lookup = v.agg(F.map_from_entries(F.collect_list(F.struct("__code", "__idx"))).alias("__vmap"))
+        codes = F.coalesce(F.col(codes_col), F.array().cast(df.schema[codes_col].dataType))
+        mapped = F.filter(F.transform(codes, lambda c: F.try_element_at(F.col("__vmap"), c)),
+                          lambda x: x.isNotNull())
+        return (df.crossJoin(F.broadcast(lookup))
+                .withColumn(out, F.coalesce(mapped.cast("array<bigint>"), empty))
+                .drop("__vmap"))
+    v = broadcast_if_small(v)
     exploded = df.select(key, F.posexplode(codes_col).alias("__pos", "__code"))
     hits = (exploded.join(v, ["__code"], "inner")
             .groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("__pos", "__idx"))).alias("__pairs")))
     enc = hits.select(key, F.transform("__pairs", lambda s: s["__idx"]).alias(out))
-    empty = F.array().cast("array<bigint>")
     return (df.join(enc, [key], "left")
             .withColumn(out, F.coalesce(F.col(out).cast("array<bigint>"), empty)))
 

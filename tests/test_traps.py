@@ -202,3 +202,12 @@ def test_t18_refuses_to_overwrite_input(spark, tmp_path):
         raise AssertionError("expected refusal")
     except ValueError:
         pass
+
+
+def test_g2_join_path_matches_map_path(spark):
+    vocab = spark.createDataFrame([(i, f"c{i}", 10 - i) for i in range(6)], "idx long, code string, n long")
+    df = spark.createDataFrame([(1, ["c3", "zz", "c0"]), (2, None), (3, ["c5", "c5"]), (4, [])],
+                               "k long, codes array<string>")
+    a = {r.k: r.candidates for r in SQ.encode_codes(df, "k", "codes", vocab).collect()}
+    b = {r.k: r.candidates for r in SQ.encode_codes(df, "k", "codes", vocab, map_max_codes=2).collect()}
+    assert a == b == {1: [3, 0], 2: [], 3: [5, 5], 4: []}

@@ -44,23 +44,22 @@ def profile(df: DataFrame, approx: bool = False, cols: Sequence[str] | None = No
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles (linear interpolation), max per numeric column.
 
-    Moments come from one aggregate; quartiles from the distributed exact
-    quantile scan, so no task holds a whole column.
+    The columns are unpivoted into (column_name, x) once; moments are one
+    grouped aggregate and the quartiles one distributed exact-quantile scan
+    over all columns together, so no task holds a whole column.
     """
     from hourglass.operators.scan import exact_quantiles
 
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).cast("double").alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
-    row = df.agg(*aggs)
-    for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], [f"{c}__p25", f"{c}__p50", f"{c}__p75"])
-        row = row.crossJoin(q)
-    return _stack(row, cols, ["count", "mean", "std", "min", "p25", "p50", "p75", "max"])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in cols])
+    long = df.select(F.explode(pairs).alias("__p")).select("__p.column_name", "__p.x")
+    moments = long.groupBy("column_name").agg(
+        F.count("x").cast("double").alias("count"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], ["p25", "p50", "p75"], groups=["column_name"])
+    return moments.join(q, ["column_name"], "left").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def array_stats(df: DataFrame, col: str) -> DataFrame:

@@ -211,3 +211,32 @@ def test_g2_join_path_matches_map_path(spark):
     a = {r.k: r.candidates for r in SQ.encode_codes(df, "k", "codes", vocab).collect()}
     b = {r.k: r.candidates for r in SQ.encode_codes(df, "k", "codes", vocab, map_max_codes=2).collect()}
     assert a == b == {1: [3, 0], 2: [], 3: [5, 5], 4: []}
+
+
+def test_p4_cohort_filter_boundaries(spark):
+    rows = [(1, 0.99, 30, 40), (2, 1.0, 30, 40), (3, 2.0, 23, 40), (4, 2.0, 24, 40), (5, 2.0, 239, 40),
+            (6, 2.0, 240, 40), (7, 2.0, 30, 14), (8, 2.0, 30, 15)]
+    df = spark.createDataFrame(rows, "id long, LOS double, STAY_HOURS long, AGE int")
+    kept = sorted(r.id for r in C.cohort_filter(df).collect())
+    assert kept == [2, 4, 5, 8]
+
+
+def test_p6_death_flags(spark):
+    rows = [(1, h(5)), (2, h(30)), (3, None)]
+    df = spark.createDataFrame(rows, "id long, death timestamp_ntz").select(
+        "id", C.in_interval_flag("death", F.lit(h(0)), F.lit(h(24))).alias("icu"),
+        C.in_interval_flag("death", F.lit(h(0)), F.lit(h(48))).alias("hosp"))
+    assert {r.id: (r.icu, r.hosp) for r in df.collect()} == {1: (1, 1), 2: (0, 1), 3: (0, 0)}
+
+
+def test_p17_p18_p19_static_encodings(spark):
+    df = spark.createDataFrame([(14.0, "emergency", None), (40.0, "NEWBORN", "Self Pay"), (95.0, None, "Government")],
+                               "age double, adm string, ins string")
+    out = df.select(C.bin_labels("age").alias("b"), C.canonicalize("adm", C.ADMISSION_LEVELS[:-1]).alias("a"),
+                    C.canonicalize("ins", C.INSURANCE_RULES, mode="contains").alias("i"),
+                    *C.one_hot_fixed(C.canonicalize("ins", C.INSURANCE_RULES, mode="contains"),
+                                     C.INSURANCE_LEVELS, "S__INS")).collect()
+    assert [r.b for r in out] == ["AGE_15_39", "AGE_40_64", "AGE_90PLUS"]
+    assert [r.a for r in out] == ["EMERGENCY", "OTHER", "OTHER"]
+    assert [r.i for r in out] == ["OTHER", "SELF_PAY", "OTHER"]
+    assert [r.S__INS__SELF_PAY for r in out] == [0, 1, 0] and [r.S__INS__OTHER for r in out] == [1, 0, 1]

@@ -852,3 +852,34 @@ ORACLE["flagship_clean_timeline"] = with_(RANGES, _CLEAN, EV_STAYS, _C_HOURLY, _
                                           EV_LABELS, _C_CHANNELS) + f"""
 SELECT VENT, {_round_channels(_CF)}, l.target
 FROM ev_channels c LEFT JOIN ev_labels l USING (user_id, HOUR_IN)"""
+
+
+def _positive_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``.
+
+    DuckDB keeps the sign of a value that rounds to zero (-0.0), Spark's
+    ``round`` returns +0.0; adding +0.0 maps -0.0 to +0.0 and leaves every
+    other value unchanged, so both engines print the same number.
+    """
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        out.append(sql[i:j])
+        depth, k = 0, j + len("round")
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero(sql[j + len("round("):k])
+        out.append(f"(round({inner}) + 0.0)")
+        i = k + 1
+
+
+ORACLE = {k: _positive_zero(v) for k, v in ORACLE.items()}

@@ -92,3 +92,20 @@ def test_sequence_as_of_truncates(spark):
     assert seq.X_num == [[1.0, 2.0, 3.0]]
     df2 = df.withColumn("cut", F.lit(1))
     assert SQ.build_sequences(df2, "s", "h", ["x"], seq_len=3, as_of="cut").first().X_num == [[0.0, 1.0, 2.0]]
+
+
+def test_profile_exact_and_approx(spark):
+    from hourglass.operators import profile as PR
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, "b"), (None, "b")], "x long, s string")
+    exact = {r.column_name: (r.dtype, r.rows, r.nulls, r.distinct) for r in PR.profile(df).collect()}
+    assert exact == {"x": ("bigint", 4, 1, 2), "s": ("string", 4, 1, 2)}
+    approx = {r.column_name: r.distinct for r in PR.profile(df, approx=True).collect()}
+    assert approx == {"x": 2, "s": 2}
+
+
+def test_array_stats_nan_guard(spark):
+    from hourglass.operators import profile as PR
+    df = spark.createDataFrame([([1.0, float("nan")],), ([3.0],)], "a array<double>")
+    r = PR.array_stats(df, "a").first()
+    assert (r.n_rows, r.max_len, r.min, r.max, r.mean, r.n_values, r.n_nan) == (2, 2, 1.0, 3.0, 2.0, 2, 1)
+    assert abs(r.std - 1.0) < 1e-12

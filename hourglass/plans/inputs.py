@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.functions.columns import hour_floor, stay_hours
+from hourglass.functions.columns import hour_floor
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -40,8 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def event_stays(events: DataFrame) -> DataFrame:
     """One stay per user: intime = hour of first event, outtime = last event."""
     s = events.groupBy("user_id").agg(F.min("ts").alias("__first"), F.max("ts").alias("outtime"))
-    s = s.select("user_id", hour_floor("__first").alias("intime"), "outtime")
-    return s.withColumn("STAY_HOURS", stay_hours("intime", "outtime"))
+    return s.select("user_id", hour_floor("__first").alias("intime"), "outtime")
 
 
 def order_stays(orders: DataFrame, lineitem: DataFrame) -> DataFrame:

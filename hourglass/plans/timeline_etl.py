@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.functions.columns import clip_to_range, convert_units, outlier_mask, with_hour_offset
+from hourglass.functions.columns import clip_to_range, convert_units, outlier_mask, stay_hours, with_hour_offset
 from hourglass.operators.aggregates import hourly_stats, pivot_fixed
 from hourglass.operators.joins import attach_wide, flag_hours, join_in_interval, label_events, lookup_ranges
 from hourglass.operators.timeline import (channels, ffill_limit, hourly_grid, transition_label,
@@ -100,6 +100,8 @@ def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name:
     bounds, then the hourly aggregate), and the checkpoint survives executor
     loss.
     """
+    if "STAY_HOURS" not in stays.columns:
+        stays = stays.withColumn("STAY_HOURS", stay_hours("intime", "outtime"))  # P3
     if materialize:
         stays = cut_lineage(stays)
     hourly = measurements(events, stays, key, ts, name, value)

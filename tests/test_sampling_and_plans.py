@@ -109,3 +109,16 @@ def test_array_stats_nan_guard(spark):
     r = PR.array_stats(df, "a").first()
     assert (r.n_rows, r.max_len, r.min, r.max, r.mean, r.n_values, r.n_nan) == (2, 2, 1.0, 3.0, 2.0, 2, 1)
     assert abs(r.std - 1.0) < 1e-12
+
+
+def test_channels_wide_table_one_window(spark):
+    """~100 features (the reference keeps 96 + state + time): one Window node, runs."""
+    feats = [f"f{i}" for i in range(100)]
+    df = spark.range(0, 200).select((F.col("id") % 5).alias("s"), (F.col("id") / 5).cast("long").alias("h"),
+                                    *[F.when((F.col("id") + i) % 3 == 0, F.col("id").cast("double")).alias(f)
+                                      for i, f in enumerate(feats)])
+    ch = TL.channels(df, feats, "s", "h", seq_len=120)
+    assert len(ch.columns) == 2 + 3 * 100 + 1
+    plan = ch._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1
+    assert ch.count() == 200

@@ -6,6 +6,8 @@ same inputs (the driver's tables), same outputs, DOUBLEs rounded to 6 places.
 
 from __future__ import annotations
 
+import re
+
 FEATURES = ("click", "error", "purchase", "signup", "view", "refund")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 GRID_HOURS = 720
@@ -854,12 +856,25 @@ SELECT VENT, {_round_channels(_CF)}, l.target
 FROM ev_channels c LEFT JOIN ev_labels l USING (user_id, HOUR_IN)"""
 
 
-def _positive_zero(sql: str) -> str:
-    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``.
+def _split_args(text: str) -> list[str]:
+    args, depth, start = [], 0, 0
+    for i, ch in enumerate(text):
+        if ch in "([{":
+            depth += 1
+        elif ch in ")]}":
+            depth -= 1
+        elif ch == "," and depth == 0:
+            args.append(text[start:i])
+            start = i + 1
+    args.append(text[start:])
+    return args
+
 
-    DuckDB keeps the sign of a value that rounds to zero (-0.0), Spark's
-    ``round`` returns +0.0; adding +0.0 maps -0.0 to +0.0 and leaves every
-    other value unchanged, so both engines print the same number.
+def _portable_round(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` as ``floor(x * 10^d + 0.5) / 10^d`` (|x| < 1e12).
+
+    Same plain IEEE steps as the Spark side's ``portable_round``: ``round``
+    differs between engines on decimal ties and on the sign of zero.
     """
     out, i = [], 0
     while True:
@@ -877,9 +892,21 @@ def _positive_zero(sql: str) -> str:
                 if depth == 0:
                     break
             k += 1
-        inner = _positive_zero(sql[j + len("round("):k])
-        out.append(f"(round({inner}) + 0.0)")
+        args = _split_args(_portable_round(sql[j + len("round("):k]))
+        x, d = args[0].strip(), int(args[1])
+        scale = f"{float(10 ** d):.1f}"
+        out.append(f"(CASE WHEN abs({x}) < 1e12 THEN floor(({x}) * {scale} + 0.5) / {scale} ELSE ({x}) END)")
         i = k + 1
 
 
-ORACLE = {k: _positive_zero(v) for k, v in ORACLE.items()}
+def _materialized(sql: str) -> str:
+    """Mark every CTE ``MATERIALIZED`` so each is computed once.
+
+    Besides saving work, this keeps DuckDB from scanning the same Parquet file
+    in many places of one query, where its dictionary cache has been seen to
+    fail intermittently ("dict-surviving cache ... changed identity").
+    """
+    return re.sub(r"(?<!WINDOW )\b(\w+) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
+ORACLE = {k: _materialized(_portable_round(v)) for k, v in ORACLE.items()}

@@ -16,8 +16,8 @@ KEYS = sorted(E.queries())
 def _norm(v):
     if v is None:
         return None
-    if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6)
+    if isinstance(v, float):  # exact text, as a value hash sees it (both sides round the same way)
+        return "nan" if math.isnan(v) else repr(v)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):

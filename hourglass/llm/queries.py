@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import embedding_dedup, language_id, packing, quality_rules, simhash_dedup
+from hourglass.llm import embedding_dedup, html_wrapper, language_id, packing, quality_rules, sharding, simhash_dedup, warc_zip
 from hourglass.llm.common import table
 from hourglass.llm.quality_sql import QUALITY
 
@@ -29,6 +29,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by sampled splitters over sizes."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and representative of every vector at cosine 0.95 or more."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -39,6 +44,17 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives it was written to."""
+    back = warc_zip.round_trip(table(spark, sf_dir, "pages"))
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in its packed sequence."""
     docs = table(spark, sf_dir, "documents")
@@ -50,8 +66,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_sharding": op4_sharding,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_warc": op8_warc,
+    "op9_html_wrapper": op9_html_wrapper,
     "op10_packing": op10_packing,
 }
 

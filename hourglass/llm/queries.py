@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import embedding_dedup, html_wrapper, language_id, packing, quality_rules, sharding, simhash_dedup, warc_zip
-from hourglass.llm.common import table
+from hourglass.llm import (embedding_dedup, html_wrapper, language_id, packing, quality_rules, sentencepiece_lattice,
+                           sharding, simhash_dedup, token_counts, warc_zip)
+from hourglass.llm.common import bind, table
 from hourglass.llm.quality_sql import QUALITY
 
 
@@ -18,6 +19,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _edits(text):
+    """Stand-in edits of a document: four places, lengths and inserts (passages of its own) by hash."""
+    def drawn(of):
+        def number(k, name: str, below):
+            return F.pmod(F.xxhash64(of.hash, k, F.lit(name)), below.cast("long"))
+        return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(
+            number(k, "start", of.chars + 1).alias("start"), number(k, "length", F.lit(40)).alias("length"),
+            F.substring(text, 1 + number(k, "from", of.chars + 1).cast("int"),
+                        number(k, "to", F.lit(60)).cast("int")).alias("insert")))
+    return bind(F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("chars")), drawn)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its edits, from its kept segment tree."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    how = (tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    counted = token_counts.count_tokens(docs.withColumn("edits", _edits(F.coalesce("text", F.lit("")))), *how)
+    after = token_counts.apply_edits(counted, *how)
+    return after.select("doc_id", "n_tokens", F.length("text").alias("n_chars"), "n_edits", "encoded_chars",
+                        F.crc32("text").alias("text_crc32"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts of every document and the verdict of the risk-controlled cutoffs."""
     return quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -44,6 +68,15 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and CRC of every document's piece ids, and whether they decode to its text."""
+    pieces = sentencepiece_lattice.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents")
+    done = sentencepiece_lattice.encode(docs, pieces)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+                       F.crc32("decoded").alias("decoded_crc32"), F.length("decoded").cast("long").alias("n_chars"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as read back from the archives it was written to."""
     back = warc_zip.round_trip(table(spark, sf_dir, "pages"))
@@ -64,11 +97,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_sharding": op4_sharding,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_warc": op8_warc,
     "op9_html_wrapper": op9_html_wrapper,
     "op10_packing": op10_packing,

@@ -209,7 +209,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     first = stored(groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col)
                    .agg(F.count("*").alias("__rows")), "simhash-first")
-    found = docs.join(first, id_col)
+    found = docs.join(first.hint("merge"), id_col)  # as many ids as documents: never broadcast
     once = found.where("__rows = 1").select(docs.columns)
     again = found.where("__rows > 1").withColumn("__hash", F.xxhash64(*docs.columns))
     pick = again.groupBy(id_col).agg(F.min("__hash").alias("__hash"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ def multi_hot(c, n: int) -> Column:
                        lambda i: F.array_contains(a, i).cast("tinyint"))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression that a lambda refers to is evaluated again for every element;
+    the variable of an outer one-element ``transform`` is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def topk_idx(c, k: int) -> Column:
     """Indexes of the ``k`` largest entries, ties to the lower index."""
     a = _c(c)
@@ -34,7 +45,8 @@ def topk_idx(c, k: int) -> Column:
 
 def argmax(c) -> Column:
     """Index of the largest entry, ties to the lower index; empty/null -> null."""
-    return F.try_element_at(topk_idx(c, 1), F.lit(1))
+    a = _c(c)
+    return (F.nullif(F.array_position(a, F.array_max(a)), F.lit(0)) - 1).cast("int")
 
 
 def last_valid(c, ignore: int = -100) -> Column:

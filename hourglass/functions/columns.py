@@ -315,33 +315,39 @@ def apply_zscore(df: DataFrame, stats: DataFrame, cols: Sequence[str]) -> DataFr
 
 
 # --------------------------------------------------------------------------- P26
+_ITEM = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[-+]?(?:0+|[1-9][0-9]*)(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?|None|True|False)"""
+_ITEMS = rf"{_ITEM}(?:\s*,\s*{_ITEM})*\s*,?"
+_LIST = rf"\[\s*(?:{_ITEMS})?\s*\]"
+_TUPLE = rf"\(\s*(?:{_ITEM}\s*,\s*(?:{_ITEMS})?)?\s*\)|{_ITEM}\s*,\s*(?:{_ITEMS})?"
+_SCALAR = rf"{_ITEM}|\(\s*{_ITEM}\s*\)|\{{\s*\}}"
+
+
 def parse_list(c) -> Column:
     """List-like text to ``array<string>``.
 
-    JSON array text -> its elements; ``[a, b]`` / ``a,b`` style text -> split on
-    commas with quotes and brackets stripped; other text -> one-element array;
-    null -> null.
+    A list or tuple literal of quoted texts, numbers and constants -> its
+    elements; another literal (a lone number or quoted text) -> empty; other
+    ``[a, b]`` text -> split on commas, quotes and spaces stripped, empty parts
+    dropped; any other text, the empty one too -> itself as the only element;
+    null -> empty.  Nested literals count as other text.
     """
-    s = F.trim(_c(c))
-    as_json = F.from_json(s, "array<string>")
-    inner = F.regexp_replace(s, r"^\[|\]$", "")
-    parts = F.split(inner, ",")
-    cleaned = F.filter(
-        F.transform(parts, lambda x: F.trim(F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", ""))),
-        lambda x: x != "",
-    )
-    looks_list = s.startswith("[") | s.contains(",")
-    return (F.when(s.isNull(), F.lit(None))
-            .when(s.startswith("[") & as_json.isNotNull(), as_json)
-            .when(looks_list, cleaned)
-            .when(s == "", F.array().cast("array<string>"))
+    s = _c(c)
+    elements = F.transform(F.regexp_extract_all(s, F.lit(f"({_ITEM})"), F.lit(1)), lambda x: F.when(
+        x.rlike(r"""^['"]"""), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")).otherwise(x))
+    inner = F.regexp_replace(s, r"^[\[\]]+|[\[\]]+$", "")
+    parts = F.filter(F.split(inner, ","), lambda x: F.trim(x) != "")
+    stripped = F.transform(parts, lambda x: F.regexp_replace(x, r"""^[ '"]+|[ '"]+$""", ""))
+    return (F.when(s.isNull(), F.array().cast("array<string>"))
+            .when(s.rlike(rf"^[ \t]*(?:{_LIST}|{_TUPLE})\s*$"), elements)
+            .when(s.rlike(rf"^[ \t]*(?:{_SCALAR})\s*$"), F.array().cast("array<string>"))
+            .when(s.startswith("[") & s.endswith("]"), stripped)
             .otherwise(F.array(s)))
 
 
 # --------------------------------------------------------------------------- P27
 def codes_to_text(c, sep: str = " ") -> Column:
-    """Join a code list to text, skipping empty entries."""
-    return F.array_join(F.filter(_c(c), lambda x: x != ""), sep)
+    """Join a code list to text, skipping empty entries; a null list gives the empty text."""
+    return F.coalesce(F.array_join(F.filter(_c(c), lambda x: x != ""), sep), F.lit(""))
 
 
 # --------------------------------------------------------------------------- helpers

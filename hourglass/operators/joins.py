@@ -2,7 +2,7 @@
 
 Every join here is an equi-join, some with a residual range predicate that
 Catalyst folds into the join condition.  Small dimension tables are broadcast
-only behind an explicit row-count bound; everything else is left to the
+only behind a bound on their planned bytes; everything else is left to the
 planner (sort-merge with AQE skew splitting, or AQE's runtime broadcast when
 the shuffled side turns out small).
 """
@@ -14,20 +14,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A dimension above this many rows is never force-broadcast.
-BROADCAST_MAX_ROWS = 1_000_000
+# A side whose planned size is above this is never hinted for broadcast.
+BROADCAST_MAX_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast of ``df`` only if the planner's own size estimate is at most ``max_bytes``.
 
-    The check counts at most ``max_rows + 1`` rows of ``df``; use it on
-    dimension inputs (item maps, range tables, vocabularies), not on fact
-    tables.  Beyond the bound the plain DataFrame is returned and the planner
-    shuffles both sides.
+    The estimate comes from file sizes and local rows, runs no job and does not
+    depend on the answer; above it the planner shuffles both sides and AQE splits
+    skewed keys.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= max_bytes else df
 
 
 # --------------------------------------------------------------------------- J1
@@ -43,22 +42,22 @@ def build_cohort(stays: DataFrame, admissions: DataFrame, persons: DataFrame,
 
 # --------------------------------------------------------------------------- J2
 def label_events(events: DataFrame, items: DataFrame, key: str = "ITEMID",
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                 max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
     """Events inner-joined to the item dimension; unmapped items drop."""
-    return events.join(broadcast_if_small(items, max_rows), [key], "inner")
+    return events.join(broadcast_if_small(items, max_bytes), [key], "inner")
 
 
 # --------------------------------------------------------------------------- J3 / J4
 def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
                      lo: str, hi: str, lookback_hours: int = 0,
                      stay_cols: Sequence[str] | None = None,
-                     broadcast_max_rows: int | None = BROADCAST_MAX_ROWS,
+                     broadcast_max_bytes: int | None = BROADCAST_MAX_BYTES,
                      bucket_hours: int | None = None) -> DataFrame:
     """Events joined to stays on ``key`` with ``lo - lookback <= ts <= hi``.
 
     One join whose condition carries the range; a key that owns many stays
     (admission with several stays) fans out to each of them.  The stay table
-    has one row per stay, so when it is within ``broadcast_max_rows`` it is
+    has one row per stay, so when it is within ``broadcast_max_bytes`` it is
     broadcast and the raw events are never shuffled; beyond that the planner
     shuffles both sides and AQE splits a hot key's partition of the event
     side.
@@ -86,15 +85,15 @@ def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
         s = s.withColumn("__bucket", F.explode(F.sequence(bucket(lower), bucket(F.col(hi)))))
         ev = ev.withColumn("__ev_bucket", bucket(F.col(ts)))
         cond = cond & (F.col("__ev_bucket") == F.col("__bucket"))
-    if broadcast_max_rows:
-        s = broadcast_if_small(s, broadcast_max_rows)
+    if broadcast_max_bytes:
+        s = broadcast_if_small(s, broadcast_max_bytes)
     out = ev.join(s, cond, "inner").drop(f"__s_{key}")
     return out.drop("__bucket", "__ev_bucket") if bucket_hours else out
 
 
 # --------------------------------------------------------------------------- J5
 def lookup_ranges(events: DataFrame, ranges: DataFrame, name_col: str, range_key: str = "LEVEL2",
-                  max_rows: int = BROADCAST_MAX_ROWS, dedupe: bool = False) -> DataFrame:
+                  max_bytes: int = BROADCAST_MAX_BYTES, dedupe: bool = False) -> DataFrame:
     """Left lookup of range rows on the lower-cased name; duplicates fan out (J5, trap T2).
 
     ``dedupe=True`` keeps one range row per name -- the one with the most
@@ -106,7 +105,7 @@ def lookup_ranges(events: DataFrame, ranges: DataFrame, name_col: str, range_key
         vals = [c for c in r.columns if c != "__range_key"]
         nulls = sum((F.col(c).isNull().cast("int") for c in vals), F.lit(0))
         r = first_per_key(r.withColumn("__nulls", nulls), "__range_key", ["__nulls", *vals]).drop("__nulls")
-    r = broadcast_if_small(r, max_rows)
+    r = broadcast_if_small(r, max_bytes)
     return (events.withColumn("__name_key", F.lower(F.col(name_col)))
             .join(r, F.col("__name_key") == F.col("__range_key"), "left")
             .drop("__name_key", "__range_key"))

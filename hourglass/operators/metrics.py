@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.functions.arrays import argmax, topk_idx
+from hourglass.functions.arrays import argmax, bound, topk_idx
 from hourglass.operators.scan import prefix_sums
 
 NEG_INF = float("-inf")
@@ -29,16 +29,15 @@ def _sum(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = _sum(e)
-    return F.transform(e, lambda x: x / s)
+    """Softmax of an array column; the maximum, the exponentials and their sum are computed once per row."""
+    return bound(a, lambda v: bound(F.array_max(v), lambda m: bound(
+        F.transform(v, lambda x: F.exp(x - m)), lambda e: bound(_sum(e), lambda s: F.transform(e, lambda x: x / s)))))
 
 
 def log_softmax(a: Column) -> Column:
-    m = F.array_max(a)
-    lse = m + F.log(_sum(F.transform(a, lambda x: F.exp(x - m))))
-    return F.transform(a, lambda x: x - lse)
+    """Log-softmax of an array column; the maximum and the log of the sum are computed once per row."""
+    return bound(a, lambda v: bound(F.array_max(v), lambda m: bound(
+        m + F.log(_sum(F.transform(v, lambda x: F.exp(x - m)))), lambda lse: F.transform(v, lambda x: x - lse))))
 
 
 # --------------------------------------------------------------------------- M1
@@ -239,20 +238,24 @@ def focal_loss(df: DataFrame, gamma: float = 2.0, weights: Mapping[int, float] |
     ``(1 - s) * onehot + s / K``.
     """
     lg = F.col(logits).cast("array<double>")
-    lsm = log_softmax(lg)
     y = F.col(label)
-    k = F.size(lg)
-    tgt = F.transform(lsm, lambda _x, i: F.when(i == y, F.lit(1.0 - smoothing)).otherwise(F.lit(0.0))
-                      + F.lit(smoothing) / k)
-    ce = -F.aggregate(F.arrays_zip(tgt.alias("t"), lsm.alias("l")), F.lit(0.0),
-                      lambda acc, s: acc + s["t"] * s["l"])
-    pt = F.aggregate(F.arrays_zip(tgt.alias("t"), lsm.alias("l")), F.lit(0.0),
-                     lambda acc, s: acc + s["t"] * F.exp(s["l"]))
-    loss = F.pow(F.lit(1.0) - pt, F.lit(float(gamma))) * ce
+
+    def target(lsm: Column) -> Column:
+        return bound(F.size(lsm), lambda k: F.transform(
+            lsm, lambda _x, i: F.when(i == y, F.lit(1.0 - smoothing)).otherwise(F.lit(0.0)) + F.lit(smoothing) / k))
+
+    def row_loss(lsm: Column) -> Column:
+        def of(pairs: Column) -> Column:
+            ce = -F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + s["t"] * s["l"])
+            pt = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + s["t"] * F.exp(s["l"]))
+            return F.pow(F.lit(1.0) - pt, F.lit(float(gamma))) * ce
+        return bound(F.zip_with(target(lsm), lsm, lambda t, x: F.struct(t.alias("t"), x.alias("l"))), of)
+
+    loss = bound(log_softmax(lg), row_loss)
     if weights:
         wmap = F.create_map(*[x for kv in sorted(weights.items()) for x in (F.lit(int(kv[0])), F.lit(float(kv[1])))])
         if smoothing:
-            wsum = F.aggregate(tgt, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")),
+            wsum = F.aggregate(target(lg), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i")),
                                lambda acc, t: F.struct(
                                    (acc["s"] + t * F.coalesce(F.element_at(wmap, acc["i"]), F.lit(0.0))).alias("s"),
                                    (acc["i"] + 1).alias("i")))["s"]
@@ -268,7 +271,7 @@ def _psi(kind: str, u: Column) -> Column:
     if kind == "exponential":
         return F.exp(-u)
     if kind == "logistic":
-        return F.log1p(F.exp(-u))
+        return F.greatest(-u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))  # no overflow for very negative u
     if kind == "hinge":
         return F.greatest(F.lit(1.0) - u, F.lit(0.0))
     raise ValueError(f"unknown loss kind {kind!r}")

@@ -12,50 +12,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.operators.joins import broadcast_if_small
+from hourglass.functions.arrays import bound
+from hourglass.session import cut_lineage
 
 
 # --------------------------------------------------------------------------- G2
-MAP_LOOKUP_MAX_CODES = 100_000
-
-
 def encode_codes(df: DataFrame, key: str, codes_col: str, vocab: DataFrame,
-                 out: str = "candidates", code: str = "code", idx: str = "idx",
-                 map_max_codes: int = MAP_LOOKUP_MAX_CODES) -> DataFrame:
+                 out: str = "candidates", code: str = "code", idx: str = "idx") -> DataFrame:
     """Map each row's code list to vocabulary indexes, in list order, unknown codes dropped.
 
-    A vocabulary of at most ``map_max_codes`` entries (checked with a bounded
-    count) is broadcast as one lookup map and applied per row with
-    ``transform`` -- no shuffle of ``df``.  A larger vocabulary takes the
-    join path: ``posexplode`` -> join the vocabulary -> ordered
-    ``collect_list`` per key (``key`` must identify rows of ``df``).  Rows
-    with a null/empty list (or only unknown codes) get an empty list.
+    One plan for every vocabulary size: the rows are written once with a row
+    id, ``posexplode`` -> join the vocabulary -> ordered ``collect_list`` per
+    row id, joined back.  A row keeps its own list whether or not ``key``
+    repeats; a code that the vocabulary lists twice has its smallest index.
+    Rows with a null/empty list (or only unknown codes) get an empty list.
     """
-    empty = F.array().cast("array<bigint>")
-    v = (vocab.select(F.col(code).alias("__code"), F.col(idx).cast("bigint").alias("__idx"))
-         .filter(F.col("__code").isNotNull()))
-    if v.limit(map_max_codes + 1).count() <= map_max_codes:
-        lookup = v.agg(F.map_from_entries(F.collect_list(F.struct("__code", "__idx"))).alias("__vmap"))
-        codes = F.coalesce(F.col(codes_col), F.array().cast(df.schema[codes_col].dataType))
-        mapped = F.filter(F.transform(codes, lambda c: F.try_element_at(F.col("__vmap"), c)),
-                          lambda x: x.isNotNull())
-        return (df.crossJoin(F.broadcast(lookup))
-                .withColumn(out, F.coalesce(mapped.cast("array<bigint>"), empty))
-                .drop("__vmap"))
-    v = broadcast_if_small(v)
-    exploded = df.select(key, F.posexplode(codes_col).alias("__pos", "__code"))
-    hits = (exploded.join(v, ["__code"], "inner")
-            .groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("__pos", "__idx"))).alias("__pairs")))
-    enc = hits.select(key, F.transform("__pairs", lambda s: s["__idx"]).alias(out))
-    return (df.join(enc, [key], "left")
-            .withColumn(out, F.coalesce(F.col(out).cast("array<bigint>"), empty)))
+    v = (vocab.filter(F.col(code).isNotNull()).groupBy(F.col(code).alias("__code"))
+         .agg(F.min(F.col(idx).cast("bigint")).alias("__idx")))
+    rows = cut_lineage(df.drop(out).withColumn("__row", F.monotonically_increasing_id()), name="codes")
+    hits = (rows.select("__row", F.posexplode(codes_col).alias("__pos", "__code"))
+            .join(v, ["__code"], "inner").groupBy("__row")
+            .agg(F.sort_array(F.collect_list(F.struct("__pos", "__idx"))).alias("__pairs")))
+    enc = hits.select("__row", F.transform("__pairs", lambda s: s["__idx"]).alias(out))
+    return (rows.join(enc, ["__row"], "left").drop("__row")
+            .withColumn(out, F.coalesce(F.col(out).cast("array<bigint>"), F.array().cast("array<bigint>"))))
 
 
 # --------------------------------------------------------------------------- G4 / G5
 def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str], seq_len: int = 120,
                     label: str | None = None, label_pad: int = -100, value_pad: float = 0.0,
-                    as_of: str | None = None, out: str = "X_num") -> DataFrame:
+                    as_of: str | None = None, out: str = "X_num", entities: DataFrame | None = None) -> DataFrame:
     """Right-aligned fixed-length sequences per entity (G4), channel-major.
 
     Hours outside ``[0, seq_len)`` are dropped; with ``mh`` the largest kept
@@ -65,33 +51,38 @@ def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str],
     ``array<array<float>>`` of shape (len(channels), seq_len) in the given
     channel order (value, mask, delta blocks stacked by the caller's order);
     ``y`` is ``array<bigint>`` of length ``seq_len``.  ``as_of`` (a column with
-    an hour per entity) truncates the input at that hour (trap T13).
+    an hour per entity) truncates the input at that hour (trap T13).  Every
+    key of ``entities`` gets a row, all padding if it has no kept hour.  Of
+    rows that repeat an (entity, hour) the largest by channel values stays.
     """
     rows = df.filter((F.col(hour) >= 0) & (F.col(hour) < seq_len))
     if as_of is not None:
         rows = rows.filter(F.col(hour) <= F.col(as_of))
-    fields = [F.col(hour).cast("int").alias("__h")]
+    fields = []
     for i, c in enumerate(channels):
         x = F.col(c).cast("double")
         clean = F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
         fields.append(F.coalesce(clean, F.lit(value_pad)).cast("float").alias(f"c{i}"))
+    y_pad = F.lit(label_pad).cast("bigint")
     if label is not None:
-        fields.append(F.coalesce(F.col(label).cast("bigint"), F.lit(label_pad).cast("bigint")).alias("__y"))
-    g = rows.groupBy(key).agg(F.max(F.col(hour)).cast("int").alias("__mh"),
-                              F.collect_list(F.struct(*fields)).alias("__rows"))
-    m = F.map_from_entries(F.transform("__rows", lambda s: F.struct(s["__h"], s)))
-    g = g.select(key, "__mh", m.alias("__m"))
-    positions = F.sequence(F.lit(0), F.lit(seq_len - 1))
-    off = F.lit(seq_len - 1) - F.col("__mh")
-
-    def series(field: str, pad):
-        return F.transform(positions, lambda p: F.coalesce(
-            F.try_element_at(F.col("__m"), p - off)[field], pad))
-
-    x_num = F.array(*[series(f"c{i}", F.lit(value_pad).cast("float")) for i in range(len(channels))])
-    cols = [F.col(key), x_num.alias(out)]
+        fields.append(F.coalesce(F.col(label).cast("bigint"), y_pad).alias("y"))
+    # of repeated hours the largest row stays, whatever order the rows arrive in
+    hours = rows.groupBy(key, F.col(hour).cast("int").alias("__h")).agg(F.max(F.struct(*fields)).alias("__s"))
+    g = hours.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__h", "__s"))).alias("__m"),
+                               F.max("__h").alias("__mh"))
+    pad = F.struct(*[F.lit(value_pad).cast("float").alias(f"c{i}") for i in range(len(channels))],
+                   *([y_pad.alias("y")] if label is not None else []))
+    # one lookup per position; the channels are then projected from the found structs
+    at = bound(F.col("__m"), lambda m: F.transform(
+        F.sequence(F.lit(0), F.lit(seq_len - 1)),
+        lambda p: F.coalesce(F.try_element_at(m, p - (F.lit(seq_len - 1) - F.col("__mh"))), pad)))
+    g = g.select(key, at.alias("__at"))
+    if entities is not None:
+        g = entities.select(key).distinct().join(g, [key], "left").withColumn(
+            "__at", F.coalesce("__at", F.array_repeat(pad, seq_len)))
+    cols = [F.col(key), F.array(*[F.col("__at").getField(f"c{i}") for i in range(len(channels))]).alias(out)]
     if label is not None:
-        cols.append(series("__y", F.lit(label_pad).cast("bigint")).alias("y"))
+        cols.append(F.col("__at").getField("y").alias("y"))
     return g.select(*cols)
 
 

@@ -1,8 +1,9 @@
 """Hourly grid and per-entity window operators.
 
-Windows partition by entity and order by hour.  The grid caps each entity at
-``max_hours`` rows, so one window partition never holds more than that many
-rows however skewed the raw events are; the heavy reduction (events -> hourly
+Windows partition by entity and order by hour.  An entity's grid has a row per
+elapsed hour, so a window partition is bounded by the length of its stay
+however many raw events it has (``max_hours`` truncates the grid only where a
+caller asks for it); the heavy reduction (events -> hourly
 statistics) happens before, in a partially aggregated ``groupBy``.
 """
 
@@ -15,15 +16,15 @@ from pyspark.sql import functions as F
 
 
 # --------------------------------------------------------------------------- G1
-def hourly_grid(stays: DataFrame, hours_col: str = "STAY_HOURS", max_hours: int = 120,
+def hourly_grid(stays: DataFrame, hours_col: str = "STAY_HOURS", max_hours: int | None = None,
                 hour_col: str = "HOUR_IN", keep: Sequence[str] | None = None) -> DataFrame:
-    """Dense rows ``0 .. min(hours, max_hours) - 1`` per stay (G1).
+    """Dense rows ``0 .. hours - 1`` per stay, at most ``max_hours`` if it is given (G1).
 
     A stay with null or non-positive hours yields no rows (trap T7: Spark's
     ``sequence(0, -1)`` would count down, and ``least(NULL, L)`` is L).
     """
     keep = list(keep) if keep is not None else [c for c in stays.columns if c != hours_col]
-    n = F.least(F.col(hours_col), F.lit(max_hours))
+    n = F.col(hours_col) if max_hours is None else F.least(F.col(hours_col), F.lit(max_hours))
     seq = F.when(F.col(hours_col).isNotNull() & (n > 0), F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint")))
     return stays.select(*keep, F.explode(seq).alias(hour_col))
 

@@ -47,7 +47,7 @@ def _ev_tables(spark, sf):
     ev = T(spark, sf, "events")
     stays = IN.event_stays(ev)
     return ev, stays, ETL.build_timeline(ev, stays, "user_id", "ts", "event_type", "value",
-                                         IN.FEATURES, IN.STATE_EVENTS, grid_hours=IN.GRID_HOURS)
+                                         IN.FEATURES, IN.STATE_EVENTS)
 
 
 @q("flagship_timeline")
@@ -77,8 +77,7 @@ def flagship_clean(spark, sf):
     clean = ETL.clean_events(raw, _clean_items(spark), _ranges(spark), "event_type")
     stays = IN.event_stays(ev)
     t = ETL.build_timeline(clean, stays, "user_id", "ts", "LEVEL2", "VALUENUM",
-                           ("click", "error", "purchase", "view", "refund"), IN.STATE_EVENTS,
-                           grid_hours=IN.GRID_HOURS)
+                           ("click", "error", "purchase", "view", "refund"), IN.STATE_EVENTS)
     return rounded(ETL.dataset(t, "user_id").drop("intime"))
 
 
@@ -159,7 +158,7 @@ def j3b(spark, sf):
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     ev = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), ["l_orderkey"])
     return J.join_in_interval(ev, stays, "o_custkey", "l_shipdate", "o_orderdate", "OUTTIME",
-                              lookback_hours=6, bucket_hours=24, broadcast_max_rows=None)
+                              lookback_hours=6, bucket_hours=24, broadcast_max_bytes=None)
 
 
 @q("j5_lookup_ranges_dedupe")
@@ -512,7 +511,7 @@ def p26(spark, sf):
     k = F.col("o_orderkey") % 3
     text = (F.when(k == 0, F.to_json("CODES"))
             .when(k == 1, F.concat(F.lit("["), F.array_join("CODES", ", "), F.lit("]")))
-            .otherwise(F.array_join("CODES", ",")))
+            .otherwise(F.array_join("CODES", ",")))  # no list syntax: one element
     return codes.select("o_orderkey", C.parse_list(text).alias("CODES"))
 
 
@@ -857,6 +856,23 @@ def m10(spark, sf):
     return rounded(M.average_precision(_binary(spark, sf, "toxic"), classes=(0, 1)))
 
 
+@q("m1_score_scaled")
+def m1_scaled(spark, sf):
+    """Ignored classes and a temperature."""
+    p = IN.predictions(T(spark, sf, "embeddings"))
+    return rounded(M.score(p, ignored=(3, 7), temperature=2.5).select("id", "candidates", "probs", "pred"))
+
+
+@q("m9_macro_roc_auc")
+def m9_macro(spark, sf):
+    return rounded(M.macro_summary(m9b(spark, sf), "auc", "macro_auc"))
+
+
+@q("m10_macro_average_precision")
+def m10_macro(spark, sf):
+    return rounded(M.macro_summary(m10(spark, sf), "ap", "macro_ap"))
+
+
 @q("m11_cross_entropy")
 def m11(spark, sf):
     return rounded(M.cross_entropy(IN.predictions(T(spark, sf, "embeddings"))))

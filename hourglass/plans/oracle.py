@@ -44,7 +44,7 @@ def _pivot(src: str, names, key_alias: str = "HOUR_IN") -> str:
 EV_WIDE = f"ev_wide AS (\n  {_pivot('ev_hourly', FEATURES)})"
 
 EV_GRID = f"""ev_grid AS (
-  SELECT user_id, intime, unnest(range(least(STAY_HOURS, {GRID_HOURS}))) AS HOUR_IN
+  SELECT user_id, intime, unnest(range(STAY_HOURS)) AS HOUR_IN
   FROM ev_stays WHERE STAY_HOURS > 0)"""
 
 EV_FLAGGED = """ev_flagged AS (
@@ -523,9 +523,11 @@ FROM cohort c LEFT JOIN (
   SELECT l.l_orderkey AS HADM_ID, list_sort(list_distinct(list(p.p_brand))) AS CODES
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
   WHERE p.p_brand IS NOT NULL AND p.p_brand <> 'Brand#1' GROUP BY 1) x ON c.HADM_ID = x.HADM_ID"""
-ORACLE["p26_parse_list"] = with_(ORDER_CODES) + "SELECT o_orderkey, CODES FROM order_codes"
+ORACLE["p26_parse_list"] = with_(ORDER_CODES) + """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN [array_to_string(CODES, ',')] ELSE CODES END AS CODES
+FROM order_codes"""
 ORACLE["p27_codes_to_text"] = with_(ORDER_CODES) + \
-    "SELECT o_orderkey, array_to_string(list_filter(CODES, lambda x: x <> ''), ' ') AS TEXT FROM order_codes"
+    "SELECT o_orderkey, coalesce(array_to_string(list_filter(CODES, lambda x: x <> ''), ' '), '') AS TEXT FROM order_codes"
 ORACLE["p28_project"] = "SELECT l_orderkey, l_quantity AS QTY FROM lineitem"
 ORACLE["u1_union_events"] = """
 SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'click'
@@ -686,6 +688,17 @@ ORACLE["m9_roc_auc"] = _auc_sql(BINARY.replace("binary AS", "src AS"), (0, 1), "
 ORACLE["m9_roc_auc_multiclass"] = _auc_sql(
     PREDS + ",\n" + SCORED + ",\nsrc AS (SELECT * FROM scored2)", tuple(range(10)), "label")
 ORACLE["m10_average_precision"] = _ap_sql(BINARY.replace("binary AS", "src AS"), (0, 1), "toxic")
+ORACLE["m9_macro_roc_auc"] = (
+    "SELECT round(coalesce(avg(auc), 0.0), 6) AS macro_auc FROM (" + ORACLE["m9_roc_auc_multiclass"] + ")")
+ORACLE["m10_macro_average_precision"] = (
+    "SELECT round(coalesce(avg(ap), 0.0), 6) AS macro_ap FROM (" + ORACLE["m10_average_precision"] + ")")
+ORACLE["m1_score_scaled"] = with_(PREDS) + """, lg AS (
+  SELECT id, list_transform(candidates, lambda x: CASE WHEN x IN (3, 7) THEN -1 ELSE x END) AS candidates,
+         list_transform(logits, lambda x, i: CASE WHEN i - 1 IN (3, 7) THEN -1e9 ELSE x END / 2.5) AS scaled FROM preds),
+e AS (SELECT *, list_transform(scaled, lambda x: exp(x - list_max(scaled))) AS e FROM lg)
+SELECT id, candidates, list_transform(e, lambda x: round(x / list_sum(e), 6)) AS probs,
+       CAST(list_position(scaled, list_max(scaled)) - 1 AS INTEGER) AS pred
+FROM e"""
 ORACLE["m11_cross_entropy"] = with_(PREDS) + f"""
 SELECT round(coalesce(avg(-(logits[label + 1] - {LSE})), 0.0), 6) AS ce_loss FROM preds
 WHERE label IS NOT NULL AND label <> -100"""

@@ -82,8 +82,12 @@ def state_flag(grid: DataFrame, hourly: DataFrame, key: str, name: str, state_na
     return filled.drop("__flag")
 
 
+#: Hours that the time channel's unit stands for where no sequence length is given.
+TIME_SCALE_HOURS = 720
+
+
 def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name: str, value: str,
-                   features: Sequence[str], state_names: Sequence[str], grid_hours: int = 720,
+                   features: Sequence[str], state_names: Sequence[str], grid_hours: int | None = None,
                    seq_len: int | None = None, fill_limit: int = 6, gap: int = 6, window: int = 4,
                    label_col: str = "target", materialize: bool = True) -> dict[str, DataFrame]:
     """All stage-1 tables for one entity timeline.
@@ -116,8 +120,8 @@ def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name:
     # same entity partitioning: fill the flag, then channels and labels.
     joined = attach_wide(grid, wide_with_flag(hourly, key, name, feats, state_names), [key, "HOUR_IN"])
     joined = ffill_limit(joined, "__flag", fill_limit, key, "HOUR_IN", out="VENT", default=0).drop("__flag")
-    chans = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours)
-    ds = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours,
+    chans = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours or TIME_SCALE_HOURS)
+    ds = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours or TIME_SCALE_HOURS,
                   extra=[transition_label("VENT", gap, window, key, "HOUR_IN").alias(label_col)])
     return {"stays": stays, "hourly": hourly, "wide": wide, "grid": grid, "flagged": flagged,
             "channels": chans, "labels": labels, "dataset": ds}

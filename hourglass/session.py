@@ -18,21 +18,28 @@ def get_spark(app: str = "hourglass", cpus: int | str | None = None,
     what is unset.  Shuffle partitions default to 2x cores locally; AQE
     coalesces them at runtime and splits skewed join partitions.
     """
+    from pyspark import SparkConf
+
+    given = SparkConf()  # what spark-submit or the environment has set wins
+    local = given.get("spark.master", "local").startswith("local")
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
-    parts = shuffle_partitions or max(2, 2 * int(cpus))
-    builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName(app)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", driver_memory)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-    )
+    ours = {
+        "spark.master": f"local[{cpus}]",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    if local:
+        ours["spark.driver.memory"] = driver_memory
+        ours["spark.sql.shuffle.partitions"] = str(shuffle_partitions or max(2, 2 * int(cpus)))
+    builder = SparkSession.builder.appName(app)
+    for key, value in ours.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -51,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="hourglass-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

@@ -2,8 +2,10 @@
 
 The same aggregate as :func:`hourglass.operators.aggregates.hourly_stats`,
 keyed by absolute event-time hour windows.  The stream runs in ``update``
-mode with a watermark, so the state store drops hours once they are closed,
-and every micro-batch appends only the groups it changed (tagged with its
+mode; a live source should be given a ``watermark`` so that the state store
+drops closed hours (later events are then dropped too), while a bounded drain
+of stored files, whose order says nothing about event time, has none and loses
+no event.  Every micro-batch appends only the groups it changed (tagged with its
 batch id) to a Parquet table in the shared checkpoint folder.  The current
 result is the latest version of each group -- a distributed
 ``first_per_key`` over that table, never a collect to the driver.
@@ -23,7 +25,7 @@ EVENT_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type s
 KEYS = ("user_id", "hour", "event_type")
 
 
-def hourly_stats_streaming(events: DataFrame, watermark: str | None = "2 hours") -> DataFrame:
+def hourly_stats_streaming(events: DataFrame, watermark: str | None = None) -> DataFrame:
     """Streaming DataFrame of (user_id, hour, event_type) -> mean / count / std."""
     # Streaming event time must be TIMESTAMP; read the NTZ wall clock as a UTC
     # instant (micros since epoch) so windows do not depend on the session zone.
@@ -55,12 +57,12 @@ def latest_groups(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def hourly_stats_stream(spark: SparkSession, sf_dir: str, table: str = "events",
-                        watermark: str | None = "2 hours") -> DataFrame:
+                        watermark: str | None = None, files_per_trigger: int = 64) -> DataFrame:
     """Stream the event files through the hourly aggregate; return the final group values."""
     stream = (spark.readStream.schema(EVENT_SCHEMA)
-              .option("pathGlobFilter", f"{table}.parquet")
-              .option("maxFilesPerTrigger", 1)
-              .parquet(sf_dir))
+              .option("maxFilesPerTrigger", files_per_trigger)
+              # a pattern, not a plain path: the stream reader takes only those for a file as well as a folder
+              .parquet(f"{sf_dir.rstrip('/')}/{table}.parque[t]"))
     out = scratch_path(spark, "hourly-stream")
     run_to_table(hourly_stats_streaming(stream, watermark), out, scratch_path(spark, "hourly-stream-ckpt"))
     return latest_groups(spark, out)

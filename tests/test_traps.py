@@ -189,7 +189,10 @@ def test_p12_normalize_name(spark):
 def test_p26_parse_list(spark):
     df = spark.createDataFrame([('["a", "b"]',), ("[a, b]",), ("a,b",), ("a",), (None,)], "s string")
     got = [r.l for r in df.select(C.parse_list("s").alias("l")).collect()]
-    assert got == [["a", "b"], ["a", "b"], ["a", "b"], ["a"], None]
+    assert got == [["a", "b"], ["a", "b"], ["a,b"], ["a"], []]
+    more = spark.createDataFrame([("5",), ("",), ("(1, 2)",), ("['x y', 3,]",), ("[]",), ("'q'",), ("[ 'a\\'b' ]",), ("[a,,b]",)], "s string")
+    assert [r.l for r in more.select(C.parse_list("s").alias("l")).collect()] == [
+        [], [""], ["1", "2"], ["x y", "3"], [], [], ["a'b"], ["a", "b"]]
 
 
 def test_t18_refuses_to_overwrite_input(spark, tmp_path):
@@ -209,8 +212,48 @@ def test_g2_join_path_matches_map_path(spark):
     df = spark.createDataFrame([(1, ["c3", "zz", "c0"]), (2, None), (3, ["c5", "c5"]), (4, [])],
                                "k long, codes array<string>")
     a = {r.k: r.candidates for r in SQ.encode_codes(df, "k", "codes", vocab).collect()}
-    b = {r.k: r.candidates for r in SQ.encode_codes(df, "k", "codes", vocab, map_max_codes=2).collect()}
-    assert a == b == {1: [3, 0], 2: [], 3: [5, 5], 4: []}
+    assert a == {1: [3, 0], 2: [], 3: [5, 5], 4: []}
+
+
+def test_g2_repeated_keys_and_vocabulary_codes(spark):
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (7, "b")], "idx long, code string")
+    df = spark.createDataFrame([(1, ["a"]), (1, ["b", "a"]), (2, ["b"])], "k long, codes array<string>")
+    got = sorted((r.k, r.candidates) for r in SQ.encode_codes(df, "k", "codes", vocab).collect())
+    assert got == [(1, [0]), (1, [1, 0]), (2, [1])]
+
+
+def test_softmax_of_many_classes_is_linear(spark):
+    import time
+
+    from hourglass.operators import metrics as M
+    df = spark.range(2000).select((F.col("id") % 800).cast("int").alias("label"), F.transform(
+        F.sequence(F.lit(0), F.lit(799)), lambda i: F.sin(i + F.col("id")).cast("double")).alias("logits"))
+    t = time.time()
+    M.focal_loss(df, smoothing=0.1).collect()
+    M.score(df, candidates=None).write.format("noop").mode("overwrite").save()
+    assert time.time() - t < 60
+
+
+def test_g1_long_stays_keep_every_hour(spark):
+    assert TL.hourly_grid(spark.range(1).withColumn("STAY_HOURS", F.lit(1000))).count() == 1000
+
+
+def test_g4_repeated_hours_and_absent_entities(spark):
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 0, 2.0), ("a", 2, 3.0)], "k string, h int, v double")
+    every = spark.createDataFrame([("a",), ("b",)], "k string")
+    got = {r.k: r.X_num for r in SQ.build_sequences(df, "k", "h", ["v"], seq_len=4, entities=every).collect()}
+    assert got == {"a": [[0.0, 2.0, 0.0, 3.0]], "b": [[0.0, 0.0, 0.0, 0.0]]}
+
+
+def test_streaming_hours_of_shuffled_files(spark, tmp_path):
+    from hourglass.streaming.hourly import hourly_stats_stream
+    from tests.conftest import SF_SMALL
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    ev.orderBy(F.xxhash64("event_id")).repartition(6, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = hourly_stats_stream(spark, str(tmp_path), files_per_trigger=1)
+    want = ev.groupBy("user_id", F.date_trunc("hour", "ts"), "event_type").count()
+    assert got.count() == want.count()
+    assert got.agg(F.sum("COUNT")).first()[0] == ev.where("value IS NOT NULL").count()
 
 
 def test_p4_cohort_filter_boundaries(spark):

@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged archives, written and read back by ranges.
 
-One archive is a ZIP file of stored (uncompressed) members: ``archive/data.warc`` with one record
-after the other and ``indexes/index.cdx`` with a line per record (id, offset and length within the
+One archive is a ZIP file of stored (uncompressed) members: ``archive/data.warc.gz`` with one record
+after the other, each a gzip member of its own as is usual for WARC files, and ``indexes/index.cdx`` with a line per record (id, offset and length within the
 WARC member, digest, type).  Sizes and offsets beyond 32 bits are written and read through ZIP64
 fields, and the ZIP64 end records are written always.
 
@@ -18,12 +18,13 @@ speculative task cannot leave a torn file.
 
 from __future__ import annotations
 
+import gzip
 import struct
 import uuid
 import zlib
+from base64 import b32encode
 from collections.abc import Iterator
 from hashlib import sha1
-from base64 import b32encode
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from hourglass.llm.common import bounded_batches, stored
 from hourglass.session import scratch_path
 
-DATA, INDEX = "archive/data.warc", "indexes/index.cdx"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 #: Bytes of records after which a task begins another archive, and bytes of one read.
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 4 << 20
@@ -264,7 +265,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     writer.begin(DATA)
                 body = payload.as_py()
                 sha = digest(body)
-                raw = record(i.as_py(), url.as_py(), body, sha, ref.as_py())
+                raw = gzip.compress(record(i.as_py(), url.as_py(), body, sha, ref.as_py()), mtime=0)
                 at = writer.entries[-1][2]
                 writer.write(raw)
                 index.append(f"{i.as_py()} {at} {len(raw)} sha1:{sha} {'revisit' if ref.is_valid else 'response'}\n")
@@ -322,7 +323,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
             for path in b.column(0).to_pylist():
                 rows, held = [], 0
                 for raw in records(fs, f"{base}/{path}"):
-                    head, block = parse_record(raw)
+                    head, block = parse_record(gzip.decompress(raw))
                     own = head["WARC-Type"] == "response"
                     sha, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["Page-Payload-Length"])
                     if own and (digest(block) != sha or len(block) != size):

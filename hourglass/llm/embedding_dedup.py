@@ -144,13 +144,14 @@ def _small_buckets(tbl: pa.Table, hasher: Hasher, threshold: float) -> list:
     """Many whole buckets of up to SMALL rows: links by comparing rows at each distance."""
     key, rep, copies = (tbl[n].to_numpy() for n in ("key", "cid", "copies"))
     own, table = tbl["own"].to_numpy(), tbl["table"].to_numpy()
+    side, whole = tbl["side"].to_numpy(), tbl["i"].to_numpy() == tbl["j"].to_numpy()
     x = _unit(_matrix(tbl["v"].combine_chunks()))
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for d in range(1, len(key)):
         r = np.flatnonzero(key[:-d] == key[d:])
         if not len(r):
             break
-        r = r[(own[r] | own[r + d])]
+        r = r[(own[r] | own[r + d]) & (whole[r] | (side[r] != side[r + d]))]
         r = r[np.einsum("ij,ij->i", x[r], x[r + d]) >= threshold]
         left.append(r)
         right.append(r + d)

@@ -71,6 +71,9 @@ _PAGE_HEADER = frozenset(("header",))
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption #".split())
 
 
+_KEPT = frozenset(("article", "main", "body")) | VOID
+
+
 class Node:
     """An element, or a text ("#") with its decoded text."""
 
@@ -168,18 +171,22 @@ def parse(page: str) -> Node:
     return root
 
 
+def _shown(node: Node) -> list[Node]:
+    """Children without the white space between them, which only matters to the text."""
+    return [k for k in node.kids if k.tag != "#" or not k.text.isspace()]
+
+
 def sign(node: Node) -> int:
     """Hash of a subtree's elements and texts, set on every node."""
     if node.tag == "#":
         node.sig = zlib.crc32(_WHITE.sub(" ", node.text).strip().encode("utf-8", "replace"))
     else:
-        node.kids = [k for k in node.kids if k.tag != "#" or not k.text.isspace()] if node.tag != "pre" else node.kids
-        node.sig = zlib.crc32(f"{node.tag} {node.key} {[sign(k) for k in node.kids]}".encode())
+        node.sig = zlib.crc32(f"{node.tag} {node.key} {[sign(k) for k in _shown(node)]}".encode())
     return node.sig
 
 
 def pack_tree(node: Node) -> list:
-    return [node.tag, node.key, node.sig, [pack_tree(k) for k in node.kids if not k.drop or k.kids]]
+    return [node.tag, node.key, node.sig, [pack_tree(k) for k in _shown(node)]]
 
 
 # Trees below are lists [tag, key, hash, children]; a wrapper's hash is None where content varies.
@@ -244,14 +251,20 @@ def _align(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
 
 
 def induce(trees: list[list]) -> list | None:
-    """The wrapper of pages whose trees differ, or None if there are fewer than MIN_REFERENCES."""
-    trees = list({t[2]: t for t in trees}.values())
+    """The wrapper of pages whose trees differ, or None if fewer than MIN_REFERENCES agree on one."""
+    trees = sorted({t[2]: t for t in trees}.values(), key=lambda t: (_size(t), t[2]))
     if len(trees) < MIN_REFERENCES:
         return None
-    wrapper = trees[0]
-    for t in trees[1:]:
-        wrapper = _common(wrapper, t)
-    return wrapper
+    wrapper, used = trees[len(trees) // 2], 1  # of median size, so not an empty or broken page
+    for t in trees[:len(trees) // 2] + trees[len(trees) // 2 + 1:]:
+        common = _common(wrapper, t)
+        if 3 * _size(common) >= len(wrapper[3]) and common[3]:  # else a page of another make
+            wrapper, used = common, used + 1
+    return wrapper if used >= MIN_REFERENCES else None
+
+
+def _size(tree: list) -> int:
+    return 1 + sum(map(_size, tree[3]))
 
 
 def _common(a: list, b: list) -> list:
@@ -264,11 +277,12 @@ def _common(a: list, b: list) -> list:
 def mark_constants(node: Node, wrapper: list, inside: bool = False) -> None:
     """Drop the nodes of a page that are constants of its host's wrapper."""
     inside = inside or node.tag in ("article", "main")
-    kids = [[k.tag, k.key, k.sig, [[x.tag, x.key, x.sig, []] for x in k.kids]] for k in node.kids]
+    shown = _shown(node)
+    kids = [[k.tag, k.key, k.sig, [[x.tag, x.key, x.sig, []] for x in _shown(k)]] for k in shown]
     for i, j in _align(wrapper[3], kids)[1]:
-        kid, constant = node.kids[j], wrapper[3][i][2]
+        kid, constant = shown[j], wrapper[3][i][2]
         if constant is not None:
-            if constant == kid.sig and not (inside and kid.tag in _TEXTUAL) and kid.tag not in ("article", "main", "body"):
+            if constant == kid.sig and not (inside and kid.tag in _TEXTUAL) and kid.tag not in _KEPT:
                 kid.drop = True
         else:
             mark_constants(kid, wrapper[3][i], inside)

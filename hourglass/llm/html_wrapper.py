@@ -10,7 +10,7 @@ are dropped and slots give the text, without the elements that are never part of
 element, role or class.  If the slots hold an article or main element, only it counts.
 
 A wrapper needs ``MIN_REFERENCES`` pages that differ; a host with fewer has none and all its nodes
-are slots.  Inside an article only containers, never paragraphs, headings, lists or tables, can be
+are slots.  Only whole blocks can be constants, not words within one; inside an article only containers, never paragraphs, headings, lists or tables, can be
 constants, so a sentence that many articles share stays.
 
 References travel as trees of content hashes, not as texts, and pages meet their wrapper in an
@@ -71,7 +71,7 @@ _PAGE_HEADER = frozenset(("header",))
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption #".split())
 
 
-_KEPT = frozenset(("article", "main", "body")) | VOID
+_KEPT = frozenset(("article", "main", "body"))
 
 
 class Node:
@@ -282,7 +282,7 @@ def mark_constants(node: Node, wrapper: list, inside: bool = False) -> None:
     for i, j in _align(wrapper[3], kids)[1]:
         kid, constant = shown[j], wrapper[3][i][2]
         if constant is not None:
-            if constant == kid.sig and not (inside and kid.tag in _TEXTUAL) and kid.tag not in _KEPT:
+            if constant == kid.sig and kid.tag in BLOCK and not (inside and kid.tag in _TEXTUAL) and kid.tag not in _KEPT:
                 kid.drop = True
         else:
             mark_constants(kid, wrapper[3][i], inside)

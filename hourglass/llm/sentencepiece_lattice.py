@@ -5,7 +5,7 @@ by one, and every distinct word of a chunk of documents is encoded once:
 
 1. a word is exploded into its substrings of at most the longest piece's length;
 2. the substrings are equi-joined to the piece table (a bounded table, broadcast);
-3. the surviving edges are grouped by word, ordered by their end;
+3. the surviving edges are grouped by word, whose rows still stand together, ordered by their end;
 4. a higher-order ``aggregate`` folds the edges into the best score of every position (Viterbi)
    and a second one walks back from the end.
 
@@ -25,9 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import bind, bounded_batches
@@ -128,6 +129,40 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from out()
 
 
+def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per word from edge rows in which a word's rows stand together.
+
+    Exploding and the broadcast join leave the rows of a word together, so grouping them needs no
+    sort and no memory beyond a batch; every word must come out with its first edge exactly once.
+    """
+    def rows(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        e, s = t["e"].to_numpy(), t["s"].to_numpy()
+        firsts = np.add.reduceat(((s == 0) & (e == 1)).astype(np.int64), cuts)
+        if not (firsts == 1).all():
+            raise RuntimeError("the edges of a word are torn apart")
+        edge = pa.StructArray.from_arrays([t[n].combine_chunks() for n in ("e", "s", "score", "id")], ["e", "s", "score", "id"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(t)), pa.int32()), edge)
+        at = pa.array(cuts)
+        return pa.RecordBatch.from_arrays([t["chunk"].combine_chunks().take(at), t["word"].combine_chunks().take(at), lists],
+                                          ["chunk", "word", "edges"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = pa.Table.from_batches([*held, batch])
+        word, chunk = t["word"].combine_chunks(), t["chunk"].to_numpy()
+        new = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False) | (chunk[1:] != chunk[:-1])
+        cuts = np.append(0, np.flatnonzero(new) + 1)
+        if len(cuts) > 1:
+            yield rows(t.slice(0, int(cuts[-1])), cuts[:-1])
+            t = t.slice(int(cuts[-1]))
+        held = t.to_batches()
+    if held:
+        yield rows(pa.Table.from_batches(held), np.array([0]))
+
+
 def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.pieces.items()], "piece string, id int, score double")
 
@@ -147,12 +182,10 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             .withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("len"))))
     edges = (subs.join(F.broadcast(_piece_table(spark, pieces)), "piece", "left")
              .where("id IS NOT NULL OR len = 1")
-             .select("chunk", "word", "s", "len", F.struct(
-                 (F.col("s") + F.col("len")).alias("e"), "s", F.coalesce("score", unknown).alias("score"),
-                 F.coalesce("id", -1 - F.ascii("piece")).alias("id")).alias("edge")))
-    # the rows of a word stand together, so the window needs no sort; its first edge stands for the word
-    lattice = (edges.withColumn("edges", F.collect_list("edge").over(Window.partitionBy("chunk", "word")))
-               .where("s = 0 AND len = 1").select("chunk", "word", F.sort_array("edges").alias("edges")))
+             .select("chunk", "word", (F.col("s") + F.col("len")).alias("e"), "s", F.coalesce("score", unknown).alias("score"),
+                     F.coalesce("id", -1 - F.ascii("piece")).alias("id")))
+    lattice = edges.mapInArrow(_group_edges, "chunk bigint, word string, edges array<struct<e:int,s:int,score:double,id:int>>")
+    lattice = lattice.select("chunk", "word", F.sort_array("edges").alias("edges"))
 
     def forward(best, edge):
         def step(cand):

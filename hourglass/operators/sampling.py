@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.hashing import hash_u32, hash_uniform
@@ -69,29 +69,97 @@ def weighted_resample(df: DataFrame, weight: str, n: int | None, key: str, seed:
     """Weighted resampling with replacement, ``n`` draws in expectation.
 
     Row i is repeated Poisson(n * w_i / sum w) times (a null weight counts
-    0).  ``n=None`` means as many draws as rows.  One pass plus a one-row
-    aggregate; no global sort, no driver-side sampling.  A row whose draw
-    count exceeds ``chunk`` (one row may carry a third of all weight) is split
-    into chunks that are spread over tasks before they are expanded, so no
-    single task emits all of its copies.
+    0), its copies numbered from 1 without gaps.  ``n=None`` means as many
+    draws as rows.  ``key`` identifies a row.  One pass plus a one-row
+    aggregate; no global sort, no driver-side sampling.  A row that expects
+    more than ``chunk`` draws (one row may carry a third of all weight) is cut
+    into pieces of at most ``chunk`` expected draws before anything is drawn;
+    each piece is drawn by its own hash in a task of its own, so neither an
+    array nor a task grows with the row's share.
     """
     w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
     tot = df.agg(F.sum(w).alias("__wsum"), F.count(F.lit(1)).alias("__rows"))
     nn = F.lit(float(n)) if n is not None else F.col("__rows").cast("double")
     lam = F.when(F.col("__wsum") > 0, nn * w / F.col("__wsum")).otherwise(F.lit(0.0))
-    u = hash_uniform(key, seed)
-    j = df.crossJoin(F.broadcast(tot)).withColumn("__cnt", poisson_draws(lam, u)).filter(F.col("__cnt") > 0)
-    heavy = F.col("__cnt") > F.lit(chunk)
-    light = j.filter(~heavy).select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__cnt"))).alias(out))
-    pieces = (j.filter(heavy)
-              .select(*df.columns, "__cnt",
-                      F.explode(F.sequence(F.lit(0), F.floor((F.col("__cnt") - 1) / chunk).cast("int")))
-                      .alias("__chunk"))
-              .repartition(F.col(key), F.col("__chunk")))
-    first = F.col("__chunk") * chunk + 1
-    last = F.least(F.col("__cnt"), (F.col("__chunk") + 1) * chunk)
-    spread = pieces.select(*df.columns, F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias(out))
-    return light.unionByName(spread)
+    j = df.crossJoin(F.broadcast(tot)).withColumn("__lam", lam)
+    light = (j.filter(F.col("__lam") <= chunk)
+             .withColumn("__cnt", poisson_draws(F.col("__lam"), hash_uniform(key, seed)).cast("bigint"))
+             .withColumn("__before", F.lit(0).cast("bigint")))
+    return _copies(light, df.columns, out).unionByName(_copies(_heavy_draws(j, key, seed, chunk), df.columns, out))
+
+
+#: Pieces of a row are listed in blocks of so many, so that no array of pieces grows with the draws.
+PIECE_BLOCK = 1000
+
+
+def _pieces(rows: DataFrame, count: Column, key: str) -> DataFrame:
+    """Each row ``count`` times as ``__piece`` 0, 1, ..., spread over tasks."""
+    blocks = rows.withColumn("__pieces", count.cast("bigint")).withColumn(
+        "__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__pieces") - 1) / PIECE_BLOCK))))
+    first = F.col("__block") * PIECE_BLOCK
+    last = F.least(F.col("__pieces"), first + PIECE_BLOCK) - 1
+    return (blocks.repartition(F.col(key), F.col("__block"))
+            .withColumn("__piece", F.explode(F.sequence(first, last))).drop("__block")
+            .repartition(F.col(key), F.col("__piece")))
+
+
+def _copies(rows: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """Rows repeated ``__cnt`` times, numbered from ``__before`` + 1 on."""
+    first = F.col("__before") + 1
+    return rows.filter(F.col("__cnt") > 0).select(
+        *columns, F.explode(F.sequence(first, F.col("__before") + F.col("__cnt"))).alias(out))
+
+
+def _heavy_draws(j: DataFrame, key: str, seed: int, chunk: int) -> DataFrame:
+    """Pieces of the rows above ``chunk`` expected draws, with their draws and those of earlier pieces."""
+    from hourglass.operators.scan import prefix_sums
+
+    parts = _pieces(j.filter(F.col("__lam") > chunk), F.ceil(F.col("__lam") / chunk), key)
+    u = hash_uniform(F.concat(F.col(key).cast("string"), F.lit("/"), F.col("__piece").cast("string")), seed)
+    drawn = parts.withColumn("__cnt", poisson_draws(F.col("__lam") / F.col("__pieces"), u).cast("bigint"))
+    cum = prefix_sums(drawn, [key], ["__piece"], ["__cnt"], suffix="_before", inclusive=False)
+    return cum.withColumnRenamed("__cnt_before", "__before")
+
+
+def weighted_resample_exact(df: DataFrame, weight: str, n: int | None, key: str, seed: int = 0,
+                            out: str = "draw", chunk: int = 100_000) -> DataFrame:
+    """Weighted resampling with replacement, exactly ``n`` draws (I2), by systematic sampling.
+
+    Rows lie on a line in the order of (hash, key), each as long as its share
+    of the weight; n points at equal distance from a seeded start hit them.
+    Row i gets n * w_i / sum w draws rounded up or down, and that many in
+    expectation.  The draws of a row are numbered from 1.  ``n=None`` means as many draws as
+    rows; without any positive weight the result is empty.  Shares are 60-bit
+    integers, so the running sums (distributed, ``prefix_sums``) are exact
+    and the draws add up to n.  ``key`` identifies a row.
+    """
+    from hourglass.operators.scan import prefix_sums
+
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    tot = df.agg(F.sum(w).alias("__wsum"), F.count(F.lit(1)).alias("__rows"))
+    share = F.when(F.col("__wsum") > 0, F.floor(w / F.col("__wsum") * float(2 ** 60) + 0.5)).otherwise(0)
+    line = (df.crossJoin(F.broadcast(tot)).withColumn("__share", share.cast("bigint"))
+            .withColumn("__h", hash_u32(key, seed)))
+    cum = prefix_sums(line, [], ["__h", key], ["__share"], suffix="_end")
+    whole = cum.agg(F.sum("__share").alias("__whole"))
+    points = F.lit(n).cast("bigint") if n is not None else F.col("__rows")
+    placed = (cum.crossJoin(F.broadcast(whole)).filter(F.col("__whole") > 0)
+              .withColumn("__n", points).withColumn("__u", hash_u32(F.lit("start"), seed))
+              .withColumn("__start", F.expr(
+                  "CAST(__u AS DECIMAL(10,0)) * CAST(__whole AS DECIMAL(20,0)) div CAST(4294967296 AS DECIMAL(10,0))")))
+
+    def hits(end: str) -> Column:
+        """Points at or before a place on the line."""
+        return F.expr(f"(CAST({end} AS DECIMAL(20,0)) * CAST(__n AS DECIMAL(17,0)) + CAST(__start AS DECIMAL(20,0)))"
+                      " div CAST(__whole AS DECIMAL(20,0))")
+
+    counted = placed.withColumn("__all", hits("__share_end") - hits("(__share_end - __share)")).filter(F.col("__all") > 0)
+    light = counted.filter(F.col("__all") <= chunk).withColumn("__before", F.lit(0).cast("bigint")).withColumn(
+        "__cnt", F.col("__all"))
+    heavy = _pieces(counted.filter(F.col("__all") > chunk), F.ceil(F.col("__all") / chunk), key)
+    heavy = heavy.withColumn("__before", F.col("__piece") * chunk).withColumn(
+        "__cnt", F.least(F.col("__all") - F.col("__before"), F.lit(chunk).cast("bigint")))
+    return _copies(light, df.columns, out).unionByName(_copies(heavy, df.columns, out))
 
 
 # --------------------------------------------------------------------------- I3

@@ -46,8 +46,8 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column | s
     wt = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*groups, "__part",
                             *[F.coalesce(F.sum(f"__tot_{v}").over(wt), F.lit(0)).alias(f"__off_{v}") for v in values])
-    # offsets has (groups x partitions) rows: bounded by the partition count.
-    out = local.join(F.broadcast(offsets), [*groups, "__part"], "left")
+    # without groups offsets has a row per partition; with groups the planner decides by size
+    out = local.join(offsets if groups else F.broadcast(offsets), [*groups, "__part"], "left")
     return out.select(*df.columns, *[(F.col(f"__loc_{v}") + F.col(f"__off_{v}")).alias(f"{v}{suffix}")
                                      for v in values])
 

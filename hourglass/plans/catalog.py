@@ -703,20 +703,23 @@ def a8(spark, sf):
     return AG.seq_extent(t["channels"], "user_id", "HOUR_IN")
 
 
-_SEQ_CHANNELS = ("V__click", "V__purchase", "M__click", "M__purchase", "D__click", "D__purchase", "V__time")
+_SEQ_CHANNELS = (*(f"{block}__{name}" for block in "VMD" for name in IN.FEATURES), "V__time")
 
 
 def _sequences(spark, sf):
+    """Every stay's whole timeline; the sequences are as long as the longest stay."""
     _, _, t = _ev_tables(spark, sf)
     ds = ETL.dataset(t, "user_id")
-    return SQ.build_sequences(ds, "user_id", "HOUR_IN", list(_SEQ_CHANNELS), seq_len=IN.SEQ_LEN,
-                              label="target")
+    longest = t["stays"].agg(F.max("STAY_HOURS")).first()[0]
+    return SQ.build_sequences(ds, "user_id", "HOUR_IN", list(_SEQ_CHANNELS), seq_len=max(int(longest or 0), 1),
+                              label="target", entities=t["stays"])
 
 
 @q("g4_build_sequences")
 def g4(spark, sf):
-    return rounded(SQ.explode_sequences(_sequences(spark, sf), "user_id").withColumn(
-        "value", F.col("value").cast("double")))
+    """One row per stay and channel, its values by position."""
+    s = _sequences(spark, sf).select("user_id", F.posexplode("X_num").alias("channel", "vals"))
+    return rounded(s.withColumn("vals", F.col("vals").cast("array<double>")))
 
 
 @q("g5_stack_channels")
@@ -767,6 +770,15 @@ def i2(spark, sf):
     return rounded(S.weighted_resample(j, "weight", None, "vec_id", seed=3))
 
 
+@q("i2_weighted_resample_exact")
+def i2_exact(spark, sf):
+    """Exactly as many draws as rows, weighted by inverse class frequency."""
+    emb = T(spark, sf, "embeddings").select("vec_id", "label")
+    w = AG.balanced_class_weights(emb, "label", list(range(10)), cap=50.0)
+    j = emb.join(F.broadcast(w.withColumnRenamed("class_idx", "label")), ["label"])
+    return rounded(S.weighted_resample_exact(j, "weight", None, "vec_id", seed=3))
+
+
 @q("i3_sample_rows")
 def i3(spark, sf):
     d = T(spark, sf, "documents").select("doc_id", "lang", "n_chars")

@@ -227,22 +227,24 @@ TRAIN_STATS = "train_stats AS (SELECT " + ", ".join(
     f"avg({c}) AS {c}__mean, stddev_samp({c}) AS {c}__std" for c in Z_COLS) + \
     " FROM ev_channels WHERE user_id IN (SELECT user_id FROM splits WHERE split = 'train'))"
 
-SEQ_CHANNELS = ("V__click", "V__purchase", "M__click", "M__purchase", "D__click", "D__purchase", "V__time")
+SEQ_CHANNELS = (*(f"{block}__{name}" for block in "VMD" for name in FEATURES), "V__time")
 SEQ_LONG = f"""ds AS (
   SELECT c.*, l.target FROM ev_channels c LEFT JOIN ev_labels l USING (user_id, HOUR_IN)),
-seq_rows AS (SELECT * FROM ds WHERE HOUR_IN >= 0 AND HOUR_IN < {SEQ_LEN}),
-seq_mh AS (SELECT user_id, max(HOUR_IN) AS mh FROM seq_rows GROUP BY user_id),
+seq_size AS (SELECT greatest(coalesce(max(STAY_HOURS), 0), 1) AS L FROM ev_stays),
+seq_rows AS (SELECT * FROM ds),
+seq_mh AS (SELECT s.user_id, max(d.HOUR_IN) AS mh FROM ev_stays s LEFT JOIN ds d USING (user_id) GROUP BY s.user_id),
+seq_pos AS (SELECT unnest(range(L)) AS pos, L FROM seq_size),
 seq_long AS (
   SELECT m.user_id, CAST(ch.channel AS INTEGER) AS channel, CAST(p.pos AS INTEGER) AS pos,
          CAST(coalesce(CASE ch.channel {' '.join(f"WHEN {i} THEN CAST(CASE WHEN isfinite(CAST(s.{c} AS DOUBLE)) THEN CAST(s.{c} AS DOUBLE) END AS FLOAT)" for i, c in enumerate(SEQ_CHANNELS))} END, 0.0) AS FLOAT) AS value
   FROM seq_mh m
   CROSS JOIN (SELECT range AS channel FROM range({len(SEQ_CHANNELS)})) ch
-  CROSS JOIN (SELECT range AS pos FROM range({SEQ_LEN})) p
-  LEFT JOIN seq_rows s ON s.user_id = m.user_id AND s.HOUR_IN = p.pos - ({SEQ_LEN - 1} - m.mh)),
+  CROSS JOIN seq_pos p
+  LEFT JOIN seq_rows s ON s.user_id = m.user_id AND s.HOUR_IN = p.pos - (p.L - 1 - m.mh)),
 seq_y AS (
   SELECT m.user_id, p.pos, coalesce(CASE WHEN s.user_id IS NULL THEN NULL ELSE coalesce(s.target, -100) END, -100) AS y
-  FROM seq_mh m CROSS JOIN (SELECT range AS pos FROM range({SEQ_LEN})) p
-  LEFT JOIN seq_rows s ON s.user_id = m.user_id AND s.HOUR_IN = p.pos - ({SEQ_LEN - 1} - m.mh))"""
+  FROM seq_mh m CROSS JOIN seq_pos p
+  LEFT JOIN seq_rows s ON s.user_id = m.user_id AND s.HOUR_IN = p.pos - (p.L - 1 - m.mh))"""
 
 # ------------------------------------------------------------------ predictions
 PREDS = """preds AS (
@@ -587,10 +589,10 @@ ORACLE["p24_apply_zscore"] = with_(*EV_ALL, SPLITS, TRAIN_STATS) + \
         f"round(({c} - {c}__mean) / coalesce(nullif({c}__std, 0.0), 1.0), 6) AS {c}" for c in Z_COLS) + \
     " FROM ev_channels CROSS JOIN train_stats"
 ORACLE["a8_seq_extent"] = with_(*EV_ALL) + "SELECT user_id, max(HOUR_IN) AS max_hour FROM ev_channels GROUP BY 1"
-ORACLE["g4_build_sequences"] = with_(*EV_ALL, SEQ_LONG) + \
-    "SELECT user_id, channel, pos, round(CAST(value AS DOUBLE), 6) AS value FROM seq_long"
+ORACLE["g4_build_sequences"] = with_(*EV_ALL, SEQ_LONG) + """
+SELECT user_id, channel, list(round(CAST(value AS DOUBLE), 6) ORDER BY pos) AS vals FROM seq_long GROUP BY 1, 2"""
 ORACLE["g5_stack_channels"] = with_(*EV_ALL, SEQ_LONG) + f"""
-SELECT user_id, CAST({len(SEQ_CHANNELS)} AS INTEGER) AS n_channels, CAST({SEQ_LEN} AS INTEGER) AS seq_len,
+SELECT user_id, CAST({len(SEQ_CHANNELS)} AS INTEGER) AS n_channels, CAST(max(pos) + 1 AS INTEGER) AS seq_len,
        list(round(CAST(value AS DOUBLE), 6) ORDER BY channel, pos) AS flat
 FROM seq_long GROUP BY user_id"""
 ORACLE["w6_last_valid"] = with_(*EV_ALL, SEQ_LONG) + """
@@ -602,7 +604,7 @@ SELECT user_id, [CAST(coalesce(M__click, 0) AS INTEGER), CAST(coalesce(M__view,
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY HOUR_IN) AS rn FROM ev_channels) WHERE rn = 1"""
 ORACLE["s10_write_sequences"] = with_(*EV_ALL, SPLITS, SEQ_LONG) + f"""
 SELECT m.user_id AS stay_id, s.split, CAST({len(SEQ_CHANNELS)} AS INTEGER) AS n_channels,
-       CAST({SEQ_LEN} AS INTEGER) AS n_steps
+       CAST((SELECT L FROM seq_size) AS INTEGER) AS n_steps
 FROM seq_mh m JOIN splits s USING (user_id)"""
 ORACLE["s11_read_sequences"] = with_(*EV_ALL, SPLITS, SEQ_LONG) + """
 SELECT m.user_id AS stay_id, s.split, CAST(x.y_last AS BIGINT) AS y_last, true AS no_icd
@@ -800,7 +802,26 @@ cdf AS (SELECT *, sum(exp(-lam + k * ln(greatest(lam, 1e-300)) - lgamma(k + 1)))
 cnt AS (SELECT vec_id, label, weight,
                CASE WHEN any_value(lam) <= 0 THEN 0 ELSE coalesce(min(k) FILTER (WHERE u < cdf), max(k)) END AS c
         FROM cdf GROUP BY vec_id, label, weight)
-SELECT vec_id, label, round(weight, 6) AS weight, CAST(unnest(range(1, c + 1)) AS INTEGER) AS draw FROM cnt WHERE c > 0"""
+SELECT vec_id, label, round(weight, 6) AS weight, CAST(unnest(range(1, c + 1)) AS BIGINT) AS draw FROM cnt WHERE c > 0"""
+
+ORACLE["i2_weighted_resample_exact"] = f"""
+WITH c AS (SELECT CAST(label AS BIGINT) AS class_idx, count(*) AS n_c FROM embeddings
+           WHERE label IS NOT NULL AND label <> -100 GROUP BY 1),
+t AS (SELECT sum(n_c) AS n, count(*) AS k FROM c),
+w AS (SELECT k.class_idx AS wl, least(coalesce(t.n / (t.k * c.n_c), 1.0), 50.0) AS weight
+      FROM (SELECT range AS class_idx FROM range(10)) k LEFT JOIN c ON k.class_idx = c.class_idx CROSS JOIN t),
+j AS (SELECT e.vec_id, e.label, w.weight FROM embeddings e JOIN w ON e.label = w.wl),
+tot AS (SELECT sum(weight) AS wsum, count(*) AS nrows FROM j),
+share AS (SELECT j.*, nrows, CAST(floor(weight / wsum * 1152921504606846976.0 + 0.5) AS HUGEINT) AS sh
+          FROM j CROSS JOIN tot),
+line AS (SELECT *, sum(sh) OVER (ORDER BY {HASH.format(k='vec_id', seed=3)}, vec_id ROWS UNBOUNDED PRECEDING) AS hi,
+                sum(sh) OVER () AS whole FROM share),
+start AS (SELECT *, CAST({HASH.format(k="'start'", seed=3)} AS HUGEINT) * CAST(whole AS HUGEINT) // 4294967296 AS off
+          FROM line),
+cnt AS (SELECT *, (CAST(hi AS HUGEINT) * nrows + off) // CAST(whole AS HUGEINT)
+                  - (CAST(hi - sh AS HUGEINT) * nrows + off) // CAST(whole AS HUGEINT) AS c FROM start)
+SELECT vec_id, label, round(weight, 6) AS weight, CAST(unnest(range(1, CAST(c AS BIGINT) + 1)) AS BIGINT) AS draw
+FROM cnt WHERE c > 0"""
 
 ORACLE["x1_score_batches"] = """
 SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6)

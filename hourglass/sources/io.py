@@ -8,7 +8,6 @@ never target the path they read from.  Paths go through Hadoop's FileSystem so
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +24,26 @@ def _fs_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def _qualified(spark: SparkSession, path) -> str:
+    """The path with its scheme and authority, as the file system names it."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(jpath).toString().rstrip("/")
+
+
+def _scan_roots(df: DataFrame) -> list[str]:
+    """Root paths of the file scans in a DataFrame's plan."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and \
+                leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            roots += [_qualified(df.sparkSession, paths.apply(k).toString()) for k in range(paths.size())]
+    return roots
+
+
 # --------------------------------------------------------------------------- S2
 def resolve_table(spark: SparkSession, root: str, table: str,
                   prefer: Sequence[str] = (".csv.gz", ".csv")) -> str:
@@ -99,14 +118,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = N
                 sort_within: Sequence[str] | None = None, mode: str = "overwrite") -> str:
     """Write a Parquet artifact, optionally partitioned and sorted within files.
 
-    Refuses to overwrite a path the DataFrame reads from (trap T18).
+    Refuses to overwrite a path the DataFrame reads from (trap T18), by the
+    qualified root paths of its scans; no file is listed for that.
     """
-    def _p(x: str) -> str:
-        return urlparse(x).path.rstrip("/") or x
-
-    target = _p(path)
-    if mode == "overwrite" and any(_p(f) == target or _p(f).startswith(target + "/") for f in df.inputFiles()):
-        raise ValueError(f"refusing to overwrite {path}: it is an input of this DataFrame")
+    if mode == "overwrite":
+        target = _qualified(df.sparkSession, path)
+        for root in _scan_roots(df):
+            if (root + "/").startswith(target + "/") or (target + "/").startswith(root + "/"):
+                raise ValueError(f"refusing to overwrite {path}: it is an input of this DataFrame")
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
     w = df.write.mode(mode)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from hourglass.operators import sampling as S
@@ -122,3 +123,37 @@ def test_channels_wide_table_one_window(spark):
     plan = ch._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") == 1
     assert ch.count() == 200
+
+
+def test_weighted_resample_plans_bounded_pieces(spark):
+    df = spark.createDataFrame([(0, 3e9), (1, 100_000.0)], "k int, __lam double")
+    heavy = df.filter("__lam > 100000")
+    got = S._pieces(heavy, F.ceil(F.col("__lam") / 100_000), "k").agg(
+        F.count("*"), F.countDistinct("__piece"), F.max(F.col("__lam") / F.col("__pieces"))).first()
+    assert tuple(got) == (30_000, 30_000, 100_000.0)
+
+
+def test_weighted_resample_exact_counts(spark):
+    df = spark.range(0, 500).select(F.col("id").alias("k"), F.when(F.col("id") == 7, 400.0)
+                                    .when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 3).alias("w"))
+    whole = df.agg(F.sum("w")).first()[0]
+    for n in (0, 1, 10_000):
+        out = S.weighted_resample_exact(df, "w", n, "k", seed=4, chunk=300)
+        counts = {r.k: (r.n, r.d, r.top) for r in out.groupBy("k").agg(
+            F.count("*").alias("n"), F.countDistinct("draw").alias("d"), F.max("draw").alias("top")).collect()}
+        assert sum(c[0] for c in counts.values()) == n
+        assert all(a == b == c for a, b, c in counts.values())
+        for r in df.collect():
+            assert abs(counts.get(r.k, (0,))[0] - n * (r.w or 0) / whole) < 1 + 1e-6
+    assert S.weighted_resample_exact(df.withColumn("w", F.lit(0.0)), "w", 10, "k").count() == 0
+
+
+def test_write_table_refuses_its_own_input(spark, tmp_path):
+    from hourglass.sources import io as IO
+    path = str(tmp_path / "a")
+    IO.write_table(spark.range(5).toDF("x"), path)
+    for target in (path, "file:" + path, str(tmp_path)):
+        with pytest.raises(ValueError):
+            IO.write_table(spark.read.parquet(path), target)
+    IO.write_table(spark.read.parquet(path), path + "b")
+    assert spark.read.parquet(path + "b").count() == 5

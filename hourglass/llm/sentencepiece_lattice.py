@@ -1,43 +1,43 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is written with the space mark, its words (a mark run and what follows it) are encoded one
-by one, and every distinct word of a chunk of documents is encoded once:
+A text is written with the space mark and split into words (a mark run and what follows it); a
+word is cut further between two characters that stand side by side in no piece, which no edge
+can span.  Every distinct segment of a run of documents is encoded once:
 
-1. a word is exploded into its substrings of at most the longest piece's length;
+1. a segment is exploded into its substrings of at most the longest piece's length, by their ends;
 2. the substrings are equi-joined to the piece table (a bounded table, broadcast);
-3. the surviving edges are grouped by word, whose rows still stand together, ordered by their end;
-4. a higher-order ``aggregate`` folds the edges into the best score of every position (Viterbi)
-   and a second one walks back from the end.
+3. the surviving edges are grouped by segment and end, whose rows still stand together;
+4. a higher-order ``aggregate`` folds the ends into the best score of every position (Viterbi)
+   and a second one walks back from the last.
 
 A single character that is no piece is an edge of its own with the unknown score; it is written
 as byte pieces.  Ties go to the edge that starts first, as in the library's unigram decoder.
-No piece crosses a word boundary (checked), so a text's best path is its words' paths in turn.
+A text's best path is its segments' paths in turn.
 
-A chunk is a run of a scan partition's rows of CHUNK_BYTES of text; its documents and its word
-table meet in a co-group, so neither the rows of a frequent word nor the occurrences of all words
-are ever shuffled.
+Nothing is shuffled: the segments that a batch of documents brings new stand before it in the
+same partition, explode and broadcast join keep the order of rows (both groupings check it), and
+the last step looks the paths up.  A run ends at MAX_WORDS distinct words, which bounds the lookup.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import bind, bounded_batches
 
 MARK = "▁"
-CHUNK_BYTES = 24 << 20
+#: Distinct words whose paths one run of documents keeps at hand; a batch above it ends the run.
+MAX_WORDS = 500_000
 #: Largest piece table, which is broadcast.
 MAX_PIECES = 1_000_000
-#: Longer words are folded by ``viterbi`` where their document is; the edges of one word are one group.
+#: Longer segments are folded by ``viterbi`` where their document is; the edges of a segment are one group.
 MAX_WORD = 256
 UNKNOWN_PENALTY = 10.0
 
@@ -54,6 +54,7 @@ class Pieces:
             raise ValueError("a piece crosses a word boundary")
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces), default=1)
+        self.joined = frozenset(p[i:i + 2] for p in pieces for i in range(len(p) - 1))
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
     @staticmethod
@@ -83,6 +84,12 @@ class Pieces:
             e = s
         return [i for part in reversed(out) for i in part]
 
+    def segments(self, word: str) -> list[str]:
+        """``word`` cut where two neighbours stand side by side in no piece."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in joined]
+        return [word[a:b] for a, b in zip((0, *cuts), (*cuts, len(word)))] if cuts else [word]
+
     def decoder(self):
         """A function from ids to text."""
         known = {i: p.encode() for p, (i, _) in self.pieces.items()}
@@ -98,114 +105,168 @@ def words_of(text: str) -> list[str]:
     return _WORDS(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]):
-    """(chunk, id, text) of each row: chunks are numbered by partition and closed by bytes."""
-    chunk, size = TaskContext.get().partitionId() << 32, 0
-    for b in batches:
-        for i, text in zip(b.column(0), b.column(1)):
-            text = text.as_py() or ""
-            yield chunk, i, text
-            size += len(text)
-            if size >= CHUNK_BYTES:
-                chunk, size = chunk + 1, 0
-
-
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, words = None, set()
-
-    def out():
-        every = list(words)
-        for at in range(0, len(every), 20_000):
-            some = every[at:at + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int64()), pa.array(some, pa.string())], ["chunk", "word"])
-
-    for chunk, _, text in _chunks(batches):
-        if chunk != now:
-            if words:
-                yield from out()
-            now, words = chunk, set()
-        words.update(w for w in words_of(text) if len(w) <= MAX_WORD)
-    if words:
-        yield from out()
+def _segments(pieces: Pieces):
+    """(run, id, text, word) rows: the segments that a batch brings new, then its documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, segments = 0, set(), set()
+
+        def rows(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int32()), ids, texts, found],
+                                              ["run", "id", "text", "word"])
+
+        for b in batches:
+            if len(words) >= MAX_WORDS:
+                now, words, segments = now + 1, set(), set()
+            new = []
+            for text in b.column(1):
+                for w in dict.fromkeys(words_of(text.as_py() or "")):
+                    if w in words:
+                        continue
+                    if len(w) <= MAX_WORD:
+                        words.add(w)
+                    for part in pieces.segments(w):
+                        if len(part) <= MAX_WORD and part not in segments:
+                            segments.add(part)
+                            new.append(part)
+            for at in range(0, len(new), 10_000):
+                some = pa.array(new[at:at + 10_000], pa.string())
+                yield rows(pa.nulls(len(some), b.column(0).type), pa.nulls(len(some), pa.string()), some)
+            yield rows(b.column(0), b.column(1), pa.nulls(len(b), pa.string()))
+    return run
 
 
 def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per word from edge rows in which a word's rows stand together.
+    """One row per segment with its edges by end, from edge rows ordered by end; documents pass.
 
-    Exploding and the broadcast join leave the rows of a word together, so grouping them needs no
-    sort and no memory beyond a batch; every word must come out with its first edge exactly once.
+    The first edge of a segment carries the segment.  Every segment must have its ends 1, 2, ...
+    up to its length in turn, so rows that were torn apart or left out do not go unnoticed.
     """
-    def rows(t: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    def rows(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        e, s = t["e"].to_numpy(), t["s"].to_numpy()
-        firsts = np.add.reduceat(((s == 0) & (e == 1)).astype(np.int64), cuts)
-        if not (firsts == 1).all():
-            raise RuntimeError("the edges of a word are torn apart")
-        edge = pa.StructArray.from_arrays([t[n].combine_chunks() for n in ("e", "s", "score", "id")], ["e", "s", "score", "id"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(t)), pa.int32()), edge)
+        word, e = t["word"], pc.fill_null(t["e"], 0).to_numpy()
+        start = pc.is_valid(word).to_numpy() | (e == 0)
+        cuts, edge = np.flatnonzero(start), e > 0
+        step = np.diff(e, prepend=0)
+        new_end = edge & (start | (step != 0))
         at = pa.array(cuts)
-        return pa.RecordBatch.from_arrays([t["chunk"].combine_chunks().take(at), t["word"].combine_chunks().take(at), lists],
-                                          ["chunk", "word", "edges"])
-
-    held: list[pa.RecordBatch] = []
+        last = e[np.append(cuts[1:], len(e)) - 1]
+        length = pc.fill_null(pc.utf8_length(word.take(at)), 0).to_numpy()
+        if (step[new_end & ~start] != 1).any() or (e[start] > 1).any() or (last != length).any():
+            raise RuntimeError("the edges of a segment are torn apart")
+        kept = t.filter(pa.array(edge)).combine_chunks()
+        edges = pa.StructArray.from_arrays(
+            [_flat(kept["s"]), _flat(kept["score"]), _flat(kept["piece_id"])], ["s", "score", "piece_id"])
+        ends = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new_end[edge]), edge.sum()), pa.int32()), edges)
+        before = np.cumsum(new_end) - new_end
+        lists = pa.ListArray.from_arrays(pa.array(np.append(before[cuts], new_end.sum()), pa.int32()), ends)
+        return pa.RecordBatch.from_arrays([*(_flat(t[n].take(at)) for n in ("run", "id", "text", "word")), lists],
+                                          ["run", "id", "text", "word", "ends"])
+
+    held = None
     for batch in batches:
         if not len(batch):
             continue
-        t = pa.Table.from_batches([*held, batch])
-        word, chunk = t["word"].combine_chunks(), t["chunk"].to_numpy()
-        new = pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False) | (chunk[1:] != chunk[:-1])
-        cuts = np.append(0, np.flatnonzero(new) + 1)
-        if len(cuts) > 1:
-            yield rows(t.slice(0, int(cuts[-1])), cuts[:-1])
-            t = t.slice(int(cuts[-1]))
-        held = t.to_batches()
-    if held:
-        yield rows(pa.Table.from_batches(held), np.array([0]))
-
+        t = pa.Table.from_batches([batch])
+        if held is not None:
+            t = pa.concat_tables([held, t])
+        first = np.flatnonzero(pc.or_(pc.is_valid(t["word"]), pc.is_null(t["e"])).to_numpy())
+        if not len(first) or first[0]:
+            raise RuntimeError("the edges of a segment are torn apart")
+        if first[-1]:
+            yield rows(t.slice(0, int(first[-1])))
+        held = t.slice(int(first[-1]))
+    if held is not None:
+        yield rows(held)
 
-def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.pieces.items()], "piece string, id int, score double")
 
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    """A column in one piece."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, word, path): the ids of distinct words; -1 - c stands for unknown code point c.
 
-    ``words`` has distinct (chunk, word) rows of one to MAX_WORD characters.
-    """
-    spark = words.sparkSession
-    unknown = F.lit(pieces.unknown)
-    ordered = words.repartition("chunk").sortWithinPartitions("chunk", "word")
-    n = F.length("word")
-    subs = (ordered.select("chunk", "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-            .select("chunk", "word", "s", F.explode(F.sequence(
-                F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("len"))
-            .withColumn("piece", F.substring(F.col("word"), F.col("s") + 1, F.col("len"))))
-    edges = (subs.join(F.broadcast(_piece_table(spark, pieces)), "piece", "left")
-             .where("id IS NOT NULL OR len = 1")
-             .select("chunk", "word", (F.col("s") + F.col("len")).alias("e"), "s", F.coalesce("score", unknown).alias("score"),
-                     F.coalesce("id", -1 - F.ascii("piece")).alias("id")))
-    lattice = edges.mapInArrow(_group_edges, "chunk bigint, word string, edges array<struct<e:int,s:int,score:double,id:int>>")
-    lattice = lattice.select("chunk", "word", F.sort_array("edges").alias("edges"))
-
-    def forward(best, edge):
-        def step(cand):
-            here = F.struct(cand.alias("score"), edge.s.alias("s"), edge.id.alias("id"))
-            return (F.when(edge.e >= F.size(best), F.concat(best, F.array(here)))
-                    .when(cand > F.get(best, F.size(best) - 1).score,
-                          F.concat(F.slice(best, 1, F.size(best) - 1), F.array(here))).otherwise(best))
-        return step(F.get(best, edge.s).score + edge.score)
-
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id")))
-    best = F.aggregate("edges", start, forward)
+def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.pieces.items()],
+                                 "piece string, piece_id int, score double")
+
+
+def _lattice(words: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
+    """(run, id, text, word, path): the ids of segments; -1 - c stands for unknown code point c."""
+    e, s = F.col("e"), F.col("s")
+    subs = (words.select("*", F.explode_outer(F.sequence(F.lit(1), F.length("word"))).alias("e"))
+            .select("*", F.explode_outer(F.sequence(F.greatest(F.lit(0), e - pieces.longest), e - 1)).alias("s"))
+            .withColumn("piece", F.substring(F.col("word"), s + 1, e - s)))
+    edges = (subs.join(F.broadcast(_piece_table(words.sparkSession, pieces)), "piece", "left")
+             .where("score IS NOT NULL OR e - s = 1 OR s IS NULL")
+             .select("run", "id", "text", F.when(e == 1, F.col("word")).alias("word"), "e", "s",
+                     F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
+                     F.coalesce("piece_id", -1 - F.ascii("piece")).alias("piece_id")))
+    lattice = edges.mapInArrow(_group_edges, f"run int, id {kind}, text string, word string, "
+                                             "ends array<array<struct<s:int,score:double,piece_id:int>>>")
+
+    def forward(best, end):
+        # the best score, then the earliest start
+        reached = F.transform(end, lambda x: F.struct((F.get(best, x.s).score + x.score).alias("score"),
+                                                      (-x.s).alias("back"), x.piece_id.alias("piece_id")))
+        return F.concat(best, F.array(F.array_max(reached)))
+
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("piece_id")))
+    best = F.aggregate("ends", start, forward)
 
     def walk(b):
         def back(state, _):
             at = F.get(b, state.at)
-            return F.when(state.at > 0, F.struct(at.s.alias("at"), F.concat(state.ids, F.array(at.id)).alias("ids"))).otherwise(state)
+            return F.when(state.at > 0, F.struct((-at.back).alias("at"), F.concat(state.ids, F.array(at.piece_id)).alias("ids"))
+                          ).otherwise(state)
         return F.reverse(F.aggregate(F.sequence(F.lit(1), F.size(b)), F.struct(
             (F.size(b) - 1).alias("at"), F.array().cast("array<int>").alias("ids")), back).ids)
 
-    return lattice.select("chunk", "word", bind(best, walk).alias("path"))
+    return lattice.select("run", "id", "text", "word", bind(best, walk).alias("path"))
+
+
+def _assemble(pieces: Pieces):
+    """(id, ids, decoded) of the documents, from the paths of the segments before them."""
+    def unsigned(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def spelled(ids: list[int]) -> bytes:
+        return unsigned([y for x in ids for y in ([x] if x >= 0 else [pieces.byte_ids[b] for b in chr(-1 - x).encode()])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = pieces.decoder()
+        now, paths, known = None, {}, {}
+
+        def encoded(word: str) -> bytes:
+            ids = known.get(word)
+            if ids is None:
+                ids = b"".join([paths[part] if len(part) <= MAX_WORD else unsigned(pieces.viterbi(part))
+                                for part in pieces.segments(word)])
+                if len(word) <= MAX_WORD:
+                    known[word] = ids
+            return ids
+
+        for b in batches:
+            offsets = b.column(4).offsets.to_numpy()
+            flat = b.column(4).values.to_numpy()
+            raw = flat.astype("<u4").tobytes()
+            unknown = np.append(0, np.cumsum(flat < 0))
+            unknown = (unknown[offsets[1:]] > unknown[offsets[:-1]]).tolist()
+            offsets = offsets.tolist()
+            docs, all_ids, back = [], [], []
+            for k, (r, word) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
+                if r != now:
+                    now, paths, known = r, {}, {}
+                if word is not None:
+                    i, j = offsets[k:k + 2]
+                    paths[word] = spelled(flat[i:j].tolist()) if unknown[k] else raw[4 * i:4 * j]
+                    continue
+                ids = b"".join(map(encoded, words_of(b.column(2)[k].as_py() or "")))
+                docs.append(k)
+                all_ids.append(ids)
+                back.append(decode(np.frombuffer(ids, "<u4").tolist()))
+            if docs:
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(docs)), pa.array(all_ids, pa.binary()),
+                                                  pa.array(back, pa.string())], ["id", "ids", "decoded"])
+    return run
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,45 +275,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     ``ids`` are little-endian unsigned 32-bit.  A null or empty text has no ids and decodes to the empty text; other
     texts decode to themselves (a literal space mark decodes to a space); repeated rows are encoded
     each; a null id is kept; an empty table gives an empty result; other columns are not read.
-    ``docs`` must be a table (or its projection) whose partitions are the same when read again.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list = []
-        for chunk, i, text in _chunks(batches):
-            rows.append((chunk, i.as_py(), zlib.compress(text.encode(), 1)))
-            if len(rows) == 1_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(zip(*rows))], ["chunk", "id", "z"])
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) if k else pa.array(c, pa.int64()) for k, c in enumerate(zip(*rows))], ["chunk", "id", "z"])
-
-    def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        path = {}
-        for batch in right.select(["word", "path"]).to_batches():
-            offsets = batch.column(1).offsets.to_numpy()
-            flat = batch.column(1).values.to_numpy()
-            for k, word in enumerate(batch.column(0).to_pylist()):
-                ids = flat[offsets[k]:offsets[k + 1]]
-                if len(ids) and ids.min() < 0:
-                    ids = np.array([y for x in ids.tolist() for y in (
-                        [x] if x >= 0 else [pieces.byte_ids[b] for b in chr(-1 - x).encode()])], np.int32)
-                path[word] = ids.astype("<u4").tobytes()
-        decode = pieces.decoder()
-        all_ids, back = [], []
-        for z in left.column("z").to_pylist():
-            text = zlib.decompress(z).decode()
-            ids = b"".join([path[w] if len(w) <= MAX_WORD else np.array(pieces.viterbi(w), "<u4").tobytes() for w in words_of(text)])
-            all_ids.append(ids)
-            back.append(decode(np.frombuffer(ids, "<u4").tolist()))
-        return pa.table({"id": left.column("id"), "ids": pa.array(all_ids, pa.binary()), "decoded": pa.array(back, pa.string())})
-
-    words = told.mapInArrow(_distinct_words, "chunk bigint, word string")
-    table = encode_words(words, pieces)
-    packed = told.mapInArrow(squeeze, f"chunk bigint, id {kind}, z binary")
-    out = packed.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(
-        lambda left, right: together(left, right), f"id {kind}, ids binary, decoded string")
+    told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = told.mapInArrow(_segments(pieces), f"run int, id {kind}, text string, word string")
+    out = _lattice(words, pieces, kind).mapInArrow(_assemble(pieces), f"id {kind}, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), "ids", "decoded")

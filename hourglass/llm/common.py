@@ -15,9 +15,9 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Limit Arrow batches by rows and bytes unless the session already limits them further."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
                       ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         try:
             now = int(spark.conf.get(key))

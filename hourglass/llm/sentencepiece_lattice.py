@@ -16,7 +16,7 @@ A text's best path is its segments' paths in turn.
 
 Nothing is shuffled: the segments that a batch of documents brings new stand before it in the
 same partition, explode and broadcast join keep the order of rows (both groupings check it), and
-the last step looks the paths up.  A run ends at MAX_WORDS distinct words, which bounds the lookup.
+the last step looks the paths up.  A run ends at MAX_WORDS distinct words and segments, which bounds the lookup.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from hourglass.llm.common import bind, bounded_batches
 
 MARK = "▁"
-#: Distinct words whose paths one run of documents keeps at hand; a batch above it ends the run.
-MAX_WORDS = 500_000
+#: Distinct words and segments whose paths one run of documents keeps at hand; a batch above it ends the run.
+MAX_WORDS = 400_000
+#: Rows of an Arrow batch; most rows are edges of a few bytes.
+EDGE_ROWS = 10_000
 #: Largest piece table, which is broadcast.
 MAX_PIECES = 1_000_000
 #: Longer segments are folded by ``viterbi`` where their document is; the edges of a segment are one group.
@@ -108,26 +110,24 @@ def words_of(text: str) -> list[str]:
 def _segments(pieces: Pieces):
     """(run, id, text, word) rows: the segments that a batch brings new, then its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, segments = 0, set(), set()
+        now, seen = 0, set()  # words and segments: a word that is cut is no segment
 
         def rows(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int32()), ids, texts, found],
                                               ["run", "id", "text", "word"])
 
         for b in batches:
-            if len(words) >= MAX_WORDS:
-                now, words, segments = now + 1, set(), set()
+            if len(seen) >= MAX_WORDS:
+                now, seen = now + 1, set()
             new = []
             for text in b.column(1):
-                for w in dict.fromkeys(words_of(text.as_py() or "")):
-                    if w in words:
-                        continue
-                    if len(w) <= MAX_WORD:
-                        words.add(w)
+                for w in sorted(set(words_of(text.as_py() or "")) - seen):
                     for part in pieces.segments(w):
-                        if len(part) <= MAX_WORD and part not in segments:
-                            segments.add(part)
+                        if len(part) <= MAX_WORD and part not in seen:
+                            seen.add(part)
                             new.append(part)
+                    if len(w) <= MAX_WORD:
+                        seen.add(w)
             for at in range(0, len(new), 10_000):
                 some = pa.array(new[at:at + 10_000], pa.string())
                 yield rows(pa.nulls(len(some), b.column(0).type), pa.nulls(len(some), pa.string()), some)
@@ -233,15 +233,13 @@ def _assemble(pieces: Pieces):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = pieces.decoder()
-        now, paths, known = None, {}, {}
+        now, paths = None, {}  # of segments, and of words once they are put together
 
         def encoded(word: str) -> bytes:
-            ids = known.get(word)
-            if ids is None:
-                ids = b"".join([paths[part] if len(part) <= MAX_WORD else unsigned(pieces.viterbi(part))
-                                for part in pieces.segments(word)])
-                if len(word) <= MAX_WORD:
-                    known[word] = ids
+            ids = b"".join([paths[part] if len(part) <= MAX_WORD else unsigned(pieces.viterbi(part))
+                            for part in pieces.segments(word)])
+            if len(word) <= MAX_WORD:
+                paths[word] = ids
             return ids
 
         for b in batches:
@@ -254,12 +252,12 @@ def _assemble(pieces: Pieces):
             docs, all_ids, back = [], [], []
             for k, (r, word) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 if r != now:
-                    now, paths, known = r, {}, {}
+                    now, paths = r, {}
                 if word is not None:
                     i, j = offsets[k:k + 2]
                     paths[word] = spelled(flat[i:j].tolist()) if unknown[k] else raw[4 * i:4 * j]
                     continue
-                ids = b"".join(map(encoded, words_of(b.column(2)[k].as_py() or "")))
+                ids = b"".join([paths.get(w) or encoded(w) for w in words_of(b.column(2)[k].as_py() or "")])
                 docs.append(k)
                 all_ids.append(ids)
                 back.append(decode(np.frombuffer(ids, "<u4").tolist()))
@@ -276,7 +274,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     texts decode to themselves (a literal space mark decodes to a space); repeated rows are encoded
     each; a null id is kept; an empty table gives an empty result; other columns are not read.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, EDGE_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
     told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = told.mapInArrow(_segments(pieces), f"run int, id {kind}, text string, word string")

@@ -37,6 +37,10 @@ MARK = "▁"
 MAX_WORDS = 400_000
 #: Rows of an Arrow batch; most rows are edges of a few bytes.
 EDGE_ROWS = 10_000
+#: Runs are numbered modulo RUNS: neighbours must differ, no more.
+RUNS = 4_096
+#: An edge row's code holds run, end, start and piece id, the last two numbers up to _END and _PIECE.
+_END, _PIECE = 512, 1 << 33
 #: Largest piece table, which is broadcast.
 MAX_PIECES = 1_000_000
 #: Longer segments are folded by ``viterbi`` where their document is; the edges of a segment are one group.
@@ -113,12 +117,12 @@ def _segments(pieces: Pieces):
         now, seen = 0, set()  # words and segments: a word that is cut is no segment
 
         def rows(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int32()), ids, texts, found],
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int64()), ids, texts, found],
                                               ["run", "id", "text", "word"])
 
         for b in batches:
             if len(seen) >= MAX_WORDS:
-                now, seen = now + 1, set()
+                now, seen = (now + 1) % RUNS, set()
             new = []
             for text in b.column(1):
                 for w in sorted(set(words_of(text.as_py() or "")) - seen):
@@ -138,28 +142,37 @@ def _segments(pieces: Pieces):
 def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per segment with its edges by end, from edge rows ordered by end; documents pass.
 
-    The first edge of a segment carries the segment.  Every segment must have its ends 1, 2, ...
+    An edge is (code, score), which spares the other columns; a segment's first edge carries the
+    segment as its value, a document its text and a negative code.  Every segment must have its ends 1, 2, ...
     up to its length in turn, so rows that were torn apart or left out do not go unnoticed.
     """
     def rows(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        word, e = t["word"], pc.fill_null(t["e"], 0).to_numpy()
-        start = pc.is_valid(word).to_numpy() | (e == 0)
-        cuts, edge = np.flatnonzero(start), e > 0
+        value, code = _flat(t["value"]), t["code"].to_numpy()
+        doc = code < 0
+        place, piece = np.divmod(code, _PIECE)
+        place, begin = np.divmod(place, _END)
+        numbers, e = np.divmod(place, _END)
+        e = np.where(doc, 0, e)
+        start = doc | pc.is_valid(value).to_numpy(zero_copy_only=False)
+        cuts, edge = np.flatnonzero(start), ~doc
         step = np.diff(e, prepend=0)
         new_end = edge & (start | (step != 0))
         at = pa.array(cuts)
         last = e[np.append(cuts[1:], len(e)) - 1]
-        length = pc.fill_null(pc.utf8_length(word.take(at)), 0).to_numpy()
+        value, is_doc = value.take(at), doc[cuts]
+        word = pc.if_else(pa.array(is_doc), pa.scalar(None, pa.string()), value)
+        text = pc.if_else(pa.array(is_doc), value, pa.scalar(None, pa.string()))
+        length = pc.fill_null(pc.utf8_length(word), 0).to_numpy()
         if (step[new_end & ~start] != 1).any() or (e[start] > 1).any() or (last != length).any():
             raise RuntimeError("the edges of a segment are torn apart")
-        kept = t.filter(pa.array(edge)).combine_chunks()
         edges = pa.StructArray.from_arrays(
-            [_flat(kept["s"]), _flat(kept["score"]), _flat(kept["piece_id"])], ["s", "score", "piece_id"])
+            [pa.array(begin[edge], pa.int32()), _flat(t["score"]).filter(pa.array(edge)),
+             pa.array(piece[edge] - (_PIECE >> 1), pa.int32())], ["s", "score", "piece_id"])
         ends = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new_end[edge]), edge.sum()), pa.int32()), edges)
         before = np.cumsum(new_end) - new_end
         lists = pa.ListArray.from_arrays(pa.array(np.append(before[cuts], new_end.sum()), pa.int32()), ends)
-        return pa.RecordBatch.from_arrays([*(_flat(t[n].take(at)) for n in ("run", "id", "text", "word")), lists],
+        runs = pa.array(np.where(is_doc, -1 - code[cuts], numbers[cuts]), pa.int64())
+        return pa.RecordBatch.from_arrays([runs, _flat(t["id"]).take(at), text, word, lists],
                                           ["run", "id", "text", "word", "ends"])
 
     held = None
@@ -169,7 +182,7 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([batch])
         if held is not None:
             t = pa.concat_tables([held, t])
-        first = np.flatnonzero(pc.or_(pc.is_valid(t["word"]), pc.is_null(t["e"])).to_numpy())
+        first = np.flatnonzero(pc.or_(pc.is_valid(t["value"]), pc.less(t["code"], 0)).to_numpy())
         if not len(first) or first[0]:
             raise RuntimeError("the edges of a segment are torn apart")
         if first[-1]:
@@ -197,10 +210,12 @@ def _lattice(words: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
             .withColumn("piece", F.substring(F.col("word"), s + 1, e - s)))
     edges = (subs.join(F.broadcast(_piece_table(words.sparkSession, pieces)), "piece", "left")
              .where("score IS NOT NULL OR e - s = 1 OR s IS NULL")
-             .select("run", "id", "text", F.when(e == 1, F.col("word")).alias("word"), "e", "s",
-                     F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-                     F.coalesce("piece_id", -1 - F.ascii("piece")).alias("piece_id")))
-    lattice = edges.mapInArrow(_group_edges, f"run int, id {kind}, text string, word string, "
+             .withColumn("piece_id", F.coalesce("piece_id", -1 - F.ascii("piece")).cast("long"))
+             .select("id", F.when(s.isNull(), F.col("text")).when(e == 1, F.col("word")).alias("value"),
+                     F.when(s.isNull(), -1 - F.col("run")).otherwise(
+                         ((F.col("run") * _END + e) * _END + s) * _PIECE + F.col("piece_id") + (_PIECE >> 1)).alias("code"),
+                     F.coalesce("score", F.lit(pieces.unknown)).alias("score")))
+    lattice = edges.mapInArrow(_group_edges, f"run bigint, id {kind}, text string, word string, "
                                              "ends array<array<struct<s:int,score:double,piece_id:int>>>")
 
     def forward(best, end):
@@ -277,6 +292,6 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     bounded_batches(docs.sparkSession, EDGE_ROWS)
     kind = docs.schema[id_col].dataType.simpleString()
     told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = told.mapInArrow(_segments(pieces), f"run int, id {kind}, text string, word string")
+    words = told.mapInArrow(_segments(pieces), f"run bigint, id {kind}, text string, word string")
     out = _lattice(words, pieces, kind).mapInArrow(_assemble(pieces), f"id {kind}, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), "ids", "decoded")

@@ -15,10 +15,10 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Limit Arrow batches by rows and bytes unless the session already limits them further."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
-                      ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         try:
             now = int(spark.conf.get(key))
         except ValueError:  # a size with a unit: the user's own choice

@@ -34,9 +34,9 @@ from hourglass.llm.common import bind, bounded_batches
 
 MARK = "▁"
 #: Distinct words and segments whose paths one run of documents keeps at hand; a batch above it ends the run.
-MAX_WORDS = 400_000
-#: Rows of an Arrow batch; most rows are edges of a few bytes.
-EDGE_ROWS = 10_000
+MAX_WORDS = 250_000
+#: Rows and bytes of an Arrow batch; most rows are edges of a few bytes, and a task has three workers.
+EDGE_ROWS, EDGE_BYTES = 10_000, 4 << 20
 #: Runs are numbered modulo RUNS: neighbours must differ, no more.
 RUNS = 4_096
 #: An edge row's code holds run, end, start and piece id, the last two numbers up to _END and _PIECE.
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     texts decode to themselves (a literal space mark decodes to a space); repeated rows are encoded
     each; a null id is kept; an empty table gives an empty result; other columns are not read.
     """
-    bounded_batches(docs.sparkSession, EDGE_ROWS)
+    bounded_batches(docs.sparkSession, EDGE_ROWS, EDGE_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = told.mapInArrow(_segments(pieces), f"run bigint, id {kind}, text string, word string")

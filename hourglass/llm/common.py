@@ -20,8 +20,8 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BAT
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
                       ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         try:
-            now = int(spark.conf.get(key))
-        except ValueError:  # a size with a unit: the user's own choice
+            now = int(spark.conf.get(key).removesuffix("b"))  # Spark's own default is told in bytes, "b" behind it
+        except ValueError:  # a size with another unit: the user's own choice
             continue
         if not 0 < now <= most:
             spark.conf.set(key, str(most))

@@ -239,6 +239,22 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_batches_are_bounded_by_rows_and_bytes(spark):
+    from hourglass.llm.common import bounded_batches
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        bounded_batches(spark, 300, 1 << 20)
+        assert [int(spark.conf.get(k).removesuffix("b")) for k in keys] == [300, 1 << 20]
+        bounded_batches(spark)
+        assert [int(spark.conf.get(k).removesuffix("b")) for k in keys] == [300, 1 << 20]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_op7_paths_and_round_trip(spark, docs, empty):
     pieces = sentencepiece_lattice.Pieces.load(P.path("piece_bpe_32k.model"))
     got = {(r.doc_id, r.decoded): np.frombuffer(r.ids, "<u4").tolist() for r in sentencepiece_lattice.encode(docs, pieces).collect()}

@@ -1,37 +1,38 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are mostly made by one template.  For every host a wrapper is induced from a
-bounded number of its pages (``REFERENCES``, chosen by a hash): their DOM trees are aligned with
-simple tree matching, and a node that is present in all of them with the same content is a
-constant of the template; a node that is present in all but varies, and whatever a page has
-beyond the template, is a slot.  Every page is then aligned with its host's wrapper: constants
-are dropped and slots give the text, without the elements that are never part of an article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers), by
-element, role or class.  If the slots hold an article or main element, only it counts.
-
-A wrapper needs ``MIN_REFERENCES`` pages that differ; a host with fewer has none and all its nodes
-are slots.  Only whole blocks can be constants, not words within one; inside an article only containers, never paragraphs, headings, lists or tables, can be
-constants, so a sentence that many articles share stays.
-
-References travel as trees of content hashes, not as texts, and pages meet their wrapper in an
-equi-join on the host, whose skewed side AQE splits; the pages' html travels compressed.
+Pages of one host are mostly made by one template or a few.  All distinct pages of a host are
+read: every block that may belong to a template is counted by its path of elements and classes
+and its content.  Pages with the same containers are of one make; a block that at least
+``MIN_REFERENCES`` distinct pages and over half of the distinct pages of a make have is a constant,
+and the host's wrapper is the set of the constants of its makes.  Constants are dropped from every
+page of the host and the rest, the slots, give the text, without the elements that are never part
+of an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of
+readers), by element, role or class.  If the slots hold an article or main element, only it counts.
+
+A make of fewer than ``MIN_REFERENCES`` distinct pages has no constants of its own.  Pages that read
+the same without scripts, comments and furniture count as one.  Only whole blocks can be constants,
+not words within one; inside an article only containers, never paragraphs, headings, lists or
+tables, can be constants, so a sentence that many articles share stays.
+
+Counts travel as hashes, not as texts, added up before they are shuffled; pages meet their wrapper
+in an equi-join on the host, whose skewed side AQE splits; the pages' html travels compressed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
-import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.llm.common import bounded_batches
+from hourglass.llm.common import bounded_batches, stored
 
-REFERENCES = 8
+#: Distinct pages that a constant needs.
 MIN_REFERENCES = 3
 #: Children lists with a larger product of lengths are aligned by equal content only.
 ALIGN_CELLS = 40_000
@@ -177,19 +178,15 @@ def _shown(node: Node) -> list[Node]:
 
 
 def sign(node: Node) -> int:
-    """Hash of a subtree's elements and texts, set on every node."""
+    """Hash of a subtree's elements and texts, without what is dropped; set on every node that is not."""
     if node.tag == "#":
         node.sig = zlib.crc32(_WHITE.sub(" ", node.text).strip().encode("utf-8", "replace"))
     else:
-        node.sig = zlib.crc32(f"{node.tag} {node.key} {[sign(k) for k in _shown(node)]}".encode())
+        node.sig = zlib.crc32(f"{node.tag} {node.key} {[sign(k) for k in _shown(node) if not k.drop]}".encode())
     return node.sig
 
 
-def pack_tree(node: Node) -> list:
-    return [node.tag, node.key, node.sig, [pack_tree(k) for k in _shown(node)]]
-
-
-# Trees below are lists [tag, key, hash, children]; a wrapper's hash is None where content varies.
+# Trees below are lists [tag, key, hash, children]; the hash is None where content varies.
 
 def _weight(a: list, b: list) -> int:
     """Simple tree matching: the number of pairs in a largest order-preserving top-down matching."""
@@ -250,19 +247,6 @@ def _align(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
     return total, pairs + tail[::-1]
 
 
-def induce(trees: list[list]) -> list | None:
-    """The wrapper of pages whose trees differ, or None if fewer than MIN_REFERENCES agree on one."""
-    trees = sorted({t[2]: t for t in trees}.values(), key=lambda t: (_size(t), t[2]))
-    if len(trees) < MIN_REFERENCES:
-        return None
-    wrapper, used = trees[len(trees) // 2], 1  # of median size, so not an empty or broken page
-    for t in trees[:len(trees) // 2] + trees[len(trees) // 2 + 1:]:
-        common = _common(wrapper, t)
-        if 3 * _size(common) >= len(wrapper[3]) and common[3]:  # else a page of another make
-            wrapper, used = common, used + 1
-    return wrapper if used >= MIN_REFERENCES else None
-
-
 def _size(tree: list) -> int:
     return 1 + sum(map(_size, tree[3]))
 
@@ -274,18 +258,59 @@ def _common(a: list, b: list) -> list:
     return [a[0], a[1], None, [_common(a[3][i], b[3][j]) for i, j in _align(a[3], b[3])[1]]]
 
 
-def mark_constants(node: Node, wrapper: list, inside: bool = False) -> None:
-    """Drop the nodes of a page that are constants of its host's wrapper."""
+def _template_blocks(node: Node, path: int = 0, inside: bool = False) -> Iterator[tuple[Node, int]]:
+    """Blocks of a signed page that may be constants, each with a hash of its path and content; a block
+    that is dropped is not descended into."""
     inside = inside or node.tag in ("article", "main")
-    shown = _shown(node)
-    kids = [[k.tag, k.key, k.sig, [[x.tag, x.key, x.sig, []] for x in _shown(k)]] for k in shown]
-    for i, j in _align(wrapper[3], kids)[1]:
-        kid, constant = shown[j], wrapper[3][i][2]
-        if constant is not None:
-            if constant == kid.sig and kid.tag in BLOCK and not (inside and kid.tag in _TEXTUAL) and kid.tag not in _KEPT:
-                kid.drop = True
-        else:
-            mark_constants(kid, wrapper[3][i], inside)
+    for k in node.kids:
+        if k.tag == "#" or k.drop:
+            continue
+        at = zlib.crc32(f"{path} {k.tag} {k.key}".encode())
+        if k.tag in BLOCK and k.tag not in VOID and k.tag not in _KEPT and not (inside and k.tag in _TEXTUAL):
+            yield k, (at << 32 | k.sig) - (1 << 63)
+            if k.drop:
+                continue
+        yield from _template_blocks(k, at, inside)
+
+
+def _containers(node: Node, found: dict) -> dict:
+    """The containers of a page outside its article: {(tag, class): containers within}."""
+    for k in node.kids:
+        if k.tag == "#" or k.drop:
+            continue
+        within = found.setdefault((k.tag, k.key), {}) if k.tag in BLOCK and k.tag not in _TEXTUAL else found
+        if k.tag not in ("article", "main"):
+            _containers(k, within)
+    return found
+
+
+def pack_shape(tag: str, key: str, found: dict) -> list:
+    """Containers as a tree [tag, class, hash, children]; the order on the page does not matter."""
+    kids = [pack_shape(*name, found[name]) for name in sorted(found)]
+    return [tag, key, zlib.crc32(f"{tag} {key} {[k[2] for k in kids]}".encode()), kids]
+
+
+def read_page(page: str) -> tuple[bytes, list, list[int]]:
+    """Digest of what a page reads without scripts, comments and furniture, its shape, and the
+    hashes of the blocks that may be constants."""
+    root = parse(page)
+    sign(root)
+    told = hashlib.blake2b(digest_size=16)
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        kids = [k for k in _shown(x) if not k.drop]
+        told.update(f"<{x.tag} {x.key} {len(kids)}>{_WHITE.sub(' ', x.text).strip()}".encode("utf-8", "replace"))
+        todo.extend(reversed(kids))
+    shape = pack_shape(root.tag, root.key, _containers(root, {}))
+    return told.digest(), shape, sorted({h for _, h in _template_blocks(root)})
+
+
+def mark_constants(root: Node, constants: set[int]) -> None:
+    """Drop the blocks of a signed page that are constants of its host's wrapper."""
+    for node, h in _template_blocks(root):
+        if h in constants:
+            node.drop = True
 
 
 def _find(node: Node, tags: tuple, roles: tuple = ()) -> list[Node]:
@@ -343,13 +368,12 @@ def blocks(nodes: list[Node], in_article: bool) -> list[str]:
     return out
 
 
-def main_text(page: str, wrapper: list | None = None) -> str:
+def main_text(page: str, wrapper: set[int] | None = None) -> str:
     """The article of one page, its blocks joined by an empty line."""
     root = parse(page)
-    if wrapper is not None:
+    if wrapper:
         sign(root)
-        if root.tag == wrapper[0] and root.key == wrapper[1]:
-            mark_constants(root, wrapper)
+        mark_constants(root, wrapper)
     articles = _find(root, ("article",)) or _find(root, ("main",), ("main", "article"))
     return "\n\n".join(blocks(articles or [root], bool(articles)))
 
@@ -361,43 +385,41 @@ def host_of(url):
 
 
 def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper): at most one row per host with MIN_REFERENCES differing reference pages.
+    """(host, wrapper): the hashes of a host's constants, from all its distinct pages; one row for every host.
 
-    References are the REFERENCES pages of a host with the smallest content hashes; the limit by
-    host is applied before the shuffle, so a hot host sends a few rows per task.
+    Copies are merged before anything is counted, and counts are added up before the shuffle, so a
+    hot host sends one row per task and block.
     """
     bounded_batches(pages.sparkSession)
 
-    def skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hosts, ranks, trees = b.column("host"), b.column("rank"), []
-            for page in b.column("page"):
-                root = parse(page.as_py())
-                sign(root)
-                trees.append(zlib.compress(json.dumps(pack_tree(root), separators=(",", ":")).encode(), 1))
-            yield pa.RecordBatch.from_arrays([hosts, ranks, pa.array(trees, pa.binary())], ["host", "rank", "tree"])
-
-    def wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [induce([json.loads(zlib.decompress(t)) for t in trees]) for trees in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(
-                [None if w is None else json.dumps(w, separators=(",", ":")) for w in made], pa.string())], ["host", "wrapper"])
+            told = [read_page(page.as_py()) for page in b.column("page")]
+            yield pa.RecordBatch.from_arrays([
+                b.column("host"), pa.array([t[0] for t in told], pa.binary()),
+                pa.array([t[1][2] for t in told], pa.int64()), pa.array([t[2] for t in told], pa.list_(pa.int64()))],
+                ["host", "page", "shape", "blocks"])
 
     told = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("page"))
-    told = told.where("host IS NOT NULL").withColumn("rank", F.xxhash64("page"))
-    first = Window.partitionBy("host").orderBy("rank")
-    trees = (told.mapInArrow(skeletons, "host string, rank bigint, tree binary")
-             .withColumn("k", F.row_number().over(first)).where(F.col("k") <= REFERENCES))
-    return (trees.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("k", "tree"))).alias("t"))
-            .select("host", F.col("t.tree").alias("trees"))
-            .mapInArrow(wrappers, "host string, wrapper string").where("wrapper IS NOT NULL"))
+    told = (told.where("host IS NOT NULL").mapInArrow(read, "host string, page binary, shape bigint, blocks array<bigint>")
+            .dropDuplicates(["host", "page"]))
+    # a null block counts the pages themselves
+    counts = stored(told.select("host", "shape", F.explode(F.concat(F.array(F.lit(None).cast("long")), "blocks")).alias("block"))
+                    .groupBy("host", "shape", "block").agg(F.count("*").alias("n")), "wrapper-counts")
+    sizes = counts.where("block IS NULL").select("host", "shape", F.col("n").alias("pages"))
+    constants = (counts.where(F.col("block").isNotNull() & (F.col("n") >= MIN_REFERENCES))
+                 .join(sizes, ["host", "shape"]).where("2 * n > pages"))
+    found = constants.select("host", "block").union(sizes.select("host", F.lit(None).cast("long")))
+    # AQE splits a hot host's pages only if a shuffle of its own leads from here to the join with them, so
+    # the (lower-case) host is told as a new column
+    return found.groupBy("host").agg(F.array_sort(F.collect_set("block")).alias("wrapper")).withColumn("host", F.lower("host"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every row.
 
     Null html is an empty text; a page without a host in its url is read without a wrapper;
-    repeated rows give the same text each (they count as one reference); an empty table gives an
+    repeated rows give the same text each and count as one page; an empty table gives an
     empty result; other columns are not read.
     """
     bounded_batches(pages.sparkSession)
@@ -410,15 +432,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([*b.columns[:3], z], ["id", "url", "host", "z"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list] = {}
+        known: dict[str, set[int]] = {}
         for b in batches:
             out = []
-            for host, z, w in zip(b.column("host").to_pylist(), b.column("z"), b.column("wrapper").to_pylist()):
-                if w is not None and host not in known:
+            for host, z, w in zip(b.column("host").to_pylist(), b.column("z"), b.column("wrapper")):
+                if w.is_valid and host not in known:
                     if len(known) >= 1_000:
                         known.clear()
-                    known[host] = json.loads(w)
-                out.append(main_text(zlib.decompress(z.as_py()).decode(), known[host] if w is not None else None))
+                    known[host] = set(w.as_py())
+                out.append(main_text(zlib.decompress(z.as_py()).decode(), known[host] if w.is_valid else None))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(out, pa.string())], ["id", "url", "text"])
 
     told = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"),
@@ -426,6 +448,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     told = told.mapInArrow(squeeze, f"id {kind}, url string, host string, z binary")
     # pages without a host would all meet in one partition of the join
     found = (told.where("host IS NOT NULL").join(wrappers, "host", "left").select("id", "url", "host", "z", "wrapper")
-             .union(told.where("host IS NULL").select("id", "url", "host", "z", F.lit(None).cast("string").alias("wrapper"))))
+             .union(told.where("host IS NULL").select("id", "url", "host", "z", F.lit(None).cast("array<bigint>").alias("wrapper"))))
     done = found.mapInArrow(texts, f"id {kind}, url string, text string")
     return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

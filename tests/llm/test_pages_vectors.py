@@ -137,6 +137,29 @@ def test_op9_wrapper_drops_constants_and_furniture(spark):
     assert html_wrapper.extract(df.limit(0)).count() == 0
 
 
+def _story(k, more=""):
+    return (f"<html><body><div class='intro'>Welcome</div><div class='story'><h2>Head {k}</h2><p>Text {k}</p></div>{more}"
+            f"<div class='legal'><p>All rights reserved</p></div></body></html>")
+
+
+def _texts(spark, pages):
+    df = spark.createDataFrame([(k, f"http://h.example/{k}", p, None, 0, None) for k, p in enumerate(pages)], PAGE)
+    return [r.text for r in sorted(html_wrapper.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_op9_wrapper_counts_all_distinct_pages(spark):
+    # groups of copies, also such that only a script, a comment or an aside tells apart
+    copies = [_story(k) for k in range(12) for _ in range(9)]
+    copies += [_story(k, f"<script>track({n})</script><!-- {n} --><aside>{n}</aside>") for k in range(12) for n in range(9)]
+    assert _texts(spark, copies) == [f"Head {k}\n\nText {k}" for k in range(12) for _ in range(9)] * 2
+    same = [f"<body><!-- {n} --><script>{n}</script><div>One page</div></body>" for n in range(9)]
+    assert _texts(spark, same) == ["One page"] * 9
+    # a block that most but not all pages have, and a second template, rarer than any eight pages of the host would show
+    some = [_story(k, "<hr>" * (k % 3)) for k in range(60)]
+    some += [f"<html><body><div class='list'>Latest</div><div class='entry'>Entry {k}</div></body></html>" for k in range(4)]
+    assert _texts(spark, some) == [f"Head {k}\n\nText {k}" for k in range(60)] + [f"Entry {k}" for k in range(4)]
+
+
 def test_op9_simple_tree_matching():
     leaf = lambda t, h: [t, "", h, []]
     a = ["div", "", 1, [leaf("p", 11), leaf("ul", 12), leaf("p", 13)]]

@@ -2,9 +2,11 @@
 
 Pages of one host are mostly made by one template or a few.  All distinct pages of a host are
 read: every block that may belong to a template is counted by its path of elements and classes
-and its content.  Pages with the same containers are of one make; a block that at least
-``MIN_REFERENCES`` distinct pages and over half of the distinct pages of a make have is a constant,
-and the host's wrapper is the set of the constants of its makes.  Constants are dropped from every
+and its content.  Pages with the same containers have one shape, and shapes whose
+trees of containers agree by simple tree matching are of one make, so an optional box makes no new
+template and an error or login page takes nothing from the others.  A block that at least
+``MIN_REFERENCES`` distinct pages and over half of the distinct pages of a shape or make have is a
+constant, and the host's wrapper is the set of the constants of all its shapes and makes.  Constants are dropped from every
 page of the host and the rest, the slots, give the text, without the elements that are never part
 of an article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments of
 readers), by element, role or class.  If the slots hold an article or main element, only it counts.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,6 +37,8 @@ from hourglass.llm.common import bounded_batches, stored
 
 #: Distinct pages that a constant needs.
 MIN_REFERENCES = 3
+#: Shapes are of one make if the matched part of their trees is at least this share of both.
+AGREEMENT = 2 / 3
 #: Children lists with a larger product of lengths are aligned by equal content only.
 ALIGN_CELLS = 40_000
 #: Deeper elements are kept as children of the element at this depth.
@@ -247,6 +252,25 @@ def _align(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
     return total, pairs + tail[::-1]
 
 
+def makes(shapes: list[tuple[int, list]]) -> list[list[int]]:
+    """Groups of (pages, tree) by their indexes: every tree on its own, and the makes of more than one
+    tree, the trees with most pages first; a tree joins the make whose first tree it agrees with most."""
+    found: list[list[int]] = []
+    for i in sorted(range(len(shapes)), key=lambda i: (-shapes[i][0], shapes[i][1][2])):
+        tree = shapes[i][1]
+        best, make = 0.0, None
+        for group in found:
+            first = shapes[group[0]][1]
+            agreed = 2 * _size(_common(first, tree)) / (_size(first) + _size(tree)) if first[:2] == tree[:2] else 0.0
+            if agreed > best:
+                best, make = agreed, group
+        if best >= AGREEMENT:
+            make.append(i)
+        else:
+            found.append([i])
+    return [[i] for i in range(len(shapes))] + [m for m in found if len(m) > 1]
+
+
 def _size(tree: list) -> int:
     return 1 + sum(map(_size, tree[3]))
 
@@ -397,18 +421,32 @@ def induce_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "htm
             told = [read_page(page.as_py()) for page in b.column("page")]
             yield pa.RecordBatch.from_arrays([
                 b.column("host"), pa.array([t[0] for t in told], pa.binary()),
-                pa.array([t[1][2] for t in told], pa.int64()), pa.array([t[2] for t in told], pa.list_(pa.int64()))],
-                ["host", "page", "shape", "blocks"])
+                pa.array([t[1][2] for t in told], pa.int64()), pa.array([json.dumps(t[1], separators=(",", ":")) for t in told], pa.string()),
+                pa.array([t[2] for t in told], pa.list_(pa.int64()))], ["host", "page", "shape", "tree", "blocks"])
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for host, shapes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for k, of in enumerate(makes([(x["n"], json.loads(x["tree"])) for x in shapes])):
+                    pages = sum(shapes[i]["n"] for i in of)
+                    out += [(host, shapes[i]["shape"], k, pages) for i in of]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(
+                (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "shape", "make", "pages"])
 
     told = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("page"))
-    told = (told.where("host IS NOT NULL").mapInArrow(read, "host string, page binary, shape bigint, blocks array<bigint>")
+    told = (told.where("host IS NOT NULL").mapInArrow(read, "host string, page binary, shape bigint, tree string, blocks array<bigint>")
             .dropDuplicates(["host", "page"]))
-    # a null block counts the pages themselves
-    counts = stored(told.select("host", "shape", F.explode(F.concat(F.array(F.lit(None).cast("long")), "blocks")).alias("block"))
-                    .groupBy("host", "shape", "block").agg(F.count("*").alias("n")), "wrapper-counts")
-    sizes = counts.where("block IS NULL").select("host", "shape", F.col("n").alias("pages"))
-    constants = (counts.where(F.col("block").isNotNull() & (F.col("n") >= MIN_REFERENCES))
-                 .join(sizes, ["host", "shape"]).where("2 * n > pages"))
+    # a null block, the one row that tells a shape's tree, counts the pages themselves
+    told = told.withColumn("block", F.explode(F.concat(F.array(F.lit(None).cast("long")), "blocks")))
+    counts = stored(told.withColumn("tree", F.when(F.col("block").isNull(), F.col("tree")))
+                    .groupBy("host", "shape", "tree", "block").agg(F.count("*").alias("n")), "wrapper-counts")
+    sizes = counts.where("block IS NULL")
+    made = (sizes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("shape", "n", "tree"))).alias("shapes"))
+            .mapInArrow(group, "host string, shape bigint, make bigint, pages bigint"))
+    constants = (counts.where("block IS NOT NULL").join(made, ["host", "shape"])
+                 .groupBy("host", "make", "pages", "block").agg(F.sum("n").alias("n"))
+                 .where((F.col("n") >= MIN_REFERENCES) & (2 * F.col("n") > F.col("pages"))))
     found = constants.select("host", "block").union(sizes.select("host", F.lit(None).cast("long")))
     # AQE splits a hot host's pages only if a shuffle of its own leads from here to the join with them, so
     # the (lower-case) host is told as a new column

@@ -160,6 +160,21 @@ def test_op9_wrapper_counts_all_distinct_pages(spark):
     assert _texts(spark, some) == [f"Head {k}\n\nText {k}" for k in range(60)] + [f"Entry {k}" for k in range(4)]
 
 
+def test_op9_templates_and_odd_pages_of_one_host(spark):
+    # optional boxes in all combinations: no two stories have the same containers
+    boxes = ["".join(f"<div class='box{b}'>Box {b} of {k}</div>" for b in range(3) if k >> b & 1) for k in range(8)]
+    pages = [_story(k, more) for k, more in enumerate(boxes)]
+    want = ["\n\n".join([f"Head {k}", f"Text {k}", *(f"Box {b} of {k}" for b in range(3) if k >> b & 1)]) for k in range(8)]
+    # a second template, a rarer third with the containers of the first one's site, an error and an empty page
+    pages += [f"<html><body><div class='top'>Latest</div><section class='list'><div class='entry'>Entry {k}</div></section></body></html>" for k in range(8)]
+    want += [f"Entry {k}" for k in range(8)]
+    pages += [_story(k).replace("story", "product").replace("Welcome", "Shop") for k in range(3)]
+    want += [f"Head {k}\n\nText {k}" for k in range(3)]
+    pages += ["<html><body><div class='error'>Not found</div><div class='legal'><p>All rights reserved</p></div></body></html>", "<html></html>"]
+    want += ["Not found", ""]
+    assert _texts(spark, pages) == want
+
+
 def test_op9_simple_tree_matching():
     leaf = lambda t, h: [t, "", h, []]
     a = ["div", "", 1, [leaf("p", 11), leaf("ul", 12), leaf("p", 13)]]

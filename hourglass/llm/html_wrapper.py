@@ -39,8 +39,6 @@ from hourglass.llm.common import bounded_batches, stored
 MIN_REFERENCES = 3
 #: Shapes are of one make if the matched part of their trees is at least this share of both.
 AGREEMENT = 2 / 3
-#: Children lists with a larger product of lengths are aligned by equal content only.
-ALIGN_CELLS = 40_000
 #: Deeper elements are kept as children of the element at this depth.
 MAX_DEPTH = 200
 
@@ -193,63 +191,54 @@ def sign(node: Node) -> int:
 
 # Trees below are lists [tag, key, hash, children]; the hash is None where content varies.
 
-def _weight(a: list, b: list) -> int:
-    """Simple tree matching: the number of pairs in a largest order-preserving top-down matching."""
+def _weight(a: list, b: list, known: dict) -> int:
+    """Simple tree matching: the number of pairs in a largest order-preserving top-down matching; pairs
+    of equal content count twice."""
     if a[0] != b[0] or a[1] != b[1]:
         return 0
     if a[2] is not None and a[2] == b[2]:
-        return 2 + 2 * len(a[3])
+        return 2 * _size(a)
     if not a[3] or not b[3]:
         return 1
-    return 1 + _align(a[3], b[3])[0]
-
-
-def _align(xs: list, ys: list) -> tuple[int, list[tuple[int, int]]]:
-    """Best order-preserving matching of two lists of trees: its weight and pairs."""
-    pairs, lo, total = [], 0, 0
-    while lo < len(xs) and lo < len(ys) and xs[lo][2] is not None and xs[lo][2] == ys[lo][2]:
-        pairs.append((lo, lo))
-        lo += 1
-    hx, hy, tail = len(xs), len(ys), []
-    while hx > lo and hy > lo and xs[hx - 1][2] is not None and xs[hx - 1][2] == ys[hy - 1][2]:
-        hx, hy = hx - 1, hy - 1
-        tail.append((hx, hy))
-    total = 2 * (len(pairs) + len(tail))
-    m, n = hx - lo, hy - lo
-    if m and n and m * n > ALIGN_CELLS:
-        where: dict = {}
-        for j in range(hy - 1, lo - 1, -1):
-            where.setdefault(ys[j][2], []).append(j)
-        next_j = lo
-        for i in range(lo, hx):
-            spots = where.get(xs[i][2]) if xs[i][2] is not None else None
-            while spots and spots[-1] < next_j:
-                spots.pop()
-            if spots:
-                pairs.append((i, spots[-1]))
-                next_j = spots[-1] + 1
-                total += 2
-    elif m and n:
-        w = [[_weight(xs[lo + i], ys[lo + j]) for j in range(n)] for i in range(m)]
-        best = [[0] * (n + 1)]
-        for i in range(m):
-            row, up, wi = [0], best[-1], w[i]
-            for j in range(n):
-                diagonal = up[j] + wi[j]
-                row.append(max(diagonal, up[j + 1], row[j]))
-            best.append(row)
-        i, j, middle = m, n, []
-        while i and j:
-            if w[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + w[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                middle.append((lo + i, lo + j))
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        pairs += middle[::-1]
-        total += best[m][n]
-    return total, pairs + tail[::-1]
+    return 1 + _align(a[3], b[3], known)[0]
+
+
+def _align(xs: list, ys: list, known: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
+    """Best order-preserving matching of two lists of trees, whatever their length: its weight and pairs.
+
+    Only children with the same element and class are compared, so memory and time go with the number of
+    such pairs; children of a shape's tree all differ in these.  ``known`` keeps the matchings of lists
+    further down, by identity, so the lists must live as long as it does.
+    """
+    known = {} if known is None else known
+    name = id(xs), id(ys)
+    if name in known:
+        return known[name]
+    where: dict = {}
+    for j, y in enumerate(ys):
+        where.setdefault((y[0], y[1]), []).append(j)
+    cells: list[tuple] = [(0, -1, -1, 0)]  # weight of the best chain that ends here, its pair, the cell before
+    top = [0] * (len(ys) + 1)  # Fenwick tree of the best cells by the end of their ranges of j
+    for i, x in enumerate(xs):
+        for j in reversed(where.get((x[0], x[1]), ())):  # from the right, so no chain takes x twice
+            best, k = 0, j
+            while k:
+                if cells[top[k]][0] > cells[best][0]:
+                    best = top[k]
+                k &= k - 1
+            cells.append((cells[best][0] + _weight(x, ys[j], known), i, j, best))
+            k = j + 1
+            while k <= len(ys):
+                if cells[-1][0] > cells[top[k]][0]:
+                    top[k] = len(cells) - 1
+                k += k & -k
+    at = max(range(len(cells)), key=lambda c: cells[c][0])
+    total, pairs = cells[at][0], []
+    while at:
+        pairs.append(cells[at][1:3])
+        at = cells[at][3]
+    known[name] = total, pairs[::-1]
+    return known[name]
 
 
 def makes(shapes: list[tuple[int, list]]) -> list[list[int]]:
@@ -275,11 +264,12 @@ def _size(tree: list) -> int:
     return 1 + sum(map(_size, tree[3]))
 
 
-def _common(a: list, b: list) -> list:
-    """What two aligned nodes share; children that only one of them has are left to the slot."""
+def _common(a: list, b: list, known: dict | None = None) -> list:
+    """What two aligned nodes share; children that only one of them has are left out."""
+    known = {} if known is None else known
     if a[2] is not None and a[2] == b[2]:
         return a
-    return [a[0], a[1], None, [_common(a[3][i], b[3][j]) for i, j in _align(a[3], b[3])[1]]]
+    return [a[0], a[1], None, [_common(a[3][i], b[3][j], known) for i, j in _align(a[3], b[3], known)[1]]]
 
 
 def _template_blocks(node: Node, path: int = 0, inside: bool = False) -> Iterator[tuple[Node, int]]:

@@ -175,6 +175,46 @@ def test_op9_templates_and_odd_pages_of_one_host(spark):
     assert _texts(spark, pages) == want
 
 
+def test_op9_template_on_short_and_very_long_pages(spark):
+    def page(k, n):
+        text = "".join(f"<p>Paragraph {i} of {k}</p>" for i in range(n))
+        return (f"<html><body><div><div>Welcome</div></div>{text}"
+                f"<div class='closing'><div class='legal'>All rights reserved</div><div class='date'>Day {k}</div></div></body></html>")
+    sizes = [250, 2, 1_400, 260, 3_000, 300, 240, 270, 255, 1]
+    want = ["\n\n".join([f"Paragraph {i} of {k}" for i in range(n)] + [f"Day {k}"]) for k, n in enumerate(sizes)]
+    assert _texts(spark, [page(k, n) for k, n in enumerate(sizes)]) == want
+
+
+def test_op9_tree_matching_is_the_same_at_every_size():
+    rng = np.random.default_rng(3)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.integers(0, 3))] if depth else []
+        tag = "abcdefgh"[rng.integers(8)]
+        return [tag, "", hash((tag, *(k[2] for k in kids))), kids]
+
+    def size(a):
+        return 1 + sum(map(size, a[3]))
+
+    def weight(a, b):
+        return 0 if a[0] != b[0] else 2 * size(a) if a[2] == b[2] else 1 + aligned(a[3], b[3])
+
+    def aligned(xs, ys):  # the definition, by the whole table
+        best = [0] * (len(ys) + 1)
+        for x in xs:
+            row = [0]
+            for j, y in enumerate(ys):
+                row.append(max(row[j], best[j + 1], best[j] + weight(x, y)))
+            best = row
+        return best[-1]
+
+    for m, n in [(0, 3), (1, 1), (7, 12), (40, 30), (220, 260)]:
+        xs, ys = [tree(2) for _ in range(m)], [tree(2) for _ in range(n)]
+        total, pairs = html_wrapper._align(xs, ys)
+        assert total == aligned(xs, ys) == sum(weight(xs[i], ys[j]) for i, j in pairs)
+        assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+
+
 def test_op9_simple_tree_matching():
     leaf = lambda t, h: [t, "", h, []]
     a = ["div", "", 1, [leaf("p", 11), leaf("ul", 12), leaf("p", 13)]]

@@ -210,13 +210,14 @@ class ZipRangeReader:
 
 
 def roles(pages: DataFrame, id_col: str, html_col: str, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """(id, refers_to) of the rows that are revisits: equal payloads of at least ``min_payload`` bytes
-    refer to the smallest id among them.  Rows without an id are never revisits or referred to."""
+    """(id, sha, refers_to) of the rows that are revisits: equal payloads of at least ``min_payload`` bytes
+    refer to the smallest id among them.  Rows without an id are never revisits or referred to; an id
+    that repeats with another payload has a role for each."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     thin = stored(pages.where(F.col(id_col).isNotNull() & (F.octet_length(payload) >= min_payload)).select(
         F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("sha")), "warc-digests")
     first = thin.groupBy("sha").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return (thin.join(first, "sha").where("id <> refers_to").groupBy("id").agg(F.min("refers_to").alias("refers_to")))
+    return (thin.join(first, "sha").where("id <> refers_to").select("id", "sha", "refers_to").distinct())
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url",
@@ -229,7 +230,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     bounded_batches(pages.sparkSession)
     told = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
-    told = told.join(roles(pages, id_col, html_col), "id", "left")
+    told = told.withColumn("sha", F.sha1("payload")).join(roles(pages, id_col, html_col), ["id", "sha"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_folder(folder)

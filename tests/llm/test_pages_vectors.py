@@ -72,6 +72,15 @@ def test_op8_round_trip_and_edges(spark):
     assert warc_zip.round_trip(pages.limit(0)).count() == 0
 
 
+def test_op8_one_id_with_two_payloads(spark):
+    rows = [(1, "shared"), (2, "shared"), (2, "only here"), (2, "shared"), (3, "third"), (4, "third"), (4, "shared")]
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", h, "h", 1, "t") for i, h in rows], PAGE)
+    name = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    back = sorted((r.id, r.payload_digest, r.refers_to or 0, (r.payload or b"").decode()) for r in warc_zip.round_trip(pages).collect())
+    want = {(1, "shared"): 0, (2, "shared"): 1, (2, "only here"): 0, (3, "third"): 0, (4, "third"): 3, (4, "shared"): 1}
+    assert back == sorted((i, name(h), want[i, h], "" if want[i, h] else h) for i, h in rows)
+
+
 class Bytes:
     def __init__(self, raw):
         self.raw = raw

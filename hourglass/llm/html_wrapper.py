@@ -75,6 +75,8 @@ _PAGE_HEADER = frozenset(("header",))
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption #".split())
 
 
+_LISTS = frozenset("ul ol dl dir menu".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption".split())
 _KEPT = frozenset(("article", "main", "body"))
 
 
@@ -342,22 +344,24 @@ def _find(node: Node, tags: tuple, roles: tuple = ()) -> list[Node]:
 
 
 def blocks(nodes: list[Node], in_article: bool) -> list[str]:
-    """Texts of the blocks in page order; outside an article, blocks that are mostly links are menus."""
+    """Texts of the blocks in page order; outside an article, list items that are mostly links and runs of links
+    are menus, but never a heading, a paragraph or a single link."""
     out: list[str] = []
     parts: list[str] = []
-    linked = 0
+    linked = links = 0
 
-    def flush():
-        nonlocal linked
+    def flush(tag: str = "", listed: bool = False):
+        nonlocal linked, links
         if parts:
             s = _WHITE.sub(" ", "".join(parts)).strip()
-            if s and (in_article or 2 * linked <= len(s)):
+            menu = 2 * linked > len(s) and (listed or links > 1 and tag not in _PROSE)
+            if s and (in_article or not menu):
                 out.append(s)
             parts.clear()
-        linked = 0
+        linked = links = 0
 
-    def walk(node: Node, link: bool) -> None:
-        nonlocal linked
+    def walk(node: Node, link: bool, tag: str = "", listed: bool = False) -> None:
+        nonlocal linked, links
         if node.tag == "#":
             parts.append(node.text)
             linked += len(node.text) if link else 0
@@ -368,12 +372,14 @@ def blocks(nodes: list[Node], in_article: bool) -> list[str]:
             parts.append(" ")
             return
         block = node.tag in BLOCK
+        links += node.tag == "a"
         if block:
-            flush()
+            flush(tag, listed)
+            tag, listed = node.tag, listed or node.tag in _LISTS
         for k in node.kids:
-            walk(k, link or node.tag == "a")
+            walk(k, link or node.tag == "a", tag, listed)
         if block:
-            flush()
+            flush(tag, listed)
 
     for x in nodes:
         flush()

@@ -224,6 +224,14 @@ def test_op9_tree_matching_is_the_same_at_every_size():
         assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
 
 
+def test_op9_linked_headings_and_paragraphs_stay():
+    page = ("<body><h1><a href=/1>A headline</a></h1><p>See <a href=/2>a long reference</a>, <a href=/3>and another</a>.</p>"
+            "<div><a href=/4>One link</a></div><ul><li><a href=/5>Menu</a></li><li><p><a href=/6>entry</a></p></li></ul>"
+            "<div><a href=/7>Home</a> | <a href=/8>News</a></div><ul><li>An item with <a href=/9>a link</a></li></ul></body>")
+    assert html_wrapper.main_text(page).split("\n\n") == [
+        "A headline", "See a long reference, and another.", "One link", "An item with a link"]
+
+
 def test_op9_simple_tree_matching():
     leaf = lambda t, h: [t, "", h, []]
     a = ["div", "", 1, [leaf("p", 11), leaf("ul", 12), leaf("p", 13)]]

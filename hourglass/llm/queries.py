@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import (embedding_dedup, html_wrapper, language_id, packing, quality_rules, sentencepiece_lattice,
-                           sharding, simhash_dedup, token_counts, warc_zip)
+from hourglass.llm import (byte_bpe, embedding_dedup, fill_in_middle, html_wrapper, language_id, packing, quality_rules,
+                           ranked_search, sentencepiece_lattice, sharding, simhash_dedup, token_counts, warc_zip)
 from hourglass.llm.common import bind, table
 from hourglass.llm.quality_sql import QUALITY
+from hourglass.llm.text_sql import FILL_IN_MIDDLE, RANKED_SEARCH
 
 
 def tokenizer_path(name: str) -> str:
@@ -96,6 +97,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in its fill-in-middle form, and the text that this form gives back."""
+    done = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest-scoring documents of every benchmark item."""
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes that they decode to."""
+    import public_tokenizers
+    how = (tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    done = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *how), *how)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +130,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_html_wrapper": op9_html_wrapper,
     "op10_packing": op10_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE: dict[str, str] = {"op2_quality_rules": QUALITY}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": QUALITY,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_ranked_search": RANKED_SEARCH,
+}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 import random
 import re
@@ -114,40 +113,55 @@ def lowest_rank_first(data: bytes, ranks: dict[bytes, int]) -> list[int]:
         parts[found[1]:found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
 
 
-def test_rank_queue_is_a_priority_queue():
+def test_rank_queue_gives_the_lowest_rank_in_order():
     rng = random.Random(1)
     for ranks in (1, 2, 64, 65, 5_000, 300_000):
-        queue, heap = byte_bpe.RankQueue(ranks), []
+        queue, held = byte_bpe.RankQueue(ranks), {}
         for _ in range(400):
-            if heap and rng.random() < 0.45:
+            if held and rng.random() < 0.3:
                 r = queue.lowest()
-                got = (r, heapq.heappop(queue.buckets[r]))
-                if not queue.buckets[r]:
-                    queue.settle(r)
-                assert got == heapq.heappop(heap)
+                assert r == min(held)
+                assert queue.take(r) == sorted(held.pop(r))
             else:
-                item = (rng.choice([0, ranks - 1, rng.randrange(ranks)]), rng.randrange(1000))
-                queue.push(*item)
-                heapq.heappush(heap, item)
-        while heap:
+                r, some = rng.choice([0, ranks - 1, rng.randrange(ranks)]), [rng.randrange(1000) for _ in range(rng.randrange(1, 4))]
+                queue.push(r, some)
+                held.setdefault(r, []).extend(some)
+        while held:
             r = queue.lowest()
-            assert (r, heapq.heappop(queue.buckets[r])) == heapq.heappop(heap)
-            if not queue.buckets[r]:
-                queue.settle(r)
+            assert r == min(held) and queue.take(r) == sorted(held.pop(r))
         assert queue.lowest() == -1 and not any(map(any, queue.levels))
 
 
-def test_bpe_order_of_merges_with_any_ranks():
+@pytest.mark.parametrize("at_once", [1, 3, 10**9])
+def test_bpe_order_of_merges_with_any_ranks(monkeypatch, at_once):
     """Vocabularies whose ranks follow no training order, where a merge may open a pair of lower rank."""
+    monkeypatch.setattr(byte_bpe, "ALL_AT_ONCE", at_once)
     rng = random.Random(2)
+    refused = []
+    plain = byte_bpe.Line.merge_all
+
+    def watched(self, r, positions):
+        done = plain(self, r, positions)
+        refused.append(not done)
+        return done
+
+    monkeypatch.setattr(byte_bpe.Line, "merge_all", watched)
     for _ in range(60):
         long = {bytes(rng.choice(b"ab") for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(1, 25))}
         order = rng.sample(range(300), 300)
         ranks = {t: order[i] for i, t in enumerate([bytes([b]) for b in range(256)] + sorted(long))}
         vocab = byte_bpe.Vocabulary(ranks, r"[^ ]+| ")
         words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(20)]
-        assert vocab.merged([w.encode() for w in words]) == [lowest_rank_first(w.encode(), ranks) for w in words]
+        got = [np.frombuffer(x, "<i4").tolist() for x in vocab.merged([w.encode() for w in words])]
+        assert got == [lowest_rank_first(w.encode(), ranks) for w in words]
         assert vocab.queue.lowest() == -1
+    assert at_once == 10**9 or (any(refused) and not all(refused))
+
+
+def test_bpe_without_merges_or_matches():
+    vocab = byte_bpe.Vocabulary({bytes([b]): 255 - b for b in range(256)}, r"[^ ]+")
+    assert [list(np.frombuffer(x, "<i4")) for x in vocab.encode(["ab", "", "  ", "a b"])] == [[158, 157], [], [], [158, 157]]
+    assert vocab.encode([]) == []
 
 
 @pytest.fixture(scope="module")
@@ -176,12 +190,15 @@ def test_bpe_agrees_with_the_library(spark, docs, empty, library):
 def test_bpe_very_long_match_and_random_strings(library):
     vocab = byte_bpe.Vocabulary.load(*HOW)
     rng = random.Random(4)
+    def encode(text):
+        return np.frombuffer(vocab.encode([text])[0], "<i4")
+
     long = "".join(rng.choice("etaoinshrdluéß語") for _ in range(300_000))
-    assert vocab.encode(long).tolist() == library.encode_ordinary(long)
-    assert vocab.encode("a" * 50_001).tolist() == library.encode_ordinary("a" * 50_001)
+    assert encode(long).tolist() == library.encode_ordinary(long)
+    assert encode("a" * 50_001).tolist() == library.encode_ordinary("a" * 50_001)
     for _ in range(500):
         text = "".join(rng.choice(["a", "the", " ", "\n", "é", "1", "'s", "!", "日", "🙂", "\t", "ing", "X"]) for _ in range(rng.randrange(80)))
-        ids = vocab.encode(text)
+        ids = encode(text)
         assert ids.tolist() == library.encode_ordinary(text)
         assert vocab.decode(ids.tolist()) == text.encode()
 
@@ -189,9 +206,12 @@ def test_bpe_very_long_match_and_random_strings(library):
 def test_bpe_forgets_without_changing_ids(monkeypatch, library):
     monkeypatch.setattr(byte_bpe, "CACHE_MATCHES", 3)
     monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", 8)
+    monkeypatch.setattr(byte_bpe, "CACHE_LENGTH", 9)
     vocab = byte_bpe.Vocabulary.load(*HOW)
-    text = "unfamiliarity breeds contemptuousness, " * 5 + "zzyzx quuxly"
-    assert vocab.encode(text).tolist() == library.encode_ordinary(text)
+    texts = ["unfamiliarity breeds contemptuousness, " * 5 + "zzyzx quuxly", "breeds zzyzx, antidisestablishment", "quuxly", "zzyzx"]
+    for some in (texts, texts[::-1], texts[1:2], texts):
+        assert [np.frombuffer(x, "<i4").tolist() for x in vocab.encode(some)] == [library.encode_ordinary(t) for t in some]
+    assert len(vocab.known) <= 12 and max(map(len, vocab.known)) <= 9
 
 
 def test_bpe_refuses_a_broken_vocabulary(spark):

@@ -34,7 +34,7 @@ from hourglass.llm.common import bounded_batches
 #: Bytes of new matches that share one queue; a longer match has a queue of its own.
 CHUNK_BYTES = 1 << 20
 #: Characters of text that are cut into matches at a time; a longer text stands alone.
-TEXT_CHARS = 4 << 20
+TEXT_CHARS = 2 << 20
 #: Pairs of one rank from which on they are merged in one go instead of one after the other; the result is the same.
 ALL_AT_ONCE = 24
 #: Matches whose ids a worker keeps at hand, and the longest of them; all others are encoded whenever they come.
@@ -167,7 +167,7 @@ class Line:
 
 
 class Vocabulary:
-    """Token bytes by rank, with an encoder and a decoder."""
+    """Token bytes by rank, and the encoder."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
@@ -189,14 +189,8 @@ class Vocabulary:
         for t, r in ranks.items():
             if len(t) == 2:
                 self.double[t[0], t[1]] = r
-        self.tokens = {i: t for t, i in ranks.items()}
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def load(path: str, pattern: str) -> Vocabulary:
-        with open(path, "rb") as f:
-            return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
-
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of symbols, -1 for none."""
         key = left << self.shift | right
@@ -255,19 +249,32 @@ class Vocabulary:
             del self.known[m]
         return ids
 
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ranks from a file of lines with a base64 token and its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+class Decoder:
+    """Token bytes by id."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = {i: t for t, i in ranks.items()}
+
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of ids; an id that is no token raises a KeyError."""
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_vocabularies: dict[tuple[str, str], Vocabulary] = {}  # of this worker
+_loaded: dict[tuple, Vocabulary | Decoder] = {}  # of this worker
 
 
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    key = (path, pattern)
-    if key not in _vocabularies:
-        _vocabularies[key] = Vocabulary.load(path, pattern)
-    return _vocabularies[key]
+def _once(kind: type, path: str, *more: str):
+    key = (kind, path, *more)
+    if key not in _loaded:
+        _loaded[key] = kind(load_ranks(path), *more)
+    return _loaded[key]
 
 
 def _groups(texts: pa.Array) -> Iterator[list[str]]:
@@ -294,7 +301,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
+        vocab = _once(Vocabulary, path, pattern)
         for b in batches:
             ids = [x for some in _groups(b.column(1)) for x in vocab.encode(some)]
             offsets = pa.array(np.append(0, np.cumsum([len(x) // 4 for x in ids])), pa.int32())
@@ -305,7 +312,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return told.mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, ids, decoded) of every row: the ids and the bytes that they stand for.
 
     Bytes, not text, since a row of ids may end inside a character.  No ids, null or an empty list, decode to no bytes; a null
@@ -315,11 +322,11 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path, pattern)
+        decoder = _once(Decoder, path)
         for b in batches:
             lengths = pc.fill_null(pc.list_value_length(b.column(1)), 0).to_pylist()
             flat = iter(b.column(1).flatten().to_numpy(zero_copy_only=False).tolist())
-            back = [vocab.decode(islice(flat, n)) for n in lengths]
+            back = [decoder.decode(islice(flat, n)) for n in lengths]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(back, pa.binary())], ["id", "ids", "decoded"])
 
     told = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))

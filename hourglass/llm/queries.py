@@ -112,8 +112,8 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes that they decode to."""
     import public_tokenizers
-    how = (tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *how), *how)
+    ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    done = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -91,6 +91,36 @@ def join_in_interval(events: DataFrame, stays: DataFrame, key: str, ts: str,
     return out.drop("__bucket", "__ev_bucket") if bucket_hours else out
 
 
+def join_in_interval_spread(events: DataFrame, stays: DataFrame, key: str, ts: str, lo: str, hi: str,
+                            lookback_hours: int = 0, stay_cols: Sequence[str] | None = None,
+                            piece_rows: int | None = None) -> DataFrame:
+    """:func:`join_in_interval` that finds hot keys itself and spreads them over time.
+
+    A key with more than ``piece_rows`` events and stays is cut at points drawn from its own event
+    times and stay begins (:mod:`hourglass.operators.pieces`).  An event lies in one piece, a stay is
+    repeated in every piece it overlaps, and the join goes by (key, piece): a hot key's events spread over
+    tasks and meet only the stays of their piece.  A stay's copies but the first and the last span a whole
+    piece of events, so they are fewer than the result's rows.  The range condition still decides; rows and
+    columns are those of ``join_in_interval``.
+    """
+    from hourglass.operators.pieces import PIECE_ROWS, key_cuts, piece_of, with_cuts
+
+    keep = list(stay_cols) if stay_cols is not None else list(stays.columns)
+    cols = list(dict.fromkeys([key, lo, hi, *keep]))
+    lower = F.col(lo) if not lookback_hours else F.timestamp_add("HOUR", F.lit(-lookback_hours), F.col(lo))
+    s = stays.select(*cols).withColumn("__lower", lower).filter(F.col("__lower") <= F.col(hi))
+    ev = events.drop(*[c for c in cols if c in events.columns and c != key])
+    at = ev.select(key, F.col(ts).alias("__at"))
+    cuts = key_cuts(at.unionByName(s.select(key, F.col("__lower").alias("__at"))), [key], "__at", piece_rows or PIECE_ROWS)
+    pieces = F.sequence(piece_of(F.col("__cuts"), F.col("__lower")), piece_of(F.col("__cuts"), F.col(hi)))
+    s = with_cuts(s, [key], cuts).withColumn("__piece", F.explode(pieces)).drop("__cuts")
+    s = s.withColumnRenamed(key, "__s_key").withColumnRenamed("__piece", "__s_piece")
+    ev = with_cuts(ev, [key], cuts).withColumn("__piece", piece_of(F.col("__cuts"), F.col(ts))).drop("__cuts")
+    cond = (F.col(key) == F.col("__s_key")) & (F.col("__piece") == F.col("__s_piece")) & \
+        (F.col(ts) >= F.col("__lower")) & (F.col(ts) <= F.col(hi))
+    return ev.join(s, cond, "inner").drop("__s_key", "__s_piece", "__piece", "__lower")
+
+
 # --------------------------------------------------------------------------- J5
 def lookup_ranges(events: DataFrame, ranges: DataFrame, name_col: str, range_key: str = "LEVEL2",
                   max_bytes: int = BROADCAST_MAX_BYTES, dedupe: bool = False) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,25 +23,51 @@ def _stack(row: DataFrame, names: Sequence[str], fields: Sequence[str]) -> DataF
 
 
 def profile(df: DataFrame, approx: bool = False, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column: type, row count, null count, distinct count -- one aggregate job.
+    """Per column: type, row count, null count, distinct count.
 
-    ``approx=True`` uses HyperLogLog++ instead of exact distinct counts.
+    Exact counts group (column, value) once; ``approx=True`` is one aggregate with HyperLogLog++ instead.
     """
     cols = list(cols or df.columns)
     dtypes = dict(df.dtypes)
-    aggs = []
-    for c in cols:
-        aggs.append(F.count(F.lit(1)).alias(f"{c}__rows"))
-        aggs.append(F.sum(F.col(c).isNull().cast("long")).alias(f"{c}__nulls"))
-        d = F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
-        aggs.append(d.cast("long").alias(f"{c}__distinct"))
-    row = df.agg(*aggs)
-    out = _stack(row, cols, ["rows", "nulls", "distinct"])
+    if approx:
+        aggs = []
+        for c in cols:
+            aggs.append(F.count(F.lit(1)).alias(f"{c}__rows"))
+            aggs.append(F.count_if(F.col(f"`{c}`").isNull()).alias(f"{c}__nulls"))
+            aggs.append(F.approx_count_distinct(f"`{c}`").cast("long").alias(f"{c}__distinct"))
+        out = _stack(df.agg(*aggs), cols, ["rows", "nulls", "distinct"])
+    else:
+        out = _exact_counts(df, cols, dtypes)
     dt = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(dtypes[c]))])
     return out.select("column_name", F.element_at(dt, F.col("column_name")).alias("dtype"),
                       "rows", "nulls", "distinct")
 
 
+def _exact_counts(df: DataFrame, cols: Sequence[str], dtypes: dict[str, str]) -> DataFrame:
+    """(column_name, rows, nulls, distinct) from one count per (column, value).
+
+    A value stands in the slot of its type, so columns of all types share one unpivot and one
+    grouping; equal values meet map-side before the shuffle.  The second level counts the groups of
+    a column, again map-side first: no task holds the values of a column.
+    """
+    kinds = list(dict.fromkeys(dtypes[c] for c in cols))
+    slots = [f"v{i}" for i in range(len(kinds))]
+
+    def cell(c: str) -> Column:
+        return F.struct(F.lit(c).alias("column_name"), *[
+            (F.col(f"`{c}`") if dtypes[c] == kind else F.lit(None).cast(kind)).alias(slot) for kind, slot in zip(kinds, slots)])
+
+    cells = df.select(F.explode(F.array(*map(cell, cols))).alias("__c")).select("__c.*")
+    values = cells.groupBy("column_name", *slots).agg(F.count(F.lit(1)).alias("n"))
+    null = reduce(Column.__and__, [F.col(s).isNull() for s in slots])
+    counts = values.groupBy("column_name").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(null, F.col("n")).otherwise(0)).alias("nulls"), F.count_if(~null).alias("distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")  # an empty table has its rows, too
+    zero = F.lit(0).cast("long")
+    return names.join(counts, ["column_name"], "left").select(
+        "column_name", *[F.coalesce(c, zero).alias(c) for c in ("rows", "nulls", "distinct")])
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles (linear interpolation), max per numeric column.
 

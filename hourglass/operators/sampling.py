@@ -168,6 +168,45 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return df.orderBy(hash_u32(key, seed), F.col(key)).limit(n)
 
 
+#: Bits of the seeded hash that one histogram tells apart.
+HISTOGRAM_BITS = 16
+
+
+def sample_rows_exact(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """The rows of :func:`sample_rows` for any ``n``: exactly ``n`` of them, or all if there are fewer.
+
+    Two histograms of the hash, its upper and then its lower 16 bits within the bucket that holds
+    the n-th smallest, give the hash value at which to cut; each is an aggregate of at most 65,536 rows.  Everything
+    below the cut passes a filter.  Rows *at* the cut (a pair or so, unless ``key`` repeats) are ranked by ``key``
+    with a distributed prefix count.  Three narrow scans, no sort of the sample, no task with ``n`` rows.
+    Of rows with equal keys at the cut any may be taken.
+    """
+    from hourglass.operators.scan import prefix_sums
+
+    h = F.coalesce(hash_u32(key, seed), F.lit(-1))  # null keys come first
+    hashed = df.select(h.alias("__h"))
+    low = F.lit(1 << HISTOGRAM_BITS)
+
+    def cut(rows: DataFrame, bucket: Column, wanted: int) -> tuple[int, int] | None:
+        """The bucket that holds the wanted-th row, and how many of its rows are wanted; None if there are fewer rows."""
+        before = 0
+        for b, count in sorted(tuple(r) for r in rows.groupBy(bucket.alias("b")).count().collect()):  # 65,536 at most
+            if before + count >= wanted:
+                return b, wanted - before
+            before += count
+        return None
+
+    if n <= 0:
+        return df.limit(0)
+    upper = cut(hashed, F.floor(F.col("__h") / low), n)
+    if upper is None:
+        return df
+    lower = cut(hashed.filter(F.floor(F.col("__h") / low) == upper[0]), F.pmod(F.col("__h"), low), upper[1])
+    edge, wanted = upper[0] * (1 << HISTOGRAM_BITS) + lower[0], lower[1]
+    at = prefix_sums(df.filter(h == edge).withColumn("__one", F.lit(1).cast("bigint")), [], [key], ["__one"], suffix="_rank")
+    return df.filter(h < edge).unionByName(at.filter(F.col("__one_rank") <= wanted).select(*df.columns))
+
+
 def _split_exact(df: DataFrame, key: str, fractions: Sequence[float], seed: int,
                  names: Sequence[str], out: str) -> DataFrame:
     from hourglass.operators.scan import prefix_sums

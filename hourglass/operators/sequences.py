@@ -2,17 +2,20 @@
 
 Sequences are built per entity from at most ``seq_len`` hourly rows, so the
 per-entity ``collect_list`` is bounded by the sequence length, never by the
-raw event volume.
+raw event volume.  For timelines too long for a row the same sequences come in
+blocks (``sequence_blocks``, ``read_range``): a row is bounded by the block, or by the range
+that is read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.arrays import bound
+from hourglass.operators.joins import broadcast_if_small
 from hourglass.session import cut_lineage
 
 
@@ -86,6 +89,92 @@ def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str],
     return g.select(*cols)
 
 
+#: Positions of a block.
+BLOCK = 1024
+
+
+def sequence_blocks(df: DataFrame, key: str, hour: str, channels: Sequence[str], seq_len: int,
+                    block: int = BLOCK, label: str | None = None, label_pad: int = -100, value_pad: float = 0.0,
+                    as_of: str | None = None, out: str = "X_num") -> DataFrame:
+    """The sequences of :func:`build_sequences` in blocks of ``block`` positions.
+
+    A row ``(key, block, start, X_num[, y])`` holds the positions ``start`` up to ``start + block`` (the last
+    block ends at ``seq_len``), channel-major.  Positions, padding, cleaning, ``as_of`` and repeated hours are
+    as in ``build_sequences``; a block that is all padding has no row, and a key without a kept hour has none.
+    The rows of a key are grouped by block, so neither a row nor a task grows with the length of a timeline.
+    """
+    rows = df.filter((F.col(hour) >= 0) & (F.col(hour) < seq_len))
+    if as_of is not None:
+        rows = rows.filter(F.col(hour) <= F.col(as_of))
+    fields = []
+    for i, c in enumerate(channels):
+        x = F.col(c).cast("double")
+        clean = F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
+        fields.append(F.coalesce(clean, F.lit(value_pad)).cast("float").alias(f"c{i}"))
+    y_pad = F.lit(label_pad).cast("bigint")
+    if label is not None:
+        fields.append(F.coalesce(F.col(label).cast("bigint"), y_pad).alias("y"))
+    hours = cut_lineage(rows.groupBy(F.col(key).alias("__key"), F.col(hour).cast("bigint").alias("__h"))
+                        .agg(F.max(F.struct(*fields)).alias("__s")), name="hours")
+    last = hours.groupBy(F.col("__key").alias("__of")).agg(F.max("__h").alias("__mh"))
+    place = F.col("__h") + F.lit(seq_len - 1) - F.col("__mh")
+    placed = (hours.join(broadcast_if_small(cut_lineage(last, name="extents")), F.col("__key").eqNullSafe(F.col("__of")))
+              .select("__key", F.floor(place / block).cast("int").alias("block"),
+                      F.pmod(place, F.lit(block)).cast("int").alias("__at"), "__s"))
+    grouped = placed.groupBy("__key", "block").agg(F.map_from_entries(F.collect_list(F.struct("__at", "__s"))).alias("__m"))
+    pad = F.struct(*[F.lit(value_pad).cast("float").alias(f"c{i}") for i in range(len(channels))],
+                   *([y_pad.alias("y")] if label is not None else []))
+    start = F.col("block").cast("bigint") * block
+    width = F.least(F.lit(block).cast("bigint"), F.lit(seq_len) - start).cast("int")
+    at = bound(F.col("__m"), lambda m: F.transform(F.sequence(F.lit(0), width - 1),
+                                                   lambda p: F.coalesce(F.try_element_at(m, p), pad)))
+    filled = grouped.select("__key", "block", start.alias("start"), at.alias("__at"))
+    cols = [F.array(*[F.col("__at").getField(f"c{i}") for i in range(len(channels))]).alias(out)]
+    if label is not None:
+        cols.append(F.col("__at").getField("y").alias("y"))
+    return filled.select(F.col("__key").alias(key), "block", "start", *cols)
+
+
+def read_range(blocks: DataFrame, key: str, lo: int, hi: int, n_channels: int, seq_len: int, block: int = BLOCK,
+               entities: DataFrame | None = None, label: bool = False, label_pad: int = -100, value_pad: float = 0.0,
+               out: str = "X_num") -> DataFrame:
+    """Positions ``lo`` up to ``hi`` (exclusive) of every sequence that is stored in blocks.
+
+    One row per key: ``out`` is channel-major with ``hi - lo`` positions and equals that slice of the whole
+    sequence, padding where no block is stored; ``y`` likewise with ``label``.  Only blocks that meet the range are
+    read (the filter on ``block`` reaches the scan); a row holds no more than the range.  Every key of
+    ``entities`` has a row; without ``entities`` the keys with a block in the range have one.
+    """
+    if not 0 <= lo < hi <= seq_len:
+        raise ValueError(f"the range {lo}..{hi} does not lie in 0..{seq_len}")
+    first, last = lo // block, (hi - 1) // block
+    names = [out, *(["y"] if label else [])]
+    part = blocks.filter(F.col("block").between(first, last)).select(F.col(key).alias("__key"), "block", *names)
+    found = part.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("block", F.struct(*names)))).alias("__m"))
+    if entities is not None:
+        keys = entities.select(F.col(key).alias("__of")).distinct()
+        found = keys.join(found, F.col("__of").eqNullSafe(F.col("__key")), "left").drop("__key").withColumnRenamed("__of", "__key")
+
+    def width(b: Column) -> Column:
+        return F.least(F.lit(block), F.lit(seq_len) - b * block)
+
+    def line(m: Column, of, empty: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(first), F.lit(last)),
+                            lambda b: F.coalesce(of(F.try_element_at(m, b)), F.array_repeat(empty, width(b))))
+        return F.slice(F.flatten(parts), lo - first * block + 1, hi - lo)
+
+    pad, y_pad = F.lit(value_pad).cast("float"), F.lit(label_pad).cast("bigint")
+    held = F.coalesce(F.col("__m"), F.map_from_arrays(F.array().cast("array<int>"),
+                                                      F.array().cast(found.schema["__m"].dataType.simpleString()
+                                                                     .replace("map<int,", "array<", 1))))
+    x = bound(held, lambda m: F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)),
+                                          lambda c: line(m, lambda s: F.get(s[out], c), pad)))
+    cols = [F.col("__key").alias(key), x.alias(out)]
+    if label:
+        cols.append(bound(held, lambda m: line(m, lambda s: s["y"], y_pad)).alias("y"))
+    return found.select(*cols)
+
+
 def explode_sequences(seq: DataFrame, key: str, col: str = "X_num") -> DataFrame:
     """Long form ``(key, channel, pos, value)`` of a channel-major sequence column."""
     ch = seq.select(key, F.posexplode(col).alias("channel", "__series"))

@@ -2,7 +2,8 @@
 
 Windows partition by entity and order by hour.  An entity's grid has a row per
 elapsed hour, so a window partition is bounded by the length of its stay
-however many raw events it has (``max_hours`` truncates the grid only where a
+however many raw events it has; ``ffill_pieces`` and ``channels_pieces`` bound it
+for entities without end as well (sensors, hosts) (``max_hours`` truncates the grid only where a
 caller asks for it); the heavy reduction (events -> hourly
 statistics) happens before, in a partially aggregated ``groupBy``.
 """
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourglass.operators.pieces import PIECE_ROWS, last_observed
+
 
 # --------------------------------------------------------------------------- G1
 def hourly_grid(stays: DataFrame, hours_col: str = "STAY_HOURS", max_hours: int | None = None,
@@ -45,6 +48,20 @@ def ffill(df: DataFrame, cols: Sequence[str], by, order, suffix: str = "") -> Da
     return df.select(*[filled.get(c, F.col(c)) for c in df.columns])
 
 
+def ffill_pieces(df: DataFrame, cols: Sequence[str], by, order: str, suffix: str = "",
+                 piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """:func:`ffill` for keys of any length: a key above ``piece_rows`` rows is filled piece by piece.
+
+    Same rows and columns.  ``order`` is one column, unique within a key.
+    """
+    by_l = [by] if isinstance(by, str) else list(by)
+    out = last_observed(df, {f"__last_{c}": F.col(c) for c in cols}, by_l, order, piece_rows)
+    filled = {c: F.col(f"__last_{c}").alias(c + suffix) for c in cols}
+    if suffix:
+        return out.select(*df.columns, *filled.values())
+    return out.select(*[filled.get(c, F.col(c)) for c in df.columns])
+
+
 # --------------------------------------------------------------------------- W2
 def ffill_limit(df: DataFrame, col: str, n: int, by, order, carry_across: bool = False,
                 out: str | None = None, default=None) -> DataFrame:
@@ -148,6 +165,30 @@ def channels(df: DataFrame, features: Sequence[str], by, order: str, seq_len: in
     return df.select(*cols, *extra)
 
 
+def channels_pieces(df: DataFrame, features: Sequence[str], by, order: str, seq_len: int | None = None,
+                    value_prefix: str = "V__", mask_prefix: str = "M__", delta_prefix: str = "D__",
+                    keep: Sequence[str] | None = None, time_channel: bool = True,
+                    piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """:func:`channels` for keys of any length: a key above ``piece_rows`` rows is scanned piece by piece.
+
+    Same rows and columns, without ``extra``: those are window expressions of the caller's.
+    """
+    by_l = [by] if isinstance(by, str) else list(by)
+    h = F.col(order)
+    finite = {f: F.when(~F.isnan(F.col(f)) & (F.abs(F.col(f)) < F.lit(float("inf"))), F.col(f)) for f in features}
+    marks = {f"__last_{f}": F.when(x.isNotNull(), F.struct(x.alias("value"), h.alias("hour"))) for f, x in finite.items()}
+    seen = last_observed(df, marks, by_l, order, piece_rows)
+    keep = list(keep) if keep is not None else [c for c in df.columns if c not in features]
+    cols = [F.col(c) for c in keep]
+    for f in features:
+        last = F.col(f"__last_{f}")
+        cols += [last["value"].alias(value_prefix + f), finite[f].isNotNull().cast("tinyint").alias(mask_prefix + f),
+                 (h - F.coalesce(last["hour"], F.lit(0))).cast("int").alias(delta_prefix + f)]
+    if time_channel and seq_len:
+        cols.append((h.cast("double") / F.lit(float(seq_len))).alias(value_prefix + "time"))
+    return seen.select(*cols)
+
+
 # --------------------------------------------------------------------------- W4
 # Transition classes of the reference.
 ONSET, WEAN, STAY_ON, STAY_OFF = 0, 1, 2, 3

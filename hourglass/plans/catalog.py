@@ -180,6 +180,22 @@ def w1(spark, sf):
     return rounded(TL.ffill(j, ["click", "view"], "user_id", "HOUR_IN"))
 
 
+@q("w1_ffill_pieces")
+def w1p(spark, sf):
+    """W1 by pieces: stays of over 100 hours are filled piece by piece."""
+    _, _, t = _ev_tables(spark, sf)
+    j = J.attach_wide(t["grid"], t["wide"], ["user_id", "HOUR_IN"]).select("user_id", "HOUR_IN", "click", "view")
+    return rounded(TL.ffill_pieces(j, ["click", "view"], "user_id", "HOUR_IN", piece_rows=100))
+
+
+@q("w3_channels_pieces")
+def w3p(spark, sf):
+    """W3 by pieces: stays of over 100 hours are scanned piece by piece."""
+    _, _, t = _ev_tables(spark, sf)
+    j = J.attach_wide(t["grid"], t["wide"], ["user_id", "HOUR_IN"]).select("user_id", "HOUR_IN", *IN.FEATURES)
+    return rounded(TL.channels_pieces(j, IN.FEATURES, "user_id", "HOUR_IN", seq_len=IN.GRID_HOURS, piece_rows=100))
+
+
 @q("p23_time_channel")
 def p23(spark, sf):
     _, _, t = _ev_tables(spark, sf)
@@ -218,6 +234,19 @@ def j4(spark, sf):
     return J.join_in_interval(ev, stays, "o_custkey", "l_shipdate", "o_orderdate", "OUTTIME", lookback_hours=6)
 
 
+@q("j3_join_in_interval_spread")
+def j3s(spark, sf):
+    """J4's fan-out join over one key per nation of the customer: 25 hot keys, each cut along its own times."""
+    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    c = T(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("nation"))
+    o = o.join(J.broadcast_if_small(c), ["o_custkey"]).drop("o_custkey")
+    stays = o.withColumn("OUTTIME", F.timestamp_add("HOUR", F.lit(12), F.col("o_orderdate")))
+    li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    ev = li.join(o.select(F.col("o_orderkey").alias("l_orderkey"), "nation"), ["l_orderkey"])
+    return J.join_in_interval_spread(ev, stays, "nation", "l_shipdate", "o_orderdate", "OUTTIME",
+                                     lookback_hours=6, piece_rows=500)
+
+
 @q("p8_hour_offset")
 def p8(spark, sf):
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
@@ -498,11 +527,9 @@ def p2(spark, sf):
 
 @q("p21_fill_defaults")
 def p21(spark, sf):
-    st = _cohort(spark, sf).select("ICUSTAY_ID", "HADM_ID")
-    codes = AG.collect_codes(IN.order_brands(T(spark, sf, "lineitem"), T(spark, sf, "part"))
-                             .filter(F.col("code") != "Brand#1"), "o_orderkey", "code", "CODES")
-    j = st.join(codes.withColumnRenamed("o_orderkey", "HADM_ID"), ["HADM_ID"], "left")
-    return C.fill_defaults(j, {"CODES": []})
+    """Every order with its code list, empty for orders without lines."""
+    o = T(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return C.fill_defaults(o.join(_order_codes(spark, sf), ["o_orderkey"], "left"), {"CODES": []})
 
 
 @q("p26_parse_list")
@@ -529,10 +556,12 @@ def p28(spark, sf):
 
 @q("u1_union_events")
 def u1(spark, sf):
+    """Clicks and all other events (no type included) put together again by column name."""
     ev = T(spark, sf, "events")
-    clicks = ev.filter(F.col("event_type") == "click").select("event_id", "user_id", "ts", "value")
-    views = ev.filter(F.col("event_type") == "view").select("value", "ts", "event_id", "user_id")
-    return clicks.unionByName(views)
+    click = F.coalesce(F.col("event_type") == "click", F.lit(False))
+    clicks = ev.filter(click).select("event_id", "user_id", "ts", "event_type", "value")
+    others = ev.filter(~click).select("value", "event_type", "ts", "event_id", "user_id")
+    return clicks.unionByName(others)
 
 
 # =========================================================================== codes, vocabulary, candidates
@@ -677,11 +706,9 @@ def j8(spark, sf):
 _Z_COLS = ("V__click", "V__error", "V__purchase", "V__signup", "V__view")
 
 
-def _train_stats(spark, sf, materialize=False):
+def _train_stats(spark, sf):
     _, _, t = _ev_tables(spark, sf)
     ch = t["channels"].select("user_id", "HOUR_IN", *_Z_COLS)
-    if materialize:  # read by both the fit and the apply pass
-        ch = cut_lineage(ch, spark, "channels")
     train = J.restrict_split(ch, _splits(spark, sf), "user_id", "train")
     return ch, AG.fit_zscore(train, list(_Z_COLS))
 
@@ -693,7 +720,7 @@ def a9(spark, sf):
 
 @q("p24_apply_zscore")
 def p24(spark, sf):
-    ch, stats = _train_stats(spark, sf, materialize=True)
+    ch, stats = _train_stats(spark, sf)
     return rounded(C.apply_zscore(ch, stats, list(_Z_COLS)))
 
 
@@ -761,7 +788,48 @@ def s11(spark, sf):
                     F.col("X_icd").isNull().alias("no_icd"))
 
 
+#: Short blocks, so that the given timelines fill several.
+_BLOCK = 64
+
+
+def _sequence_blocks(spark, sf):
+    """Every stay's whole timeline in blocks, all stays, and the positions of a whole sequence."""
+    _, _, t = _ev_tables(spark, sf)
+    longest = t["stays"].agg(F.max("STAY_HOURS")).first()[0]
+    seq_len = max(int(longest or 0), 1)
+    blocks = SQ.sequence_blocks(ETL.dataset(t, "user_id"), "user_id", "HOUR_IN", list(_SEQ_CHANNELS), seq_len,
+                                block=_BLOCK, label="target")
+    return blocks, t["stays"], seq_len
+
+
+@q("g4_sequence_blocks")
+def g4b(spark, sf):
+    """One row per stay, block and channel, its values by position in the block."""
+    blocks = _sequence_blocks(spark, sf)[0].select("user_id", "block", "start", F.posexplode("X_num").alias("channel", "vals"))
+    return rounded(blocks.withColumn("vals", F.col("vals").cast("array<double>")))
+
+
+@q("s11_read_sequence_range")
+def s11r(spark, sf):
+    """200 positions of every training stay (from a third of the sequence on), read from blocks written by split."""
+    blocks, stays, seq_len = _sequence_blocks(spark, sf)
+    splits = _splits(spark, sf)
+    path = IO.write_sequence_blocks(blocks.join(splits, ["user_id"]), scratch_path(spark, "blocks"), "user_id")
+    train = J.restrict_split(stays, splits, "user_id", "train")
+    lo = seq_len // 3
+    part = IO.read_sequence_range(spark, path, "user_id", lo, min(lo + 200, seq_len), len(_SEQ_CHANNELS), seq_len, _BLOCK,
+                                  split="train", entities=train, label=True)
+    long = part.select("user_id", "y", F.posexplode("X_num").alias("channel", "vals"))
+    return rounded(long.withColumn("vals", F.col("vals").cast("array<double>")))
+
+
 # =========================================================================== sampling
+@q("i3_sample_rows_exact")
+def i3e(spark, sf):
+    """5,000 orders by the smallest hash of their key, cut by histograms (all of them where there are fewer)."""
+    return S.sample_rows_exact(T(spark, sf, "orders"), 5000, "o_orderkey", seed=7)
+
+
 @q("i2_weighted_resample")
 def i2(spark, sf):
     emb = T(spark, sf, "embeddings").select("vec_id", "label")
@@ -1027,6 +1095,39 @@ def o1(spark, sf):
     return spark.read.parquet(path)
 
 
+@q("o1_ordered_files")
+def o1f(spark, sf):
+    """The labels in one order over all files, read back."""
+    _, _, t = _ev_tables(spark, sf)
+    path = IO.write_ordered(t["labels"], scratch_path(spark, "labels_ordered"), ["user_id", "HOUR_IN"])
+    return spark.read.parquet(path)
+
+
+@q("s7_publish")
+def s7p(spark, sf):
+    """Orders published without their priority, then, read back and completed, as the next version."""
+    from hourglass.sources.versions import publish, read_published
+    o = T(spark, sf, "orders")
+    path = scratch_path(spark, "orders_versions")
+    publish(o.drop("o_orderpriority"), path)
+    more = read_published(spark, path).join(o.select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    publish(more.select(*o.columns), path)
+    return read_published(spark, path)
+
+
+@q("s12_append_once")
+def s12o(spark, sf):
+    """Every event type appended as a batch, and then once more as by a retry."""
+    from hourglass.sources.versions import append_once, read_appended
+    ev = T(spark, sf, "events")
+    path = scratch_path(spark, "events_batches")
+    for _ in range(2):
+        for name in IN.EVENT_TYPES:
+            append_once(ev.filter(F.col("event_type") == name), path, name)
+        append_once(ev.filter(F.col("event_type").isNull() | ~F.col("event_type").isin(*IN.EVENT_TYPES)), path, "others")
+    return read_appended(spark, path)
+
+
 @q("s8_artifacts")
 def s8(spark, sf):
     art = IO.Artifacts(spark, scratch_path(spark, "run"))

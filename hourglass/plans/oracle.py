@@ -519,21 +519,16 @@ SELECT event_id, coalesce(CASE WHEN isfinite(x) THEN x END, 0.0) AS x FROM (
                         WHEN event_id % 19 = 0 THEN NULL ELSE value END AS x FROM events)"""
 ORACLE["p1_cast_columns"] = "SELECT * FROM lineitem"
 ORACLE["p2_parse_ts"] = "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 1 THEN NULL ELSE ts END AS parsed FROM events"
-ORACLE["p21_fill_defaults"] = with_(ORDER_STAYS, PERSONS, COHORT) + """
-SELECT c.HADM_ID, c.ICUSTAY_ID, coalesce(x.CODES, CAST([] AS VARCHAR[])) AS CODES
-FROM cohort c LEFT JOIN (
-  SELECT l.l_orderkey AS HADM_ID, list_sort(list_distinct(list(p.p_brand))) AS CODES
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE p.p_brand IS NOT NULL AND p.p_brand <> 'Brand#1' GROUP BY 1) x ON c.HADM_ID = x.HADM_ID"""
+ORACLE["p21_fill_defaults"] = with_(ORDER_CODES) + """
+SELECT o.o_orderkey, o.o_custkey, coalesce(c.CODES, CAST([] AS VARCHAR[])) AS CODES
+FROM orders o LEFT JOIN order_codes c ON o.o_orderkey = c.o_orderkey"""
 ORACLE["p26_parse_list"] = with_(ORDER_CODES) + """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN [array_to_string(CODES, ',')] ELSE CODES END AS CODES
 FROM order_codes"""
 ORACLE["p27_codes_to_text"] = with_(ORDER_CODES) + \
     "SELECT o_orderkey, coalesce(array_to_string(list_filter(CODES, lambda x: x <> ''), ' '), '') AS TEXT FROM order_codes"
 ORACLE["p28_project"] = "SELECT l_orderkey, l_quantity AS QTY FROM lineitem"
-ORACLE["u1_union_events"] = """
-SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'click'
-UNION ALL SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'view'"""
+ORACLE["u1_union_events"] = "SELECT event_id, user_id, ts, event_type, value FROM events"
 
 # ------------------------------------------------------------------ codes
 ORACLE["a4_collect_codes"] = with_(ORDER_CODES) + "SELECT * FROM order_codes"
@@ -595,6 +590,19 @@ ORACLE["g5_stack_channels"] = with_(*EV_ALL, SEQ_LONG) + f"""
 SELECT user_id, CAST({len(SEQ_CHANNELS)} AS INTEGER) AS n_channels, CAST(max(pos) + 1 AS INTEGER) AS seq_len,
        list(round(CAST(value AS DOUBLE), 6) ORDER BY channel, pos) AS flat
 FROM seq_long GROUP BY user_id"""
+ORACLE["g4_sequence_blocks"] = with_(*EV_ALL, SEQ_LONG) + """
+SELECT user_id, CAST(pos // 64 AS INTEGER) AS block, CAST(pos // 64 * 64 AS BIGINT) AS start, channel,
+       list(round(CAST(value AS DOUBLE), 6) ORDER BY pos) AS vals
+FROM seq_long JOIN (SELECT user_id AS kept, (SELECT L FROM seq_size) - 1 - mh AS first_pos FROM seq_mh WHERE mh IS NOT NULL)
+  ON user_id = kept AND pos // 64 >= first_pos // 64
+GROUP BY user_id, pos // 64, channel"""
+ORACLE["s11_read_sequence_range"] = with_(*EV_ALL, SPLITS, SEQ_LONG) + """
+SELECT v.user_id, v.channel, v.vals, y.y FROM (
+  SELECT user_id, channel, list(round(CAST(value AS DOUBLE), 6) ORDER BY pos) AS vals
+  FROM seq_long, seq_size WHERE pos >= L // 3 AND pos < least(L // 3 + 200, L) GROUP BY user_id, channel) v
+JOIN (SELECT user_id, list(CAST(y AS BIGINT) ORDER BY pos) AS y
+      FROM seq_y, seq_size WHERE pos >= L // 3 AND pos < least(L // 3 + 200, L) GROUP BY user_id) y USING (user_id)
+JOIN splits s USING (user_id) WHERE s.split = 'train'"""
 ORACLE["w6_last_valid"] = with_(*EV_ALL, SEQ_LONG) + """
 SELECT m.user_id, CAST(x.y_last AS BIGINT) AS y_last FROM seq_mh m LEFT JOIN (
   SELECT user_id, arg_max(y, pos) AS y_last FROM seq_y WHERE y <> -100 GROUP BY user_id) x USING (user_id)"""
@@ -615,6 +623,8 @@ WHERE s.split = 'train'"""
 # ------------------------------------------------------------------ sampling
 ORACLE["i3_sample_rows"] = f"""
 SELECT doc_id, lang, n_chars FROM documents ORDER BY {HASH.format(k='doc_id', seed=7)}, doc_id LIMIT 50"""
+ORACLE["i3_sample_rows_exact"] = f"""
+SELECT * FROM orders ORDER BY {HASH.format(k='o_orderkey', seed=7)}, o_orderkey LIMIT 5000"""
 ORACLE["i4_draw_candidate"] = with_(PREDS) + f"""
 SELECT id, CAST(CASE WHEN len(c) > 0 THEN c[CAST({HASH.format(k='id', seed=11)} % greatest(len(c), 1) + 1 AS INTEGER)]
                ELSE 0 END AS BIGINT) AS drawn
@@ -754,6 +764,9 @@ ORACLE["s5_read_names"] = "SELECT DISTINCT event_type AS name FROM events"
 ORACLE["s6_read_table"] = "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 25"
 ORACLE["s7_write_table"] = "SELECT * FROM orders"
 ORACLE["o1_sorted_sink"] = with_(*EV_BASE, EV_GRID, EV_FLAGGED, EV_LABELS) + "SELECT * FROM ev_labels"
+ORACLE["o1_ordered_files"] = ORACLE["o1_sorted_sink"]
+ORACLE["s7_publish"] = "SELECT * FROM orders"
+ORACLE["s12_append_once"] = "SELECT * FROM events"
 ORACLE["s8_artifacts"] = """
 SELECT c.*, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 ORACLE["a1_hourly_stats_stream"] = """
@@ -773,6 +786,15 @@ ORACLE["j11_attach_labels"] = with_(*EV_BASE, EV_GRID, EV_FLAGGED, EV_LABELS) +
 SELECT g.user_id, g.HOUR_IN, c.candidates, l.target
 FROM ev_grid g LEFT JOIN codes c ON g.user_id = c.user_id
 LEFT JOIN ev_labels l ON g.user_id = l.user_id AND g.HOUR_IN = l.HOUR_IN"""
+ORACLE["w1_ffill_pieces"] = ORACLE["w1_ffill"]
+ORACLE["w3_channels_pieces"] = ORACLE["w3_channels"]
+ORACLE["j3_join_in_interval_spread"] = """
+WITH o AS (SELECT o_orderkey, o_orderdate, c_nationkey AS nation FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT l.l_orderkey, l.l_linenumber, l.l_shipdate, lo.nation, s.o_orderkey, s.o_orderdate,
+       s.o_orderdate + INTERVAL 12 HOUR AS OUTTIME
+FROM lineitem l JOIN o lo ON l.l_orderkey = lo.o_orderkey
+JOIN o s ON lo.nation = s.nation
+ AND l.l_shipdate >= s.o_orderdate - INTERVAL 6 HOUR AND l.l_shipdate <= s.o_orderdate + INTERVAL 12 HOUR"""
 ORACLE["j3_join_in_interval_bucketed"] = ORACLE["j4_join_in_interval_lookback"]
 ORACLE["j5_lookup_ranges_dedupe"] = """
 WITH r AS (

@@ -7,9 +7,9 @@ never target the path they read from.  Paths go through Hadoop's FileSystem so
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,6 +114,43 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet table (S6); no column is read, Spark takes the counts from the footers."""
+    return spark.read.parquet(path).count()
+
+
+#: Rows that an iteration holds on the driver at a time, about.
+ITERATE_ROWS = 100_000
+
+
+def iterate_rows(df: DataFrame, order: Sequence[str] | None = None, partition_rows: int = ITERATE_ROWS) -> Iterator[Row]:
+    """Every row in turn, with one partition of about ``partition_rows`` rows on the driver at a time.
+
+    With ``order`` the rows come in that order (give a total order for a stable one): they are dealt into
+    ranges once, and each range is sorted where it lies and fetched when its turn comes.  Without, they come in
+    whatever order the table has, large partitions divided.  Nothing runs before the first row is asked for; an
+    empty table ends at once.
+    """
+    parts = max(1, -(-df.count() // partition_rows))
+    if order:
+        df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    elif parts > 1:
+        df = df.repartition(parts)
+    yield from df.toLocalIterator()
+
+
+def write_ordered(df: DataFrame, path: str, order: Sequence[str], files: int | None = None, mode: str = "overwrite") -> str:
+    """Write a table in the order of ``order`` over all its files (O1).
+
+    Rows are dealt into ranges of ``order`` and sorted within, so the ranges of two files do not overlap and files
+    follow one another in the order of their part numbers; a scan that filters on the leading columns skips the others by
+    their footers.  ``order`` may end in columns that split a hot entity, e.g. (entity, hour): its rows then
+    fill files in a row instead of one task.  ``files`` defaults to the session's shuffle partitions.
+    """
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_table(df.repartitionByRange(n, *order), path, sort_within=order, mode=mode)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] | None = None,
                 sort_within: Sequence[str] | None = None, mode: str = "overwrite") -> str:
     """Write a Parquet artifact, optionally partitioned and sorted within files.
@@ -205,6 +242,31 @@ def read_sequences(spark: SparkSession, path: str, label_key: str = "y_vent",
     return df.withColumn("y", F.col(label_key))
 
 
+def write_sequence_blocks(df: DataFrame, path: str, key: str) -> str:
+    """Sequence blocks (``operators.sequences.sequence_blocks`` with a ``split``), one directory per split.
+
+    Within a split files are ordered by (key, block), so the blocks of a key follow one another.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["split", key, "block"]
+    return write_table(df.repartitionByRange(n, *order), path, partition_by=["split"], sort_within=order)
+
+
+def read_sequence_range(spark: SparkSession, path: str, key: str, lo: int, hi: int, n_channels: int, seq_len: int,
+                        block: int, split: str | None = None, entities: DataFrame | None = None,
+                        label: bool = False) -> DataFrame:
+    """Positions ``lo`` up to ``hi`` of the sequences stored in blocks at ``path`` (S11), see ``sequences.read_range``."""
+    from hourglass.operators.sequences import read_range
+
+    blocks = spark.read.parquet(path)
+    missing = [c for c in (key, "block", "X_num", *(["y"] if label else [])) if c not in blocks.columns]
+    if missing:
+        raise ValueError(f"sequence blocks at {path} lack required columns {missing}")
+    if split is not None:
+        blocks = blocks.filter(F.col("split") == F.lit(split))
+    return read_range(blocks, key, lo, hi, n_channels, seq_len, block, entities=entities, label=label)
+
+
 # --------------------------------------------------------------------------- S12
 METRIC_SCHEMA = "name string, step bigint, value double"
 TRACE_SCHEMA = "stage string, started_at timestamp_ntz, duration_sec double"

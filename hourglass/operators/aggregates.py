@@ -73,10 +73,14 @@ def build_vocab(df: DataFrame, codes_col: str, code: str = "code") -> DataFrame:
     vocabulary (one row per distinct code) in that order, so a vocabulary of
     any size is never ranked inside a single task.
     """
+    return build_vocab_long(df.select(F.explode(F.col(codes_col)).alias(code)), code)
+
+
+def build_vocab_long(rows: DataFrame, code: str = "code") -> DataFrame:
+    """:func:`build_vocab` of long rows, one per occurrence of a code."""
     from hourglass.operators.scan import prefix_sums
 
-    counts = (df.select(F.explode(F.col(codes_col)).alias(code))
-              .filter(F.col(code).isNotNull())
+    counts = (rows.filter(F.col(code).isNotNull())
               .groupBy(code).agg(F.count(F.lit(1)).alias("n"))
               .withColumn("__one", F.lit(1).cast("bigint")))
     ranked = prefix_sums(counts, [], [F.desc("n"), F.asc(code)], ["__one"], suffix="_rank", inclusive=False)

@@ -166,12 +166,12 @@ def macro_f1(df: DataFrame, pred: str = "pred", label: str = "label", ignore: in
 
 # --------------------------------------------------------------------------- M9 / M10
 def _score_table(df: DataFrame, classes: Sequence[int], probs: str, label: str, ignore: int) -> DataFrame:
-    """(cls, score, pos, neg) counts per distinct score, classes exploded."""
+    """(cls, score, pos, neg) counts per distinct score; only class, score and label are exploded, not the array."""
     v = df.filter(F.col(label).isNotNull() & (F.col(label) != F.lit(ignore)))
-    cls = F.explode(F.array(*[F.lit(int(c)) for c in classes]))
-    long = v.select(F.col(label).cast("int").alias("__y"), F.col(probs).alias("__p"), cls.alias("cls"))
-    long = long.select("cls", F.element_at("__p", F.col("cls") + 1).cast("double").alias("score"),
-                       (F.col("__y") == F.col("cls")).cast("long").alias("__is_pos"))
+    scored = F.array(*[F.struct(F.lit(int(c)).alias("cls"), F.element_at(probs, int(c) + 1).cast("double").alias("score"))
+                       for c in classes])
+    long = v.select(F.col(label).cast("int").alias("__y"), F.explode(scored).alias("__s"))
+    long = long.select("__s.cls", "__s.score", (F.col("__y") == F.col("__s.cls")).cast("long").alias("__is_pos"))
     return long.groupBy("cls", "score").agg(F.sum("__is_pos").alias("pos"),
                                             F.sum(1 - F.col("__is_pos")).alias("neg"))
 

@@ -41,7 +41,39 @@ def encode_codes(df: DataFrame, key: str, codes_col: str, vocab: DataFrame,
             .withColumn(out, F.coalesce(F.col(out).cast("array<bigint>"), F.array().cast("array<bigint>"))))
 
 
+def encode_long(rows: DataFrame, key: str, code: str, vocab: DataFrame, out: str = "candidates",
+                codes_out: str = "CODES", idx: str = "idx") -> DataFrame:
+    """(key, codes_out, out) from long (key, code) rows: A4 and G2 in one grouping.
+
+    The sorted distinct non-null codes of a key, as ``collect_codes`` gives them, and the vocabulary indexes of
+    those that are known, in the same order.  Codes meet the vocabulary while they are rows, so they are
+    shuffled once, by key; a code that the vocabulary lists twice has its smallest index.  A key without a
+    code has no row.  The vocabulary's column is called ``code`` as in ``build_vocab``.
+    """
+    v = (vocab.filter(F.col("code").isNotNull()).groupBy(F.col("code").alias("__v_code"))
+         .agg(F.min(F.col(idx).cast("bigint")).alias("__idx")))
+    coded = rows.filter(F.col(code).isNotNull()).select(key, F.col(code).cast("string").alias("__code"))
+    pairs = (coded.join(broadcast_if_small(v), F.col("__code") == F.col("__v_code"), "left")
+             .groupBy(key).agg(F.sort_array(F.collect_set(F.struct("__code", "__idx"))).alias("__pairs")))
+    known = F.filter("__pairs", lambda x: x["__idx"].isNotNull())
+    return pairs.select(key, F.transform("__pairs", lambda x: x["__code"]).alias(codes_out),
+                        F.transform(known, lambda x: x["__idx"]).alias(out))
+
+
 # --------------------------------------------------------------------------- G4 / G5
+def _dense(found: Column, end: Column, pad: Column) -> Column:
+    """Values at positions 0 up to ``end`` (exclusive) from (at, s) structs sorted by position, ``pad`` between them.
+
+    Every value brings the padding before it, so the work is that of the result's length.
+    """
+    def led(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(found, i - 1)["at"], F.lit(-1))
+        return F.concat(F.array_repeat(pad, x["at"] - before - 1), F.array(x["s"]))
+
+    rest = end - F.coalesce(F.get(found, F.size(found) - 1)["at"], F.lit(-1)) - 1
+    return F.concat(F.flatten(F.transform(found, led)), F.array_repeat(pad, rest))
+
+
 def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str], seq_len: int = 120,
                     label: str | None = None, label_pad: int = -100, value_pad: float = 0.0,
                     as_of: str | None = None, out: str = "X_num", entities: DataFrame | None = None) -> DataFrame:
@@ -71,15 +103,14 @@ def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str],
         fields.append(F.coalesce(F.col(label).cast("bigint"), y_pad).alias("y"))
     # of repeated hours the largest row stays, whatever order the rows arrive in
     hours = rows.groupBy(key, F.col(hour).cast("int").alias("__h")).agg(F.max(F.struct(*fields)).alias("__s"))
-    g = hours.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__h", "__s"))).alias("__m"),
-                               F.max("__h").alias("__mh"))
     pad = F.struct(*[F.lit(value_pad).cast("float").alias(f"c{i}") for i in range(len(channels))],
                    *([y_pad.alias("y")] if label is not None else []))
-    # one lookup per position; the channels are then projected from the found structs
-    at = bound(F.col("__m"), lambda m: F.transform(
-        F.sequence(F.lit(0), F.lit(seq_len - 1)),
-        lambda p: F.coalesce(F.try_element_at(m, p - (F.lit(seq_len - 1) - F.col("__mh"))), pad)))
-    g = g.select(key, at.alias("__at"))
+    # positions count from the right, so the last hour's is seq_len - 1
+    g = hours.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__h", "__s"))).alias("__l"))
+    shift = F.lit(seq_len - 1) - F.element_at("__l", -1)["__h"]
+    placed = bound(F.struct(F.col("__l").alias("l"), shift.alias("by")), lambda g: F.transform(
+        g["l"], lambda x: F.struct((x["__h"] + g["by"]).alias("at"), x["__s"].alias("s"))))
+    g = g.select(key, bound(placed, lambda found: _dense(found, F.lit(seq_len), pad)).alias("__at"))
     if entities is not None:
         g = entities.select(key).distinct().join(g, [key], "left").withColumn(
             "__at", F.coalesce("__at", F.array_repeat(pad, seq_len)))
@@ -121,13 +152,13 @@ def sequence_blocks(df: DataFrame, key: str, hour: str, channels: Sequence[str],
     placed = (hours.join(broadcast_if_small(cut_lineage(last, name="extents")), F.col("__key").eqNullSafe(F.col("__of")))
               .select("__key", F.floor(place / block).cast("int").alias("block"),
                       F.pmod(place, F.lit(block)).cast("int").alias("__at"), "__s"))
-    grouped = placed.groupBy("__key", "block").agg(F.map_from_entries(F.collect_list(F.struct("__at", "__s"))).alias("__m"))
+    grouped = placed.groupBy("__key", "block").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("__at").alias("at"), F.col("__s").alias("s")))).alias("__l"))
     pad = F.struct(*[F.lit(value_pad).cast("float").alias(f"c{i}") for i in range(len(channels))],
                    *([y_pad.alias("y")] if label is not None else []))
     start = F.col("block").cast("bigint") * block
     width = F.least(F.lit(block).cast("bigint"), F.lit(seq_len) - start).cast("int")
-    at = bound(F.col("__m"), lambda m: F.transform(F.sequence(F.lit(0), width - 1),
-                                                   lambda p: F.coalesce(F.try_element_at(m, p), pad)))
+    at = bound(F.col("__l"), lambda found: _dense(found, width, pad))
     filled = grouped.select("__key", "block", start.alias("start"), at.alias("__at"))
     cols = [F.array(*[F.col("__at").getField(f"c{i}") for i in range(len(channels))]).alias(out)]
     if label is not None:

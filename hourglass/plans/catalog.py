@@ -575,23 +575,21 @@ def _vocab(spark, sf):
 
 
 def _codes(spark, sf):
-    """Order code lists, the vocabulary (built once) and every order's candidate indexes."""
-    codes = _order_codes(spark, sf)
-    vocab = AG.build_vocab(codes, "CODES")  # materialized by its distributed rank
-    cands = SQ.encode_codes(codes, "o_orderkey", "CODES", vocab)
+    """The vocabulary, every coded order's candidate indexes, and those of all orders."""
+    pairs = cut_lineage(IN.order_brands(T(spark, sf, "lineitem"), T(spark, sf, "part")).distinct(), spark, "codes")
+    vocab = cut_lineage(AG.build_vocab_long(pairs), spark, "vocab")
+    cands = SQ.encode_long(pairs, "o_orderkey", "code", vocab)
     o = T(spark, sf, "orders").select("o_orderkey")
-    allc = C.fill_defaults(o.join(cands.select("o_orderkey", "candidates"), ["o_orderkey"], "left")
-                           .withColumn("candidates", F.col("candidates").cast("array<bigint>")),
-                           {"candidates": []})
-    return codes, vocab, cands, allc
+    allc = C.fill_defaults(o.join(cands.select("o_orderkey", "candidates"), ["o_orderkey"], "left"), {"candidates": []})
+    return vocab, cands, allc
 
 
 def _order_cands(spark, sf):
-    return _codes(spark, sf)[2]
+    return _codes(spark, sf)[1]
 
 
 def _all_order_cands(spark, sf):
-    return _codes(spark, sf)[3]
+    return _codes(spark, sf)[2]
 
 
 @q("a4_collect_codes")
@@ -609,6 +607,13 @@ def g2(spark, sf):
     return _order_cands(spark, sf).select("o_orderkey", "candidates")
 
 
+@q("g2_encode_lists")
+def g2l(spark, sf):
+    """G2 over rows that come with their code lists."""
+    codes = _order_codes(spark, sf)
+    return SQ.encode_codes(codes, "o_orderkey", "CODES", AG.build_vocab(codes, "CODES")).select("o_orderkey", "candidates")
+
+
 @q("g3_pad_candidates")
 def g3(spark, sf):
     return _all_order_cands(spark, sf).select("o_orderkey", A.pad_candidates("candidates", 3).alias("y_icd"))
@@ -631,13 +636,13 @@ def a10(spark, sf):
 
 @q("a11_class_inclusion")
 def a11(spark, sf):
-    _, vocab, _, allc = _codes(spark, sf)
+    vocab, _, allc = _codes(spark, sf)
     return rounded(AG.class_inclusion(allc, "candidates", vocab.select("idx")))
 
 
 @q("o3_top_classes")
 def o3(spark, sf):
-    _, vocab, _, allc = _codes(spark, sf)
+    vocab, _, allc = _codes(spark, sf)
     return rounded(AG.top_classes(AG.class_inclusion(allc, "candidates", vocab.select("idx")), 5))
 
 

@@ -534,6 +534,7 @@ ORACLE["u1_union_events"] = "SELECT event_id, user_id, ts, event_type, value FRO
 ORACLE["a4_collect_codes"] = with_(ORDER_CODES) + "SELECT * FROM order_codes"
 ORACLE["a7_build_vocab"] = with_(ORDER_CODES, VOCAB) + "SELECT * FROM vocab"
 ORACLE["g2_encode_codes"] = with_(ORDER_CODES, VOCAB, ORDER_CANDS) + "SELECT o_orderkey, candidates FROM order_cands"
+ORACLE["g2_encode_lists"] = ORACLE["g2_encode_codes"]
 ORACLE["g3_pad_candidates"] = with_(*CANDS_ALL) + \
     "SELECT o_orderkey, list_resize(candidates[1:3], 3, -1) AS y_icd FROM all_cands"
 ORACLE["g8_multi_hot"] = with_(*CANDS_ALL) + \

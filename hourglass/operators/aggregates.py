@@ -110,7 +110,7 @@ def candidate_summary(df: DataFrame, col: str) -> DataFrame:
     Sizes count entries >= 0 (padding excluded).  Percentiles use linear
     interpolation, the NumPy default.
     """
-    from hourglass.operators.scan import exact_quantiles
+    from hourglass.operators.quantiles import exact_quantiles
 
     size = F.size(F.filter(F.col(col), lambda x: x >= 0))
     s = df.select(size.alias("__size"))

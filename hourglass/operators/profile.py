@@ -75,7 +75,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     grouped aggregate and the quartiles one distributed exact-quantile scan
     over all columns together, so no task holds a whole column.
     """
-    from hourglass.operators.scan import exact_quantiles
+    from hourglass.operators.quantiles import exact_quantiles
 
     if cols is None:
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourglass.operators.quantiles import exact_quantiles  # noqa: F401 - it stood here
 from hourglass.session import cut_lineage
 
 
@@ -50,35 +51,3 @@ def prefix_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column | s
     out = local.join(offsets if groups else F.broadcast(offsets), [*groups, "__part"], "left")
     return out.select(*df.columns, *[(F.col(f"__loc_{v}") + F.col(f"__off_{v}")).alias(f"{v}{suffix}")
                                      for v in values])
-
-
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], names: Sequence[str] | None = None,
-                    groups: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles with linear interpolation (NumPy's default), distributed.
-
-    Values are first counted per (group, distinct value) -- map-side
-    combined -- then a distributed prefix count gives each distinct value its
-    rank range; the value at 0-based rank r is the one whose range holds r.
-    One row per group (one row without groups), one column per probability.
-    Unlike ``percentile``, no task ever holds all values of a group.  Groups
-    should be few (e.g. one per column being described): their totals are
-    broadcast.
-    """
-    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    groups = list(groups)
-    v = df.select(*groups, F.col(col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    counts = v.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    cum = prefix_sums(counts, groups, ["__v"], ["__c"], suffix="_cum", inclusive=True)
-    total = cum.groupBy(*groups).agg(F.sum("__c").alias("__n"))
-    j = cum.join(F.broadcast(total), groups) if groups else cum.crossJoin(F.broadcast(total))
-    aggs = []
-    for p, name in zip(probs, names):
-        pos = F.lit(float(p)) * (F.col("__n") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        start = F.col("__c_cum") - F.col("__c")
-        aggs += [F.max(F.when((start <= lo) & (lo < F.col("__c_cum")), F.col("__v"))).alias(f"__lo_{name}"),
-                 F.max(F.when((start <= hi) & (hi < F.col("__c_cum")), F.col("__v"))).alias(f"__hi_{name}"),
-                 F.max(pos - lo).alias(f"__fr_{name}")]
-    row = j.groupBy(*groups).agg(*aggs)
-    return row.select(*groups, *[(F.col(f"__lo_{n}") + F.col(f"__fr_{n}") * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")))
-                                 .alias(n) for n in names])

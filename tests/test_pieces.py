@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from hourglass.operators import joins as J
 from hourglass.operators import pieces as P
 from hourglass.operators import profile as PR
+from hourglass.operators import quantiles
 from hourglass.operators import sampling as S
 from hourglass.operators import sequences as SQ
 from hourglass.operators import timeline as TL
+from hourglass.operators.quantiles import exact_quantiles
 from hourglass.session import scratch_path
 from hourglass.sources import io as IO
 from hourglass.sources import versions as V
@@ -284,3 +286,48 @@ def test_a_batch_counts_once(spark):
     assert V.read_appended(spark, path, ["b"]).count() == 99 and V.read_appended(spark, path).count() == 102
     with pytest.raises(ValueError):
         V.append_once(spark.range(1), path, "a/../b")
+
+
+# ---------------------------------------------------------------- quantiles
+def quantile(values, p):
+    """Linear interpolation between the two ranks, NaN above all numbers."""
+    x = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+    if not x:
+        return None
+    at = p * (len(x) - 1)
+    lo, hi = x[int(at)], x[min(int(at) + (at > int(at)), len(x) - 1)]
+    return lo + (at - int(at)) * (hi - lo)
+
+
+@pytest.mark.parametrize("limit", [1, 60, 10**6])
+def test_quantiles_by_closing_brackets(spark, limit):
+    rng = random.Random(7)
+    rows = [("wide", rng.lognormvariate(0, 4)) for _ in range(6000)] + [("ties", float(rng.randrange(3))) for _ in range(3000)]
+    rows += [("one", 5.0), ("none", None), (None, 1.0), (None, 2.0), ("same", 7.0), ("same", 7.0), ("signs", -INF), ("signs", INF)]
+    rows += [("mixed", rng.choice([None, -INF, INF, float("nan"), -1.0, 0.0, rng.random()])) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    probs = [0.0, 0.25, 0.5, 0.501, 0.9999, 1.0]
+    out = exact_quantiles(df, "x", probs, list("abcdef"), groups=["g"], limit=limit).collect()
+    assert {r["g"] for r in out} == {"wide", "ties", "one", None, "same", "signs", "mixed"}
+    for r in out:
+        expected = [quantile([x for g, x in rows if g == r["g"]], p) for p in probs]
+        assert [repr(x) for x in r[1:]] == [repr(x) for x in expected]
+    whole = exact_quantiles(df.filter("g = 'wide'"), "x", [0.5, 0.9], limit=limit).collect()
+    assert [tuple(r) for r in whole] == [tuple(quantile([x for g, x in rows if g == "wide"], p) for p in (0.5, 0.9))]
+    assert [tuple(r) for r in exact_quantiles(df.limit(0), "x", [0.5], limit=limit).collect()] == [(None,)]
+
+
+def test_a_sketch_that_errs_changes_nothing(spark, monkeypatch):
+    real = quantiles._closed_in
+
+    def wrong(state, limit):
+        return real(state, limit).withColumns({"a": F.lit(900.0), "b": F.lit(901.0)})
+
+    monkeypatch.setattr(quantiles, "_closed_in", wrong)
+    df = spark.range(1000).select(F.col("id").cast("double").alias("x"))
+    assert exact_quantiles(df, "x", [0.1, 0.9], limit=10).first()[:] == (99.9, 899.1)
+
+
+def test_quantiles_range_shuffle_nothing(spark):
+    text = plan(exact_quantiles(spark.range(1000).selectExpr("cast(id as double) x"), "x", [0.5], limit=50))
+    assert "rangepartitioning" not in text

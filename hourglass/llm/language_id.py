@@ -6,7 +6,7 @@ A document is cut into consecutive windows (the last one ends at its last byte);
 language is the mean probability over all windows of its whole text.
 
 The network is fitted on the driver from a bounded sample of labelled rows: about ``FIT_DOCS``
-documents of each of the ``MAX_LANGS`` most frequent languages, chosen by a hash, and up to
+documents of every language (fewer where FIT_TOTAL in all would be passed), chosen by a hash, and up to
 ``FIT_WINDOWS`` hashed places of each.  Prediction runs in Arrow batches; embedding and filter
 weights are folded into lookup tables by byte pair, so a position costs a few table rows.
 """
@@ -28,8 +28,9 @@ WIDTHS = (2, 3, 4, 5)
 FILTERS = 16
 EMBED = 8
 FIT_DOCS = 400
+#: Documents of the sample in all; beyond FIT_TOTAL / FIT_DOCS languages each has a smaller share, one at least.
+FIT_TOTAL = 12_800
 FIT_WINDOWS = 6
-MAX_LANGS = 64
 EPOCHS = 8
 UNKNOWN = "und"
 #: Score below which ``keep_identified`` rejects a document.
@@ -163,14 +164,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         fit_docs: int = FIT_DOCS) -> ByteCNN:
     """A network from a bounded sample of the labelled rows with crc32(id) mod 3 other than 1.
 
-    The sample has at most MAX_LANGS * fit_docs * FIT_WINDOWS windows, taken by hash from the
-    whole text.  Rows without id, language or letters are not learned from.
+    The sample has at most fit_docs documents a language and FIT_TOTAL in all (or one of each
+    language), FIT_WINDOWS windows of each, taken by hash from the whole text.  Every language is learned.  Rows without id, language or letters are not learned from.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & _learnable(docs, id_col)).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("lang"))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row per language
     if not sizes:
         return ByteCNN([UNKNOWN])
+    fit_docs = max(1, min(fit_docs, FIT_TOTAL // len(sizes)))
     langs = sorted(r["lang"] for r in sizes)
     most = 1 << 30
     share = F.create_map(*[F.lit(v) for r in sizes for v in (

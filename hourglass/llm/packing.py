@@ -41,7 +41,8 @@ class WordTokenizer:
     Its tokens never span ASCII white space, so a text's ids are those of its words in turn and
     a word is encoded once per cache.  A word of characters below U+0250 is already in normal
     form C and lower-cased character by character; its pieces go straight to the library's BPE
-    model.  Any other word takes the library's whole ``encode``.
+    model.  Any other word takes the library's whole ``encode``, and so does a text with the string of
+    a special token, which that plain call takes for the token.
     """
 
     def __init__(self, path: str):
@@ -50,11 +51,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.whole.model
         with open(path) as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(split).findall
+            told = json.load(f)
+        self.pieces = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        # a token that is told apart after normalization may be written in capitals
+        marks = [regex.escape(t["content"]) for t in told["added_tokens"]]
+        self.special = regex.compile("|".join(marks), regex.IGNORECASE).search if marks else lambda text: None
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         spare = iter(range(256, 512))
@@ -85,6 +88,8 @@ class WordTokenizer:
         return out
 
     def encode(self, text: str) -> bytes:
+        if self.special(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, word = self.words.get, self._word
         return b"".join([known(w) or word(w) for w in text.encode().split()])
 

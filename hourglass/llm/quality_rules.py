@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import bind, stored
+from hourglass.operators.joins import broadcast_if_small
 
 #: Rules with their scores, from the counts of ``features``.
 RULES = ("symbols", "capitals", "shouts", "repeated_lines", "repeated_words")
@@ -30,10 +31,8 @@ RULES = ("symbols", "capitals", "shouts", "repeated_lines", "repeated_words")
 ALPHA, DELTA = 0.05, 0.05
 #: Cutoffs tried: a document is rejected if its score is over i / GRID, for i = 0 .. GRID - 1.
 GRID = 20
-#: Strata with cutoffs of their own: the languages with most labels.  The rest share one, so
-#: the table of cutoffs has at most (STRATA + 1) * len(RULES) rows.
-STRATA = 63
 WINDOW = 5
+#: Stratum of the documents without a language; every other language is a stratum.
 OTHER = "*"
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -95,79 +94,75 @@ def levels(q: Column) -> dict[str, Column]:
                             level(q.n_repeat_words, q.n_words))))
 
 
+def _log_gamma(x: Column) -> Column:
+    """log of the gamma function for x >= 1, by Stirling's series eight steps further on."""
+    y = x + 8.0
+    ahead = sum((F.log(x + float(i)) for i in range(1, 8)), F.log(x))
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - ahead
+
+
 def _log_binomial_cdf(n: Column, k: Column, p: float) -> Column:
-    """log P[Binomial(n, p) <= k], the terms added in log space from 0 up."""
-    first = n * math.log1p(-p)
-    def step(s: Column, i: Column) -> Column:
-        term = s.term + F.log((n - i + 1) / i) + math.log(p / (1 - p))
-        high = F.greatest(s.total, term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(F.least(s.total, term) - high))).alias("total"))
-    return F.when(k < 1, first).otherwise(F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))),
-        F.struct(first.alias("term"), first.alias("total")), step, lambda s: s.total))
+    """log P[Binomial(n, p) <= k] for k < n p: the term at k, and those below it as multiples of it.
+
+    The terms fall from k down, and those more than 40 + 12 standard deviations below are too small to change
+    a double, so a sum takes about sqrt(n) steps, however many labels there are.
+    """
+    n, k = n.cast("double"), k.cast("double")
+    first = _log_gamma(n + 1.0) - _log_gamma(k + 1.0) - _log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log1p(-p)
+    steps = F.least(k, F.ceil(40.0 + 12.0 * F.sqrt(n * (p * (1 - p))))).cast("int")
+
+    def step(s: Column, j: Column) -> Column:
+        i = k - j + 1.0  # from the term at i to the one at i - 1
+        term = s.term * (i / (n - i + 1.0) * ((1 - p) / p))
+        return F.struct(term.alias("term"), (s.total + term).alias("total"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    below = F.when(steps < 1, F.lit(1.0)).otherwise(F.aggregate(
+        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))), one, step, lambda s: s.total))
+    return first + F.log(below)
 
 
 def learn_cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, own, one cutoff level per rule or null): at most STRATA + 1 rows.
+    """(stratum, one cutoff level per rule or null): a row per language with a cutoff that pays.
 
     ``scored``: id, lang and the level columns of RULES; ``labels``: id, quality (1 good, 0 bad,
     null or anything else ignored; of repeated labels of an id the smallest counts).
     """
     label = labels.where("quality IN (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
     held = scored.join(label, "id").select(
-        F.coalesce("lang", F.lit(OTHER)).alias("lang"), F.col("quality").cast("long").alias("good"),
+        F.coalesce("lang", F.lit(OTHER)).alias("stratum"), F.col("quality").cast("long").alias("good"),
         F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RULES])).alias("r"))
-    counts = stored(held.groupBy("lang", "r.rule", "r.level").agg(  # at most languages x rules x (GRID + 1) rows
+    counts = stored(held.groupBy("stratum", "r.rule", "r.level").agg(  # at most languages x rules x (GRID + 1) rows
         F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")), "quality-counts")
-    one = counts.where(F.col("rule") == RULES[0])
-    own = (one.where(F.col("lang") != OTHER).groupBy("lang").agg(F.sum(F.col("good") + F.col("bad")).alias("labels"))
-           .orderBy(F.desc("labels"), "lang").limit(STRATA).select("lang", F.lit(True).alias("own")))
-
-    def stratified(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(own), "lang", "left").withColumn(
-            "stratum", F.when(F.col("own"), F.col("lang")).otherwise(F.lit(OTHER)))
-
-    total = stratified(one).groupBy("stratum").agg(F.sum("good").alias("n"))
-    tests = F.size(F.collect_set("stratum").over(Window.partitionBy())) * (len(RULES) * GRID)
-    total = total.withColumn("tests", tests)
+    total = counts.where(F.col("rule") == RULES[0]).groupBy("stratum").agg(F.sum("good").alias("n"))
+    tests = total.agg((F.count("*") * (len(RULES) * GRID)).alias("tests"))
+    total = stored(total.crossJoin(F.broadcast(tests)), "quality-strata")
     # a document at level v is rejected by the cutoffs 0 .. v - 1
-    tried = (stratified(counts).where("level > 0")
+    tried = (counts.where("level > 0")
              .select("stratum", "rule", "good", "bad", F.explode(F.sequence(F.lit(0), F.col("level") - 1)).alias("cutoff"))
              .groupBy("stratum", "rule", "cutoff").agg(F.sum("good").alias("k"), F.sum("bad").alias("bad"))
-             .join(F.broadcast(total), "stratum"))
+             .join(broadcast_if_small(total), "stratum"))
     risk = alpha / len(RULES)
     few = F.col("k") < F.col("n") * risk
     ok = few & (F.when(few, _log_binomial_cdf(F.col("n"), F.col("k"), risk))
                 <= F.lit(math.log(delta)) - F.log(F.col("tests").cast("double")))
     best = (tried.where(ok & (F.col("bad") > F.col("k"))).groupBy("stratum", "rule")
             .agg(F.max(F.struct(F.col("bad") - F.col("k"), F.col("cutoff"))).getField("cutoff").alias("cutoff")))
-    return (best.groupBy("stratum")
-            .agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__cut_{r}") for r in RULES])
-            .join(own.select("lang"), F.col("stratum") == F.col("lang"), "full")
-            .select(F.coalesce("stratum", "lang").alias("stratum"), F.col("lang").isNotNull().alias("__own"),
-                    *[f"__cut_{r}" for r in RULES]))
+    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__cut_{r}") for r in RULES])
 
 
 def _decide(df: DataFrame, q: Column, lang: Column, cutoffs: DataFrame) -> DataFrame:
-    """``df`` with __base and __kept; ``cutoffs`` has at most STRATA + 1 rows."""
-    cut = F.broadcast(cutoffs.where("__own").withColumnRenamed("stratum", "__stratum"))
-    rest = F.broadcast(cutoffs.where("NOT __own").select(
-        F.lit(True).alias("__rest"), *[F.col(f"__cut_{r}").alias(f"__rest_{r}") for r in RULES]))
-    df = df.join(cut, lang == F.col("__stratum"), "left").withColumn("__pool", F.col("__own").isNull())
-    df = df.join(rest, F.col("__pool") == F.col("__rest"), "left")
+    """``df`` with __base and __kept; ``cutoffs`` is broadcast while it is small."""
+    cut = broadcast_if_small(cutoffs.withColumnRenamed("stratum", "__stratum"))
+    df = df.join(cut, F.coalesce(lang, F.lit(OTHER)) == F.col("__stratum"), "left")
     rejected = F.lit(False)
     for r, level in levels(q).items():
-        cutoff = F.when(F.col("__own"), F.col(f"__cut_{r}")).otherwise(F.col(f"__rest_{r}"))
-        rejected = rejected | F.coalesce(level > cutoff, F.lit(False))
+        rejected = rejected | F.coalesce(level > F.col(f"__cut_{r}"), F.lit(False))
     base = (q.n_words < 10) | (100 * q.n_repeat_words > 20 * q.n_words)
     return df.withColumn("__base", base).withColumn("__kept", ~base & ~rejected)
 
 
-def _scored(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    q = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), features(F.col(text_col)).alias("q"))
-    return stored(q, "quality")
-
-
 def _cutoffs(scored: DataFrame, labels: DataFrame, id_col: str, alpha: float, delta: float) -> DataFrame:
     flat = scored.select("id", "lang", *[c.alias(r) for r, c in levels(F.col("q")).items()])
     cuts = learn_cutoffs(flat, labels.select(F.col(id_col).alias("id"), "quality"), alpha, delta)
@@ -179,11 +174,12 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     One row per row of ``docs``: null and empty texts have zero counts and fail the base rule;
-    repeated rows and ids are judged one by one; a null or rare language uses the pooled stratum;
-    without labels only the base rule rejects; an empty table gives an empty result; other
-    columns are not read.
+    repeated rows and ids are judged one by one; documents without a language are a stratum of their own;
+    in a language without labels, or with too few to bound the risk, only the base rule rejects; an empty
+    table gives an empty result; other columns are not read.
     """
-    scored = _scored(docs, id_col, text_col, lang_col)
+    q = features(F.col(text_col))
+    scored = stored(docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), q.alias("q")), "quality")
     df = _decide(scored, F.col("q"), F.col("lang"), _cutoffs(scored, labels, id_col, alpha, delta))
     return df.select(F.col("id").alias(id_col), "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines",
                      "q.n_repeat_words", F.col("__base").alias("base_failed"), F.col("__kept").alias("kept"))
@@ -191,7 +187,12 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               lang_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` keeps, with their columns."""
-    cuts = _cutoffs(_scored(docs, id_col, text_col, lang_col), labels, id_col, alpha, delta)
-    judged = _decide(docs.withColumn("__q", features(F.col(text_col))), F.col("__q"), F.col(lang_col), cuts)
-    return judged.where("__kept").select(docs.columns)
+    """The rows of ``docs`` that ``assess`` keeps, with their columns, whatever their names.
+
+    Null and empty texts go (the base rule); repeated rows stay or go together; an empty table stays
+    empty.  The rows are written once with their counts, so no text is counted twice.
+    """
+    counted = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                                 F.col(lang_col).alias("lang"), features(F.col(text_col)).alias("q")), "quality-rows")
+    cuts = _cutoffs(counted, labels, id_col, alpha, delta)
+    return _decide(counted, F.col("q"), F.col("lang"), cuts).where("__kept").select("row.*")

@@ -1,6 +1,6 @@
 """DuckDB SQL for the quality rules: the same counts, grid, exact bounds and choice."""
 
-from hourglass.llm.quality_rules import ALPHA, DELTA, GRID, RULES, STRATA, WINDOW
+from hourglass.llm.quality_rules import ALPHA, DELTA, GRID, RULES, WINDOW
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _RISK = ALPHA / len(RULES)
@@ -38,12 +38,8 @@ lv AS MATERIALIZED (
              {_level('n_shouts', 'n_words')}, {_level('n_dup_lines', 'n_lines')},
              {_level('n_repeat_words', 'n_words')}] AS lev FROM q),
 lab AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id),
-held AS MATERIALIZED (
-  SELECT coalesce(lang, '*') AS lang, lev, quality FROM lv JOIN lab USING (doc_id)),
-own AS MATERIALIZED (
-  SELECT lang FROM held WHERE lang <> '*' GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {STRATA}),
 st AS MATERIALIZED (
-  SELECT CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '*' END AS stratum, lev, quality FROM held),
+  SELECT coalesce(lang, '*') AS stratum, lev, quality FROM lv JOIN lab USING (doc_id)),
 tried AS (
   SELECT stratum, rule, cutoff, sum(quality)::BIGINT AS good,
          count(*) FILTER (quality = 1 AND lev[rule] > cutoff) AS k,
@@ -60,7 +56,7 @@ best AS MATERIALIZED (
   FROM tested WHERE cdf <= {DELTA} / tests AND bad > k GROUP BY stratum, rule),
 rej AS (
   SELECT DISTINCT rid FROM (
-    SELECT rid, lev, CASE WHEN lang IN (SELECT lang FROM own) THEN lang ELSE '*' END AS stratum FROM lv) x
+    SELECT rid, lev, coalesce(lang, '*') AS stratum FROM lv) x
   JOIN best USING (stratum) WHERE lev[best.rule] > best.cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

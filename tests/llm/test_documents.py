@@ -131,6 +131,40 @@ def test_op2_cutoffs_hold_their_bound(spark):
     assert best is not None and cut["__cut_symbols"] == best[1] and cut["__cut_capitals"] is None
 
 
+def test_op2_every_language_is_a_stratum(spark):
+    """A hundred languages, one of them with enough labels, and documents without a language."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "big" if i < 3000 else None if i < 3050 else f"l{i % 100}", int(rng.integers(0, 15)) if i % 5 == 0 else 1,
+             0, 0, 0, 0) for i in range(4000)]
+    scored = spark.createDataFrame(rows, "id long, lang string, " + ", ".join(f"{r} int" for r in quality_rules.RULES))
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(4000)], "id long, quality int")
+    cuts = quality_rules.learn_cutoffs(scored, labels).collect()
+    assert [(c["stratum"], c["__cut_symbols"]) for c in cuts] == [("big", 1)]  # the others have too few for the bound
+
+
+def test_op2_bound_against_the_sum(spark):
+    """The tail against its terms added up, and with ten billion labels in a short while."""
+    from math import exp, lgamma, log
+    cases = [(n, k, p) for n in (1, 7, 60, 900, 40_000) for p in (0.01, 0.3) for k in {0, 1, int(n * p / 2), int(n * p) - 1}
+             if 0 <= k < n * p]
+    for n, k, p in cases:
+        got = spark.range(1).select(quality_rules._log_binomial_cdf(F.lit(n), F.lit(k), p)).first()[0]
+        terms = [lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p) for i in range(k + 1)]
+        assert abs(got - max(terms) - log(sum(exp(t - max(terms)) for t in terms))) < 1e-8
+    far = spark.range(1).select(quality_rules._log_binomial_cdf(F.lit(10**10), F.lit(10**8 - 40_000), 0.01)).first()[0]
+    assert -12.0 < far < -10.0  # 4.02 standard deviations below: log(2.9e-5) = -10.4
+
+
+def test_op2_stage_with_clashing_names_and_edges(spark, docs, labels, empty):
+    odd = docs.withColumns({"row": F.lit(1), "q": F.lit("q"), "stratum": F.lit("x"), "__kept": F.lit(False)})
+    kept = quality_rules.keep_good(odd, labels)
+    assert kept.columns == odd.columns
+    assert sorted(map(str, kept.select(docs.columns).collect())) == sorted(map(str, quality_rules.keep_good(docs, labels).collect()))
+    assert quality_rules.keep_good(empty, labels).count() == 0
+    text = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in text and "split" not in text  # no text is counted again
+
+
 def test_op3_lookup_tables_equal_the_convolution():
     net = language_id.ByteCNN(["a", "b", "c"])
     x = np.concatenate([language_id.windows(t) for t in (b"Hello there", "Éx y ".encode() * 90)])
@@ -155,6 +189,16 @@ def test_op3_accuracy_and_edges(spark, docs, empty):
     assert language_id.identify(empty, language_id.fit(empty)).count() == 0
 
 
+def test_op3_learns_every_language(spark):
+    rng = random.Random(6)
+    names = [f"x{k:02d}" for k in range(100)]
+    rows = [(i, f"{names[i % 100]} " * 30 + rng.choice("abc"), names[i % 100]) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(table, fit_docs=2)
+    assert net.langs == names
+    assert {r["lang_pred"] for r in language_id.identify(table.limit(50), net).collect()} <= set(names)
+
+
 def test_op4_bytes_law(spark, docs, empty, real):
     for df, shards in ((docs, 3), (real, 24)):
         text = {(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()}
@@ -275,7 +319,8 @@ def test_op10_pieces(spark, docs, empty, real):
     from tokenizers import Tokenizer
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    for text in ("a<|endoftext|>b", "A <|ENDOFTEXT|> b", " <|startoftext|>  x\n<|endoftext|", "<|endoftext|><|endoftext|>", "| endoftext"):
+        assert np.frombuffer(packing.tokenizer(path).encode(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
     for df, capacity in ((docs, 64), (real, 2048)):
         texts = sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
         got = packing.pack(df, path, capacity=capacity).toPandas()

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import bounded_batches, stored
@@ -116,9 +116,8 @@ def _bucket_entries(dim: int, tables: int, hashes: int, probes: int, seed: int):
                 codes = hasher.codes(x, t)
                 for p in range(codes.shape[1]):
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0), b.column(1), b.column(2), pa.array(np.full(len(x), t, np.int32)),
-                         pa.array(codes[:, p]), pa.array(np.full(len(x), p == 0))],
-                        ["cid", "v", "copies", "table", "code", "own"])
+                        [b.column(0), pa.array(np.full(len(x), t, np.int32)), pa.array(codes[:, p]),
+                         pa.array(np.full(len(x), p == 0))], ["cid", "table", "code", "own"])
     return run
 
 
@@ -273,16 +272,21 @@ def valid(v: Column) -> Column:
 def _links_of_dim(classes: DataFrame, dim: int, n: int, threshold: float, probes: int, block: int, seed: int) -> DataFrame:
     tables, hashes = plan_tables(n, dim)
     plan = (dim, tables, hashes, probes, seed)
-    kind = dict(classes.dtypes)["v"]
-    entries = classes.select("cid", "v", "copies").mapInArrow(
-        _bucket_entries(*plan), f"cid bigint, v {kind}, copies bigint, table int, code bigint, own boolean")
-    entries = (entries.withColumn("n", F.count("*").over(Window.partitionBy("table", "code")))
-               .where("n > 1"))
     cols = ["key", "cid", "v", "copies", "table", "own", "side", "i", "j"]
     none = F.lit(0)
+    entries = stored(classes.select("cid", "v").mapInArrow(
+        _bucket_entries(*plan), "cid bigint, table int, code bigint, own boolean"), "vector-buckets")
+    # buckets are counted without their members, map-side first; only members of buckets with company get their vectors
+    sizes = entries.groupBy("table", "code").agg(F.count("*").alias("n")).where("n > 1")
+    entries = stored(entries.join(sizes, ["table", "code"]), "vector-candidates")
+
+    def with_vectors(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("cid", "v", "copies"), "cid").select(cols)
+
     small = (entries.where(F.col("n") <= block)
              .withColumns({"key": F.xxhash64("table", "code"), "side": none, "i": none, "j": none})
-             .select(cols).mapInArrow(_verify(*plan, threshold), "a bigint, b bigint, n bigint"))
+             .transform(with_vectors).repartition("key").sortWithinPartitions("key")
+             .mapInArrow(_verify(*plan, threshold), "a bigint, b bigint, n bigint"))
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("cid"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1),
@@ -290,7 +294,7 @@ def _links_of_dim(classes: DataFrame, dim: int, n: int, threshold: float, probes
     hot = (entries.where(F.col("n") > block)
            .select("*", mine.alias("side"), F.explode(pairs).alias("g"))
            .withColumns({"key": F.xxhash64("table", "code", "g.i", "g.j"), "i": F.col("g.i"), "j": F.col("g.j")})
-           .select(cols).repartition("key").sortWithinPartitions("key")
+           .transform(with_vectors).repartition("key").sortWithinPartitions("key")
            .mapInArrow(_verify(*plan, threshold), "a bigint, b bigint, n bigint"))
     return small.union(hot)
 

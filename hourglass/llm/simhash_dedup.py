@@ -25,11 +25,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import bounded_batches, stored
 from hourglass.llm.components import components
+from hourglass.operators.joins import broadcast_if_small
 
 SEED = 42
 SHINGLE = 4
@@ -123,31 +124,17 @@ def _edges_of(lists: list[np.ndarray], max_bits: int) -> pa.RecordBatch:
 
 
 def _within_lists(max_bits: int):
-    """Streams (key, fp) rows sorted by key; one list, at most ``BLOCK`` long, is held at a time."""
+    """Links within each row's list of fingerprints."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rest = None, np.empty(0, np.uint64)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            fps = batch.column(1).to_numpy().view(np.uint64)
-            if not len(keys):
-                continue
-            if key is not None:
-                keys = np.concatenate([np.full(len(rest), key), keys])
-                fps = np.concatenate([rest, fps])
-            at = np.flatnonzero(np.diff(keys)) + 1
-            *lists, rest = np.split(fps, at)
-            key = keys[-1]
-            # lists of two, the common case, at once
-            two = [x for x in lists if len(x) == 2]
-            out = _edges_of([x for x in lists if len(x) > 2], max_bits)
-            if two:
-                pair = np.stack(two)
-                diff = pair[:, 0] ^ pair[:, 1]
-                ok = ((diff.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= 8 - max_bits) & (np.bitwise_count(diff) <= max_bits)
-                pair = pair[ok].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-            yield out
-        yield _edges_of([rest], max_bits)
+            flat = batch.column(0).flatten().to_numpy().view(np.uint64)
+            at = batch.column(0).offsets.to_numpy() - batch.column(0).offsets[0].as_py()
+            two = np.diff(at) == 2  # the common case, all at once
+            a, b = flat[at[:-1][two]], flat[at[:-1][two] + 1]
+            diff = a ^ b
+            ok = ((diff.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= 8 - max_bits) & (np.bitwise_count(diff) <= max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(b[ok].view(np.int64))], ["a", "b"])
+            yield _edges_of([flat[at[i]:at[i + 1]] for i in np.flatnonzero(~two)], max_bits)
     return run
 
 
@@ -160,21 +147,23 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataF
     if not 0 <= max_bits <= 4:
         raise ValueError("the index guarantees four shared bytes only up to 4 differing bits")
     bounded_batches(fps.sparkSession)
-    by_key = Window.partitionBy("key")
-    lists = (_postings(fps).withColumn("n", F.count("*").over(by_key))
-             .where("n > 1"))
-    small = (lists.where(F.col("n") <= block).select("key", "fp")
-             .mapInArrow(_within_lists(max_bits), "a bigint, b bigint"))
+    lists = _postings(fps)
+    # counted map-side; only lists above a block are known by name, at most their share of the postings
+    hot = stored(lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "simhash-hot")
+    small = lists.join(broadcast_if_small(hot), "key", "left_anti")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     others = F.transform(F.sequence(F.lit(0), blocks - 1),
                          lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    hot = (lists.where(F.col("n") > block)
-           .select("key", "fp", F.explode(others).alias("g"))
-           .select(F.xxhash64("key", "g.i", "g.j").alias("key"), "fp"))
-    large = (hot.repartition("key").sortWithinPartitions("key")
-             .mapInArrow(_within_lists(max_bits), "a bigint, b bigint"))
-    return small.union(large).distinct()
+    large = (lists.join(broadcast_if_small(hot), "key")
+             .select("key", "fp", F.explode(others).alias("g"))
+             .select(F.xxhash64("key", "g.i", "g.j").alias("key"), "fp"))
+
+    def linked(rows: DataFrame) -> DataFrame:  # a list, or a pair of its blocks, has about two blocks at most
+        grouped = rows.groupBy("key").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+        return grouped.select("fps").mapInArrow(_within_lists(max_bits), "a bigint, b bigint")
+
+    return linked(small).union(linked(large)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

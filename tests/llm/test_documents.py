@@ -352,3 +352,9 @@ def test_op10_level_choice_is_the_minimum():
             costs[int(h)] = int((c ** 2).sum())
         packer.add(k, b"\0\0\0\0" * n)
         assert int((packer.counts ** 2).sum()) == min(costs.values())
+
+
+def test_op6_no_window_over_a_list(spark):
+    fps = spark.range(50).select((F.col("id") * 3).alias("fp"))
+    text = simhash_dedup.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text

@@ -55,9 +55,9 @@ class WordTokenizer:
         with open(path) as f:
             told = json.load(f)
         self.pieces = regex.compile(told["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        # a token that is told apart after normalization may be written in capitals
-        marks = [regex.escape(t["content"]) for t in told["added_tokens"]]
-        self.special = regex.compile("|".join(marks), regex.IGNORECASE).search if marks else lambda text: None
+        # a token that is told apart after normalization is found in lower case
+        self.marks = [t["content"] for t in told["added_tokens"] if not t["normalized"]]
+        self.folded = [t["content"].lower() for t in told["added_tokens"] if t["normalized"]]
         # the byte-level alphabet: printable bytes stand for themselves, the rest follow from U+0100
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
         spare = iter(range(256, 512))
@@ -69,7 +69,7 @@ class WordTokenizer:
         got = self.runs.get(piece)
         if got is None:
             mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+            got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
             if len(self.runs) >= CACHE_WORDS:
                 self.runs.clear()
             self.runs[piece] = got
@@ -78,7 +78,8 @@ class WordTokenizer:
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if max(text) < "ɐ" and "İ" not in text and len(text) < 1_000:
-            out = b"".join([self._run(p) for p in self.pieces(text.lower())])
+            text = text.lower()
+            out = self._run(text) if text.isalpha() else b"".join([self._run(p) for p in self.pieces(text)])
         else:
             out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.words) >= CACHE_WORDS:
@@ -87,8 +88,11 @@ class WordTokenizer:
             self.words[word] = out
         return out
 
+    def _special(self, text: str) -> bool:
+        return any(m in text for m in self.marks) or bool(self.folded) and any(m in text.lower() for m in self.folded)
+
     def encode(self, text: str) -> bytes:
-        if self.special(text):
+        if self._special(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, word = self.words.get, self._word
         return b"".join([known(w) or word(w) for w in text.encode().split()])

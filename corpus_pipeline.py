@@ -15,22 +15,34 @@ from hourglass.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the risk-controlled cutoffs."""
+    """Documents that pass the base rule and the risk-controlled cutoffs.
+
+    Null, empty and very short texts go; repeated rows stay or go together; no documents or no labels give no error.
+    """
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network identifies."""
+    """Documents whose language the network identifies.
+
+    Texts without a letter go; without labelled languages there is nothing to identify and all documents go.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group."""
+    """The document with the smallest id of every near-duplicate group.
+
+    Rows without an id stay; of rows that repeat an id one stays; wordless texts are one group.
+    """
     return simhash_dedup.keep_first(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed sequences, one row per piece."""
+    """The packed sequences, one row per piece.
+
+    A null or empty text is its separator alone; repeated rows are packed as often as they occur; no documents give no rows.
+    """
     pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")

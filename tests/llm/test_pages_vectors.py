@@ -246,7 +246,7 @@ def test_queries_are_registered_and_pipeline_runs(spark):
     import __spark_entry__ as E
     import corpus_pipeline
     names = [k for k in E.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(re.match(r"op(\d+)_", k).group(1)) for k in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k).group(1)) for k in names) == list(range(1, 14))
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -332,3 +332,13 @@ def test_search_skips_a_block_that_cannot_matter():
     met = []
     block.search(np.array([0]), np.array([1]), lambda: 5, lambda docs, _: met.extend(docs.tolist()))
     assert met[0] == 0  # an equal score may still win by its id
+
+
+@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_ranked_search"])
+def test_query_equals_its_sql(spark, duck, name):
+    from hourglass.llm.queries import ORACLE
+    df = QUERIES[name](spark, SF_SMALL)
+    found = duck.execute(ORACLE[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(tuple, df.select(columns).collect()), key=key) == sorted(found.fetchall(), key=key)

@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is written with the space mark and split into words (a mark run and what follows it); a
-word is cut further between two characters that stand side by side in no piece, which no edge
-can span.  Every distinct segment of a run of documents is encoded once:
+A text is written with the space mark and cut between two characters that stand side by side in
+no piece, which no edge can span (every word boundary is such a cut).  Distinct segments are encoded:
 
-1. a segment is exploded into its substrings of at most the longest piece's length, by their ends;
+1. a segment is exploded into its substrings that end a piece, by their ends (what ends no piece is
+   none, nor is any longer substring with that end, so nothing is lost);
 2. the substrings are equi-joined to the piece table (a bounded table, broadcast);
 3. the surviving edges are grouped by segment and end, whose rows still stand together;
 4. a higher-order ``aggregate`` folds the ends into the best score of every position (Viterbi)
@@ -14,13 +14,17 @@ A single character that is no piece is an edge of its own with the unknown score
 as byte pieces.  Ties go to the edge that starts first, as in the library's unigram decoder.
 A text's best path is its segments' paths in turn.
 
-Nothing is shuffled: the segments that a batch of documents brings new stand before it in the
-same partition, explode and broadcast join keep the order of rows (both groupings check it), and
-the last step looks the paths up.  A run ends at MAX_WORDS distinct words and segments, which bounds the lookup.
+Segments that many documents share are encoded once for the whole table: a bounded sample of rows
+names them, at most MAX_COMMON, and the tasks get their paths.  They spare work and decide
+nothing; every other segment is encoded beside its documents.  There nothing is shuffled: the segments that a
+batch of documents brings new stand before it in the same partition, explode and broadcast join keep the order of rows
+(the grouping checks it), and the last step looks the paths up.  A run ends at MAX_SEGMENTS distinct
+segments, which bounds the lookup.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +34,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm.common import bind, bounded_batches
+from hourglass.llm.common import bind, bounded_batches, stored
 
 MARK = "▁"
-#: Distinct words and segments whose paths one run of documents keeps at hand; a batch above it ends the run.
-MAX_WORDS = 250_000
+#: Distinct segments beside the common ones whose paths one run of documents keeps at hand; a batch above it ends the run.
+MAX_SEGMENTS = 100_000
+#: Segments that are encoded once for the table, at most, and the rows (about) that name them.
+MAX_COMMON, SAMPLE_ROWS = 200_000, 20_000
+#: Characters of a text that are looked at together.
+CUT_CHARS = 1 << 20
+#: Largest table of character pairs; more are searched for.
+PAIR_CELLS = 1 << 24
 #: Rows and bytes of an Arrow batch; most rows are edges of a few bytes, and a task has three workers.
 EDGE_ROWS, EDGE_BYTES = 10_000, 4 << 20
 #: Runs are numbered modulo RUNS: neighbours must differ, no more.
@@ -60,6 +70,7 @@ class Pieces:
             raise ValueError("a piece crosses a word boundary")
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces), default=1)
+        self.ending = frozenset(p[i:] for p in pieces for i in range(len(p)))
         self.joined = frozenset(p[i:i + 2] for p in pieces for i in range(len(p) - 1))
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
@@ -90,11 +101,41 @@ class Pieces:
             e = s
         return [i for part in reversed(out) for i in part]
 
-    def segments(self, word: str) -> list[str]:
-        """``word`` cut where two neighbours stand side by side in no piece."""
-        joined = self.joined
-        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in joined]
-        return [word[a:b] for a, b in zip((0, *cuts), (*cuts, len(word)))] if cuts else [word]
+    def cutter(self):
+        """A function from a text to its segments, in turn; they make up the marked text."""
+        pairs = np.array([list(map(ord, p)) for p in self.joined], np.int64).reshape(-1, 2)
+        sides = [np.unique(side) for side in pairs.T]
+        places = np.zeros((2, 0x110000), np.int32)
+        for place, side in zip(places, sides):
+            place[side] = np.arange(1, len(side) + 1)
+        width = len(sides[1]) + 1
+        codes = np.unique(places[0, pairs[:, 0]].astype(np.int64) * width + places[1, pairs[:, 1]])
+        cells = (len(sides[0]) + 1) * width
+        cell = np.isin(np.arange(cells), codes) if cells <= PAIR_CELLS else None
+
+        def cut(text: str | None) -> list[str]:
+            if not text:
+                return []
+            marked, cuts = MARK + text.replace(" ", MARK), [0]
+            for at in range(0, len(marked), CUT_CHARS):
+                points = np.frombuffer(marked[at:at + CUT_CHARS + 1].encode("utf-32-le"), "<u4")
+                code = places[0, points[:-1]].astype(np.int64) * width + places[1, points[1:]]
+                joined = cell[code] if cell is not None else np.isin(code, codes)
+                cuts += (np.flatnonzero(~joined) + (at + 1)).tolist()
+            return [marked[a:b] for a, b in zip(cuts, cuts[1:] + [len(marked)])]
+        return cut
+
+    def starts(self, segments: list[str]) -> pa.Array:
+        """For every end in turn, the first start from which a substring still ends a piece."""
+        ending, flat, offsets = self.ending, [], [0]
+        for w in segments:
+            for e in range(1, len(w) + 1):
+                s = e - 1
+                while s and w[s - 1:e] in ending:
+                    s -= 1
+                flat.append(s)
+            offsets.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
     def decoder(self):
         """A function from ids to text."""
@@ -102,40 +143,62 @@ class Pieces:
         known.update({i: bytes([b]) for b, i in enumerate(self.byte_ids)})
 
         def decode(ids) -> str:
-            text = b"".join([known[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+            text = b"".join(map(known.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
             return text[1:] if text.startswith(" ") else text
         return decode
 
 
 def words_of(text: str) -> list[str]:
+    """The words of a text, which no piece leaves; the definition that results are held against."""
     return _WORDS(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _segments(pieces: Pieces):
-    """(run, id, text, word) rows: the segments that a batch brings new, then its documents."""
+def _counted(pieces: Pieces):
+    """(word, docs): the documents of a batch that hold a segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = 0, set()  # words and segments: a word that is cut is no segment
+        cut = pieces.cutter()
+        for b in batches:
+            docs = Counter()
+            for text in b.column(0):
+                docs.update({w for w in cut(text.as_py()) if len(w) <= MAX_WORD})
+            yield pa.RecordBatch.from_arrays([pa.array(docs.keys(), pa.string()), pa.array(docs.values(), pa.int64())],
+                                             ["word", "docs"])
+    return run
 
-        def rows(ids: pa.Array, texts: pa.Array, found: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(ids), pa.int64()), ids, texts, found],
-                                              ["run", "id", "text", "word"])
 
+def _lonely(pieces: Pieces):
+    """Segments as the lattice takes them, without documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(seen) >= MAX_WORDS:
+            yield _rows(0, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()), b.column(0),
+                        pieces.starts(b.column(0).to_pylist()))
+    return run
+
+
+def _rows(run: int, ids: pa.Array, texts: pa.Array, words: pa.Array, starts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([run] * len(ids), pa.int64()), ids, texts, words, starts],
+                                      ["run", "id", "text", "word", "starts"])
+
+
+def _segments(pieces: Pieces, common: bytes):
+    """(run, id, text, word, starts) rows: the segments that a batch brings new, then its documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, known = pieces.cutter(), set(pa.ipc.open_stream(common).read_all()["word"].to_pylist())
+        now, seen = 0, set()
+        for b in batches:
+            if len(seen) >= MAX_SEGMENTS:
                 now, seen = (now + 1) % RUNS, set()
             new = []
             for text in b.column(1):
-                for w in sorted(set(words_of(text.as_py() or "")) - seen):
-                    for part in pieces.segments(w):
-                        if len(part) <= MAX_WORD and part not in seen:
-                            seen.add(part)
-                            new.append(part)
-                    if len(w) <= MAX_WORD:
-                        seen.add(w)
+                fresh = set(cut(text.as_py())) - known - seen
+                fresh = [w for w in fresh if len(w) <= MAX_WORD]
+                seen.update(fresh)
+                new += fresh
             for at in range(0, len(new), 10_000):
-                some = pa.array(new[at:at + 10_000], pa.string())
-                yield rows(pa.nulls(len(some), b.column(0).type), pa.nulls(len(some), pa.string()), some)
-            yield rows(b.column(0), b.column(1), pa.nulls(len(b), pa.string()))
+                some = new[at:at + 10_000]
+                yield _rows(now, pa.nulls(len(some), b.column(0).type), pa.nulls(len(some), pa.string()),
+                            pa.array(some, pa.string()), pieces.starts(some))
+            yield _rows(now, b.column(0), b.column(1), pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.list_(pa.int32())))
     return run
 
 
@@ -205,8 +268,9 @@ def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 def _lattice(words: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
     """(run, id, text, word, path): the ids of segments; -1 - c stands for unknown code point c."""
     e, s = F.col("e"), F.col("s")
-    subs = (words.select("*", F.explode_outer(F.sequence(F.lit(1), F.length("word"))).alias("e"))
-            .select("*", F.explode_outer(F.sequence(F.greatest(F.lit(0), e - pieces.longest), e - 1)).alias("s"))
+    subs = (words.select("run", "id", "text", "word", F.posexplode_outer("starts").alias("before", "first"))
+            .select("run", "id", "text", "word", (F.col("before") + 1).alias("e"),
+                    F.explode_outer(F.sequence(F.col("first"), F.col("before"))).alias("s"))
             .withColumn("piece", F.substring(F.col("word"), s + 1, e - s)))
     edges = (subs.join(F.broadcast(_piece_table(words.sparkSession, pieces)), "piece", "left")
              .where("score IS NOT NULL OR e - s = 1 OR s IS NULL")
@@ -238,7 +302,29 @@ def _lattice(words: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
     return lattice.select("run", "id", "text", "word", bind(best, walk).alias("path"))
 
 
-def _assemble(pieces: Pieces):
+def _common(told: DataFrame, pieces: Pieces) -> bytes:
+    """An Arrow stream of (word, path): the segments that most of the sampled documents hold."""
+    rows = told.count()
+    some = told if rows <= SAMPLE_ROWS else told.sample(SAMPLE_ROWS / rows, seed=1)
+    counted = stored(some.select("text").mapInArrow(_counted(pieces), "word string, docs bigint")
+                     .groupBy("word").agg(F.sum("docs").alias("docs")).where("docs > 1"), "piece-segments")
+    # the most frequent ones: tallies of counts, at most one row for every count up to SAMPLE_ROWS
+    held, least = 0, 2
+    for docs, n in sorted(((r.docs, r.n) for r in counted.groupBy("docs").agg(F.count("*").alias("n")).collect()), reverse=True):
+        held += n
+        if held > MAX_COMMON:
+            least = docs + 1
+            break
+    words = counted.where(F.col("docs") >= least).select("word").mapInArrow(
+        _lonely(pieces), "run bigint, id int, text string, word string, starts array<int>")
+    paths = _lattice(words, pieces, "int").select("word", "path").toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, paths.schema) as out:
+        out.write_table(paths)
+    return sink.getvalue().to_pybytes()
+
+
+def _assemble(pieces: Pieces, common: bytes):
     """(id, ids, decoded) of the documents, from the paths of the segments before them."""
     def unsigned(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
@@ -246,33 +332,31 @@ def _assemble(pieces: Pieces):
     def spelled(ids: list[int]) -> bytes:
         return unsigned([y for x in ids for y in ([x] if x >= 0 else [pieces.byte_ids[b] for b in chr(-1 - x).encode()])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = pieces.decoder()
-        now, paths = None, {}  # of segments, and of words once they are put together
-
-        def encoded(word: str) -> bytes:
-            ids = b"".join([paths[part] if len(part) <= MAX_WORD else unsigned(pieces.viterbi(part))
-                            for part in pieces.segments(word)])
-            if len(word) <= MAX_WORD:
-                paths[word] = ids
-            return ids
+    def path_bytes(paths: pa.ListArray) -> list[bytes]:
+        offsets, flat = paths.offsets.to_numpy(), paths.values.to_numpy()
+        raw = flat.astype("<u4").tobytes()
+        unknown = np.append(0, np.cumsum(flat < 0))
+        unknown = (unknown[offsets[1:]] > unknown[offsets[:-1]]).tolist()
+        offsets = offsets.tolist()
+        return [spelled(flat[i:j].tolist()) if u else raw[4 * i:4 * j]
+                for i, j, u in zip(offsets, offsets[1:], unknown)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, decode, known = pieces.cutter(), pieces.decoder(), {}
+        for b in pa.ipc.open_stream(common).read_all().to_batches():
+            known.update(zip(b.column(0).to_pylist(), path_bytes(b.column(1))))
+        now, paths = None, known
         for b in batches:
-            offsets = b.column(4).offsets.to_numpy()
-            flat = b.column(4).values.to_numpy()
-            raw = flat.astype("<u4").tobytes()
-            unknown = np.append(0, np.cumsum(flat < 0))
-            unknown = (unknown[offsets[1:]] > unknown[offsets[:-1]]).tolist()
-            offsets = offsets.tolist()
+            found = path_bytes(b.column(4))
             docs, all_ids, back = [], [], []
             for k, (r, word) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
                 if r != now:
-                    now, paths = r, {}
+                    now, paths = r, known.copy()
                 if word is not None:
-                    i, j = offsets[k:k + 2]
-                    paths[word] = spelled(flat[i:j].tolist()) if unknown[k] else raw[4 * i:4 * j]
+                    paths[word] = found[k]
                     continue
-                ids = b"".join([paths.get(w) or encoded(w) for w in words_of(b.column(2)[k].as_py() or "")])
+                ids = b"".join([paths[w] if len(w) <= MAX_WORD else unsigned(pieces.viterbi(w))
+                                for w in cut(b.column(2)[k].as_py())])
                 docs.append(k)
                 all_ids.append(ids)
                 back.append(decode(np.frombuffer(ids, "<u4").tolist()))
@@ -287,11 +371,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     ``ids`` are little-endian unsigned 32-bit.  A null or empty text has no ids and decodes to the empty text; other
     texts decode to themselves (a literal space mark decodes to a space); repeated rows are encoded
-    each; a null id is kept; an empty table gives an empty result; other columns are not read.
+    each; a null id is kept; an empty table gives an empty result; other columns are not read.  The rows are
+    read twice more at most (their number, a sample), while the result is being made.
     """
     bounded_batches(docs.sparkSession, EDGE_ROWS, EDGE_BYTES)
     kind = docs.schema[id_col].dataType.simpleString()
     told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = told.mapInArrow(_segments(pieces), f"run bigint, id {kind}, text string, word string")
-    out = _lattice(words, pieces, kind).mapInArrow(_assemble(pieces), f"id {kind}, ids binary, decoded string")
+    common = _common(told, pieces)
+    words = told.mapInArrow(_segments(pieces, common), f"run bigint, id {kind}, text string, word string, starts array<int>")
+    out = _lattice(words, pieces, kind).mapInArrow(_assemble(pieces, common), f"id {kind}, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), "ids", "decoded")

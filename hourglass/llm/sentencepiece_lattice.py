@@ -5,7 +5,8 @@ no piece, which no edge can span (every word boundary is such a cut).  Distinct
 
 1. a segment is exploded into its substrings that end a piece, by their ends (what ends no piece is
    none, nor is any longer substring with that end, so nothing is lost);
-2. the substrings are equi-joined to the piece table (a bounded table, broadcast);
+2. the substrings are equi-joined to the piece table (a bounded table, broadcast) without the pieces whose
+   own parts score strictly more, as no best path holds one;
 3. the surviving edges are grouped by segment and end, whose rows still stand together;
 4. a higher-order ``aggregate`` folds the ends into the best score of every position (Viterbi)
    and a second one walks back from the last.
@@ -38,15 +39,15 @@ from hourglass.llm.common import bind, bounded_batches, stored
 
 MARK = "▁"
 #: Distinct segments beside the common ones whose paths one run of documents keeps at hand; a batch above it ends the run.
-MAX_SEGMENTS = 100_000
+MAX_SEGMENTS = 50_000
 #: Segments that are encoded once for the table, at most, and the rows (about) that name them.
-MAX_COMMON, SAMPLE_ROWS = 200_000, 20_000
+MAX_COMMON, SAMPLE_ROWS = 300_000, 40_000
 #: Characters of a text that are looked at together.
 CUT_CHARS = 1 << 20
 #: Largest table of character pairs; more are searched for.
 PAIR_CELLS = 1 << 24
 #: Rows and bytes of an Arrow batch; most rows are edges of a few bytes, and a task has three workers.
-EDGE_ROWS, EDGE_BYTES = 10_000, 4 << 20
+EDGE_ROWS, EDGE_BYTES = 50_000, 4 << 20
 #: Runs are numbered modulo RUNS: neighbours must differ, no more.
 RUNS = 4_096
 #: An edge row's code holds run, end, start and piece id, the last two numbers up to _END and _PIECE.
@@ -56,6 +57,8 @@ MAX_PIECES = 1_000_000
 #: Longer segments are folded by ``viterbi`` where their document is; the edges of a segment are one group.
 MAX_WORD = 256
 UNKNOWN_PENALTY = 10.0
+#: Substrings are looked up by a polynomial hash, in a table of 2 ** _SLOTS places.
+_BASE, _ODD, _SLOTS, _WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 22, (1 << 64) - 1
 
 _WORDS = regex.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n").findall
 
@@ -70,9 +73,23 @@ class Pieces:
             raise ValueError("a piece crosses a word boundary")
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces), default=1)
-        self.ending = frozenset(p[i:] for p in pieces for i in range(len(p)))
-        self.joined = frozenset(p[i:i + 2] for p in pieces for i in range(len(p) - 1))
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
+        self.useful = self._useful()
+        self.joined = frozenset(p[i:i + 2] for p in self.useful for i in range(len(p) - 1))
+
+    def _useful(self) -> dict[str, tuple[int, float]]:
+        """The pieces but those whose own parts score more, by more than rounding, so that no best path holds them."""
+        useful = {}
+        for piece in sorted(self.pieces, key=len):
+            number, score = self.pieces[piece]
+            best = [0.0]
+            for e in range(1, len(piece) + 1):
+                best.append(max((best[s] + (useful[piece[s:e]][1] if piece[s:e] in useful else self.unknown)
+                                 for s in range(e) if piece[s:e] in useful or (e - s == 1 and len(piece) > 1)),
+                                default=-np.inf))
+            if best[-1] <= score + 1e-6 * (1 + abs(score)):
+                useful[piece] = number, score
+        return useful
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -125,17 +142,40 @@ class Pieces:
             return [marked[a:b] for a, b in zip(cuts, cuts[1:] + [len(marked)])]
         return cut
 
-    def starts(self, segments: list[str]) -> pa.Array:
-        """For every end in turn, the first start from which a substring still ends a piece."""
-        ending, flat, offsets = self.ending, [], [0]
-        for w in segments:
-            for e in range(1, len(w) + 1):
-                s = e - 1
-                while s and w[s - 1:e] in ending:
-                    s -= 1
-                flat.append(s)
-            offsets.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+    def starter(self):
+        """A function from segments to, for every end in turn, the first start from which a substring may end a piece.
+
+        Equal hashes may let a substring through that ends none; the join drops it.
+        """
+        ending = set()
+        for piece in self.useful:
+            code, power = 0, 1
+            for c in reversed(piece):
+                code, power = (code + ord(c) * power) & _WORD, power * _BASE & _WORD
+                ending.add(code)
+
+        def place(codes: np.ndarray) -> np.ndarray:
+            return (codes * np.uint64(_ODD)) >> np.uint64(64 - _SLOTS)
+
+        slots = np.zeros(1 << _SLOTS, bool)
+        slots[place(np.fromiter(ending, np.uint64, len(ending)))] = True
+
+        def starts(segments: list[str]) -> pa.Array:
+            lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+            offsets = np.append(0, np.cumsum(lengths))
+            points = np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").astype(np.uint64)
+            last = np.arange(len(points)) - np.repeat(offsets[:-1], lengths)
+            first, at, codes, power = last.copy(), np.arange(len(points)), points, 1
+            for k in range(1, self.longest):
+                power = power * _BASE & _WORD
+                inside = last[at] >= k
+                at, codes = at[inside], codes[inside]
+                codes = codes + points[at - k] * np.uint64(power)
+                known = slots[place(codes)]
+                at, codes = at[known], codes[known]
+                first[at] = last[at] - k
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(first, pa.int32()))
+        return starts
 
     def decoder(self):
         """A function from ids to text."""
@@ -169,9 +209,10 @@ def _counted(pieces: Pieces):
 def _lonely(pieces: Pieces):
     """Segments as the lattice takes them, without documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = pieces.starter()
         for b in batches:
             yield _rows(0, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()), b.column(0),
-                        pieces.starts(b.column(0).to_pylist()))
+                        starts(b.column(0).to_pylist()))
     return run
 
 
@@ -183,21 +224,23 @@ def _rows(run: int, ids: pa.Array, texts: pa.Array, words: pa.Array, starts: pa.
 def _segments(pieces: Pieces, common: bytes):
     """(run, id, text, word, starts) rows: the segments that a batch brings new, then its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = pieces.cutter(), set(pa.ipc.open_stream(common).read_all()["word"].to_pylist())
+        cut, starts = pieces.cutter(), pieces.starter()
+        known = _flat(pa.ipc.open_stream(common).read_all()["word"])
         now, seen = 0, set()
         for b in batches:
             if len(seen) >= MAX_SEGMENTS:
                 now, seen = (now + 1) % RUNS, set()
-            new = []
+            fresh = set()
             for text in b.column(1):
-                fresh = set(cut(text.as_py())) - known - seen
-                fresh = [w for w in fresh if len(w) <= MAX_WORD]
-                seen.update(fresh)
-                new += fresh
+                fresh.update(cut(text.as_py()))
+            fresh -= seen
+            new = pa.array([w for w in fresh if len(w) <= MAX_WORD], pa.string())
+            new = new.filter(pc.invert(pc.is_in(new, value_set=known))).to_pylist()
+            seen.update(new)
             for at in range(0, len(new), 10_000):
                 some = new[at:at + 10_000]
                 yield _rows(now, pa.nulls(len(some), b.column(0).type), pa.nulls(len(some), pa.string()),
-                            pa.array(some, pa.string()), pieces.starts(some))
+                            pa.array(some, pa.string()), starts(some))
             yield _rows(now, b.column(0), b.column(1), pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.list_(pa.int32())))
     return run
 
@@ -261,7 +304,7 @@ def _flat(column: pa.ChunkedArray) -> pa.Array:
 
 
 def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.pieces.items()],
+    return spark.createDataFrame([(p, i, float(s)) for p, (i, s) in pieces.useful.items()],
                                  "piece string, piece_id int, score double")
 
 

@@ -19,8 +19,8 @@ Segments that many documents share are encoded once for the whole table: a bound
 names them, at most MAX_COMMON, and the tasks get their paths.  They spare work and decide
 nothing; every other segment is encoded beside its documents.  There nothing is shuffled: the segments that a
 batch of documents brings new stand before it in the same partition, explode and broadcast join keep the order of rows
-(the grouping checks it), and the last step looks the paths up.  A run ends at MAX_SEGMENTS distinct
-segments, which bounds the lookup.
+(the grouping checks it).  Documents travel as the numbers of their segments, from which the last step puts their
+paths together.  A run ends at MAX_SEGMENTS distinct segments, which bounds the numbering.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ MARK = "▁"
 MAX_SEGMENTS = 50_000
 #: Segments that are encoded once for the table, at most, and the rows (about) that name them.
 MAX_COMMON, SAMPLE_ROWS = 300_000, 40_000
-#: Characters of a text that are looked at together.
+#: Characters of a text, or segment numbers of a document, that are looked at together.
 CUT_CHARS = 1 << 20
 #: Largest table of character pairs; more are searched for.
 PAIR_CELLS = 1 << 24
@@ -55,6 +55,7 @@ _END, _PIECE = 512, 1 << 33
 #: Largest piece table, which is broadcast.
 MAX_PIECES = 1_000_000
 #: Longer segments are folded by ``viterbi`` where their document is; the edges of a segment are one group.
+#: Their ids stand among the segment numbers of a document as -1 - id.
 MAX_WORD = 256
 UNKNOWN_PENALTY = 10.0
 #: Substrings are looked up by a polynomial hash, in a table of 2 ** _SLOTS places.
@@ -207,41 +208,56 @@ def _counted(pieces: Pieces):
 
 
 def _lonely(pieces: Pieces):
-    """Segments as the lattice takes them, without documents."""
+    """Segments as the lattice takes them, named by themselves, without documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = pieces.starter()
         for b in batches:
-            yield _rows(0, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.string()), b.column(0),
-                        starts(b.column(0).to_pylist()))
+            words = b.column(0)
+            yield _rows(0, words, pa.nulls(len(b), pa.binary()), words, starts(words.to_pylist()))
     return run
 
 
-def _rows(run: int, ids: pa.Array, texts: pa.Array, words: pa.Array, starts: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([run] * len(ids), pa.int64()), ids, texts, words, starts],
-                                      ["run", "id", "text", "word", "starts"])
+def _rows(run: int, ids: pa.Array, numbers: pa.Array, words: pa.Array, starts: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([run] * len(ids), pa.int64()), ids, numbers, words, starts],
+                                      ["run", "id", "numbers", "word", "starts"])
 
 
 def _segments(pieces: Pieces, common: bytes):
-    """(run, id, text, word, starts) rows: the segments that a batch brings new, then its documents."""
+    """(run, id, numbers, word, starts) rows: the segments that a batch brings new, then its documents.
+
+    Common segments have the numbers of their rows in ``common``, a run's own the numbers after them in turn.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, starts = pieces.cutter(), pieces.starter()
-        known = _flat(pa.ipc.open_stream(common).read_all()["word"])
-        now, seen = 0, set()
+        number = {w: k for k, w in enumerate(pa.ipc.open_stream(common).read_all()["id"].to_pylist())}
+        own, now, shared = [], 0, len(number)
+
+        def numbers(text: str | None) -> bytes:
+            found = []
+            for w in cut(text):
+                k = number.get(w)
+                if k is not None:
+                    found.append(k)
+                elif len(w) <= MAX_WORD:
+                    k = number[w] = shared + len(own)
+                    own.append(w)
+                    found.append(k)
+                else:
+                    found += [-1 - i for i in pieces.viterbi(w)]
+            return np.array(found, "<i4").tobytes()
+
         for b in batches:
-            if len(seen) >= MAX_SEGMENTS:
-                now, seen = (now + 1) % RUNS, set()
-            fresh = set()
-            for text in b.column(1):
-                fresh.update(cut(text.as_py()))
-            fresh -= seen
-            new = pa.array([w for w in fresh if len(w) <= MAX_WORD], pa.string())
-            new = new.filter(pc.invert(pc.is_in(new, value_set=known))).to_pylist()
-            seen.update(new)
-            for at in range(0, len(new), 10_000):
-                some = new[at:at + 10_000]
-                yield _rows(now, pa.nulls(len(some), b.column(0).type), pa.nulls(len(some), pa.string()),
-                            pa.array(some, pa.string()), starts(some))
-            yield _rows(now, b.column(0), b.column(1), pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.list_(pa.int32())))
+            if len(own) >= MAX_SEGMENTS:
+                for w in own:
+                    del number[w]
+                own, now = [], (now + 1) % RUNS
+            before = len(own)
+            docs = pa.array([numbers(text.as_py()) for text in b.column(1)], pa.binary())
+            for at in range(before, len(own), 10_000):
+                new = own[at:at + 10_000]
+                yield _rows(now, pa.nulls(len(new), b.column(0).type), pa.nulls(len(new), pa.binary()),
+                            pa.array(new, pa.string()), starts(new))
+            yield _rows(now, b.column(0), docs, pa.nulls(len(b), pa.string()), pa.nulls(len(b), pa.list_(pa.int32())))
     return run
 
 
@@ -249,27 +265,23 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per segment with its edges by end, from edge rows ordered by end; documents pass.
 
     An edge is (code, score), which spares the other columns; a segment's first edge carries the
-    segment as its value, a document its text and a negative code.  Every segment must have its ends 1, 2, ...
+    segment's length, a document its numbers and a negative code.  Every segment must have its ends 1, 2, ...
     up to its length in turn, so rows that were torn apart or left out do not go unnoticed.
     """
     def rows(t: pa.Table) -> pa.RecordBatch:
-        value, code = _flat(t["value"]), t["code"].to_numpy()
+        code = t["code"].to_numpy()
         doc = code < 0
-        place, piece = np.divmod(code, _PIECE)
-        place, begin = np.divmod(place, _END)
-        numbers, e = np.divmod(place, _END)
-        e = np.where(doc, 0, e)
-        start = doc | pc.is_valid(value).to_numpy(zero_copy_only=False)
+        place, piece = code // _PIECE, code % _PIECE
+        begin, place = place % _END, place // _END
+        numbers, e = place // _END, np.where(doc, 0, place % _END)
+        size = pc.fill_null(_flat(t["size"]), 0).to_numpy()
+        start = doc | (size > 0)
         cuts, edge = np.flatnonzero(start), ~doc
         step = np.diff(e, prepend=0)
         new_end = edge & (start | (step != 0))
         at = pa.array(cuts)
         last = e[np.append(cuts[1:], len(e)) - 1]
-        value, is_doc = value.take(at), doc[cuts]
-        word = pc.if_else(pa.array(is_doc), pa.scalar(None, pa.string()), value)
-        text = pc.if_else(pa.array(is_doc), value, pa.scalar(None, pa.string()))
-        length = pc.fill_null(pc.utf8_length(word), 0).to_numpy()
-        if (step[new_end & ~start] != 1).any() or (e[start] > 1).any() or (last != length).any():
+        if (step[new_end & ~start] != 1).any() or (e[start] > 1).any() or (last != size[cuts]).any():
             raise RuntimeError("the edges of a segment are torn apart")
         edges = pa.StructArray.from_arrays(
             [pa.array(begin[edge], pa.int32()), _flat(t["score"]).filter(pa.array(edge)),
@@ -277,9 +289,9 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new_end[edge]), edge.sum()), pa.int32()), edges)
         before = np.cumsum(new_end) - new_end
         lists = pa.ListArray.from_arrays(pa.array(np.append(before[cuts], new_end.sum()), pa.int32()), ends)
-        runs = pa.array(np.where(is_doc, -1 - code[cuts], numbers[cuts]), pa.int64())
-        return pa.RecordBatch.from_arrays([runs, _flat(t["id"]).take(at), text, word, lists],
-                                          ["run", "id", "text", "word", "ends"])
+        runs = pa.array(np.where(doc[cuts], -1 - code[cuts], numbers[cuts]), pa.int64())
+        return pa.RecordBatch.from_arrays([runs, _flat(t["id"]).take(at), _flat(t["numbers"]).take(at), lists],
+                                          ["run", "id", "numbers", "ends"])
 
     held = None
     for batch in batches:
@@ -288,7 +300,7 @@ def _group_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches([batch])
         if held is not None:
             t = pa.concat_tables([held, t])
-        first = np.flatnonzero(pc.or_(pc.is_valid(t["value"]), pc.less(t["code"], 0)).to_numpy())
+        first = np.flatnonzero(pc.or_(pc.is_valid(t["size"]), pc.less(t["code"], 0)).to_numpy())
         if not len(first) or first[0]:
             raise RuntimeError("the edges of a segment are torn apart")
         if first[-1]:
@@ -309,20 +321,20 @@ def _piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
 
 
 def _lattice(words: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
-    """(run, id, text, word, path): the ids of segments; -1 - c stands for unknown code point c."""
+    """(run, id, numbers, path): the ids of segments; -1 - c stands for unknown code point c."""
     e, s = F.col("e"), F.col("s")
-    subs = (words.select("run", "id", "text", "word", F.posexplode_outer("starts").alias("before", "first"))
-            .select("run", "id", "text", "word", (F.col("before") + 1).alias("e"),
+    subs = (words.select("run", "id", "numbers", "word", F.posexplode_outer("starts").alias("before", "first"))
+            .select("run", "id", "numbers", "word", (F.col("before") + 1).alias("e"),
                     F.explode_outer(F.sequence(F.col("first"), F.col("before"))).alias("s"))
             .withColumn("piece", F.substring(F.col("word"), s + 1, e - s)))
     edges = (subs.join(F.broadcast(_piece_table(words.sparkSession, pieces)), "piece", "left")
              .where("score IS NOT NULL OR e - s = 1 OR s IS NULL")
              .withColumn("piece_id", F.coalesce("piece_id", -1 - F.ascii("piece")).cast("long"))
-             .select("id", F.when(s.isNull(), F.col("text")).when(e == 1, F.col("word")).alias("value"),
+             .select("id", "numbers", F.when(e == 1, F.length("word")).alias("size"),
                      F.when(s.isNull(), -1 - F.col("run")).otherwise(
                          ((F.col("run") * _END + e) * _END + s) * _PIECE + F.col("piece_id") + (_PIECE >> 1)).alias("code"),
                      F.coalesce("score", F.lit(pieces.unknown)).alias("score")))
-    lattice = edges.mapInArrow(_group_edges, f"run bigint, id {kind}, text string, word string, "
+    lattice = edges.mapInArrow(_group_edges, f"run bigint, id {kind}, numbers binary, "
                                              "ends array<array<struct<s:int,score:double,piece_id:int>>>")
 
     def forward(best, end):
@@ -342,11 +354,11 @@ def _lattice(words: DataFrame, pieces: Pieces, kind: str) -> DataFrame:
         return F.reverse(F.aggregate(F.sequence(F.lit(1), F.size(b)), F.struct(
             (F.size(b) - 1).alias("at"), F.array().cast("array<int>").alias("ids")), back).ids)
 
-    return lattice.select("run", "id", "text", "word", bind(best, walk).alias("path"))
+    return lattice.select("run", "id", "numbers", bind(best, walk).alias("path"))
 
 
 def _common(told: DataFrame, pieces: Pieces) -> bytes:
-    """An Arrow stream of (word, path): the segments that most of the sampled documents hold."""
+    """An Arrow stream of (id, path): the segments that most of the sampled documents hold."""
     rows = told.count()
     some = told if rows <= SAMPLE_ROWS else told.sample(SAMPLE_ROWS / rows, seed=1)
     counted = stored(some.select("text").mapInArrow(_counted(pieces), "word string, docs bigint")
@@ -359,8 +371,8 @@ def _common(told: DataFrame, pieces: Pieces) -> bytes:
             least = docs + 1
             break
     words = counted.where(F.col("docs") >= least).select("word").mapInArrow(
-        _lonely(pieces), "run bigint, id int, text string, word string, starts array<int>")
-    paths = _lattice(words, pieces, "int").select("word", "path").toArrow()
+        _lonely(pieces), "run bigint, id string, numbers binary, word string, starts array<int>")
+    paths = _lattice(words, pieces, "string").select("id", "path").toArrow()
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, paths.schema) as out:
         out.write_table(paths)
@@ -368,41 +380,58 @@ def _common(told: DataFrame, pieces: Pieces) -> bytes:
 
 
 def _assemble(pieces: Pieces, common: bytes):
-    """(id, ids, decoded) of the documents, from the paths of the segments before them."""
-    def unsigned(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def spelled(ids: list[int]) -> bytes:
-        return unsigned([y for x in ids for y in ([x] if x >= 0 else [pieces.byte_ids[b] for b in chr(-1 - x).encode()])])
-
-    def path_bytes(paths: pa.ListArray) -> list[bytes]:
-        offsets, flat = paths.offsets.to_numpy(), paths.values.to_numpy()
-        raw = flat.astype("<u4").tobytes()
-        unknown = np.append(0, np.cumsum(flat < 0))
-        unknown = (unknown[offsets[1:]] > unknown[offsets[:-1]]).tolist()
-        offsets = offsets.tolist()
-        return [spelled(flat[i:j].tolist()) if u else raw[4 * i:4 * j]
-                for i, j, u in zip(offsets, offsets[1:], unknown)]
+    """(id, ids, decoded) of the documents, from their numbers and the paths of the segments before them."""
+    def spelled(paths: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of paths, unknown characters as byte pieces."""
+        offsets, ids = paths.offsets.to_numpy(), paths.flatten().to_numpy()
+        offsets, lengths = offsets - offsets[0], np.diff(offsets).astype(np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            parts = [[pieces.byte_ids[x] for x in chr(-1 - i).encode()] for i in ids[unknown].tolist()]
+            more = np.array([len(p) - 1 for p in parts])
+            np.add.at(lengths, np.searchsorted(offsets, unknown, "right") - 1, more)
+            ids = np.insert(ids, np.repeat(unknown + 1, more), [x for p in parts for x in p[1:]])
+            ids[unknown + np.cumsum(more) - more] = [p[0] for p in parts]
+        return lengths, ids
+
+    def joined(numbers: np.ndarray, begins: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The paths of ``numbers`` in turn."""
+        segment = numbers >= 0
+        size = np.ones(len(numbers), np.int64)
+        size[segment] = lengths[numbers[segment]]
+        ends = np.cumsum(size)
+        out = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        out[ends[~segment] - 1] = -1 - numbers[~segment]
+        keep, from_ = size[segment], begins[numbers[segment]]
+        inner = np.arange(keep.sum()) - np.repeat(np.cumsum(keep) - keep, keep)
+        out[np.repeat(segment, size)] = ids[np.repeat(from_, keep) + inner]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, decode, known = pieces.cutter(), pieces.decoder(), {}
-        for b in pa.ipc.open_stream(common).read_all().to_batches():
-            known.update(zip(b.column(0).to_pylist(), path_bytes(b.column(1))))
-        now, paths = None, known
+        decode = pieces.decoder()
+        shared = spelled(_flat(pa.ipc.open_stream(common).read_all()["path"]))
+        now, (lengths, ids) = None, shared
         for b in batches:
-            found = path_bytes(b.column(4))
+            runs, doc = b.column(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((np.diff(runs) != 0) | (np.diff(doc) != 0)) + 1
             docs, all_ids, back = [], [], []
-            for k, (r, word) in enumerate(zip(b.column(0).to_pylist(), b.column(3).to_pylist())):
-                if r != now:
-                    now, paths = r, known.copy()
-                if word is not None:
-                    paths[word] = found[k]
+            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), len(b)]):
+                if i == j:
+                    continue
+                if runs[i] != now:
+                    now, (lengths, ids) = runs[i], shared
+                if not doc[i]:
+                    new = spelled(b.column(3).slice(i, j - i))
+                    lengths, ids = np.append(lengths, new[0]), np.append(ids, new[1])
                     continue
-                ids = b"".join([paths[w] if len(w) <= MAX_WORD else unsigned(pieces.viterbi(w))
-                                for w in cut(b.column(2)[k].as_py())])
-                docs.append(k)
-                all_ids.append(ids)
-                back.append(decode(np.frombuffer(ids, "<u4").tolist()))
+                begins = np.cumsum(lengths) - lengths
+                for k in range(i, j):
+                    numbers = np.frombuffer(b.column(2)[k].as_py(), "<i4")
+                    parts = [joined(numbers[at:at + CUT_CHARS], begins, lengths, ids) for at in range(0, len(numbers), CUT_CHARS)]
+                    path = np.concatenate(parts) if parts else np.empty(0, np.int64)
+                    docs.append(k)
+                    all_ids.append(path.astype("<u4").tobytes())
+                    back.append(decode(path.tolist()))
             if docs:
                 yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(docs)), pa.array(all_ids, pa.binary()),
                                                   pa.array(back, pa.string())], ["id", "ids", "decoded"])
@@ -421,6 +450,6 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     kind = docs.schema[id_col].dataType.simpleString()
     told = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     common = _common(told, pieces)
-    words = told.mapInArrow(_segments(pieces, common), f"run bigint, id {kind}, text string, word string, starts array<int>")
+    words = told.mapInArrow(_segments(pieces, common), f"run bigint, id {kind}, numbers binary, word string, starts array<int>")
     out = _lattice(words, pieces, kind).mapInArrow(_assemble(pieces, common), f"id {kind}, ids binary, decoded string")
     return out.select(F.col("id").alias(id_col), "ids", "decoded")

@@ -315,6 +315,41 @@ def test_op7_paths_and_round_trip(spark, docs, empty):
     assert sentencepiece_lattice.encode(empty, pieces).count() == 0
 
 
+@pytest.mark.parametrize("rows, most", [(40_000, 300_000), (3, 5), (40_000, 0)])
+def test_op7_common_and_own_segments(spark, monkeypatch, rows, most):
+    """Ids are the same whatever is encoded once for the table; long segments, unknown characters and many runs included."""
+    lattice = sentencepiece_lattice
+    monkeypatch.setattr(lattice, "SAMPLE_ROWS", rows)
+    monkeypatch.setattr(lattice, "MAX_COMMON", most)
+    pieces = lattice.Pieces.load(P.path("piece_bpe_32k.model"))
+    texts = ["the cat sat", "the cat sat on the mat", "the cat", None, "", " ", "a" * 700 + "\U0001F600\U0001F600é",
+             "\u4e2d\u6587 the \U0001F600 cat", "x" * 300 + " cat " + "ab" * 200, "\n\nthe\tcat  \n", "the cat sat"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts * 3)], "doc_id long, text string, path string").coalesce(2)
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in lattice.encode(docs, pieces).collect()}
+    assert len(got) == 3 * len(texts)
+    for i, text in enumerate(texts * 3):
+        assert got[i] == ([n for w in lattice.words_of(text) for n in pieces.viterbi(w)], text or "")
+
+
+def test_op7_pruning_loses_nothing():
+    """Beaten pieces are in no best path, and every piece lies behind the first start of its end."""
+    lattice = sentencepiece_lattice
+    table = {"a": (0, -1.0), "b": (1, -1.0), "ab": (2, -2.5), "ba": (3, -2.0), "aba": (4, -0.5), "c": (5, -1.0), "abc": (6, -9.0)}
+    pieces = lattice.Pieces(table, list(range(10, 266)))
+    assert set(pieces.useful) == {"a", "b", "ba", "aba", "c"}
+    without = lattice.Pieces(pieces.useful, list(range(10, 266)))
+    words = ["".join(w) for n in range(1, 7) for w in itertools.product("abcd", repeat=n)]
+    without.unknown = pieces.unknown
+    assert [pieces.viterbi(w) for w in words] == [without.viterbi(w) for w in words]
+    for w, starts in zip(words, pieces.starter()(words).to_pylist()):
+        assert len(starts) == len(w)
+        assert all(starts[e - 1] <= s for e in range(1, len(w) + 1) for s in range(e) if w[s:e] in pieces.useful)
+    cut = pieces.cutter()
+    for text in ("", None, "abacabac", "\U0001F600 ab\nba  c"):
+        parts = cut(text)
+        assert "".join(parts) == (lattice.MARK + text.replace(" ", lattice.MARK) if text else "")
+
+
 def test_op10_pieces(spark, docs, empty, real):
     from tokenizers import Tokenizer
     path = P.path("word_bpe_49k.json")

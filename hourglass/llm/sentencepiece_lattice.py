@@ -39,15 +39,15 @@ from hourglass.llm.common import bind, bounded_batches, stored
 
 MARK = "▁"
 #: Distinct segments beside the common ones whose paths one run of documents keeps at hand; a batch above it ends the run.
-MAX_SEGMENTS = 50_000
+MAX_SEGMENTS = 40_000
 #: Segments that are encoded once for the table, at most, and the rows (about) that name them.
-MAX_COMMON, SAMPLE_ROWS = 300_000, 40_000
+MAX_COMMON, SAMPLE_ROWS = 250_000, 30_000
 #: Characters of a text, or segment numbers of a document, that are looked at together.
 CUT_CHARS = 1 << 20
 #: Largest table of character pairs; more are searched for.
 PAIR_CELLS = 1 << 24
 #: Rows and bytes of an Arrow batch; most rows are edges of a few bytes, and a task has three workers.
-EDGE_ROWS, EDGE_BYTES = 50_000, 4 << 20
+EDGE_ROWS, EDGE_BYTES = 20_000, 1 << 20
 #: Runs are numbered modulo RUNS: neighbours must differ, no more.
 RUNS = 4_096
 #: An edge row's code holds run, end, start and piece id, the last two numbers up to _END and _PIECE.

@@ -112,6 +112,15 @@ def intervals(spark):
     return ev.drop("at").repartition(5), st
 
 
+@pytest.mark.parametrize("bucket_hours", [1, 100_000])
+def test_bucketed_join_gives_the_same_rows_and_broadcasts_no_copies(intervals, bucket_hours):
+    ev, st = intervals
+    st = st.withColumn("hi", F.when(F.col("stay") % 50 == 0, F.expr("lo + INTERVAL '300' YEAR")).otherwise(F.col("hi")))
+    got = J.join_in_interval(ev, st, "k", "ts", "lo", "hi", lookback_hours=6, bucket_hours=bucket_hours)
+    same(got, J.join_in_interval(ev, st, "k", "ts", "lo", "hi", lookback_hours=6))
+    assert "BroadcastHashJoin" not in plan(got) and "SortMergeJoin" in plan(got)
+
+
 @pytest.mark.parametrize("lookback", [0, 6])
 def test_spread_join_gives_the_same_rows(intervals, lookback):
     ev, st = intervals

@@ -527,8 +527,10 @@ def p2(spark, sf):
 
 @q("p21_fill_defaults")
 def p21(spark, sf):
-    """Every order with its code list, empty for orders without lines."""
+    """Every order with its admission and stay in the cohort (null outside it) and its code list, empty without codes."""
     o = T(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    stays = _cohort(spark, sf).select("HADM_ID", "ICUSTAY_ID").distinct()
+    o = o.join(stays, F.col("o_orderkey") == F.col("HADM_ID"), "left")
     return C.fill_defaults(o.join(_order_codes(spark, sf), ["o_orderkey"], "left"), {"CODES": []})
 
 

@@ -519,9 +519,10 @@ SELECT event_id, coalesce(CASE WHEN isfinite(x) THEN x END, 0.0) AS x FROM (
                         WHEN event_id % 19 = 0 THEN NULL ELSE value END AS x FROM events)"""
 ORACLE["p1_cast_columns"] = "SELECT * FROM lineitem"
 ORACLE["p2_parse_ts"] = "SELECT event_id, CASE WHEN event_id % 3 <> 0 AND event_id % 7 = 1 THEN NULL ELSE ts END AS parsed FROM events"
-ORACLE["p21_fill_defaults"] = with_(ORDER_CODES) + """
-SELECT o.o_orderkey, o.o_custkey, coalesce(c.CODES, CAST([] AS VARCHAR[])) AS CODES
-FROM orders o LEFT JOIN order_codes c ON o.o_orderkey = c.o_orderkey"""
+ORACLE["p21_fill_defaults"] = with_(ORDER_STAYS, PERSONS, COHORT, ORDER_CODES) + """
+SELECT o.o_orderkey, o.o_custkey, s.HADM_ID, s.ICUSTAY_ID, coalesce(c.CODES, CAST([] AS VARCHAR[])) AS CODES
+FROM orders o LEFT JOIN (SELECT DISTINCT HADM_ID, ICUSTAY_ID FROM cohort) s ON o.o_orderkey = s.HADM_ID
+LEFT JOIN order_codes c ON o.o_orderkey = c.o_orderkey"""
 ORACLE["p26_parse_list"] = with_(ORDER_CODES) + """
 SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN [array_to_string(CODES, ',')] ELSE CODES END AS CODES
 FROM order_codes"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,25 @@ def test_write_table_refuses_its_own_input(spark, tmp_path):
             IO.write_table(spark.read.parquet(path), target)
     IO.write_table(spark.read.parquet(path), path + "b")
     assert spark.read.parquet(path + "b").count() == 5
+
+
+def test_p21_keeps_every_order_and_the_cohort_steps(spark, tmp_path):
+    from hourglass.plans.catalog import QUERIES
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    day = [datetime(2024, 1, d) for d in range(1, 6)]
+    # order 3 has no lines, order 4 none after its date, order 5 no customer, order 6 no known part
+    put("orders", [(k, 99 if k == 5 else 7, day[1], "1-URGENT") for k in range(1, 7)],
+        "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz, o_orderpriority string")
+    put("lineitem", [(1, 10, day[2], "N"), (1, 11, day[3], "R"), (2, 11, day[4], "N"), (4, 10, day[0], "N"), (5, 10, day[2], "N"),
+                     (6, 12, day[2], "N")],
+        "l_orderkey long, l_partkey long, l_shipdate timestamp_ntz, l_returnflag string")
+    put("part", [(10, "Brand#1"), (11, "Brand#2")], "p_partkey long, p_brand string")
+    put("customer", [(7, 1, "BUILDING", 1.0)], "c_custkey long, c_nationkey int, c_mktsegment string, c_acctbal double")
+    put("nation", [(1, "FRANCE")], "n_nationkey int, n_name string")
+    got = {r.o_orderkey: r for r in QUERIES["p21_fill_defaults"](spark, str(tmp_path)).collect()}
+    assert {k: r.CODES for k, r in got.items()} == {1: ["Brand#1", "Brand#2"], 2: ["Brand#2"], 3: [], 4: ["Brand#1"], 5: ["Brand#1"], 6: []}
+    assert {k for k, r in got.items() if r.HADM_ID == k and r.ICUSTAY_ID == k} == {1, 2, 6}
+    assert {k for k, r in got.items() if r.HADM_ID is None and r.ICUSTAY_ID is None} == {3, 4, 5}

@@ -82,6 +82,29 @@ def state_flag(grid: DataFrame, hourly: DataFrame, key: str, name: str, state_na
     return filled.drop("__flag")
 
 
+#: Grid hours of a task; their channels and sequences then fit into its memory.
+TASK_HOURS = 1 << 16
+#: Tasks are not made smaller than this many allow.
+MAX_TASKS = 20_000
+
+
+def tasks_of(stays: DataFrame, hours_col: str = "STAY_HOURS", max_hours: int | None = None) -> int | None:
+    """How many tasks the grid of ``stays`` is worth; None if the session's shuffle partitions are enough."""
+    hours = F.col(hours_col) if max_hours is None else F.least(F.col(hours_col), F.lit(max_hours))
+    total = stays.agg(F.sum(F.when(hours > 0, hours))).first()[0] or 0
+    n = min(-(-int(total) // TASK_HOURS), MAX_TASKS)
+    return n if n > int(stays.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """``df`` dealt by key into that many tasks, which adaptive execution does not merge; as it is without a number.
+
+    Grid rows shrink to a few bytes each in a shuffle, so tasks merged by the bytes they read would hold
+    many million rows and spill in every sort and aggregate that follows.
+    """
+    return df if tasks is None else df.repartition(tasks, *by)
+
+
 #: Hours that the time channel's unit stands for where no sequence length is given.
 TIME_SCALE_HOURS = 720
 
@@ -102,7 +125,9 @@ def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name:
     offsets, pivot, flags), and without a materialized copy every branch would
     rescan the raw events.  The raw events are then read exactly twice (stay
     bounds, then the hourly aggregate), and the checkpoint survives executor
-    loss.
+    loss.  A grid of more hours than the session's partitions take at ease is
+    dealt into tasks of ``TASK_HOURS``, for the join and then by entity; windows
+    and sequences by entity follow in the same tasks.
     """
     if "STAY_HOURS" not in stays.columns:
         stays = stays.withColumn("STAY_HOURS", stay_hours("intime", "outtime"))  # P3
@@ -111,6 +136,7 @@ def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name:
     hourly = measurements(events, stays, key, ts, name, value)
     if materialize:
         hourly = cut_lineage(hourly)
+    tasks = tasks_of(stays, "STAY_HOURS", grid_hours) if materialize else None
     wide = wide_features(hourly, key, name, features)
     grid = hourly_grid(stays, "STAY_HOURS", grid_hours, keep=[key, "intime"])
     flagged = state_flag(grid, hourly, key, name, state_names, fill_limit)
@@ -118,7 +144,8 @@ def build_timeline(events: DataFrame, stays: DataFrame, key: str, ts: str, name:
     labels = transition_labels(flagged, "VENT", gap, window, key, "HOUR_IN", out=label_col)
     # One join of the grid to (features + flag), then two window passes on the
     # same entity partitioning: fill the flag, then channels and labels.
-    joined = attach_wide(grid, wide_with_flag(hourly, key, name, feats, state_names), [key, "HOUR_IN"])
+    features_flag = wide_with_flag(dealt(hourly, tasks, key, "HOURS_IN"), key, name, feats, state_names)
+    joined = dealt(attach_wide(dealt(grid, tasks, key, "HOUR_IN"), features_flag, [key, "HOUR_IN"]), tasks, key)
     joined = ffill_limit(joined, "__flag", fill_limit, key, "HOUR_IN", out="VENT", default=0).drop("__flag")
     chans = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours or TIME_SCALE_HOURS)
     ds = channels(joined, feats, key, "HOUR_IN", seq_len=seq_len or grid_hours or TIME_SCALE_HOURS,

@@ -70,8 +70,16 @@ def _dense(found: Column, end: Column, pad: Column) -> Column:
         before = F.coalesce(F.get(found, i - 1)["at"], F.lit(-1))
         return F.concat(F.array_repeat(pad, x["at"] - before - 1), F.array(x["s"]))
 
-    rest = end - F.coalesce(F.get(found, F.size(found) - 1)["at"], F.lit(-1)) - 1
-    return F.concat(F.flatten(F.transform(found, led)), F.array_repeat(pad, rest))
+    first = F.coalesce(F.get(found, F.lit(0))["at"], F.lit(0))
+    final = F.coalesce(F.get(found, F.size(found) - 1)["at"], F.lit(-1))
+    gapless = final - first + 1 == F.size(found)
+    filled = F.when(gapless, F.concat(F.array_repeat(pad, first), found["s"])).otherwise(F.flatten(F.transform(found, led)))
+    return F.concat(filled, F.array_repeat(pad, end - final - 1))
+
+
+def _whole(df: DataFrame, hour: str) -> Column:
+    """The hour as a number to group by: an integer column as it is, so that its order and partitions serve."""
+    return F.col(hour) if df.schema[hour].dataType.typeName() in ("long", "integer", "short", "byte") else F.col(hour).cast("bigint")
 
 
 def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str], seq_len: int = 120,
@@ -102,7 +110,8 @@ def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str],
     if label is not None:
         fields.append(F.coalesce(F.col(label).cast("bigint"), y_pad).alias("y"))
     # of repeated hours the largest row stays, whatever order the rows arrive in
-    hours = rows.groupBy(key, F.col(hour).cast("int").alias("__h")).agg(F.max(F.struct(*fields)).alias("__s"))
+    hours = rows.groupBy(key, _whole(df, hour).alias("__h")).agg(F.max(F.struct(*fields)).alias("__s"))
+    hours = hours.withColumn("__h", F.col("__h").cast("int"))
     pad = F.struct(*[F.lit(value_pad).cast("float").alias(f"c{i}") for i in range(len(channels))],
                    *([y_pad.alias("y")] if label is not None else []))
     # positions count from the right, so the last hour's is seq_len - 1
@@ -126,13 +135,14 @@ BLOCK = 1024
 
 def sequence_blocks(df: DataFrame, key: str, hour: str, channels: Sequence[str], seq_len: int,
                     block: int = BLOCK, label: str | None = None, label_pad: int = -100, value_pad: float = 0.0,
-                    as_of: str | None = None, out: str = "X_num") -> DataFrame:
+                    as_of: str | None = None, out: str = "X_num", extents: DataFrame | None = None) -> DataFrame:
     """The sequences of :func:`build_sequences` in blocks of ``block`` positions.
 
     A row ``(key, block, start, X_num[, y])`` holds the positions ``start`` up to ``start + block`` (the last
     block ends at ``seq_len``), channel-major.  Positions, padding, cleaning, ``as_of`` and repeated hours are
     as in ``build_sequences``; a block that is all padding has no row, and a key without a kept hour has none.
     The rows of a key are grouped by block, so neither a row nor a task grows with the length of a timeline.
+    ``extents`` (``seq_extent`` of the kept rows: key, max_hour) saves writing the hours to find each key's last.
     """
     rows = df.filter((F.col(hour) >= 0) & (F.col(hour) < seq_len))
     if as_of is not None:
@@ -145,9 +155,12 @@ def sequence_blocks(df: DataFrame, key: str, hour: str, channels: Sequence[str],
     y_pad = F.lit(label_pad).cast("bigint")
     if label is not None:
         fields.append(F.coalesce(F.col(label).cast("bigint"), y_pad).alias("y"))
-    hours = cut_lineage(rows.groupBy(F.col(key).alias("__key"), F.col(hour).cast("bigint").alias("__h"))
-                        .agg(F.max(F.struct(*fields)).alias("__s")), name="hours")
-    last = hours.groupBy(F.col("__key").alias("__of")).agg(F.max("__h").alias("__mh"))
+    hours = rows.groupBy(F.col(key).alias("__key"), _whole(df, hour).alias("__h")).agg(F.max(F.struct(*fields)).alias("__s"))
+    if extents is None:
+        hours = cut_lineage(hours, name="hours")
+        last = hours.groupBy(F.col("__key").alias("__of")).agg(F.max("__h").alias("__mh"))
+    else:
+        last = extents.select(F.col(key).alias("__of"), F.col("max_hour").cast("bigint").alias("__mh"))
     place = F.col("__h") + F.lit(seq_len - 1) - F.col("__mh")
     placed = (hours.join(broadcast_if_small(cut_lineage(last, name="extents")), F.col("__key").eqNullSafe(F.col("__of")))
               .select("__key", F.floor(place / block).cast("int").alias("block"),

@@ -805,7 +805,7 @@ def _sequence_blocks(spark, sf):
     longest = t["stays"].agg(F.max("STAY_HOURS")).first()[0]
     seq_len = max(int(longest or 0), 1)
     blocks = SQ.sequence_blocks(ETL.dataset(t, "user_id"), "user_id", "HOUR_IN", list(_SEQ_CHANNELS), seq_len,
-                                block=_BLOCK, label="target")
+                                block=_BLOCK, label="target", extents=AG.seq_extent(t["grid"], "user_id", "HOUR_IN"))
     return blocks, t["stays"], seq_len
 
 

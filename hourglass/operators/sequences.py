@@ -121,7 +121,8 @@ def build_sequences(df: DataFrame, key: str, hour: str, channels: Sequence[str],
         g["l"], lambda x: F.struct((x["__h"] + g["by"]).alias("at"), x["__s"].alias("s"))))
     g = g.select(key, bound(placed, lambda found: _dense(found, F.lit(seq_len), pad)).alias("__at"))
     if entities is not None:
-        g = entities.select(key).distinct().join(g, [key], "left").withColumn(
+        # merged: the planner counts a sequence as one value and would broadcast them all
+        g = entities.select(key).distinct().join(g.hint("merge"), [key], "left").withColumn(
             "__at", F.coalesce("__at", F.array_repeat(pad, seq_len)))
     cols = [F.col(key), F.array(*[F.col("__at").getField(f"c{i}") for i in range(len(channels))]).alias(out)]
     if label is not None:

@@ -340,3 +340,45 @@ def test_a_sketch_that_errs_changes_nothing(spark, monkeypatch):
 def test_quantiles_range_shuffle_nothing(spark):
     text = plan(exact_quantiles(spark.range(1000).selectExpr("cast(id as double) x"), "x", [0.5], limit=50))
     assert "rangepartitioning" not in text
+
+
+# ---------------------------------------------------------------- tasks of large grids
+def _timeline(spark):
+    from hourglass.plans import timeline_etl as ETL
+
+    rng = random.Random(5)
+    rows = [(u, u * 1000 + i, rng.randrange(40 * (u % 4) + 2) * 1800, rng.choice(["click", "error", "purchase"]), rng.random())
+            for u in range(30) for i in range(8)]
+    ev = spark.createDataFrame(rows, "user_id long, event_id long, at long, event_type string, value double").withColumn(
+        "ts", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at")
+    stays = ev.groupBy("user_id").agg(F.min("ts").alias("intime"), F.max("ts").alias("outtime"))
+    return ETL.build_timeline(ev, stays, "user_id", "ts", "event_type", "value", ("click", "error"), ("purchase",))
+
+
+def test_large_grids_go_into_tasks_of_bounded_hours(spark, monkeypatch):
+    from hourglass.plans import timeline_etl as ETL
+
+    usual = _timeline(spark)["dataset"].collect()
+    monkeypatch.setattr(ETL, "TASK_HOURS", 10)
+    t = _timeline(spark)
+    hours = t["grid"].count()
+    n = -(-hours // 10)
+    assert n > 8 and t["dataset"].rdd.getNumPartitions() == n
+    assert sorted(map(repr, t["dataset"].collect())) == sorted(map(repr, usual))
+    seq = SQ.build_sequences(t["dataset"], "user_id", "HOUR_IN", ["V__click"], 80, label="target")
+    assert seq.rdd.getNumPartitions() == n  # by entity, in the tasks of the windows
+    every = SQ.build_sequences(t["dataset"], "user_id", "HOUR_IN", ["V__click"], 80, entities=t["stays"])
+    top = next(line for line in plan(every).splitlines() if "Join" in line)
+    assert "SortMergeJoin" in top  # no broadcast of sequences
+
+
+def test_blocks_by_known_extents_write_no_hours(spark, monkeypatch):
+    t = _timeline(spark)
+    args = (t["dataset"], "user_id", "HOUR_IN", ["V__click", "D__error"], 80)
+    plain = SQ.sequence_blocks(*args, block=16, label="target")
+    written = []
+    cut = SQ.cut_lineage
+    monkeypatch.setattr(SQ, "cut_lineage", lambda df, **kw: written.append(kw["name"]) or cut(df, **kw))
+    extents = t["grid"].groupBy("user_id").agg(F.max("HOUR_IN").alias("max_hour"))
+    same(SQ.sequence_blocks(*args, block=16, label="target", extents=extents), plain)
+    assert written == ["extents"]

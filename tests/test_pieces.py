@@ -141,6 +141,33 @@ def test_spread_join_spreads_a_hot_key(intervals):
     assert J.join_in_interval_spread(ev, st.limit(0), "k", "ts", "lo", "hi").collect() == []
 
 
+def test_pieces_are_looked_up_by_compiled_projections(spark):
+    rng = random.Random(5)
+    nan = float("nan")
+    held = [(k, sorted(rng.sample(range(400), n))) for k, n in (("a", 1), ("b", 7), ("c", 8), (None, 300))]
+    cuts = spark.createDataFrame([(k, [*map(float, c)]) for k, c in held], "__key0 string, __cuts array<double>")
+    rows = [(k, v) for k in ("a", "b", "c", "other", None) for v in (-1.0, 0.0, 399.5, nan, None, *(float(rng.randrange(400)) for _ in range(60)))]
+    rows += [(k, float(x)) for k, c in held for x in c]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = P.with_pieces(df, ["k"], cuts, {"p": F.col("v"), "next": F.col("v") + 1})
+    want = P.with_cuts(df, ["k"], cuts).select("k", "v", P.piece_of(F.col("__cuts"), F.col("v")).alias("p"),
+                                               P.piece_of(F.col("__cuts"), F.col("v") + 1).alias("next"),
+                                               F.col("__cuts").isNotNull().alias("__hot"))
+    same(got, want)
+    none = P.with_pieces(df, ["k"], cuts.limit(0), {"p": F.col("v")})
+    assert none.filter("p <> 0 OR __hot").count() == 0 and none.count() == len(rows)
+
+
+def test_spread_join_and_pieces_interpret_nothing_per_row(intervals, series):
+    ev, st = intervals
+    for df in (J.join_in_interval_spread(ev, st, "k", "ts", "lo", "hi", piece_rows=50),
+               TL.ffill_pieces(series, ["a"], "who", "h", piece_rows=100)):
+        text = plan(df)
+        assert "lambdafunction" not in text and "__cuts" in text
+        exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and not any("__cuts" in line for line in exchanges)
+
+
 # ---------------------------------------------------------------- sequence blocks
 @pytest.fixture(scope="module")
 def timelines(spark):

@@ -119,30 +119,59 @@ class Pieces:
             e = s
         return [i for part in reversed(out) for i in part]
 
-    def cutter(self):
-        """A function from a text to its segments, in turn; they make up the marked text."""
+    def borders(self):
+        """A function from a marked text to, for every character, whether a segment starts there, and its bytes in UTF-8."""
         pairs = np.array([list(map(ord, p)) for p in self.joined], np.int64).reshape(-1, 2)
         sides = [np.unique(side) for side in pairs.T]
-        places = np.zeros((2, 0x110000), np.int32)
-        for place, side in zip(places, sides):
-            place[side] = np.arange(1, len(side) + 1)
         width = len(sides[1]) + 1
-        codes = np.unique(places[0, pairs[:, 0]].astype(np.int64) * width + places[1, pairs[:, 1]])
+        before, after = np.zeros(0x110000, np.int64), np.zeros(0x110000, np.int32)
+        before[sides[0]] = np.arange(1, len(sides[0]) + 1) * width
+        after[sides[1]] = np.arange(1, len(sides[1]) + 1)
+        codes = np.unique(before[pairs[:, 0]] + after[pairs[:, 1]])
         cells = (len(sides[0]) + 1) * width
         cell = np.isin(np.arange(cells), codes) if cells <= PAIR_CELLS else None
 
+        def borders(marked: str) -> tuple[np.ndarray, np.ndarray]:
+            first, size = np.ones(len(marked), bool), np.ones(len(marked), np.uint8)
+            for at in range(0, len(marked), CUT_CHARS):
+                points = np.frombuffer(marked[at:at + CUT_CHARS + 1].encode("utf-32-le"), "<u4")
+                code = before.take(points[:-1], mode="clip") + after.take(points[1:], mode="clip")
+                joined = cell.take(code, mode="clip") if cell is not None else np.isin(code, codes)
+                first[at + 1:at + 1 + len(joined)] = ~joined
+                for most in (0x7F, 0x7FF, 0xFFFF):
+                    size[at:at + CUT_CHARS] += points[:CUT_CHARS] > most
+            return first, size
+        return borders
+
+    def cutter(self):
+        """A function from a text to its segments, in turn; they make up the marked text."""
+        borders = self.borders()
+
         def cut(text: str | None) -> list[str]:
             if not text:
                 return []
-            marked, cuts = MARK + text.replace(" ", MARK), [0]
-            for at in range(0, len(marked), CUT_CHARS):
-                points = np.frombuffer(marked[at:at + CUT_CHARS + 1].encode("utf-32-le"), "<u4")
-                code = places[0, points[:-1]].astype(np.int64) * width + places[1, points[1:]]
-                joined = cell[code] if cell is not None else np.isin(code, codes)
-                cuts += (np.flatnonzero(~joined) + (at + 1)).tolist()
+            marked = _marked(text)
+            cuts = np.flatnonzero(borders(marked)[0]).tolist()
             return [marked[a:b] for a, b in zip(cuts, cuts[1:] + [len(marked)])]
         return cut
 
+    def batch_cutter(self):
+        """A function from texts to the segments of all, as a dictionary array, and how many stand before each text and at the end."""
+        borders = self.borders()
+
+        def cut(texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray]:
+            marked = [_marked(text) if text else "" for text in texts]
+            begins = np.append(0, np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked))))
+            whole = "".join(marked)
+            first, size = borders(whole)
+            first[begins[begins < len(whole)]] = True
+            cuts = np.flatnonzero(first)
+            sizes = np.add.reduceat(size, cuts, dtype=np.int64) if len(cuts) else cuts
+            segments = pa.Array.from_buffers(pa.large_string(), len(cuts), [
+                None, pa.py_buffer(np.append(0, np.cumsum(sizes))), pa.py_buffer(whole.encode())])
+            return segments.dictionary_encode(), np.searchsorted(cuts, begins)
+        return cut
+
     def starter(self):
         """A function from segments to, for every end in turn, the first start from which a substring may end a piece.
 
@@ -180,18 +209,26 @@ class Pieces:
 
     def decoder(self):
         """A function from ids to text."""
-        known = {i: p.encode() for p, (i, _) in self.pieces.items()}
-        known.update({i: bytes([b]) for b, i in enumerate(self.byte_ids)})
+        spelled = {i: p.encode() for p, (i, _) in self.pieces.items()}
+        spelled.update({i: bytes([b]) for b, i in enumerate(self.byte_ids)})
+        known = np.full(max(spelled, default=0) + 1, None, object)
+        for i, part in spelled.items():
+            known[i] = part
 
         def decode(ids) -> str:
-            text = b"".join(map(known.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+            parts = known.take(np.asarray(ids, np.intp)).tolist()
+            text = b"".join(parts).decode("utf-8", "replace").replace(MARK, " ")
             return text[1:] if text.startswith(" ") else text
         return decode
 
 
+def _marked(text: str) -> str:
+    return MARK + text.replace(" ", MARK)
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text, which no piece leaves; the definition that results are held against."""
-    return _WORDS(MARK + text.replace(" ", MARK)) if text else []
+    return _WORDS(_marked(text)) if text else []
 
 
 def _counted(pieces: Pieces):
@@ -228,23 +265,35 @@ def _segments(pieces: Pieces, common: bytes):
     Common segments have the numbers of their rows in ``common``, a run's own the numbers after them in turn.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, starts = pieces.cutter(), pieces.starter()
+        cut, starts = pieces.batch_cutter(), pieces.starter()
         number = {w: k for k, w in enumerate(pa.ipc.open_stream(common).read_all()["id"].to_pylist())}
         own, now, shared = [], 0, len(number)
 
-        def numbers(text: str | None) -> bytes:
-            found = []
-            for w in cut(text):
-                k = number.get(w)
-                if k is not None:
-                    found.append(k)
-                elif len(w) <= MAX_WORD:
-                    k = number[w] = shared + len(own)
-                    own.append(w)
-                    found.append(k)
+        def numbers(texts: list[str | None]) -> pa.Array:
+            segments, bounds = cut(texts)
+            words = segments.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found, at, long = list(map(number.get, words)), -1, {}
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                if len(words[at]) <= MAX_WORD:
+                    found[at] = number[words[at]] = shared + len(own)
+                    own.append(words[at])
                 else:
-                    found += [-1 - i for i in pieces.viterbi(w)]
-            return np.array(found, "<i4").tobytes()
+                    found[at] = 0
+                    long[at] = np.array([-1 - i for i in pieces.viterbi(words[at])], np.int32)
+            found = np.array(found, np.int32)
+            of = segments.indices.to_numpy()
+            out = found[of]
+            if long:
+                size = np.ones(len(found), np.int64)
+                size[list(long)] = list(map(len, long.values()))
+                size = size[of]
+                begins = np.append(0, np.cumsum(size))
+                out, bounds = np.repeat(out, size), begins[bounds]
+                for at in np.flatnonzero(np.isin(of, list(long))).tolist():
+                    out[begins[at]:begins[at + 1]] = long[of[at]]
+            return pa.Array.from_buffers(pa.binary(), len(texts), [
+                None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(out.astype("<i4"))])
 
         for b in batches:
             if len(own) >= MAX_SEGMENTS:
@@ -252,7 +301,7 @@ def _segments(pieces: Pieces, common: bytes):
                     del number[w]
                 own, now = [], (now + 1) % RUNS
             before = len(own)
-            docs = pa.array([numbers(text.as_py()) for text in b.column(1)], pa.binary())
+            docs = numbers(b.column(1).to_pylist())
             for at in range(before, len(own), 10_000):
                 new = own[at:at + 10_000]
                 yield _rows(now, pa.nulls(len(new), b.column(0).type), pa.nulls(len(new), pa.binary()),
@@ -431,7 +480,7 @@ def _assemble(pieces: Pieces, common: bytes):
                     path = np.concatenate(parts) if parts else np.empty(0, np.int64)
                     docs.append(k)
                     all_ids.append(path.astype("<u4").tobytes())
-                    back.append(decode(path.tolist()))
+                    back.append(decode(path))
             if docs:
                 yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(docs)), pa.array(all_ids, pa.binary()),
                                                   pa.array(back, pa.string())], ["id", "ids", "decoded"])

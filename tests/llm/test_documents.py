@@ -350,6 +350,21 @@ def test_op7_pruning_loses_nothing():
         assert "".join(parts) == (lattice.MARK + text.replace(" ", lattice.MARK) if text else "")
 
 
+@pytest.mark.parametrize("chars", [1, 7, 1 << 20])
+def test_op7_batches_are_cut_like_their_texts(monkeypatch, chars):
+    """The segments of a batch, numbered through Arrow's dictionary, are those of its texts one by one."""
+    lattice = sentencepiece_lattice
+    monkeypatch.setattr(lattice, "CUT_CHARS", chars)
+    pieces = lattice.Pieces({"a": (0, -1.0), "b": (1, -1.0), "ba": (2, -1.5), "aba": (3, -0.5)}, list(range(10, 266)))
+    texts = [None, "", "abacabac", "\U0001F600 ab\nba  c", "\u4e2d\u6587 \xe9ab", " ", "ab", "aba" * 20, None]
+    cut, batch_cut = pieces.cutter(), pieces.batch_cutter()
+    for batch in (texts, texts[::-1], [None, ""], []):
+        segments, bounds = batch_cut(batch)
+        held = segments.to_pylist()
+        assert [held[i:j] for i, j in zip(bounds, bounds[1:])] == [cut(text) for text in batch]
+        assert len(bounds) == len(batch) + 1 and (not batch or bounds[-1] == len(held))
+
+
 def test_op10_pieces(spark, docs, empty, real):
     from tokenizers import Tokenizer
     path = P.path("word_bpe_49k.json")

@@ -168,6 +168,25 @@ def test_spread_join_and_pieces_interpret_nothing_per_row(intervals, series):
         assert exchanges and not any("__cuts" in line for line in exchanges)
 
 
+def test_spread_join_deals_tasks_by_the_pairs_they_compare(spark, intervals, monkeypatch):
+    ev, st = intervals
+    # one instant of a key holds 900 events and 60 stays, which no cut divides; a map cannot be hashed
+    noon = F.timestamp_seconds(F.lit(43_200)).cast("timestamp_ntz")
+    ev = ev.unionByName(spark.range(900).select(F.lit("hot").alias("k"), F.col("id").cast("int").alias("e"), noon.alias("ts")))
+    ev = ev.withColumn("a.b", F.map_from_arrays(F.array("e"), F.array("k")))
+    st = st.unionByName(spark.range(60).select(F.lit("hot").alias("k"), noon.alias("lo"), (noon + F.expr("INTERVAL 1 HOUR")).alias("hi"),
+                                               F.col("id").cast("int").alias("stay"), F.lit("s").alias("e")))
+    plain = J.join_in_interval(ev, st, "k", "ts", "lo", "hi", stay_cols=["stay"])
+    for task_pairs, tasks, dealt in ((1 << 40, None, False), (70_000, 8, False), (4_000, None, True)):
+        monkeypatch.setattr(P, "TASK_PAIRS", task_pairs)
+        got = J.join_in_interval_spread(ev, st, "k", "ts", "lo", "hi", stay_cols=["stay"], piece_rows=50)
+        same(got, plain)
+        text = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("RepartitionByExpression" in text) == (task_pairs < 1 << 40) and ("__deal" in text) == dealt
+    parts = [p for p in got.select(F.spark_partition_id().alias("p"), "e", "ts").filter(F.col("ts") == noon).groupBy("p").count().collect()]
+    assert len(parts) > 3 and max(p["count"] for p in parts) < 0.6 * sum(p["count"] for p in parts)
+
+
 # ---------------------------------------------------------------- sequence blocks
 @pytest.fixture(scope="module")
 def timelines(spark):
